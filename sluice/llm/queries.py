@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .op2_packing import op2_packing
+from .op5_quality import op5_quality
 from .op10_tokens import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_packing, op5_quality, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
