@@ -12,11 +12,13 @@ Scale. A task drops strings that it has met in a document with a smaller id, as
 then (decisions travel separately, dealt by document), so thousands of copies of a document send each string once a
 task. A minimiser that still has more than HOT strings (a passage in many different surroundings) would make one bucket
 too large; a first pass counts strings by minimiser, and the windows of hot ones travel one by one as 128-bit digests,
-summed by a partial aggregate before the shuffle, so that no task gathers them. Hot minimisers are broadcast; there are
+each once a task in its smallest document, so that no bucket gathers them. Hot minimisers are broadcast; there are
 at most HOT_KEYS of them, as HOT grows with the number of strings beyond HOT x HOT_KEYS. The number of buckets grows with
-the input, so one bucket's strings (about BUCKET_BYTES) fit in a worker. Decided stretches are joined to the texts by id.
+the input, so one bucket's strings (about BUCKET_BYTES) fit in a worker. Decided stretches are joined to the texts by id and
+a hash of the text.
 
-Rows with a null id are never removed from and remove nothing; of rows that share an id none counts as smaller. Null and
+Rows with a null id are never removed from and remove nothing; of rows that share an id none counts as smaller, and each
+is judged by its own text. Null and
 empty texts have no words; texts of fewer than WINDOW words have no windows. An empty table gives no rows.
 """
 
@@ -27,30 +29,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, input_bytes, keyed_text, mix, prefix_hash, settled, span_hash, table, texts_of
+from .common import Words, blocks, input_bytes, keyed_text, mix, prefix_hash, span_hash, table, texts_of
 
 WINDOW, RUN = 50, 6
 #: Bytes of strings in a bucket, about; text in a task that is searched for equal strings at once.
 BUCKET_BYTES, COMBINE_BYTES = 8 << 20, 32 << 20
 HOT, HOT_KEYS = 2_000, 1_000_000
-SPANS = "doc_id long, start long, stop long"
+SPANS = "doc_id long, row long, start long, stop long"
 
 
 class Strings:
     """The super-k-mers of one block of documents."""
 
-    def __init__(self, ids: list, texts: list[bytes], window: int, run: int):
+    def __init__(self, ids: list, rows: list, texts: list[bytes], window: int, run: int):
         self.words = w = Words(texts)
         hashes = w.hashes()
         n = window - run + 1  # runs in a window
         empty = np.empty(0, dtype=np.int64)
         self.first = self.last = empty
         self.minimiser = empty.astype(np.uint64)
-        self.ids = ids
+        self.ids, self.rows, self.window = ids, rows, window
         if len(w) < window:
             return
         runs = np.zeros(len(w) - run + 1, dtype=np.uint64)
@@ -71,39 +74,46 @@ class Strings:
         tails = np.concatenate([heads[1:], [len(at)]]) - 1
         self.first, self.last, self.minimiser = at[heads], at[tails], least[heads]  # first words of the first and last window
 
-    def __iter__(self) -> Iterator[tuple[int, int, int, int, bytes]]:
-        """(minimiser, id, number of its first word in the document, windows, string); without rows of null id."""
+    def __iter__(self) -> Iterator[tuple[int, tuple[int, int, int, int], bytes]]:
+        """(minimiser, (id, row, number of its first word in the document, windows), string); without rows of null id."""
         w, buf = self.words, self.words.buf.tobytes()
+        if not len(self.first):
+            return
         doc = w.doc[self.first]
-        stop = w.end[np.minimum(self.last + (self.window_words - 1), len(w) - 1)] + 1 if len(self.first) else []
-        for m, d, a, b, s, e in zip(self.minimiser.tolist(), doc.tolist(), (self.first - w.first[doc]).tolist(), (self.last - self.first + 1).tolist(), w.start[self.first].tolist() if len(self.first) else [], list(stop), strict=True):
+        stop = w.end[self.last + self.window - 1] + 1
+        for m, d, a, n, p, q in zip(self.minimiser.tolist(), doc.tolist(), (self.first - w.first[doc]).tolist(), (self.last - self.first + 1).tolist(), w.start[self.first].tolist(), stop.tolist(), strict=True):
             if self.ids[d] is not None:
-                yield m, self.ids[d], a, b, buf[s:e]
+                yield m, (self.ids[d], self.rows[d], a, n), buf[p:q]
+
+
+def keep_least(kept: dict, key, place: tuple, decided: list, window: int) -> None:
+    """Keeps the key's place of smallest id, and all its places in that id; the others are decided."""
+    old = kept.get(key)
+    if old is None:
+        kept[key] = [place]
+    elif old[0][0] < place[0]:
+        decided.append(stretch(place, window))
+    elif place[0] < old[0][0]:
+        decided += [stretch(x, window) for x in old]
+        kept[key] = [place]
+    elif place not in old[-2:]:
+        old.append(place)
 
-    window_words = WINDOW
+
+def stretch(place: tuple[int, int, int, int], window: int) -> tuple[int, int, int, int]:
+    doc, row, start, n = place
+    return doc, row, start, start + n + window - 1
 
 
 def combined(batches, window: int, run: int):
-    """For each part of a task's rows: strings as {(minimiser, string): (id, start, windows)} of the smallest id, and decided stretches."""
-    kept: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-    decided: list[tuple[int, int, int]] = []
+    """For each part of a task's rows: {(minimiser, string): places (id, row, start, windows)}, and decided stretches."""
+    kept: dict[tuple[int, bytes], list] = {}
+    decided: list = []
     size = 0
     for b in blocks(batches, "text"):
         texts = texts_of(b)
-        strings = Strings(b.column("doc_id").to_pylist(), texts, window, run)
-        strings.window_words = window
-        for m, doc, start, n, s in strings:
-            old = kept.get((m, s))
-            if old is None:
-                kept[m, s] = (doc, start, n)
-            elif old[0] < doc:
-                decided.append((doc, start, start + n + window - 1))
-            elif doc < old[0]:
-                decided.append((old[0], old[1], old[1] + n + window - 1))
-                kept[m, s] = (doc, start, n)
-            # within one document, or one id, either place stands for both only if nothing smaller is found elsewhere
-            elif (start, n) != (old[1], old[2]):
-                kept[m, s + b" " * (1 + len(kept))] = (doc, start, n)
+        for m, place, s in Strings(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), texts, window, run):
+            keep_least(kept, (m, s), place, decided, window)
         size += sum(map(len, texts))
         if size >= COMBINE_BYTES:
             yield kept, decided
@@ -111,36 +121,47 @@ def combined(batches, window: int, run: int):
     yield kept, decided
 
 
+def joined(stretches: list) -> list:
+    """The same words covered, by stretches that don't touch."""
+    out: list = []
+    for doc, row, start, stop in sorted(stretches):
+        if out and out[-1][:2] == (doc, row) and start <= out[-1][3]:
+            out[-1] = (doc, row, out[-1][2], max(stop, out[-1][3]))
+        else:
+            out.append((doc, row, start, stop))
+    return out
+
+
 def packed(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
-    """(minimiser, id, start, windows, string) of each, compressed."""
-    head = np.array([(m, d & 0xFFFFFFFFFFFFFFFF, a, n, len(s)) for m, d, a, n, s in rows], dtype=np.uint64)
-    return zstandard.ZstdCompressor(level=1).compress(np.uint64(len(rows)).tobytes() + head.tobytes() + b"".join(r[4] for r in rows))
+    """(id, row, start, windows, string) of each, compressed."""
+    head = np.array([(d, row, a, n, len(s)) for d, row, a, n, s in rows], dtype=np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(rows)).tobytes() + head.tobytes() + b"".join(r[4] for r in rows))
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The numbers, a row for each string, and the strings' bytes."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, dtype=np.uint64, count=1)[0])
-    head = np.frombuffer(raw, dtype=np.uint64, count=5 * n, offset=8).reshape(n, 5)
+    n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
+    head = np.frombuffer(raw, dtype=np.int64, count=5 * n, offset=8).reshape(n, 5)
     return head, np.frombuffer(raw, dtype=np.uint8, offset=8 + 40 * n)
 
 
 def _windows_of(head: np.ndarray, buf: np.ndarray, window: int):
     """Of each window: its string, its first word there, its first and last byte."""
-    ends = np.cumsum(head[:, 4].astype(np.int64))
+    ends = np.cumsum(head[:, 4])
     spaces = np.flatnonzero(buf == 32)  # each word ends with one
     starts = np.concatenate([[0], spaces[:-1] + 1]) if len(spaces) else spaces
-    first_word = np.searchsorted(starts, ends - head[:, 4].astype(np.int64))
-    n = head[:, 3].astype(np.int64)
+    first_word = np.searchsorted(starts, ends - head[:, 4])
+    n = head[:, 3]
     string = np.repeat(np.arange(len(head)), n)
     number = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
     word = first_word[string] + number
     return string, number, starts[word], spaces[word + window - 1]
 
 
-def repeats(head: np.ndarray, buf: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """(id, start, stop) in words: stretches covered by windows that also start in a smaller id among these strings."""
-    ids, starts = head[:, 1].astype(np.int64), head[:, 2].astype(np.int64)
+def repeats(head: np.ndarray, buf: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """(id, row, start, stop) in words: stretches covered by windows that also start in a smaller id among these strings."""
+    ids, rows, starts = head[:, 0], head[:, 1], head[:, 2]
     string, number, s, e = _windows_of(head, buf, window)
     value = mix(span_hash(prefix_hash(buf), s, e))
     order = np.lexsort((ids[string], value))
@@ -163,13 +184,18 @@ def repeats(head: np.ndarray, buf: np.ndarray, window: int) -> list[tuple[int, i
         spans = list(zip(string.tolist(), number.tolist(), s.tolist(), e.tolist(), strict=True))
         for k, _, p, q in spans:
             smallest[raw[p:q]] = min(smallest.get(raw[p:q], ids[k]), ids[k])
-        return [(int(ids[k]), int(starts[k]) + i, int(starts[k]) + i + window) for k, i, p, q in spans if smallest[raw[p:q]] < ids[k]]
+        return [(int(ids[k]), int(rows[k]), int(starts[k]) + i, int(starts[k]) + i + window) for k, i, p, q in spans if smallest[raw[p:q]] < ids[k]]
     first = starts[string[a]] + number[a]
-    return list(zip(ids[string[a]].tolist(), first.tolist(), (first + (b - a) + window).tolist(), strict=True))
+    return list(zip(ids[string[a]].tolist(), rows[string[a]].tolist(), first.tolist(), (first + (b - a) + window).tolist(), strict=True))
+
+
+def _span_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*joined(rows), strict=True) if rows else ((),) * 4)], names=["doc_id", "row", "start", "stop"])
 
 
-def _span_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["doc_id", "start", "stop"])
+def with_row(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, text, and a hash of the text that tells rows of one id apart."""
+    return keyed_text(docs, key, text).withColumn("row", F.xxhash64("text"))
 
 
 def hot_minimisers(rows: DataFrame, window: int, run: int, hot: int) -> set[int]:
@@ -186,9 +212,9 @@ def hot_minimisers(rows: DataFrame, window: int, run: int, hot: int) -> set[int]
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, key: str = "doc_id", text: str = "text", hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, start, stop (in words): stretches whose windows also start in a document with a smaller id; they may overlap."""
+    """doc_id, row (a hash of the text), start, stop (in words): stretches whose windows also start in a document with a smaller id; they may overlap."""
     spark = docs.sparkSession
-    rows = keyed_text(docs, key, text)
+    rows = with_row(docs, key, text)
     hot_keys = spark.sparkContext.broadcast(hot_minimisers(rows, window, run, hot))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # strings hold about three times the words, and files about half the bytes
@@ -198,62 +224,61 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, key: s
         """kind 0: strings of a bucket; 1: decided stretches, by document; 2: a hot window's digest and place."""
         for kept, decided in combined(batches, window, run):
             mine: dict[int, list] = {}
-            alone = []
-            for (m, s), (doc, start, n) in kept.items():
-                s = s.rstrip(b" ") + b" "
-                if m in hot_keys.value:
-                    words = s.split()
-                    alone += [(hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest(), doc, start + i) for i in range(n)]
-                else:
-                    mine.setdefault(m % buckets, []).append((m, doc, start, n, s))
-            out = [(0, bucket, None, None, None, packed(x)) for bucket, x in mine.items()]
-            out += [(1, doc, doc, a, b, None) for doc, a, b in decided]
-            out += [(2, int.from_bytes(d[:8], "little", signed=True), doc, at, None, d) for d, doc, at in alone]
+            alone: dict[bytes, list] = {}
+            for (m, s), places in kept.items():
+                if m not in hot_keys.value:
+                    mine.setdefault(m % buckets, []).extend((*place, s) for place in places)
+                    continue
+                words = s.split()
+                for i in range(places[0][3]):
+                    digest = hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest()
+                    for doc, row, start, _ in places:
+                        keep_least(alone, digest, (doc, row, start + i, 1), decided, window)
+            out = [(0, bucket, None, None, None, None, packed(x)) for bucket, x in mine.items()]
+            out += [(1, doc, doc, row, a, b, None) for doc, row, a, b in joined(decided)]
+            out += [(2, int.from_bytes(d[:8], "little", signed=True), *stretch(place, window), d) for d, places in alone.items() for place in places]
+            kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
             for i in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 4096], strict=True), [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names=["kind", "bucket", "doc_id", "start", "stop", "data"])
-
-    sent = rows.mapInArrow(strings, "kind int, bucket long, doc_id long, start long, stop long, data binary")
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 4096], strict=True), kinds, strict=True)], names=["kind", "bucket", "doc_id", "row", "start", "stop", "data"])
 
     def bucketed(batches):
         """Rows come sorted by kind and bucket."""
-        now, blobs = None, []
+        now, held = None, []
 
         def close():
-            if blobs:
-                parts = [unpacked(x) for x in blobs]
+            if held and now[0] == 0:
+                parts = [unpacked(x[-1]) for x in held]
                 yield _span_batch(repeats(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), window))
+            elif held:
+                least: dict[bytes, int] = {}
+                for doc, *_, digest in held:
+                    least[digest] = min(doc, least.get(digest, doc))
+                if found := [(doc, row, a, b) for doc, row, a, b, digest in held if least[digest] < doc]:
+                    yield _span_batch(found)
 
         for b in batches:
-            for kind, bucket, doc, start, stop, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if kind == 0:
-                    if bucket != now:
+            for kind, bucket, *rest in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if kind != 1:
+                    if (kind, bucket) != now:
                         yield from close()
-                        now, blobs = bucket, []
-                    blobs.append(data)
-            own = b.filter(pa.compute.equal(b.column("kind"), 1))
-            yield own.select(["doc_id", "start", "stop"])
+                        now, held = (kind, bucket), []
+                    held.append(rest)
+            yield b.filter(pc.equal(b.column("kind"), 1)).select(["doc_id", "row", "start", "stop"])
         yield from close()
 
-    cold = sent if not hot_keys.value else settled(sent)
-    plain = cold.filter("kind < 2").repartition(max(parts, min(buckets, 20_000)), "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(bucketed, SPANS)
-    if not hot_keys.value:
-        return plain
-    single = cold.filter("kind = 2").select("data", "doc_id", "start")
-    least = single.groupBy("data").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("data", "least")
-    return plain.unionByName(single.join(least, "data").filter("doc_id > least").select("doc_id", "start", (F.col("start") + window).alias("stop")))
+    sent = rows.mapInArrow(strings, "kind int, bucket long, doc_id long, row long, start long, stop long, data binary")
+    dealt = sent.repartition(max(parts, min(buckets, 20_000)), "kind", "bucket").sortWithinPartitions("kind", "bucket")
+    return dealt.mapInArrow(bucketed, SPANS)
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """doc_id, spans: each document's stretches, joined where they touch, as little-endian pairs of 64-bit numbers.
-
-    A document has at most as many stretches as words.
-    """
-    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    """doc_id, row, spans: each document's stretches; it has at most as many as words."""
+    return spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
 def cut_words(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of each row."""
-    rows = keyed_text(docs, key, text).join(merged(spans).withColumnRenamed("doc_id", "span_id"), F.col("doc_id") == F.col("span_id"), "left").select("doc_id", "text", "spans")
+    rows = with_row(docs, key, text).join(merged(spans), ["doc_id", "row"], "left").select("doc_id", "text", "spans")
 
     def task(batches):
         for b in blocks(batches, "text"):
