@@ -276,6 +276,14 @@ def merged(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
+def covered(n: int, spans: pa.ListScalar) -> np.ndarray:
+    """Which of n words the stretches cover."""
+    change = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(change, spans.values.field("start").to_numpy(), 1)
+    np.add.at(change, spans.values.field("stop").to_numpy(), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def cut_words(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of each row."""
     rows = with_row(docs, key, text).join(merged(spans), ["doc_id", "row"], "left").select("doc_id", "text", "spans")
@@ -287,11 +295,7 @@ def cut_words(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str
                 words = content.split()
                 n_words.append(len(words))
                 if found.is_valid:
-                    values = found.values
-                    change = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(change, values.field("start").to_numpy(), 1)
-                    np.add.at(change, values.field("stop").to_numpy(), -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
+                    words = [words[i] for i in np.flatnonzero(~covered(len(words), found)).tolist()]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
@@ -299,6 +303,25 @@ def cut_words(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str
     return rows.mapInArrow(task, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def remove_repeats(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with all columns; a text that loses words is what is left of them, joined by one space, the others are as they were."""
+    held = spans.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans"))
+    rows = docs.join(held, (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__row")), "left").drop("__id", "__row")
+
+    def task(batches):
+        for b in blocks(batches, text):
+            texts = b.column(text).to_pylist()
+            for i, found in enumerate(b.column("__spans")):
+                if found.is_valid:
+                    words = texts[i].encode().split()
+                    gone = covered(len(words), found)
+                    texts[i] = b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x).decode()
+            at = b.schema.get_field_index(text)
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).drop_columns(["__spans"])
+
+    return rows.mapInArrow(task, docs.schema)
+
+
 def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
