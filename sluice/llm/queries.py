@@ -8,9 +8,10 @@ from .op2_packing import op2_packing
 from .op4_substrings import op4_substrings
 from .op5_quality import op5_quality
 from .op6_urls import op6_urls
+from .op7_html import op7_html
 from .op8_media import op8_media
 from .op9_jaccard import op9_jaccard
 from .op10_tokens import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_packing, op4_substrings, op5_quality, op6_urls, op8_media, op9_jaccard, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_packing, op4_substrings, op5_quality, op6_urls, op7_html, op8_media, op9_jaccard, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op6_urls": _op6.ORACLE_SQL}
