@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker turns into arrays at once; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 MASK = (1 << 64) - 1
 #: An odd multiplier of the rolling hash and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -99,7 +99,7 @@ def _powers(base: int, bits: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
-    return _powers(base, max(22, int(n).bit_length()))[:n]
+    return _powers(base, max(20, int(n).bit_length()))[:n]
 
 
 BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -38,7 +38,7 @@ from .common import Words, blocks, input_bytes, keyed_text, mix, prefix_hash, sp
 
 WINDOW, RUN = 50, 6
 #: Bytes of strings in a bucket, about; text in a task that is searched for equal strings at once.
-BUCKET_BYTES, COMBINE_BYTES = 8 << 20, 32 << 20
+BUCKET_BYTES, COMBINE_BYTES = 4 << 20, 8 << 20
 HOT, HOT_KEYS = 2_000, 1_000_000
 SPANS = "doc_id long, row long, start long, stop long"
 

@@ -8,7 +8,7 @@ from the start, however many copies there are.
    make no candidates unless nearly the whole set consists of them. Only shared first shingles go on.
 2. A first round compares each set with the smallest and the largest set of each of its blocks (the sets that share a
    first shingle). Verified links join most groups of near copies.
-3. Only blocks that still hold several components go on. Their sets are the leaves of a signature tree: nodes hold the
+3. Only blocks that still hold several components go on, those with one smallest set together. Their sets are the leaves of a signature tree: nodes hold the
    OR of their sets' bitmaps and the range of their sizes. A dual traversal drops a pair of nodes whose sizes can't link
    or whose common bits bound the overlap below what a link needs; for two sets the bound is the size of one less the
    bits that the other lacks. Pairs of sets that remain, in different components, are verified on the whole sets.
@@ -39,7 +39,7 @@ HOT, HOT_KEYS = 200, 1_000_000
 #: Sets of one block that a task compares with one another; wanted texts whose keys are broadcast.
 CHUNK, FETCH = 2_000, 2_000_000
 LEAF = 16
-COMBINE_BYTES = 32 << 20
+COMBINE_BYTES = 16 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -311,19 +311,23 @@ def verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int,
                 good.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return two.mapInArrow(task, "a string, b string")
+    return two.mapInArrow(task, "a long, b long")
 
 
-def tree_pairs(entries: DataFrame, percent: int) -> DataFrame:
+def tree_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs in different components that the signature trees of their blocks leave; each once."""
-    blocks_of = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets"))
-    split = blocks_of.filter("low < high").select("token", F.ceil(F.col("sets") / CHUNK).cast("long").alias("chunks"))
-    rows = entries.join(split, "token").withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    named = nodes.join(comps, "node", "left").select("d1", "node", F.coalesce("component", "node").alias("component"))
+    inside = entries.join(named, "d1")
+    ends = inside.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("leader")).filter("low < high")
+    # shingles of one passage have one leader, its smallest set, so a set travels once for them all
+    rows = settled(inside.join(ends.select("token", "leader"), "token").select("leader", "node", "component").distinct())
+    split = rows.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
+    rows = rows.join(split, "leader").join(nodes.select("node", "n", "bitmap"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "component", "n", "bitmap")
+    rows = rows.select("leader", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "component", "n", "bitmap")
 
     def task(batches):
-        """Rows come sorted by token, p and q."""
+        """Rows come sorted by leader, p and q."""
         now, held = None, []
 
         def close():
@@ -332,28 +336,33 @@ def tree_pairs(entries: DataFrame, percent: int) -> DataFrame:
                 if now[1] == now[2] or len(set(part)) > 1:
                     found = block_pairs(list(node), list(comp), list(n), list(maps), list(part), percent)
                     if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], names=["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
         for b in batches:
-            for token, p, q, *rest in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                if (token, p, q) != now:
+            for leader, p, q, *rest in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if (leader, p, q) != now:
                     yield from close()
-                    now, held = (token, p, q), []
+                    now, held = (leader, p, q), []
                 held.append(rest)
         yield from close()
 
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
-    return dealt.mapInArrow(task, "a string, b string").distinct()
+    dealt = rows.repartition(parts, "leader", "p", "q").sortWithinPartitions("leader", "p", "q")
+    return dealt.mapInArrow(task, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, row (a hash of the text), n_shingles and component_id of each row."""
     rows = keyed_text(docs, key, text).withColumn("row", F.xxhash64("text"))
     made = settled(summaries(rows, shingle))
-    node = F.concat_ws(":", F.hex("d1"), F.hex("d2"))
     sets = made.filter("kind = 0").drop("kind")
-    nodes = settled(sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")).withColumn("node", node))
+    nodes = sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    nodes = settled(nodes)
+    twice = nodes.groupBy("d1").agg(F.count("*").alias("times")).filter("times > 1")  # sets that one sum doesn't tell apart
+    if twice.isEmpty():
+        nodes = nodes.withColumn("node", F.col("d1"))
+    else:
+        nodes = settled(nodes.join(twice, "d1", "left").withColumn("node", F.when(F.col("times") > 1, F.xxhash64("d1", "d2")).otherwise(F.col("d1"))).drop("times"))
     many = made.filter("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).filter(F.col("n") > hot).orderBy(F.desc("n"), "d1").limit(HOT_KEYS)
     common = np.sort(np.array([r["d1"] for r in many.select("d1").collect()], dtype=np.int64).view(np.uint64))
     entries = settled(first_shingles(rows, shingle, percent, common))
@@ -365,13 +374,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     pairs = starred.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b")
     links = settled(verified(rows, pairs, nodes, shingle, percent))
 
-    comps = components(links)
-    whole = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    inside = entries.join(whole.select("d1", "node", "component", "n", "bitmap"), "d1")
-    more = verified(rows, tree_pairs(inside, percent), nodes, shingle, percent)
-    comps = components(links.unionByName(more))
-
-    whole = nodes.select("d1", "d2", "node", "least").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = verified(rows, tree_pairs(entries, nodes, components(links), percent), nodes, shingle, percent)
+    whole = nodes.select("d1", "d2", "node", "least").join(components(links.unionByName(more)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     found = whole.join(ids, "component").select("d1", "d2", "component_id")
     out = sets.join(found, ["d1", "d2"], "left")
