@@ -206,13 +206,13 @@ NAMES = {
     "apache-2.0": "apache 2 0 licen[cs]e\napache licen[cs]e v? ?2(?: 0)?\napache 2 licen[cs]e\napache licen[cs]e version 2\nasl 2 0\nal 2 0",
     "apache-1.1": "apache licen[cs]e (?:version )?1 1\napache software licen[cs]e 1 1",
     "apache": "apache licen[cs]e\napache software licen[cs]e",
-    "agpl-3.0": "agpl ?v? ?3\ngnu affero general public licen[cs]e (?:version |v )?3\naffero general public licen[cs]e version 3",
+    "agpl-3.0": "agpl ?v? ?3\ngnu affero general public licen[cs]e (?:version |v ?)?3\naffero general public licen[cs]e version 3",
     "agpl": "gnu agpl\naffero general public licen[cs]e\nagpl licen[cs]e",
-    "lgpl-2.1": "lgpl ?v? ?2 1\n(?:lesser|library) general public licen[cs]e (?:version |v )?2 1",
-    "lgpl-3.0": "lgpl ?v? ?3\nlesser general public licen[cs]e (?:version |v )?3",
+    "lgpl-2.1": "lgpl ?v? ?2 1\n(?:lesser|library) general public licen[cs]e (?:version |v ?)?2 1",
+    "lgpl-3.0": "lgpl ?v? ?3\nlesser general public licen[cs]e (?:version |v ?)?3",
     "lgpl": "gnu lgpl\n(?:lesser|library) general public licen[cs]e\nlgpl licen[cs]e\nlgpl",
-    "gpl-2.0": "gpl ?v? ?2\ngeneral public licen[cs]e (?:version |v )?2\ngnu gpl (?:version )?2",
-    "gpl-3.0": "gpl ?v? ?3\ngeneral public licen[cs]e (?:version |v )?3\ngnu gpl (?:version )?3",
+    "gpl-2.0": "gpl ?v? ?2\ngeneral public licen[cs]e (?:version |v ?)?2\ngnu gpl (?:version )?2",
+    "gpl-3.0": "gpl ?v? ?3\ngeneral public licen[cs]e (?:version |v ?)?3\ngnu gpl (?:version )?3",
     "gpl": "gnu gpl\ngeneral public licen[cs]e\ngpl licen[cs]e\ngpl compatible\nunder the gpl",
     "gfdl": "free documentation licen[cs]e\ngfdl",
     "bsd-2-clause": "(?:2|two) clause bsd\nbsd (?:2|two) clause\nsimplified bsd licen[cs]e\nfreebsd licen[cs]e",
@@ -220,9 +220,9 @@ NAMES = {
     "bsd-4-clause": "(?:4|four) clause bsd\nbsd (?:4|four) clause\noriginal bsd licen[cs]e",
     "bsd": "bsd licen[cs]e\nbsd style licen[cs]e\nberkeley software distribution",
     "isc": "isc licen[cs]e\nisc style licen[cs]e",
-    "mpl-2.0": "mozilla public licen[cs]e (?:version |v )?2\nmpl ?v? ?2(?: 0)?",
+    "mpl-2.0": "mozilla public licen[cs]e (?:version |v ?)?2\nmpl ?v? ?2(?: 0)?",
     "mpl": "mozilla public licen[cs]e\nmpl licen[cs]e",
-    "epl-2.0": "eclipse public licen[cs]e (?:version |v )?2\nepl ?v? ?2",
+    "epl-2.0": "eclipse public licen[cs]e (?:version |v ?)?2\nepl ?v? ?2",
     "epl": "eclipse public licen[cs]e\neclipse distribution licen[cs]e",
     "eupl": "european union public licen[cs]e\neupl",
     "cddl": "common development and distribution licen[cs]e\ncddl",

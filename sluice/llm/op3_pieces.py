@@ -36,6 +36,8 @@ from .common import blocks, keyed_text, mix, table
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 1.0, 20240229
+#: Bits of a chance.
+GRAIN = 40
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, text_crc32 long"
@@ -144,12 +146,16 @@ class Table:
         starts, ends, self.piece = starts[order], ends[order], pieces[order]
         chance = np.exp(weights[order] + np.where(room[starts] == lengths[order], 0.0, beta[np.minimum(ends, n)]) - beta[starts]) if n else np.empty(0)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(starts, minlength=n))]) if n else np.zeros(1, dtype=np.int64)
-        total = np.concatenate([[0.0], np.cumsum(chance)])
-        mass = total[self.first[1:]] - total[self.first[:-1]]
-        self.logs = np.log(np.maximum(chance / mass[starts], 1e-320)) if n else chance
-        self.cum = starts + np.minimum(1.0, (total[1:] - total[self.first[starts]]) / mass[starts]) if n else chance
+        # sums stay within a state, and chances become whole numbers: what is drawn doesn't depend on what else is in the block
+        share = chance / np.add.reduceat(chance, self.first[:-1])[starts] if n else chance
+        self.logs = np.log(np.maximum(share, 1e-320))
+        rank = np.arange(len(starts)) - self.first[starts]
+        for k in range(1, int(rank.max(initial=0)) + 1):
+            at = np.flatnonzero(rank == k)
+            share[at] += share[at - 1]
+        self.cum = (starts << GRAIN) + np.minimum(np.rint(share * (1 << GRAIN)).astype(np.int64), 1 << GRAIN)
         if n:
-            self.cum[self.first[1:] - 1] = np.arange(1, n + 1)
+            self.cum[self.first[1:] - 1] = np.arange(1, n + 1) << GRAIN
         self.starts, self.ends = starts, ends
 
     def ids(self, arcs: np.ndarray) -> np.ndarray:
@@ -169,7 +175,7 @@ class Table:
             state, stop, place = state[alive], stop[alive], place[alive]
         places, arcs = [], []
         while len(place):
-            arc = np.searchsorted(self.cum, state + rng.random(len(state)), side="right")
+            arc = np.searchsorted(self.cum, (state << GRAIN) + rng.integers(0, 1 << GRAIN, len(state)), side="right")
             arc = np.minimum(np.maximum(arc, self.first[state]), self.first[state + 1] - 1)
             places.append(place)
             arcs.append(arc)

@@ -1,0 +1,375 @@
+"""Each query on small tables with nulls, empty and long texts, ties and clashing columns, against a brute-force version."""
+
+import hashlib
+import math
+import re
+import struct
+import zlib
+from collections import Counter
+
+import duckdb
+import pytest
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from sluice.llm.queries import ORACLE_SQL, QUERIES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def rows(spark, name, folder):
+    return [r.asDict() for r in QUERIES[name](spark, folder).collect()]
+
+
+def same(got, want, columns):
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_empty_tables(spark, empty, name):
+    assert rows(spark, name, empty) == []
+
+
+def test_op1_base(spark, folder, documents):
+    got = rows(spark, "op1_licenses", folder)
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    want = []
+    for d, t in documents:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+        at = [(i, x) for i in range(len(w)) for p, x in phrases.items() if tuple(w[i : i + len(p)]) == p]
+        want.append((d, len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))))
+    same(got, want, ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"])
+    labels = {r["doc_id"]: (r["labels"], r["score"]) for r in got}
+    assert labels[413][0] == "apache,apache-2.0,gpl,gpl-3.0,mit" and labels[414] == ("bsd-3-clause", 1.0) and labels[400] == ("", 0.0)
+    assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) for r in got)
+
+
+def test_op2_round_trip(spark, folder, documents):
+    got = rows(spark, "op2_packing", folder)
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {}
+    for d, t in documents:
+        ids.setdefault(d, []).append(exact.encode(t or "", add_special_tokens=False).ids + [0])
+    pieces = Counter()
+    for d, lists in ids.items():
+        for x in lists:
+            for s in range(0, len(x), 1024):
+                part = x[s : s + 1024]
+                pieces[d, s, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)), len(x)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == pieces
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+
+
+def repeats(documents, n=50):
+    first = {}
+    words = [WORD.findall(t or "") for _, t in documents]
+    for (d, _), w in zip(documents, words, strict=True):
+        for i in range(len(w) - n + 1 if d is not None else 0):
+            k = tuple(w[i : i + n])
+            first[k] = min(first.get(k, d), d)
+    out = []
+    for (d, _), w in zip(documents, words, strict=True):
+        gone = {j for i in range(len(w) - n + 1 if d is not None else 0) if first[tuple(w[i : i + n])] < d for j in range(i, i + n)}
+        out.append((w, gone))
+    return out
+
+
+def test_op4_removal(spark, folder, documents):
+    want = [(d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()) for (d, _), (w, gone) in zip(documents, repeats(documents), strict=True)]
+    assert sum(x[2] for x in want) > 500
+    same(rows(spark, "op4_substrings", folder), want, ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+
+def test_op4_with_hot_minimisers(spark, folder, documents):
+    from sluice.llm import op4_substrings as o
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = o.cut_words(docs, o.repeated_spans(docs, hot=1, bucket_bytes=1 << 12)).collect()
+    want = [(d, len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)) for (d, _), (w, gone) in zip(documents, repeats(documents), strict=True)]
+    same([r.asDict() for r in got], want, ["doc_id", "n_removed", "kept"])
+
+
+def base_counts(t):
+    w = WORD.findall(t)
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines, seen = 0, set()
+    for x in t.split("\n"):
+        if WORD.search(x):
+            lines += x in seen
+            seen.add(x)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), lines, len(covered)
+
+
+def test_op5_base_and_verdicts(spark, folder, documents):
+    got = rows(spark, "op5_quality", folder)
+    want = []
+    for d, t in documents:
+        c = base_counts(t or "")
+        want.append((d, *c, c[0] < 20 or 100 * c[4] > 30 * c[0]))
+    same(got, want, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+    assert not any(r["kept"] and r["base_failed"] for r in got)
+    assert all(r["kept"] == (not r["base_failed"]) for r in got if r["doc_id"] in {i for i in range(30) if i % 4})  # what the sample trusts
+
+
+def test_op5_scores_by_hand(spark, folder, documents):
+    """The same log-likelihood ratios, one n-gram at a time."""
+    import numpy as np
+
+    from sluice.llm import op5_quality as o
+    from sluice.llm.common import Words
+
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    good = {k for k, q in o.sampled_labels(labels).items() if q}
+    assert good >= {1, 2, 3, 9999} and not good & {0, 4, 407}
+
+    def grams(t):
+        w = Words([(t or "").encode()])
+        return o.buckets(w, w.hashes())[0].tolist()
+
+    raw, target = Counter(), Counter()
+    for d, t in documents:
+        raw.update(grams(t))
+        if d in good:
+            target.update(grams(t))
+    n, m, b = sum(raw.values()), sum(target.values()), o.BUCKETS
+    ratio = lambda x: round(o.SCALE * (math.log((target[x] + 0.5) / (m + 0.5 * b)) - math.log((raw[x] + 0.5) / (n + 0.5 * b))))
+    want = {(d, t): sum(map(ratio, grams(t))) / (o.SCALE * (o.PRIOR + len(grams(t)))) for d, t in documents}
+    got = o.judge(docs, o.fit(docs, labels)).select("doc_id", "n_words", "score").collect()
+    by_count = {}
+    for (d, t), s in want.items():
+        by_count.setdefault((d, len(WORD.findall(t or ""))), []).append(s)
+    assert all(any(abs(r.score - s) < 1e-9 for s in by_count[r.doc_id, r.n_words]) for r in got)
+    assert np.isfinite([r.score for r in got]).all()
+
+
+def test_op6_equals_its_sql(spark, folder):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    want = c.sql(ORACLE_SQL["op6_urls"])
+    same(rows(spark, "op6_urls", folder), want.fetchall(), want.columns)
+
+
+def test_op6_exact_beyond_the_size_limit_and_with_a_small_cascade(spark, folder):
+    from sluice.llm import op6_urls as o
+
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    want = sorted(map(str, o.filter_urls(pages).collect()))
+    assert sorted(map(str, o.filter_urls(pages, size_limit=0).collect())) == want
+    assert {r.verdict for r in o.filter_urls(pages, rules=(), blocked=()).collect()} == {"allow"}
+    keys = spark.range(5000).selectExpr("xxhash64(id) AS key", "id % 10 = 0 AS listed")
+    levels = o.cascade(keys)
+    import numpy as np
+
+    found = {r.key: r.listed for r in keys.collect()}
+    got = o.member(levels, np.array(list(found), dtype=np.int64).view(np.uint64))
+    assert got.tolist() == list(found.values()) and len(levels) > 1
+
+
+def test_op7_texts(spark, folder):
+    got = rows(spark, "op7_html", folder)
+    texts = {(r["page_id"], r["url"]): r["text"] for r in got}
+    assert texts[0, "https://a.example.com/en/1"] == "T & t\n\none\n\ntwo x" and texts[1, "https://A.example.com/en/7?x#y"] == "U\n\nthree"
+    assert texts[2, "http://casino-win.example.org/fr/1"] == "a < b < c" and texts[3, "http://www.casino-win.example.org/es/2"] == "" and texts[4, None] == ""
+    assert texts[5, "no scheme"] == "H\n\ntext" and texts[6, "x://"] == "plain" and texts[6, "https://shop.example.net/de/8"] == "a\n\nb\n\nd"
+    assert texts[None, "https://x.com/en/"] == " ".join(["w"] * 5000) and texts[7, "a://b://c/en/"] == "x" and len(got) == 11
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_op8_media(spark, folder, documents):
+    got = rows(spark, "op8_media", folder)
+    want = []
+    for d, t in documents:
+        b = (t or "").encode()
+        p = b + bytes(-len(b) % 64) or bytes(64)
+        m = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(p), b"WAVE", b"fmt ", 16, 1, 1, 8000, 8000, 1, 8, b"data", len(p)) + p
+        want.append((d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()))
+    same(got, want, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
+    features = {}
+    for r in got:
+        assert features.setdefault(r["payload_sha256"], r["feature"]) == r["feature"]
+
+
+def test_op8_store_holds_each_chunk_once(spark, tmp_path, monkeypatch):
+    import random
+
+    from sluice.llm import op8_media as o
+
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdefgh ijk\n") for _ in range(60_000))
+    docs = [(i, f"{rng.random()}" * (i + 1) + shared[i * 10 :]) for i in range(6)] + [(9, shared), (10, shared)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for k, small in enumerate((500_000, -1)):
+        monkeypatch.setattr(o, "SMALL", small)
+        got = o.media(table, str(tmp_path / f"store{k}")).collect()
+        assert {r.doc_id: r.n_bytes for r in got} == {d: len(t) for d, t in docs}
+        held = spark.read.parquet(str(tmp_path / f"store{k}")).selectExpr("explode(own) AS d")
+        assert held.count() == held.distinct().count()
+        stored = spark.read.parquet(str(tmp_path / f"store{k}")).selectExpr("sum(aggregate(data, 0L, (n, x) -> n + length(x))) AS n").first().n
+        assert stored < 0.5 * sum(len(t) for _, t in docs)
+
+
+def jaccard(documents):
+    sets, parent = [], list(range(len(documents)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for _, t in documents:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(documents):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [(d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(documents, sets, strict=True))]
+
+
+@pytest.mark.parametrize("hot", [200, 1])
+def test_op9_components(spark, folder, documents, hot):
+    from sluice.llm.op9_jaccard import jaccard_components
+
+    got = jaccard_components(spark.read.parquet(f"{folder}/documents.parquet"), hot=hot).collect()
+    want = jaccard(documents)
+    assert len({c for _, _, c in want}) < len(documents) - 15
+    same([r.asDict() for r in got], want, ["doc_id", "n_shingles", "component_id"])
+
+
+def test_op9_chains_and_split_blocks(spark, monkeypatch):
+    """A chain whose ends don't link, many variants of one text, and blocks that are compared in parts."""
+    import random
+
+    from sluice.llm import op9_jaccard as o
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(k, " ".join(words[k * 6 : k * 6 + 120])) for k in range(30)]
+    for k in range(60):
+        own = list(words[:100])
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(100)] = f"v{rng.randrange(1000)}"
+        docs.append((1000 + k, " ".join(own)))
+    monkeypatch.setattr(o, "CHUNK", 7)
+    got = o.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    same([r.asDict() for r in got], jaccard(docs), ["doc_id", "n_shingles", "component_id"])
+
+
+def test_signature_trees_lose_no_pair():
+    import numpy as np
+
+    from sluice.llm import op9_jaccard as o
+
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 63, rng.integers(3, 300), dtype=np.uint64)
+        for _ in range(4):
+            keep = base[rng.random(len(base)) > rng.choice([0.0, 0.03, 0.3])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, rng.integers(0, 5), dtype=np.uint64)])))
+    sets = [s for s in sets if len(s)]
+    n = len(sets)
+    got = o.block_pairs(list(range(n)), list(range(n)), [len(s) for s in sets], [o.bitmap(s) for s in sets], [0] * n, 80)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * (x := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - x)}
+    assert want and want <= got and len(got) < n * (n - 1) // 8
+
+
+def test_op10_counts(spark, folder, documents):
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [(d, len((t or "").encode()), n := len(exact.encode(t or "", add_special_tokens=False).ids), n > 512) for d, t in documents]
+    same(rows(spark, "op10_token_counts", folder), want, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+
+def test_op10_cache_encodes_only_misses(spark, tmp_path):
+    from sluice.llm.op10_tokens import count_tokens
+
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    first = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in count_tokens(first, path, cache).collect()) == [1, 2, 2]
+    assert spark.read.parquet(cache).count() == 2
+    second = spark.createDataFrame([(1, "a b"), (4, "d e f")], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in count_tokens(second, path, cache).collect()) == [2, 3]
+    assert spark.read.parquet(cache).count() == 3
+    other = public_tokenizers.path("piece_bpe_32k.model")
+    assert sorted(r.n_tokens for r in count_tokens(second, other, cache).collect())[0] > 0 and spark.read.parquet(cache).count() == 5
+
+
+def test_op3_samples(spark, folder, documents):
+    import sentencepiece
+
+    from sluice.llm import op3_pieces as o
+
+    path = public_tokenizers.path(o.MODEL)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = o.sample(docs, path, with_ids=True).collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = {}
+    for d, t in documents:
+        texts.setdefault(d, set()).add(zlib.crc32((t or "").replace("\u2581", " ").encode()))
+    for r in got:
+        assert r.text_crc32 in texts[r.doc_id] and r.n_pieces == len(r.ids) and 0 <= r.inclusion <= 1
+    by = {}
+    for r in got:
+        by.setdefault((r.doc_id, r.text_crc32, r.sample), set()).add((tuple(r.ids), r.perturbed))
+    assert all(len(x) == 1 for x in by.values())  # equal rows draw the same
+    for (d, t, n), x in by.items():
+        if n == 2:
+            (a, p), (b, q) = next(iter(by[d, t, 1])), next(iter(x))
+            assert a != b and p >= q
+    assert {r.n_pieces for r in got if r.doc_id in (400, 401)} == {0}
+    again = o.sample(docs.repartition(5), path, with_ids=True).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    ids = o.encode(docs, path)
+    plain = {(r.doc_id, tuple(r.ids)) for r in ids.collect()}
+    assert plain == {(d, tuple(model.encode(t or ""))) for d, t in documents}
+    back = {(r.doc_id, r.text) for r in o.decode(ids, path).collect()}
+    assert back == {(d, (t or "").replace("\u2581", " ")) for d, t in documents}
+
+
+def test_op3_distribution():
+    import numpy as np
+
+    from sluice.llm import op3_pieces as o
+
+    lattice = o.load(public_tokenizers.path(o.MODEL))
+    m = lattice.model
+    weight = {m.id_to_piece(i): (i, -math.log(2 - m.get_score(i))) for i in range(m.vocab_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
+
+    def every(word):
+        if not word:
+            return [((), 0.0)]
+        return [((weight[word[:j]][0], *r), weight[word[:j]][1] + x) for j in range(1, len(word) + 1) if word[:j] in weight for r, x in every(word[j:])]
+
+    t = o.Table(lattice, ["ab the"])
+    first, second = (every(u) for u in o.UNITS.findall(m.normalize("ab the")))
+    p = {a + b: math.exp(x + y) for a, x in first for b, y in second}
+    z = sum(p.values())
+    n, seen, weighed = 4000, Counter(), Counter()
+    for s in range(n):
+        found, kappa = o.top_k(t, t.words[0], 3, np.random.Generator(np.random.PCG64(s)))
+        ids = [tuple(t.ids(arcs).tolist()) for arcs, _, _ in found]
+        assert len(set(ids)) == 3 and all(abs(math.exp(x) - p[i] / z) < 1e-9 for i, (_, x, _) in zip(ids, found, strict=True))
+        seen[ids[0]] += 1
+        for i, (_, x, _) in zip(ids, found, strict=True):
+            weighed[i] += 1 / o.inclusion(x, kappa)
+    for i, q in sorted(p.items(), key=lambda x: -x[1])[:2]:
+        assert abs(seen[i] / n - q / z) < 0.03
+    assert abs(sum(weighed[i] / n * p[i] / z for i in p) - 1) < 0.01
+    short = o.Table(lattice, ["a"])
+    found, kappa = o.top_k(short, short.words[0], 50, np.random.Generator(np.random.PCG64(1)))
+    assert len(found) < 50 and kappa == -math.inf and abs(sum(math.exp(x) for _, x, _ in found) - 1) < 1e-9
