@@ -28,9 +28,9 @@ def entities(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from a JSON array or JSON lines."""
-    return with_word_count(spark.read.schema(CHUNK).option("multiLine", True).json(path))
+def chunks(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Chunks from JSON lines, or from files that hold one JSON array each."""
+    return with_word_count(spark.read.schema(CHUNK).option("multiLine", array).json(path))
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
