@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import blocks, keyed_text, shared_path, table
+from .common import blocks, keyed_text, settled, shared_path, table
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 TOKENIZER = "byte_bpe_50k.json"
@@ -52,7 +52,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, key: str
     misses = contents.join(seen, "digest", "left_anti") if seen is not None else contents
     counts = misses.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
     counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    known = _cache(spark, cache_path, version)
+    known = settled(_cache(spark, cache_path, version))  # so that both sides of the join are plain shuffles, which can be split
     return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 

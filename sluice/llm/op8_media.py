@@ -203,7 +203,7 @@ def media(docs: DataFrame, store: str, key: str = "doc_id", text: str = "text")
     """Writes the payloads of docs to the store, and returns what each row's has when read back."""
     write_store(docs, store, key, text)
     rows = with_key(docs, key, text).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "key")
-    return rows.join(read_store(docs.sparkSession, store), "key").drop("key")
+    return rows.join(settled(read_store(docs.sparkSession, store)), "key").drop("key")  # settled: a join of plain shuffles can be split
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
