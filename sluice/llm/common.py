@@ -90,16 +90,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=2)
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, base, dtype=np.uint64)
+@lru_cache(maxsize=4)
+def _powers(base: int, step: int, n: int) -> np.ndarray:
+    """base^0, base^step, base^(2 step), ..: n of them."""
+    out = np.full(n, pow(base, step, 1 << 64), dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    return _powers(base, max(20, int(n).bit_length()))[:n]
+def powers(base: int, at: np.ndarray | int) -> np.ndarray:
+    """base^i modulo 2^64 for each i, or for all below a number; from two short tables."""
+    low = _powers(base, 1, 2048)
+    if isinstance(at, int):
+        return np.multiply.outer(_powers(base, 2048, 1 << max(10, (at >> 11).bit_length()))[: (at >> 11) + 1], low).ravel()[:at]
+    top = int(at.max(initial=0)) >> 11
+    return _powers(base, 2048, 1 << max(10, top.bit_length()))[at >> 11] * low[at & 2047]
 
 
 BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,7 +118,7 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
 
 
 def span_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    return (h[e] - h[s]) * powers(INVERSE, len(h))[s]
+    return (h[e] - h[s]) * powers(INVERSE, s)
 
 
 WHITE = np.zeros(256, dtype=bool)

@@ -15,7 +15,7 @@ too large; a first pass counts strings by minimiser, and the windows of hot ones
 each once a task in its smallest document, so that no bucket gathers them. Hot minimisers are broadcast; there are
 at most HOT_KEYS of them, as HOT grows with the number of strings beyond HOT x HOT_KEYS. The number of buckets grows with
 the input, so one bucket's strings (about BUCKET_BYTES) fit in a worker. Decided stretches are joined to the texts by id and
-a hash of the text.
+a hash of the text; while few documents have any, only their texts move.
 
 Rows with a null id are never removed from and remove nothing; of rows that share an id none counts as smaller, and each
 is judged by its own text. Null and
@@ -34,12 +34,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, input_bytes, keyed_text, mix, prefix_hash, span_hash, table, texts_of
+from .common import Words, blocks, input_bytes, keyed_text, mix, prefix_hash, settled, span_hash, table, texts_of
 
 WINDOW, RUN = 50, 6
 #: Bytes of strings in a bucket, about; text in a task that is searched for equal strings at once.
-BUCKET_BYTES, COMBINE_BYTES = 4 << 20, 8 << 20
+BUCKET_BYTES, COMBINE_BYTES = 4 << 20, 5 << 20
 HOT, HOT_KEYS = 2_000, 1_000_000
+#: Keys of documents with stretches that are broadcast at most (16 bytes each), so that the other texts needn't move.
+FETCH = 2_000_000
 SPANS = "doc_id long, row long, start long, stop long"
 
 
@@ -135,7 +137,7 @@ def joined(stretches: list) -> list:
 def packed(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
     """(id, row, start, windows, string) of each, compressed."""
     head = np.array([(d, row, a, n, len(s)) for d, row, a, n, s in rows], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(rows)).tobytes() + head.tobytes() + b"".join(r[4] for r in rows))
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(rows)).tobytes() + head.tobytes() + b"".join(r[4] for r in rows))
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -271,11 +273,6 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, key: s
     return dealt.mapInArrow(bucketed, SPANS)
 
 
-def merged(spans: DataFrame) -> DataFrame:
-    """doc_id, row, spans: each document's stretches; it has at most as many as words."""
-    return spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
-
-
 def covered(n: int, spans: pa.ListScalar) -> np.ndarray:
     """Which of n words the stretches cover."""
     change = np.zeros(n + 1, dtype=np.int64)
@@ -284,9 +281,20 @@ def covered(n: int, spans: pa.ListScalar) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def beside(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows (with __id and __row) and their stretches as __spans, null where there are none; only texts that have some move."""
+    held = settled(spans.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans")))
+    if held.count() > FETCH:
+        return rows.join(held, ["__id", "__row"], "left")
+    keys = F.broadcast(held.select("__id", "__row"))
+    none = F.lit(None).cast(held.schema["__spans"].dataType).alias("__spans")
+    return rows.join(keys, ["__id", "__row"], "left_semi").join(held, ["__id", "__row"]).unionByName(rows.join(keys, ["__id", "__row"], "left_anti").select("*", none))
+
+
 def cut_words(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of each row."""
-    rows = with_row(docs, key, text).join(merged(spans), ["doc_id", "row"], "left").select("doc_id", "text", "spans")
+    rows = keyed_text(docs, key, text).withColumns({"__id": F.col("doc_id"), "__row": F.xxhash64("text")})
+    rows = beside(rows, spans).select("doc_id", "text", F.col("__spans").alias("spans"))
 
     def task(batches):
         for b in blocks(batches, "text"):
@@ -305,8 +313,7 @@ def cut_words(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str
 
 def remove_repeats(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with all columns; a text that loses words is what is left of them, joined by one space, the others are as they were."""
-    held = spans.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans"))
-    rows = docs.join(held, (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__row")), "left").drop("__id", "__row")
+    rows = beside(docs.withColumns({"__id": F.col(key).cast("long"), "__row": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}), spans).select(*docs.columns, "__spans")
 
     def task(batches):
         for b in blocks(batches, text):

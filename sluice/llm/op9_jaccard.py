@@ -7,7 +7,7 @@ from the start, however many copies there are.
    Here shingles that many documents share come last, then the order is that of the hashes, so common lines and passages
    make no candidates unless nearly the whole set consists of them. Only shared first shingles go on.
 2. A first round compares each set with the smallest and the largest set of each of its blocks (the sets that share a
-   first shingle). Verified links join most groups of near copies.
+   first shingle), by sizes and bitmaps and then whole. Verified links join most groups of near copies.
 3. Only blocks that still hold several components go on, those with one smallest set together. Their sets are the leaves of a signature tree: nodes hold the
    OR of their sets' bitmaps and the range of their sizes. A dual traversal drops a pair of nodes whose sizes can't link
    or whose common bits bound the overlap below what a link needs; for two sets the bound is the size of one less the
@@ -314,14 +314,34 @@ def verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int,
     return two.mapInArrow(task, "a long, b long")
 
 
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps don't exclude; few bytes of each set travel for that."""
+    side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "bitmap")))
+    rows = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b")).filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+
+    def task(batches):
+        for batch in batches:
+            keep = []
+            for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bitmap_a", "bitmap_b")), strict=True):
+                x, y = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+                while len(x) != len(y):
+                    x, y = (halved(z[None, :])[0] if len(z) > min(len(x), len(y)) else z for z in (x, y))
+                overlap = min(n - int(popcount(x & ~y)), m - int(popcount(y & ~x)))
+                keep.append((100 + percent) * overlap >= percent * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(task, "a long, b long")
+
+
 def tree_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs in different components that the signature trees of their blocks leave; each once."""
     named = nodes.join(comps, "node", "left").select("d1", "node", F.coalesce("component", "node").alias("component"))
     inside = entries.join(named, "d1")
     ends = inside.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("leader")).filter("low < high")
+    ends = settled(ends.select("token", "leader"))
     # shingles of one passage have one leader, its smallest set, so a set travels once for them all
-    rows = settled(inside.join(ends.select("token", "leader"), "token").select("leader", "node", "component").distinct())
-    split = rows.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
+    rows = settled(inside.join(ends, "token").select("leader", "node", "component").distinct())
+    split = settled(rows.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks")))
     rows = rows.join(split, "leader").join(nodes.select("node", "n", "bitmap"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     rows = rows.select("leader", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "component", "n", "bitmap")
@@ -367,17 +387,18 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     common = np.sort(np.array([r["d1"] for r in many.select("d1").collect()], dtype=np.int64).view(np.uint64))
     entries = settled(first_shingles(rows, shingle, percent, common))
 
-    ends = entries.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low < high")
+    # aggregates are settled before they are joined: a join of plain shuffles can be split where a key is hot
+    ends = settled(entries.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low < high"))
     starred = entries.join(ends, "token").select("d1", F.explode(F.array("low", "high")).alias("other")).filter("d1 <> other")
     starred = starred.select(F.least("d1", "other").alias("x"), F.greatest("d1", "other").alias("y")).distinct()
     name = lambda x, y: nodes.select(F.col("d1").alias(x), F.col("node").alias(y))
     pairs = starred.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b")
-    links = settled(verified(rows, pairs, nodes, shingle, percent))
+    links = settled(verified(rows, likely(pairs, nodes, percent), nodes, shingle, percent))
 
     more = verified(rows, tree_pairs(entries, nodes, components(links), percent), nodes, shingle, percent)
     whole = nodes.select("d1", "d2", "node", "least").join(components(links.unionByName(more)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = whole.join(ids, "component").select("d1", "d2", "component_id")
+    found = settled(whole.join(ids, "component").select("d1", "d2", "component_id"))
     out = sets.join(found, ["d1", "d2"], "left")
     return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
