@@ -176,7 +176,8 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     lacking = kept.filter("missing > 0")
     wanted = lacking.select("key", F.explode(F.array_except(F.array_distinct("digests"), "own")).alias("digest"))
     held = kept.select(F.explode(F.arrays_zip("own", "data")).alias("chunk")).select(F.col("chunk.own").alias("digest"), F.col("chunk.data").alias("data"))
-    needed = held.join(wanted.select("digest").distinct(), "digest").dropDuplicates(["digest"])
+    needs = settled(wanted.select("digest").distinct())
+    needed = held.join(F.broadcast(needs) if needs.count() <= SMALL else needs, "digest").dropDuplicates(["digest"])
     fetched = wanted.join(needed, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "data")).alias("more"))
     whole = kept.filter("missing = 0").withColumn("more", F.lit(None).cast("array<struct<digest:binary,data:binary>>"))
     full = whole.unionByName(lacking.join(fetched, "key")).select("key", "n", "digests", "own", "data", "more")
