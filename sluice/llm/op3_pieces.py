@@ -38,6 +38,8 @@ MODEL = "piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 1.0, 20240229
 #: Bits of a chance.
 GRAIN = 40
+#: Bytes of text whose units are laid out together: the more, the more units are the same.
+LAID_OUT = 2 << 20
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, text_crc32 long"
@@ -65,18 +67,21 @@ class Lattice:
             self.bytes_of[i] = m.id_to_piece(i).replace(SPACE, " ").encode()
         for b, i in self.byte.items():
             self.bytes_of[i] = bytes([b])
-        by: dict[int, list[int]] = {}
+        by: dict[int, dict[str, int]] = {}  # by length: beginnings of pieces, and the piece's id, or -1
         for i in plain:
-            by.setdefault(len(m.id_to_piece(i)), []).append(i)
+            piece = m.id_to_piece(i)
+            for n in range(1, len(piece)):
+                by.setdefault(n, {}).setdefault(piece[:n], -1)
+            by.setdefault(len(piece), {})[piece] = i
         self.longest = max(by, default=1)
         self.pieces = {}  # by length: sorted hashes, ids, weights
-        for n, ids in by.items():
-            h = np.zeros(len(ids), dtype=np.uint64)
-            points = code_points("".join(m.id_to_piece(i) for i in ids)).reshape(len(ids), n)
+        for n, own in by.items():
+            h = np.zeros(len(own), dtype=np.uint64)
+            points = code_points("".join(own)).reshape(len(own), n)
             for j in range(n):
                 h = mix(h + points[:, j])
             order = np.argsort(h)
-            self.pieces[n] = h[order], np.array(ids)[order], np.array([weight[i] for i in ids])[order]
+            self.pieces[n] = h[order], np.array(list(own.values()))[order], np.array([weight.get(i, 0.0) for i in own.values()])[order]
 
     def bytes_ids(self, point: int) -> list[int]:
         """The ids of a character that is no piece."""
@@ -109,26 +114,32 @@ class Table:
         h, at = np.zeros(n, dtype=np.uint64), np.arange(n)
         single = np.zeros(n, dtype=bool)
         for k in range(1, lattice.longest + 1):
-            at = at[room[at] >= k]
-            h[at] = mix(h[at] + self.points[at + k - 1])
-            if k in lattice.pieces:
-                hashes, ids, weight = lattice.pieces[k]
-                place = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-                hit = hashes[place] == h[at]
-                if k == 1:
-                    single[at[hit]] = True
-                starts.append(at[hit])
-                lengths.append(np.full(int(hit.sum()), k))
-                pieces.append(ids[place[hit]])
-                weights.append(weight[place[hit]])
+            long = room[at] >= k
+            at, h = at[long], h[long]
+            h = mix(h + self.points[at + k - 1])
+            hashes, ids, weight = lattice.pieces[k]
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            begun = hashes[place] == h  # what no piece begins with can't grow into one
+            at, h, place = at[begun], h[begun], place[begun]
+            whole = ids[place] >= 0
+            if k == 1:
+                single[at[whole]] = True
+            starts.append(at[whole])
+            lengths.append(np.full(int(whole.sum()), k))
+            pieces.append(ids[place[whole]])
+            weights.append(weight[place[whole]])
         odd = np.flatnonzero(~single)
         width = 1 + (self.points[odd] > 0x7F).astype(np.int64) + (self.points[odd] > 0x7FF) + (self.points[odd] > 0xFFFF)
         of_byte = np.array([lattice.byte.get(x, lattice.unknown) for x in range(128)])
         lone = np.where(width == 1, of_byte[np.minimum(self.points[odd], 127).astype(np.int64)], -1 if lattice.byte else lattice.unknown)
+        # longer pieces first, as they are likelier: a walk then looks at few arcs of a state
+        starts, lengths, pieces, weights = (x[::-1] for x in (starts, lengths, pieces, weights))
         starts, lengths = np.concatenate([*starts, odd]).astype(np.int64), np.concatenate([*lengths, np.ones(len(odd))]).astype(np.int64)
         pieces, weights = np.concatenate([*pieces, lone]).astype(np.int64), np.concatenate([*weights, lattice.byte_weight * width])
         beta = np.zeros(n + 1)  # log mass from a state to the end of its unit; ends stay 0 as each start is read from inside
-        order = np.lexsort((lengths, starts, room[starts])) if n else np.empty(0, np.int64)
+        order = np.argsort(starts, kind="stable")
+        starts, lengths, pieces, weights = starts[order], lengths[order], pieces[order], weights[order]
+        order = np.argsort(room[starts].astype(np.uint16) if n and room.max() < 1 << 16 else room[starts], kind="stable") if n else np.empty(0, np.int64)
         ends = starts + lengths
         depth = room[starts[order]]
         cuts = np.searchsorted(depth, np.arange(1, (int(depth[-1]) if n else 0) + 2))
@@ -142,9 +153,8 @@ class Table:
             top = np.maximum.reduceat(value, head)
             spread = np.repeat(top, np.diff(np.concatenate([head, [len(s)]])))
             beta[s[head]] = top + np.log(np.add.reduceat(np.exp(value - spread), head))
-        order = np.lexsort((lengths, starts))
-        starts, ends, self.piece = starts[order], ends[order], pieces[order]
-        chance = np.exp(weights[order] + np.where(room[starts] == lengths[order], 0.0, beta[np.minimum(ends, n)]) - beta[starts]) if n else np.empty(0)
+        self.piece = pieces
+        chance = np.exp(weights + np.where(room[starts] == lengths, 0.0, beta[np.minimum(ends, n)]) - beta[starts]) if n else np.empty(0)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(starts, minlength=n))]) if n else np.zeros(1, dtype=np.int64)
         # sums stay within a state, and chances become whole numbers: what is drawn doesn't depend on what else is in the block
         share = chance / np.add.reduceat(chance, self.first[:-1])[starts] if n else chance
@@ -175,8 +185,12 @@ class Table:
             state, stop, place = state[alive], stop[alive], place[alive]
         places, arcs = [], []
         while len(place):
-            arc = np.searchsorted(self.cum, (state << GRAIN) + rng.integers(0, 1 << GRAIN, len(state)), side="right")
-            arc = np.minimum(np.maximum(arc, self.first[state]), self.first[state + 1] - 1)
+            key = (state << GRAIN) + rng.integers(0, 1 << GRAIN, len(state))
+            arc = self.first[state]
+            beyond = np.flatnonzero(self.cum[arc] <= key)
+            while len(beyond):
+                arc[beyond] += 1
+                beyond = beyond[self.cum[arc[beyond]] <= key[beyond]]
             places.append(place)
             arcs.append(arc)
             state = self.ends[arc]
@@ -258,7 +272,7 @@ def sample(docs: DataFrame, model_path: str, k: int = SAMPLES, alpha: float = AL
 
     def task(batches):
         lattice = load(model_path, alpha)
-        for b in blocks(batches, "text"):
+        for b in blocks(batches, "text", LAID_OUT):
             texts = b.column("text").to_pylist()
             t, rows = Table(lattice, texts), []
             for doc, content, words in zip(b.column("doc_id").to_pylist(), texts, t.words, strict=True):
