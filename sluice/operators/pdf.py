@@ -14,12 +14,16 @@ TEXT_WORDS = 50
 
 def table_to_markdown(rows: Column) -> Column:
     """Cells without line breaks and with escaped bars; rows padded to the longest; the first is the header."""
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731 lambdas of rows would evaluate x for each row
     cells = F.transform(rows, lambda r: F.transform(r, lambda c: F.replace(collapse(F.coalesce(c, F.lit(""))), F.lit("|"), F.lit("\\|"))))
-    width = F.array_max(F.transform(cells, F.size))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    made = F.transform(cells, line)
-    return F.when(F.coalesce(F.size(rows), F.lit(0)) < 1, F.lit("")).otherwise(F.array_join(F.concat(F.slice(made, 1, 1), F.array(rule), F.slice(made, 2, F.greatest(F.size(made), F.lit(1)))), "\n"))
+
+    def lines(cells: Column, width: Column) -> Column:
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+        return once(F.transform(cells, line), lambda made: F.array_join(F.concat(F.slice(made, 1, 1), F.array(rule), F.slice(made, 2, F.greatest(F.size(made), F.lit(1)))), "\n"))
+
+    made = once(cells, lambda c: once(F.array_max(F.transform(c, F.size)), lambda width: lines(c, width)))
+    return F.when(F.coalesce(F.size(rows), F.lit(0)) < 1, F.lit("")).otherwise(made)
 
 
 def pages_words(pages: Column) -> Column:

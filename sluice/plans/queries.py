@@ -506,6 +506,15 @@ def table_to_markdown(spark, sf_dir):
     return _tables(spark, sf_dir).select("doc_id", pdf.table_to_markdown(F.col("rows")).alias("markdown"))
 
 
+@query()
+def table_to_markdown_words(spark, sf_dir):
+    """As table_to_markdown, with every word of a line as a cell; without SQL, tests have a brute-force version."""
+    d = I.table(spark, sf_dir, "documents")
+    rows = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.words)
+    header = F.array(F.array(F.lit(" a  b "), F.lit(None).cast("string")))
+    return d.select("doc_id", pdf.table_to_markdown(F.concat(header, rows)).alias("markdown"))
+
+
 def _pages(text):
     """A page for every two lines of a text."""
     l = F.split(text, "\n")  # noqa: E741
