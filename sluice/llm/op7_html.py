@@ -19,6 +19,7 @@ own. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pyarrow as pa
@@ -29,10 +30,14 @@ from .common import blocks, settled, table
 from .html_tokens import BLOCK, MARKS, VOID, Regions, Tag, tokens
 from .op6_urls import split_url
 
-SAMPLE, MAX_BYTES, MAX_ELEMENTS = 8, 32 << 20, 400
+SAMPLE, MAX_BYTES = 8, 32 << 20
 SHARE = 0.9
 MAIN = ("article", "main")
 CONTENT = frozenset("article content entry main post story".split())
+#: Texts up to this length stand in a wrapper as they are, longer ones by their beginning and a hash of the whole.
+LITERAL = 80
+#: Bits of the table of an alignment; beyond it the longer side is halved first.
+TABLE_BITS = 1 << 28
 
 # An element of a wrapper: ["tag", signature], ["close", name], ["text", literal, length], ["slot", "", length],
 # ["rep", [elements]], ["opt", [elements]]; lengths are characters of text that may be content.
@@ -46,7 +51,10 @@ def stream(page: str) -> list:
         if isinstance(t, str):
             if words := t.split():
                 literal = " ".join(words)
-                out.append(["text", literal[:80], 0 if skipped.depth else len(literal)])
+                size = 0 if skipped.depth else len(literal)
+                if len(literal) > LITERAL:
+                    literal = f"{literal[:LITERAL]} {hashlib.blake2b(literal.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+                out.append(["text", literal, size])
             continue
         if skipped.depth:
             if skipped.see(t):
@@ -104,15 +112,69 @@ def fold(elements: list, longest: int = 12) -> list:
     return elements
 
 
+def grown(a: list, b: list) -> list[int]:
+    """Bits after each element of b: bit i is 0 where a[: i + 1] has a longer common subsequence with b so far than a[:i]."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    out = [full]
+    for y in b:
+        now = out[-1]
+        if both := now & places.get(y, 0):
+            now = (now + both | now - both) & full
+        out.append(now)
+    return out
+
+
+def matches(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, the earliest of a first; whole, whatever the lengths."""
+    out: list[tuple[int, int]] = []
+    at = 0
+    while at < min(len(a), len(b)) and a[at] == b[at]:
+        out.append((at, at))
+        at += 1
+    x, y = a[at:], b[at:]
+    n, m = len(x), len(y)
+    if n * m > TABLE_BITS and m > 1:
+        half = m // 2
+        head, tail = [0], [0]
+        for sums, bits in ((head, _last(x, y[:half])), (tail, _last(x[::-1], y[half:][::-1]))):
+            for c in bits:
+                sums.append(sums[-1] + (c == "0"))
+        cut = max(range(n + 1), key=lambda k: (head[k] + tail[n - k], -k))
+        out += [(at + i, at + j) for i, j in matches(x[:cut], y[:half])]
+        return out + [(at + cut + i, at + half + j) for i, j in matches(x[cut:], y[half:])]
+    rows = grown(x[::-1], y[::-1])
+    i, j = n, m  # elements left
+    while i and j:
+        if x[n - i] == y[m - j]:
+            out.append((at + n - i, at + m - j))
+            i, j = i - 1, j - 1
+        elif rows[j] >> i - 1 & 1:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def _last(a: list, b: list) -> str:
+    """The last of grown(a, b) as digits, the first bit first."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = now = (1 << len(a)) - 1
+    for y in b:
+        if both := now & places.get(y, 0):
+            now = (now + both | now - both) & full
+    return f"{now:0{len(a)}b}"[::-1] if a else ""
+
+
 def align(wrapper: list, page: list) -> list:
     """The wrapper that fits both."""
     n, m = len(wrapper), len(page)
-    a, b = [core(e) for e in wrapper], [core(e) for e in page]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    same = iter(matches([core(e) for e in wrapper], [core(e) for e in page]))
+    p, q = next(same, (n, m))
     out: list = []
     i = j = 0
 
@@ -120,7 +182,7 @@ def align(wrapper: list, page: list) -> list:
         out.append(e if e[0] == "opt" else ["opt", [e]])
 
     while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
+        if (i, j) == (p, q):
             x, y = wrapper[i], page[j]
             if shape(x) == shape(y):
                 out.append(merge(x, y))
@@ -137,7 +199,8 @@ def align(wrapper: list, page: list) -> list:
                 made = ["rep", group] if "rep" in kinds else ["opt", group]
                 out.append(["opt", [made]] if kinds == {"rep", "opt"} else made)
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
+            p, q = next(same, (n, m))
+        elif i < p:
             optional(wrapper[i])
             i += 1
         else:
@@ -147,10 +210,10 @@ def align(wrapper: list, page: list) -> list:
 
 
 def infer(streams: list[list]) -> list:
-    """The wrapper of some pages' streams; beyond MAX_ELEMENTS a stream's tail is left out of the inference."""
+    """The wrapper of some pages' whole streams."""
     wrapper: list = []
     for k, s in enumerate(streams):
-        wrapper = s[:MAX_ELEMENTS] if not k else fold(align(wrapper, s[:MAX_ELEMENTS]))
+        wrapper = s if not k else fold(align(wrapper, s))
     return wrapper
 
 
