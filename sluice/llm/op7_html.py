@@ -1,17 +1,21 @@
 """HTML extraction by wrappers: for each host a union-free regular expression, inferred by aligning its pages' token streams.
 
-Inference. Of each host, SAMPLE pages are used at most, those with the smallest hashes. A page becomes a stream of tags
-and texts; adjacent repetitions of one group of tags are folded into a repeated group. The wrapper starts as the first
-stream; each further one is aligned with it (longest common subsequence of its elements): texts that differ become text
-slots, groups that one side lacks become optional, groups that repeat in either become repeated. The regular expression
-has no unions. Slots carry how much text they held, outside parts that are never content (see html_tokens).
-
-Extraction. The main region of a host is the innermost element of its wrapper that holds nearly all text of slots. A
-page's main text is that of its first element with the region's signature; a page without one, or a host without a wrapper,
-uses its article or main element, else the whole page. Parts that are never content are left out everywhere.
-
-Wrappers are broadcast while their size stays below MAX_BYTES, and joined to the pages by host beyond it; the join's hot
-hosts are split by adaptive execution. A host's sample is chosen by a windowed limit, which drops rows before the shuffle.
+Inference. Every page becomes a stream of tags and texts; adjacent repetitions of one group of tags are folded into a
+repeated group. Pages of a host whose streams have one shape are a template: tasks merge their own pages of a template, then
+one row a task and template moves. A host's templates are aligned in a tree of partial merges, FAN at a time (longest common
+subsequence of their elements): texts that differ become text slots, groups that one side lacks become optional, groups that
+repeat in either become repeated. The regular expression has no unions. Slots carry how much text they held, outside parts
+that are never content (see html_tokens), each page's lengths as shares of its text, so a long page counts like a short one.
+
+Extraction. Each template is aligned with its host's wrapper, which tells its slots from its fixed texts. Its main region is
+the innermost element that holds nearly all text of its slots; the host's is that of most pages, and holds for templates that
+have none of their own but have at least half of their slots' text in it, or have no slots. A page's main text is that of its
+first element with its region's signature; a page without one uses its article or main element, else the whole page. Parts
+that are never content are left out everywhere.
+
+Hosts' regions, and those of templates that differ, are broadcast while their size stays below MAX_BYTES each, and joined to
+the pages beyond it; the joins' hot hosts are split by adaptive execution. Only pages of hosts with differing templates have
+their shape taken again for the join.
 
 Null and empty pages have an empty text; a null URL belongs to the empty host; rows with equal or null ids stay rows of their
 own. An empty table gives no rows.
@@ -23,28 +27,32 @@ import hashlib
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, settled, table
 from .html_tokens import BLOCK, MARKS, VOID, Regions, Tag, tokens
 from .op6_urls import split_url
 
-SAMPLE, MAX_BYTES = 8, 32 << 20
+MAX_BYTES = 32 << 20
 SHARE = 0.9
+#: Streams of a host that one step of the tree merges, and elements that a task holds before it hands its templates on.
+FAN, HELD = 16, 500_000
 MAIN = ("article", "main")
 CONTENT = frozenset("article content entry main post story".split())
 #: Texts up to this length stand in a wrapper as they are, longer ones by their beginning and a hash of the whole.
 LITERAL = 80
 #: Bits of the table of an alignment; beyond it the longer side is halved first.
 TABLE_BITS = 1 << 28
+#: The length of all text of a page, of which each text has its share.
+WHOLE = 1_000_000
 
 # An element of a wrapper: ["tag", signature], ["close", name], ["text", literal, length], ["slot", "", length],
 # ["rep", [elements]], ["opt", [elements]]; lengths are characters of text that may be content.
 
 
 def stream(page: str) -> list:
-    """The page's elements, folded; texts in parts that are never content have length 0."""
+    """The page's elements, folded, with lengths in parts of WHOLE; texts in parts that are never content have length 0."""
     out: list = []
     skipped = Regions()
     for t in tokens(page):
@@ -63,6 +71,10 @@ def stream(page: str) -> list:
             skipped.open(t)
         if t.name in BLOCK or t.name in ("a", "span"):
             out.append(["close", t.name] if t.closing else ["tag", t.signature])
+    total = sum(e[2] for e in out if e[0] == "text")
+    for e in out:
+        if e[0] == "text":
+            e[2] = e[2] * WHOLE // total if total else 0
     return fold(out)
 
 
@@ -228,38 +240,55 @@ def expression(wrapper: list) -> str:
     return " ".join(out)
 
 
-def main_region(wrapper: list) -> str:
-    """The signature of the innermost element that holds SHARE of the text that slots hold; empty if none does."""
-    flat: list = []
-    once: list[bool] = []  # whether an element isn't in a repeated group, which can't be the region
-
-    def walk(elements: list, single: bool) -> None:
-        for e in elements:
-            if e[0] in ("rep", "opt"):
-                walk(e[1], single and e[0] == "opt")
-            else:
-                flat.append(e)
-                once.append(single)
-
-    walk(wrapper, True)
-    total = sum(e[2] for e in flat if e[0] == "slot")
-    held: dict[str, int] = {}
-    order: list[str] = []
-    stack: list[tuple[str, int]] = []
-    for e, single in zip(flat, once, strict=True):
+def leaves(elements: list, single: bool = True):
+    """The elements within groups, and whether each isn't in a repeated one, which can't be the region."""
+    for e in elements:
+        if e[0] in ("rep", "opt"):
+            yield from leaves(e[1], single and e[0] == "opt")
+        else:
+            yield e, single
+
+
+def main_region(wrapper: list) -> tuple[str, list[str] | None]:
+    """The signature of the innermost element that holds SHARE of the text that slots hold, empty if none does; and those of
+    all that hold half of it, None without slots. Only the first element of a signature counts, as only that is extracted."""
+    flat = list(leaves(wrapper))
+    total = sum(e[2] for e, _ in flat if e[0] == "slot")
+    if not total:
+        return "", None
+    held: dict[str, int] = {}  # of first elements, in their order
+    single: dict[str, bool] = {}
+    stack: list[tuple[str, bool]] = []  # signature, whether it is the first of it
+    for e, once in flat:
         if e[0] == "slot":
-            for s in {s for s, _ in stack}:
-                held[s] = held.get(s, 0) + e[2]
+            for signature, first in stack:
+                if first:
+                    held[signature] += e[2]
         elif e[0] == "tag" and e[1].split(".")[0] in ("article", "main", "section", "div", "td", "body"):
-            stack.append((e[1], len(stack)))
-            if single:
-                order.append(e[1])
-        elif e[0] == "close" and any(s.split(".")[0] == e[1] for s, _ in stack):
+            stack.append((e[1], e[1] not in held))
+            if e[1] not in held:
+                held[e[1]], single[e[1]] = 0, once
+        elif e[0] == "close" and any(x.split(".")[0] == e[1] for x, _ in stack):
             while stack and stack.pop()[0].split(".")[0] != e[1]:
                 pass
-    good = [s for s in order if total and held.get(s, 0) >= SHARE * total and not MARKS & set(s.split(".")[1:])]
-    named = [s for s in good if s.split(".")[0] in MAIN]
-    return (named or good or [""])[-1]
+    fit = [x for x in held if not MARKS & set(x.split(".")[1:])]
+    good = [x for x in fit if single[x] and held[x] >= SHARE * total]
+    named = [x for x in good if x.split(".")[0] in MAIN]
+    return (named or good or [""])[-1], [x for x in fit if 2 * held[x] >= total]
+
+
+def template_region(wrapper: list, template: list) -> tuple[str, list[str] | None]:
+    """main_region of a template, its slots being also the texts that are slots of its host's wrapper."""
+    for i, j in matches([core(e) for e in wrapper], [core(e) for e in template]):
+        for (x, _), (y, _) in zip(leaves([wrapper[i]]), leaves([template[j]]), strict=True):
+            if y[0] == "text" and x[0] == "slot":
+                y[0] = "slot"
+    return main_region(template)
+
+
+def name_of(elements: list) -> str:
+    """The shape of a whole stream, as a hash."""
+    return hashlib.blake2b(" ".join(map(shape, elements)).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def blocks_of(page: str, region: str) -> list[str]:
@@ -311,43 +340,125 @@ def main_text(page: str, region: str) -> str:
     return "\n\n".join(blocks_of(page, tags[0].signature if tags else None))
 
 
-def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """host, region, wrapper (its regular expression) and pages (how many it was inferred from) of each host."""
-    mark = F.xxhash64(F.col(key).cast("string"), url)
-    named = pages.select(split_url(F.col(url))[0].alias("host"), mark.alias("mark"))
-    first = Window.partitionBy("host").orderBy("mark")
-    chosen = settled(named.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("host", "mark").distinct())
-    rows = pages.select(split_url(F.col(url))[0].alias("host"), mark.alias("mark"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.join(F.broadcast(chosen) if chosen.count() <= 500_000 else chosen, ["host", "mark"], "left_semi")
+def rows_of(rows: list[tuple], *kinds) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+
+STREAM = (("host", pa.string()), ("name", pa.string()), ("pages", pa.int64()), ("stream", pa.string()))
+STREAMS = "host string, name string, pages long, stream string"
+
 
-    def streams(batches):
+def merged(rows: DataFrame, by: str, same: bool) -> DataFrame:
+    """One stream for all rows of a host and by: of one shape, or aligned in the order of their names."""
+
+    def task(batches):
+        now, held, pages = None, [], 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("mark"), pa.array([json.dumps(stream(x)) for x in b.column("html").to_pylist()], pa.string())], names=["host", "mark", "stream"])
+            for host, name, n, text, group in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                own = json.loads(text)
+                if (host, group) == now:
+                    held, pages = ([merge(x, y) for x, y in zip(held, own, strict=True)] if same else fold(align(held, own))), pages + n
+                    continue
+                if now:
+                    yield rows_of([(*now, pages, json.dumps(held))], *STREAM)
+                now, held, pages = (host, group), own, n
+        if now:
+            yield rows_of([(*now, pages, json.dumps(held))], *STREAM)
+
+    dealt = rows.select("host", "name", "pages", "stream", F.col(by).cast("string").alias("by")).repartition("host", "by")
+    return settled(dealt.sortWithinPartitions("host", "by", "name").mapInArrow(task, STREAMS))
+
 
-    held = rows.mapInArrow(streams, "host string, mark long, stream string")
-    held = held.groupBy("host", "mark").agg(F.min("stream").alias("stream")).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("mark", "stream"))).alias("streams"))
+def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """host, name (of a shape), pages and stream of each template."""
 
-    def inferred(batches):
+    def task(batches):
+        made: dict = {}
+        size = 0
         for b in batches:
-            made = [infer([json.loads(x["stream"]) for x in s]) for s in b.column("streams").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([main_region(w) for w in made], pa.string()), pa.array([expression(w) for w in made], pa.string()), pa.array([len(s) for s in b.column("streams").to_pylist()], pa.int64())], names=["host", "region", "wrapper", "pages"])
+            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                own = stream(page)
+                key = host, name_of(own)
+                if key in made:
+                    n, held = made[key]
+                    made[key] = n + 1, [merge(x, y) for x, y in zip(held, own, strict=True)]
+                    continue
+                made[key], size = (1, own), size + len(own)
+                if size >= HELD:
+                    yield rows_of([(*k, n, json.dumps(x)) for k, (n, x) in made.items()], *STREAM)
+                    made, size = {}, 0
+        if made:
+            yield rows_of([(*k, n, json.dumps(x)) for k, (n, x) in made.items()], *STREAM)
+
+    rows = pages.select(split_url(F.col(url))[0].alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    return merged(rows.mapInArrow(task, STREAMS), "name", True)
+
+
+def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """host, name, region, wrapper (its regular expression) and pages: of each host, with a null name, and of each template
+    whose region isn't its host's, with a null wrapper."""
+    found = templates(pages, url, html)
+    now = found
+    while True:
+        count = now.groupBy("host").agg(F.count("*").alias("n"))
+        if (count.agg(F.max("n")).first()[0] or 0) <= 1:
+            break
+        dealt = now.join(settled(count), "host").withColumn("bucket", F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / FAN)))
+        now = merged(dealt, "bucket", False)
 
-    return held.mapInArrow(inferred, "host string, region string, wrapper string, pages long")
+    def regions(batches):
+        host, wrapper = None, []
+        for b in batches:
+            out = []
+            for h, name, n, text, of_host in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if h != host:
+                    host, wrapper = h, json.loads(of_host)
+                out.append((h, name, n, *template_region(wrapper, json.loads(text))))
+            yield rows_of(out, *STREAM[:3], ("region", pa.string()), ("halves", pa.list_(pa.string())))
+
+    own = found.join(now.select("host", F.col("stream").alias("of_host")), "host").select("host", "name", "pages", "stream", "of_host")
+    own = settled(own.mapInArrow(regions, "host string, name string, pages long, region string, halves array<string>"))
+    votes = own.filter("region <> ''").groupBy("host", "region").agg(F.sum("pages").alias("n"))
+    most = votes.groupBy("host").agg(F.max_by("region", F.struct("n", "region")).alias("most"))
+
+    def written(batches):
+        for b in batches:
+            yield rows_of([(h, expression(json.loads(x)), n) for h, x, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)], ("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64()))
+
+    hosts = now.select("host", "stream", "pages").mapInArrow(written, "host string, wrapper string, pages long").join(most, "host", "left")
+    hosts = hosts.select("host", F.lit(None).cast("string").alias("name"), F.coalesce("most", F.lit("")).alias("region"), "wrapper", "pages")
+    follows = (F.col("region") == "") & (F.col("halves").isNull() | F.array_contains("halves", F.col("most")))
+    others = own.join(most, "host").filter(~follows & (F.col("region") != F.col("most")))
+    return hosts.unionByName(others.select("host", "name", "region", F.lit(None).cast("string").alias("wrapper"), "pages"))
 
 
 def extract(pages: DataFrame, found: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of each row; found: hosts and their regions."""
-    regions = settled(found.filter("region <> ''").select("host", "region"))
-    size = regions.agg(F.sum(F.octet_length("host") + F.octet_length("region") + 100)).first()[0] or 0
+    """page_id, url, text and n_chars of each row; found: hosts and templates, and their regions."""
+    found = settled(found.select("host", "name", "region"))
+    regions = found.filter("name is null and region <> ''").select("host", "region")
+    others = found.filter("name is not null").select("host", "name", F.col("region").alias("own"))
+    small = lambda x: F.broadcast(x) if (x.agg(F.sum(sum(F.octet_length(c) for c in x.columns) + 100)).first()[0] or 0) <= MAX_BYTES else x
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("host", split_url(F.col("url"))[0])
-    rows = rows.join(F.broadcast(regions) if size <= MAX_BYTES else regions, "host", "left").select("page_id", "url", "html", "region")
+    kind = dict(pages.dtypes)[key]
+    rows = rows.join(small(regions), "host", "left")
+    if not others.isEmpty():
+
+        def named(batches):
+            for b in batches:
+                names = [name_of(stream(x)) if v else None for x, v in zip(b.column("html").to_pylist(), b.column("varied").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(names, pa.string())], names=["page_id", "url", "html", "host", "region", "name"])
+
+        varied = others.select("host").distinct().withColumn("varied", F.lit(True))
+        rows = rows.join(small(varied), "host", "left").select("page_id", "url", "html", "host", "region", "varied")
+        rows = rows.mapInArrow(named, f"page_id {kind}, url string, html string, host string, region string, name string")
+        rows = rows.join(small(others), ["host", "name"], "left").withColumn("region", F.coalesce("own", "region"))
+    rows = rows.select("page_id", "url", "html", "region")
 
     def task(batches):
         for b in blocks(batches, "html"):
             texts = [main_text(x, r or "") for x, r in zip(b.column("html").to_pylist(), b.column("region").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    kind = dict(pages.dtypes)[key]
     return rows.mapInArrow(task, f"page_id {kind}, url string, text string, n_chars long")
 
 

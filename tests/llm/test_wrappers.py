@@ -44,3 +44,29 @@ def test_article_after_long_menu(spark):
 def test_long_texts_differ_after_their_beginning():
     a, b = (o.stream(f"<div>{'the same beginning ' * 10}{x}</div>") for x in "ab")
     assert o.infer([a, b])[1][0] == "slot" and o.infer([a, a])[1][0] == "text"
+
+
+def test_every_template_has_its_region(spark):
+    """Of 60 pages three are of a second template, which uses the first one's region for something short."""
+    pages = [(i, "https://two.example.com/x", f"<body><div class=top>same</div><div class=text><p>{'words of it ' * 20}{i}</p></div></body>") for i in range(57)]
+    pages += [(i, "https://two.example.com/y", f"<body><div class=text>label</div><div class=body><h2>t{i}</h2><p>{'other words ' * 20}{i}</p></div></body>") for i in range(57, 60)]
+    made = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    found = o.wrappers(made).collect()
+    assert sorted((r.region, r.pages) for r in found) == [("div.body", 3), ("div.text", 60)]
+    got = texts(spark, pages)
+    assert all(got[i] == f"{'words of it ' * 20}{i}" for i in range(57)) and all(got[i] == f"t{i}\n\n{'other words ' * 20}{i}" for i in range(57, 60))
+
+
+def test_one_long_page_does_not_decide(spark):
+    page = lambda i, side: f"<body><div class=own><p>{'words of it ' * 20}{i}</p></div><div class=extra>{side}</div></body>"
+    got = texts(spark, [(i, "https://odd.example.com/x", page(i, "x" * 50_000 if i == 3 else f"by {i}")) for i in range(40)])
+    assert all(got[i] == f"{'words of it ' * 20}{i}" for i in range(40))
+
+
+def test_merges_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(o, "FAN", 2)
+    rng = random.Random(6)
+    pages = [(i, "https://many.example.com/x", "<body>" + "".join(f"<div class={rng.choice('abcde')}>{rng.choice(['fixed', str(i)])}</div>" for _ in range(rng.randint(1, 12))) + f"<article><p>text {i}</p></article></body>") for i in range(80)]
+    made = spark.createDataFrame(pages, "page_id long, url string, html string")
+    first, second = (sorted(map(str, o.wrappers(made.repartition(n)).collect())) for n in (1, 7))
+    assert first == second
