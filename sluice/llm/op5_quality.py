@@ -3,8 +3,8 @@
 Word unigrams and bigrams fall into a fixed number of buckets. The raw-corpus multinomial counts all documents; the
 trusted one counts the documents that a bounded, documented sample of labelled rows trusts. A document's score is the sum
 over its n-grams of log p_trusted(bucket) - log p_raw(bucket), divided by their number and PRIOR more (so a few rare words
-of a short text don't decide). The threshold comes from the
-same labelled sample (see ``fit``) and is then applied to every document alike. Bucket counts are summed in whole
+of a short text don't decide). The threshold comes from all
+trusted labelled documents (see ``threshold``) and is then applied to every document alike. Bucket counts are summed in whole
 numbers and the log ratios are rounded to whole millionths, so scores don't depend on how rows are dealt.
 
 Tasks add up buckets of their own rows first, so the shuffle holds at most BUCKETS rows a task, and the driver gets
@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, keyed_text, mix, table, texts_of
+from .common import Words, blocks, keyed_text, mix, settled, table, texts_of
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 16
 #: Labelled rows that are used at most, those with the smallest hashes of their ids.
 SAMPLE = 20_000
-#: The share of the trusted sample that the threshold may reject, and how far below that score it lies, per n-gram.
+#: The share of the trusted documents that the threshold may reject, and how far below that score it lies, per n-gram.
 REJECTED_SHARE, MARGIN = 0.002, 0.06
 #: N-grams of ratio 0 that every text counts besides its own.
 PRIOR = 64
@@ -69,10 +69,15 @@ def base_counts(texts: list[bytes], words: Words, hashes: np.ndarray) -> list[np
     return [words.counts(), add(words.solid & ((words.raw & 0xC0) != 0x80)), add(SYMBOLS[words.raw]), lines, np.diff(covered[words.first])]
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, quality: the least one given, once an id."""
+    return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
 def sampled_labels(labels: DataFrame, sample: int = SAMPLE) -> dict[int, bool]:
     """doc_id -> trusted, of at most sample rows."""
-    rows = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return {r["doc_id"]: r["quality"] == 1 for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
+    rows = known_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return {r["doc_id"]: r["quality"] == 1 for r in rows.collect()}
 
 
 def counted(rows: DataFrame, trusted: set[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,15 +134,16 @@ def scored(rows: DataFrame, ratios: np.ndarray) -> DataFrame:
     return rows.mapInArrow(task, COUNTS + ", score double")
 
 
-def threshold(rows: DataFrame, labelled: dict[int, bool], ratios: np.ndarray) -> float:
-    """Below it a document is rejected: a margin under nearly all scores of the trusted sample.
+def threshold(rows: DataFrame, labels: DataFrame, ratios: np.ndarray) -> float:
+    """Below it a document is rejected: a margin under nearly all scores of the trusted documents, labelled in all.
 
-    Only the sampled documents with words enough to pass the base rules count; without any, nothing is rejected.
+    Only those with words enough to pass the base rules count; without any, nothing is rejected.
     """
-    trusted = rows.sparkSession.createDataFrame([(k,) for k, good in labelled.items() if good], "doc_id long")
-    own = scored(rows.join(F.broadcast(trusted), "doc_id", "left_semi"), ratios).filter(F.col("n_words") >= MIN_WORDS)
-    found = sorted(r["score"] for r in own.groupBy("doc_id").agg(F.min("score").alias("score")).collect())
-    return round(found[int(REJECTED_SHARE * len(found))] - MARGIN, 6) if found else float("-inf")
+    trusted = known_labels(labels).filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    own = scored(rows, ratios).filter(F.col("n_words") >= MIN_WORDS).select("doc_id", "score").join(trusted, "doc_id", "left_semi")
+    own = settled(own.groupBy("doc_id").agg(F.min("score").alias("score")))
+    n = own.count()
+    return round(own.select("score").orderBy("score").offset(int(REJECTED_SHARE * n)).limit(1).first()[0] - MARGIN, 6) if n else float("-inf")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
@@ -145,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = keyed_text(docs, key, text)
     labelled = sampled_labels(labels)
     ratios = log_ratios(*counted(rows, {k for k, good in labelled.items() if good}))
-    return ratios, threshold(rows, labelled, ratios)
+    return ratios, threshold(rows, labels, ratios)
 
 
 def judge(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text") -> DataFrame:
