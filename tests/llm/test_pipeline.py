@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pytest
-from test_queries import WORD, base_counts, jaccard, repeats
+from test_operators import WORD, base_counts, jaccard, repeats
 
 
 @pytest.fixture(scope="module")
