@@ -30,11 +30,13 @@ def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it names none, a temporary one in local mode
+    and one below the warehouse, which is shared, elsewhere."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        local = sc.master.startswith("local[") or sc.master == "local"
+        sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"))
     return named or str(sc._jsc.sc().getCheckpointDir().get())
 
 
@@ -49,9 +51,96 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """What the optimizer knows of the size of df; from file sizes, so it needs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+class Shelf:
+    """Tables that an operator writes to the shared folder on its way and removes when it has used them."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.path, self.n = spark, shared_path(spark, what), 0
+        self.held: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows, read back."""
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if id(t) in self.held:
+                remove(self.spark, self.held.pop(id(t))[1])
+
+    def close(self) -> None:
+        self.held.clear()
+        remove(self.spark, self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Bits of one block of a bit table, and how many tasks make the blocks.
+BLOCK_BITS, BLOCK_TASKS = 1 << 20, 64
+
+
+def bit_table(positions: DataFrame, column: str, n_bits: int) -> np.ndarray:
+    """n_bits bits as bytes, those at the column's values set. Blocks of bytes are made by tasks, so the driver gets n_bits / 8 bytes."""
+
+    def task(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = np.unique(b.column(0).to_numpy(zero_copy_only=False))
+            cut = np.flatnonzero(np.diff(at // BLOCK_BITS, prepend=-1))
+            for part in np.split(at, cut[1:]) if len(at) else ():
+                block = held.setdefault(int(part[0]) // BLOCK_BITS, np.zeros(BLOCK_BITS // 8, dtype=np.uint8))
+                inside = part % BLOCK_BITS
+                np.bitwise_or.at(block, inside >> 3, np.uint8(1) << (inside & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
+
+    out = np.zeros(-(-n_bits // BLOCK_BITS) * (BLOCK_BITS // 8), dtype=np.uint8)
+    dealt = positions.select(F.col(column).alias("at")).distinct().repartition(BLOCK_TASKS, F.expr(f"at div {BLOCK_BITS}"))
+    for r in dealt.mapInArrow(task, "block long, bits binary").toLocalIterator():
+        out[r["block"] * (BLOCK_BITS // 8) : (r["block"] + 1) * (BLOCK_BITS // 8)] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out[: (n_bits + 7) // 8]
+
+
+class KeySet:
+    """64-bit keys for workers: sorted while they are at most ``most``, else the bits of their residues.
+
+    The bits also take in some other keys; whoever asks must be right in that case too.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, most: int, n_bits: int = 1 << 28):
+        found = keys.select(F.col(column).alias("key"))
+        self.sorted, self.bits, self.n_bits = np.empty(0, dtype=np.uint64), None, n_bits
+        if (n := found.count()) > most:
+            self.bits = bit_table(found.select(F.pmod("key", F.lit(n_bits)).alias("at")), "at", n_bits)
+        elif n:
+            self.sorted = np.sort(np.array([r["key"] for r in found.collect()], dtype=np.int64).view(np.uint64))
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            at = keys & np.uint64(self.n_bits - 1)
+            return ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        if not len(self.sorted):
+            return np.zeros(len(keys), dtype=bool)
+        return self.sorted[np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)] == keys
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def lower_ascii(c: Column) -> Column:

@@ -11,11 +11,12 @@ where a comparison fails is done again with whole strings as keys.
 Scale. A task drops strings that it has met in a document with a smaller id, as their windows are decided there and
 then (decisions travel separately, dealt by document), so thousands of copies of a document send each string once a
 task. A minimiser that still has more than HOT strings (a passage in many different surroundings) would make one bucket
-too large; a first pass counts strings by minimiser, and the windows of hot ones travel one by one as 128-bit digests,
-each once a task in its smallest document, so that no bucket gathers them. Hot minimisers are broadcast; there are
-at most HOT_KEYS of them, as HOT grows with the number of strings beyond HOT x HOT_KEYS. The number of buckets grows with
-the input, so one bucket's strings (about BUCKET_BYTES) fit in a worker. Decided stretches are joined to the texts by id and
-a hash of the text; while few documents have any, only their texts move.
+too large; a first pass counts strings and their bytes by minimiser, and the windows of hot ones travel one by one as
+128-bit digests, each once a task in its smallest document, so that no bucket gathers them. Up to HOT_KEYS hot minimisers are
+broadcast as they are, more as bits of their residues, where some others count as hot too, which costs but changes nothing.
+The number of buckets is the counted bytes over BUCKET_BYTES. A bucket's strings carry one of SUBS numbers of their minimisers,
+and a worker sorts those of a few numbers at a time, up to PIECE_BYTES, so its memory doesn't depend on how even buckets are.
+Decided stretches are joined to the texts by id and a hash of the text; while few documents have any, only their texts move.
 
 Rows with a null id are never removed from and remove nothing; of rows that share an id none counts as smaller, and each
 is judged by its own text. Null and
@@ -34,11 +35,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, input_bytes, keyed_text, mix, prefix_hash, settled, span_hash, table, texts_of
+from .common import KeySet, Shelf, Words, blocks, fresh, keyed_text, mix, prefix_hash, settled, span_hash, table, texts_of
 
 WINDOW, RUN = 50, 6
-#: Bytes of strings in a bucket, about; text in a task that is searched for equal strings at once.
-BUCKET_BYTES, COMBINE_BYTES = 4 << 20, 5 << 20
+#: Bytes of strings in a bucket, about; those that a worker sorts at once; text in a task that is searched for equal strings at once.
+BUCKET_BYTES, PIECE_BYTES, COMBINE_BYTES = 8 << 20, 1 << 20, 5 << 20
+#: Parts of a bucket, by minimiser.
+SUBS = 256
 HOT, HOT_KEYS = 2_000, 1_000_000
 #: Keys of documents with stretches that are broadcast at most (16 bytes each), so that the other texts needn't move.
 FETCH = 2_000_000
@@ -134,18 +137,39 @@ def joined(stretches: list) -> list:
     return out
 
 
-def packed(rows: list[tuple[int, int, int, int, bytes]]) -> bytes:
-    """(id, row, start, windows, string) of each, compressed."""
-    head = np.array([(d, row, a, n, len(s)) for d, row, a, n, s in rows], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(rows)).tobytes() + head.tobytes() + b"".join(r[4] for r in rows))
+def packed(rows: list[tuple[int, int, int, int, int, bytes]]) -> bytes:
+    """(id, row, start, windows, part, string) of each, compressed."""
+    head = np.array([(d, row, a, n, len(s), sub) for d, row, a, n, sub, s in rows], dtype=np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(rows)).tobytes() + head.T.tobytes() + b"".join(r[5] for r in rows))
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The numbers, a row for each string, and the strings' bytes."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
-    head = np.frombuffer(raw, dtype=np.int64, count=5 * n, offset=8).reshape(n, 5)
-    return head, np.frombuffer(raw, dtype=np.uint8, offset=8 + 40 * n)
+    head = np.frombuffer(raw, dtype=np.int64, count=6 * n, offset=8).reshape(6, n).T
+    return head, np.frombuffer(raw, dtype=np.uint8, offset=8 + 48 * n)
+
+
+def pieces(blobs: list[bytes], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The strings of a bucket in pieces of at most limit bytes, or one part's; a part is never cut."""
+    parts = [unpacked(x) for x in blobs]
+    head, buf = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
+    if len(buf) <= limit:
+        yield head, buf
+        return
+    ends = np.cumsum(head[:, 4])
+    order = np.argsort(head[:, 5], kind="stable")
+    sub, done = head[order, 5], np.concatenate([[0], np.cumsum(head[order, 4])])
+    last = np.concatenate([np.flatnonzero(sub[1:] != sub[:-1]) + 1, [len(sub)]])  # where each part ends
+    at = 0
+    while at < len(sub):
+        k = int(np.searchsorted(done[last], done[at] + limit, side="right")) - 1
+        to = int(last[k]) if k >= 0 and last[k] > at else int(last[np.searchsorted(last, at, side="right")])
+        own = order[at:to]
+        yield head[own], np.concatenate([buf[p:q] for p, q in zip((ends[own] - head[own, 4]).tolist(), ends[own].tolist(), strict=True)])
+        at = to
 
 
 def _windows_of(head: np.ndarray, buf: np.ndarray, window: int):
@@ -200,48 +224,58 @@ def with_row(docs: DataFrame, key: str, text: str) -> DataFrame:
     return keyed_text(docs, key, text).withColumn("row", F.xxhash64("text"))
 
 
-def hot_minimisers(rows: DataFrame, window: int, run: int, hot: int) -> set[int]:
-    """Minimisers with more than hot different strings by task, at most HOT_KEYS."""
+def measured(rows: DataFrame, window: int, run: int, hot: int, shelf: Shelf) -> tuple[KeySet, int]:
+    """Minimisers with more than hot different strings by task, and the bytes of all strings."""
 
     def task(batches):
         for kept, _ in combined(batches, window, run):
             values, counts = np.unique(np.fromiter((m for m, _ in kept), dtype=np.uint64, count=len(kept)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["minimiser", "n"])
+            size = sum(len(s) * len(places) for (_, s), places in kept.items())
+            yield pa.RecordBatch.from_arrays([pa.array([None, *values.view(np.int64).tolist()], pa.int64()), pa.array([size, *counts.tolist()], pa.int64())], names=["minimiser", "n"])
 
     counts = rows.mapInArrow(task, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    many = counts.filter(F.col("n") > hot).orderBy(F.desc("n"), "minimiser").limit(HOT_KEYS)
-    return {r["minimiser"] & 0xFFFFFFFFFFFFFFFF for r in many.select("minimiser").collect()}
+    counts = shelf.keep(counts.filter((F.col("n") > hot) | F.col("minimiser").isNull()))
+    size = counts.filter("minimiser is null").agg(F.sum("n").alias("n")).first()["n"] or 0
+    return KeySet(counts.filter("minimiser is not null"), "minimiser", HOT_KEYS), size
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, key: str = "doc_id", text: str = "text", hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, row (a hash of the text), start, stop (in words): stretches whose windows also start in a document with a smaller id; they may overlap."""
     spark = docs.sparkSession
     rows = with_row(docs, key, text)
-    hot_keys = spark.sparkContext.broadcast(hot_minimisers(rows, window, run, hot))
+    shelf = Shelf(spark, "minimisers")
+    hot_keys, size = measured(rows, window, run, hot, shelf)
+    shelf.close()
+    hot_keys = spark.sparkContext.broadcast(hot_keys)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # strings hold about three times the words, and files about half the bytes
-    buckets = max(parts, input_bytes(docs.select(text)) * 6 // bucket_bytes)
+    buckets = max(parts, size // bucket_bytes)
+    piece = min(PIECE_BYTES, bucket_bytes)
 
     def strings(batches):
         """kind 0: strings of a bucket; 1: decided stretches, by document; 2: a hot window's digest and place."""
         for kept, decided in combined(batches, window, run):
             mine: dict[int, list] = {}
             alone: dict[bytes, list] = {}
-            for (m, s), places in kept.items():
-                if m not in hot_keys.value:
-                    mine.setdefault(m % buckets, []).extend((*place, s) for place in places)
+            is_hot = hot_keys.value.holds(np.fromiter((m for m, _ in kept), dtype=np.uint64, count=len(kept))).tolist()
+            for ((m, s), places), one_by_one in zip(kept.items(), is_hot, strict=True):
+                if not one_by_one:
+                    mine.setdefault(m % buckets, []).extend((*place, m // buckets % SUBS, s) for place in places)
                     continue
                 words = s.split()
                 for i in range(places[0][3]):
                     digest = hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest()
                     for doc, row, start, _ in places:
                         keep_least(alone, digest, (doc, row, start + i, 1), decided, window)
-            out = [(0, bucket, None, None, None, None, packed(x)) for bucket, x in mine.items()]
-            out += [(1, doc, doc, row, a, b, None) for doc, row, a, b in joined(decided)]
-            out += [(2, int.from_bytes(d[:8], "little", signed=True), *stretch(place, window), d) for d, places in alone.items() for place in places]
-            kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
-            for i in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 4096], strict=True), kinds, strict=True)], names=["kind", "bucket", "doc_id", "row", "start", "stop", "data"])
+            kept.clear()
+            yield from sent_rows([(0, bucket, None, None, None, None, packed(x)) for bucket, x in mine.items()])
+            mine.clear()
+            yield from sent_rows([(1, doc, doc, row, a, b, None) for doc, row, a, b in joined(decided)])
+            yield from sent_rows([(2, int.from_bytes(d[:8], "little", signed=True), *stretch(place, window), d) for d, places in alone.items() for place in places])
+
+    def sent_rows(out):
+        kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
+        for i in range(0, len(out), 512):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 512], strict=True), kinds, strict=True)], names=["kind", "bucket", "doc_id", "row", "start", "stop", "data"])
 
     def bucketed(batches):
         """Rows come sorted by kind and bucket."""
@@ -249,8 +283,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, key: s
 
         def close():
             if held and now[0] == 0:
-                parts = [unpacked(x[-1]) for x in held]
-                yield _span_batch(repeats(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), window))
+                for head, buf in pieces([x[-1] for x in held], piece):
+                    yield _span_batch(repeats(head, buf, window))
             elif held:
                 least: dict[bytes, int] = {}
                 for doc, *_, digest in held:
@@ -281,20 +315,20 @@ def covered(n: int, spans: pa.ListScalar) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def beside(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """rows (with __id and __row) and their stretches as __spans, null where there are none; only texts that have some move."""
-    held = settled(spans.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans")))
+def beside(rows: DataFrame, spans: DataFrame, doc: str, row: str, found: str) -> DataFrame:
+    """rows (whose columns doc and row are id and text hash) and their stretches as a column, null where there are none; only texts that have some move."""
+    held = settled(spans.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(found)))
     if held.count() > FETCH:
-        return rows.join(held, ["__id", "__row"], "left")
-    keys = F.broadcast(held.select("__id", "__row"))
-    none = F.lit(None).cast(held.schema["__spans"].dataType).alias("__spans")
-    return rows.join(keys, ["__id", "__row"], "left_semi").join(held, ["__id", "__row"]).unionByName(rows.join(keys, ["__id", "__row"], "left_anti").select("*", none))
+        return rows.join(held, [doc, row], "left").select(*rows.columns, found)
+    keys = F.broadcast(held.select(doc, row))
+    none = F.lit(None).cast(held.schema[found].dataType).alias(found)
+    some = rows.join(keys, [doc, row], "left_semi").join(held, [doc, row]).select(*rows.columns, found)
+    return some.unionByName(rows.join(keys, [doc, row], "left_anti").select(*rows.columns, none))
 
 
 def cut_words(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of each row."""
-    rows = keyed_text(docs, key, text).withColumns({"__id": F.col("doc_id"), "__row": F.xxhash64("text")})
-    rows = beside(rows, spans).select("doc_id", "text", F.col("__spans").alias("spans"))
+    rows = beside(with_row(docs, key, text), spans, "doc_id", "row", "spans")
 
     def task(batches):
         for b in blocks(batches, "text"):
@@ -313,18 +347,20 @@ def cut_words(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str
 
 def remove_repeats(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with all columns; a text that loses words is what is left of them, joined by one space, the others are as they were."""
-    rows = beside(docs.withColumns({"__id": F.col(key).cast("long"), "__row": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}), spans).select(*docs.columns, "__spans")
+    doc, row, found_in = fresh(docs, "doc", "row", "spans")
+    keyed = docs.withColumns({doc: F.col(key).cast("long"), row: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    rows = beside(keyed, spans, doc, row, found_in).select(*docs.columns, found_in)
 
     def task(batches):
         for b in blocks(batches, text):
             texts = b.column(text).to_pylist()
-            for i, found in enumerate(b.column("__spans")):
+            for i, found in enumerate(b.column(found_in)):
                 if found.is_valid:
                     words = texts[i].encode().split()
                     gone = covered(len(words), found)
                     texts[i] = b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x).decode()
             at = b.schema.get_field_index(text)
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).drop_columns(["__spans"])
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).drop_columns([found_in])
 
     return rows.mapInArrow(task, docs.schema)
 

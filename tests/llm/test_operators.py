@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sluice.llm.queries import ORACLE_SQL, QUERIES
@@ -99,6 +100,35 @@ def test_op4_with_hot_minimisers(spark, folder, documents):
     same([r.asDict() for r in got], want, ["doc_id", "n_removed", "kept"])
 
 
+def test_op4_with_few_large_buckets_and_residue_bits(spark, folder, documents, monkeypatch):
+    """A bucket is sorted in pieces, hot minimisers beyond HOT_KEYS are bits of residues, and columns may clash."""
+    from sluice.llm import op4_substrings as o
+
+    monkeypatch.setattr(o, "PIECE_BYTES", 3000)
+    monkeypatch.setattr(o, "HOT_KEYS", 1)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"doc": F.lit(1), "Spans": F.lit(2), "__id": F.lit(3)})
+    want = [(d, len(gone), " ".join(x for i, x in enumerate(w) if i not in gone) if gone else t) for (d, t), (w, gone) in zip(documents, repeats(documents), strict=True)]
+    for hot in (2000, 3):
+        spans = o.repeated_spans(docs, hot=hot, bucket_bytes=1 << 30)
+        out = o.remove_repeats(docs, spans)
+        assert out.columns == docs.columns
+        same([r.asDict() for r in out.collect()], [(d, t) for d, _, t in want], ["doc_id", "text"])
+
+
+def test_op4_pieces_hold_each_string_once():
+    import numpy as np
+
+    from sluice.llm import op4_substrings as o
+
+    rows = [(i, 0, 0, 1, i * 7 % 5, b"w%d " % i * (i % 3 + 1)) for i in range(100)]
+    got = []
+    for head, buf in o.pieces([o.packed(rows[:40]), o.packed(rows[40:])], 120):
+        ends = np.cumsum(head[:, 4])
+        assert len(buf) == ends[-1] and (len(buf) <= 120 or len(set(head[:, 5].tolist())) == 1)
+        got += [(int(h[0]), buf[e - h[4] : e].tobytes()) for h, e in zip(head, ends, strict=True)]
+    assert sorted(got) == [(r[0], r[5]) for r in rows]
+
+
 def base_counts(t):
     w = WORD.findall(t)
     windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
@@ -251,7 +281,18 @@ def test_op9_components(spark, folder, documents, hot):
     same([r.asDict() for r in got], want, ["doc_id", "n_shingles", "component_id"])
 
 
-def test_op9_chains_and_split_blocks(spark, monkeypatch):
+def variants(rng, words, n, most):
+    out = []
+    for _ in range(n):
+        own = list(words)
+        for _ in range(rng.randint(0, most)):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(100_000)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("chunk", "rounds"), [(7, 3), (7, 1), (7, 0), (1000, 3)])
+def test_op9_chains_and_split_blocks(spark, monkeypatch, chunk, rounds):
     """A chain whose ends don't link, many variants of one text, and blocks that are compared in parts."""
     import random
 
@@ -260,17 +301,37 @@ def test_op9_chains_and_split_blocks(spark, monkeypatch):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]
     docs = [(k, " ".join(words[k * 6 : k * 6 + 120])) for k in range(30)]
-    for k in range(60):
-        own = list(words[:100])
-        for _ in range(rng.randint(0, 6)):
-            own[rng.randrange(100)] = f"v{rng.randrange(1000)}"
-        docs.append((1000 + k, " ".join(own)))
-    monkeypatch.setattr(o, "CHUNK", 7)
+    docs += list(enumerate(variants(rng, words[:100], 60, 6), 1000))
+    monkeypatch.setattr(o, "CHUNK", chunk)
+    monkeypatch.setattr(o, "ROUNDS", rounds)
     got = o.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     same([r.asDict() for r in got], jaccard(docs), ["doc_id", "n_shingles", "component_id"])
 
 
-def test_signature_trees_lose_no_pair():
+def test_op9_large_group(spark):
+    """2000 near copies, of which some link with few others or none."""
+    import random
+
+    from sluice.llm import op9_jaccard as o
+
+    rng = random.Random(3)
+    docs = list(enumerate(variants(rng, [f"w{i}" for i in range(90)], 2000, 7)))
+    got = o.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    hashes = [o.shingle_sets([t.encode()], 5)[0] for _, t in docs]
+    classes = o.Classes(range(len(docs)))
+    for i, a in enumerate(hashes):
+        both = o.np.array([o.np.count_nonzero(o.np.isin(b, a, assume_unique=True)) if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) else 0 for b in hashes[:i]])
+        for j in o.np.flatnonzero(100 * both >= 80 * (len(a) + o.np.array([len(b) for b in hashes[:i]]) - both)) if i else ():
+            if classes.label[i] != classes.label[j]:
+                classes.join(i, j)
+    least = {}
+    for i, c in enumerate(classes.label):
+        least.setdefault(c, i)
+    assert 1 < len(least) < 2000
+    same([r.asDict() for r in got], [(i, least[c]) for i, c in enumerate(classes.label)], ["doc_id", "component_id"])
+
+
+def test_signature_trees_lose_no_link():
     import numpy as np
 
     from sluice.llm import op9_jaccard as o
@@ -284,9 +345,20 @@ def test_signature_trees_lose_no_pair():
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, rng.integers(0, 5), dtype=np.uint64)])))
     sets = [s for s in sets if len(s)]
     n = len(sets)
-    got = o.block_pairs(list(range(n)), list(range(n)), [len(s) for s in sets], [o.bitmap(s) for s in sets], [0] * n, 80)
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * (x := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - x)}
-    assert want and want <= got and len(got) < n * (n - 1) // 8
+    true = o.Classes(range(n))
+    for i, j in want:
+        if true.label[i] != true.label[j]:
+            true.join(i, j)
+    for times, verify, sides in ((2, None, None), (8, lambda i, j: o.linked(sets[i], sets[j], 80), None), (8, None, [1 + i % 2 for i in range(n)])):
+        classes, tried = o.Classes(range(n)), []
+        check = lambda i, j: tried.append((i, j)) or verify is None or verify(i, j)  # noqa: B023, E731
+        got = o.block_links([len(s) for s in sets], [o.bitmap(s, times) for s in sets], sides or [0] * n, classes, np.arange(n), 80, check)
+        assert want and len(got) < n and len(tried) < n * (n - 1) // 8
+        assert all(classes.label[i] == classes.label[j] for i, j in want if not sides or sides[i] != sides[j])
+        if verify:
+            assert {tuple(sorted(np.flatnonzero(classes.label == c))) for c in set(classes.label)} == {tuple(sorted(np.flatnonzero(true.label == c))) for c in set(true.label)}
+            assert all((min(p), max(p)) in want for p in got)
 
 
 def test_op10_counts(spark, folder, documents):
