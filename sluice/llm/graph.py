@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import Shelf
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     """node, component (its smallest node) of each node of the edges (a, b), by alternating large and small stars.
 
     Each node keeps one edge a neighbour, minima are partial aggregates, and each round is written to the shared folder, so
-    a star with very many leaves is a skewed join at most, which adaptive execution splits.
+    a star with very many leaves is a skewed join at most, which adaptive execution splits. A round's table goes when the next one is there.
     """
-    now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    now = shelf.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     mark = _mark(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, now = now, shelf.keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        shelf.drop(last)
         was, mark = mark, _mark(now)
         if mark == was:
             break

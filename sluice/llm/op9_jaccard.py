@@ -11,16 +11,24 @@ from the start, however many copies there are.
 3. Only blocks that still hold several components go on, those with one smallest set together. Their sets are the leaves of a signature tree: nodes hold the
    OR of their sets' bitmaps and the range of their sizes. A dual traversal drops a pair of nodes whose sizes can't link
    or whose common bits bound the overlap below what a link needs; for two sets the bound is the size of one less the
-   bits that the other lacks. Pairs of sets that remain, in different components, are verified on the whole sets.
-   A block of more than CHUNK sets is split, and pairs of its parts are tasks of their own.
+   bits that the other lacks. Pairs of sets that remain, in different components, put sets into groups: a row a set, not a pair.
+4. The texts of these groups' sets meet in one task a group. There trees with finer bitmaps are traversed again, each pair
+   that remains is verified on the whole sets, and sets that are joined already are not compared. So a block gives at most
+   one link less than it has sets, however many of its pairs are alike.
+5. A block of more than CHUNK sets or WEIGHT shingles is dealt out at random, each part compared as above, ROUNDS times with
+   other parts. What is then outside the block's largest component is compared with all sets of the block, part by part.
 
 Every link lies within a block, so no link between different sets is lost but those whose ends are joined already;
-components are exact (up to collisions of 64-bit hashes within two sets).
+components are exact (up to collisions of 64-bit hashes within two sets). What a block costs grows with its sets, but for
+step 5, where it grows with its sets times those that nothing joins to its largest component.
 
-Texts are fetched for candidates only; hot shingles (at most HOT_KEYS, the most common first) and, while they are at most
-FETCH, the wanted texts' keys are broadcast. Rows with equal or null ids are documents of their own; a component's id is
+Texts are fetched for candidates only; hot shingles are broadcast (at most HOT_KEYS as they are, more as bits of their
+residues, where some others come last too, in all sets alike) and, while they are at most
+FETCH, the wanted texts' keys and the split blocks' names. Tables on the way are removed when they have been used.
+Rows with equal or null ids are documents of their own; a component's id is
 the smallest id in it, null if it has none. Null and empty texts have no shingles, link with nothing and keep their own id.
-An empty table gives no rows.
+Only id and text are read, so other columns can't clash. A very long text is a block of its own in a worker, which holds
+some 30 bytes a byte of it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import INVERSE, Words, blocks, keyed_text, mix, settled, table, texts_of
+from .common import INVERSE, KeySet, Shelf, Words, blocks, keyed_text, mix, settled, table, texts_of
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
-#: Documents of a shingle that comes last, and how many such shingles there are at most.
+#: Documents of a shingle that comes last, and how many such shingles are broadcast as they are.
 HOT, HOT_KEYS = 200, 1_000_000
-#: Sets of one block that a task compares with one another; wanted texts whose keys are broadcast.
-CHUNK, FETCH = 2_000, 2_000_000
+#: Sets of one block that a task compares with one another, and their shingles; rounds over larger blocks; wanted texts whose keys are broadcast.
+CHUNK, WEIGHT, ROUNDS, FETCH = 1_000, 3_000_000, 3, 2_000_000
 LEAF = 16
 COMBINE_BYTES = 16 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -70,9 +78,9 @@ def sums(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return total(mix(values)).view(np.int64), total(mix(values ^ np.uint64(INVERSE))).view(np.int64)
 
 
-def bitmap(values: np.ndarray) -> bytes:
-    """A bit for each shingle, in two to four times as many bits."""
-    bits = max(64, 1 << int(2 * len(values) - 1).bit_length())
+def bitmap(values: np.ndarray, times: int = 2) -> bytes:
+    """A bit for each shingle, in ``times`` to twice ``times`` as many bits."""
+    bits = max(64, 1 << int(times * len(values) - 1).bit_length())
     out = np.zeros(bits, dtype=np.uint8)
     out[(values & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -104,13 +112,36 @@ class Node:
 class Tree:
     """A signature tree over sets that were ordered by size and then by the first bits that they have."""
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray, keys: np.ndarray, comps: np.ndarray):
-        self.maps, self.sizes, self.keys, self.comps = maps, sizes, keys, comps
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, keys: np.ndarray):
+        self.maps, self.sizes, self.keys = maps, sizes, keys
         self.spare = sizes - popcount(maps)
         order = np.lexsort((np.argmax(maps != 0, axis=1), maps[:, 0], np.log(sizes) // np.log(1.12)))
         self.root = Node(maps, sizes, self.spare, order) if len(order) else None
 
 
+class Classes:
+    """Classes of the numbers 0, 1, ..: label has that of each; joining two renames the smaller one."""
+
+    def __init__(self, labels):
+        _, self.label = np.unique(np.asarray(labels), return_inverse=True)
+        order = np.argsort(self.label, kind="stable")
+        self.members = [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(self.label[order])) + 1)] if len(order) else []
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.label[i], self.label[j]
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.label[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+
+
+def alike(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether all of both have one label."""
+    first = label[a[0]]
+    return first == label[b[0]] and bool((label[a] == first).all()) and bool((label[b] == first).all())
+
+
 def may_link(a: Node, b: Node, percent: int) -> bool:
     if 100 * a.high < percent * b.low or 100 * b.high < percent * a.low:
         return False
@@ -118,32 +149,36 @@ def may_link(a: Node, b: Node, percent: int) -> bool:
     return (100 + percent) * overlap >= percent * (a.low + b.low)
 
 
-def traverse(x: Tree, y: Tree, percent: int) -> list[tuple[int, int]]:
-    """Pairs of keys, one of each tree (or two of one), in different components, that the bounds don't exclude."""
+def traverse(x: Tree, y: Tree, percent: int, classes: Classes, apart: np.ndarray, verify) -> list[tuple[int, int]]:
+    """Pairs of keys, one of each tree (or two of one), that the bounds don't exclude and verify takes, each joining two classes; pairs alike in apart are left out."""
     out: list[tuple[int, int]] = []
     stack = [(x.root, y.root)] if x.root and y.root else []
     while stack:
         a, b = stack.pop()
-        if not may_link(a, b, percent):
+        p, q = x.keys[a.places], y.keys[b.places]
+        if alike(classes.label, p, q) or alike(apart, p, q) or not may_link(a, b, percent):
             continue
         if a.children and (a is b or len(a.places) >= len(b.places) or not b.children):
             if a is b:
-                p, q = a.children
-                stack += [(p, p), (p, q), (q, q)]
+                left, right = a.children
+                stack += [(left, right), (left, left), (right, right)]
             else:
                 stack += [(c, b) for c in a.children]
         elif b.children:
             stack += [(a, c) for c in b.children]
         else:
             i, j = (g.ravel() for g in np.meshgrid(a.places, b.places, indexing="ij"))
-            keep = x.comps[i] != y.comps[j]
+            keep = (classes.label[x.keys[i]] != classes.label[y.keys[j]]) & (apart[x.keys[i]] != apart[y.keys[j]])
             if a is b:
                 keep &= i < j
             i, j = i[keep], j[keep]
             n, m = x.sizes[i], y.sizes[j]
             overlap = np.minimum(n - popcount(x.maps[i] & ~y.maps[j]), m - popcount(y.maps[j] & ~x.maps[i]))
             good = (100 + percent) * overlap >= percent * (n + m)
-            out += zip(x.keys[i[good]].tolist(), y.keys[j[good]].tolist(), strict=True)
+            for k, m in zip(x.keys[i[good]].tolist(), y.keys[j[good]].tolist(), strict=True):
+                if classes.label[k] != classes.label[m] and verify(k, m):
+                    classes.join(k, m)
+                    out.append((k, m))
     return out
 
 
@@ -152,35 +187,41 @@ def halved(maps: np.ndarray) -> np.ndarray:
     return maps[:, :half] | maps[:, half:]
 
 
-def block_pairs(keys: list, comps: list, sizes: list, maps: list[bytes], parts: list, percent: int) -> set[tuple]:
-    """Pairs of keys of a block that may link; if parts differ, only pairs between them. Sets meet in trees of one bitmap width."""
+def block_links(sizes: list, maps: list[bytes], sides: list, classes: Classes, apart: np.ndarray, percent: int, verify=lambda i, j: True) -> list[tuple[int, int]]:
+    """Pairs of a block that join classes: all that may link and that verify takes, but those of one class by then.
+
+    Sets of side 0 meet one another, those of side 1 meet those of side 2. Sets meet in trees of one bitmap width.
+    """
     by: dict[tuple[int, int], list[int]] = {}
     for i, m in enumerate(maps):
-        by.setdefault((len(m), parts[i]), []).append(i)
-    number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+        by.setdefault((len(m), sides[i]), []).append(i)
 
-    def tree(width: int, part: int, fold: bool = False) -> Tree | None:
-        own = by.get((width, part))
+    def tree(width: int, side: int, fold: bool = False) -> Tree | None:
+        own = by.get((width, side))
         if not own:
             return None
         bits = np.frombuffer(b"".join(maps[i] for i in own), dtype=np.uint64).reshape(len(own), -1)
-        return Tree(halved(bits) if fold else bits, np.array([sizes[i] for i in own]), np.array(own), np.array([number[comps[i]] for i in own]))
+        return Tree(halved(bits) if fold else bits, np.array([sizes[i] for i in own]), np.array(own))
 
     out: list[tuple[int, int]] = []
-    both = sorted(set(parts))
-    for width in sorted({w for w, _ in by}):
-        for p in both:
-            if (own := tree(width, p)) is None:
-                continue
-            for q in both:
-                if len(both) > 1 and p == q:
-                    continue
-                other = own if q == p else tree(width, q) if q > p else None
-                wider = tree(2 * width, q, fold=True)
-                for t in (other, wider):
-                    if t is not None:
-                        out += traverse(own, t, percent)
-    return {(keys[i], keys[j]) if keys[i] < keys[j] else (keys[j], keys[i]) for i, j in out}
+    for width, side in sorted(by):
+        own, other = tree(width, side), (0, 2, 1)[side]
+        meets = [own if side == 0 else tree(width, other) if side == 1 else None, tree(2 * width, other, fold=True)]
+        for t in meets:
+            if t is not None:
+                out += traverse(own, t, percent, classes, apart, verify)
+    return out
+
+
+def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have that similarity."""
+    if len(s) > len(t):
+        s, t = t, s
+    if not len(s):
+        return False
+    at = np.searchsorted(t, s)
+    both = int(np.count_nonzero(t[np.minimum(at, len(t) - 1)] == s))
+    return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
 
 
 # --- stages -----------------------------------------------------------------------------------------------------------
@@ -225,7 +266,7 @@ def summaries(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(task, schema)
 
 
-def first_shingles(rows: DataFrame, shingle: int, percent: int, hot: np.ndarray) -> DataFrame:
+def first_shingles(rows: DataFrame, shingle: int, percent: int, hot: KeySet) -> DataFrame:
     """token, d1: the first shingles of each set, if another set has them too (hot ones always)."""
     spark = rows.sparkSession
     given = spark.sparkContext.broadcast(hot)
@@ -236,17 +277,14 @@ def first_shingles(rows: DataFrame, shingle: int, percent: int, hot: np.ndarray)
             texts = texts_of(b)
             values, docs, first = shingle_sets(texts, shingle)
             d1, _ = sums(values, first)
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             fresh = np.zeros(len(texts), dtype=bool)
             for i, key in enumerate(d1.tolist()):
                 if first[i + 1] > first[i] and key not in seen:
                     seen.add(key)
                     fresh[i] = True
-            common = np.zeros(len(values), dtype=bool)
-            if len(given.value):
-                at = np.minimum(np.searchsorted(given.value, values), len(given.value) - 1)
-                common = given.value[at] == values
+            common = given.value.holds(values)
             order = np.lexsort((values, common, docs))
             rank = np.arange(len(values)) - first[docs]
             keep = (rank < prefix_length(np.diff(first), percent)[docs]) & fresh[docs]
@@ -291,11 +329,11 @@ def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(wanted) if n <= FETCH else wanted, "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
 
 
-def verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+def verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, percent: int, shelf: Shelf) -> DataFrame:
     """a, b: nodes of those pairs that link, judged on their whole sets."""
     side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "row", "n")))
     sized = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-    sized = settled(sized.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "row_a", "row_b"))
+    sized = shelf.keep(sized.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "row_a", "row_b"))
     texts = fetched(rows, sized.select(F.col("row_a").alias("row")).union(sized.select(F.col("row_b").alias("row"))).distinct())
     one = sized.join(texts.withColumnsRenamed({"row": "row_a", "text": "text_a"}), "row_a")
     two = one.join(texts.withColumnsRenamed({"row": "row_b", "text": "text_b"}), "row_b").select("a", "b", "text_a", "text_b")
@@ -304,14 +342,12 @@ def verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int,
         for b in (y for x in blocks(batches, "text_a") for y in blocks(iter([x]), "text_b")):
             x, _, p = shingle_sets(texts_of(b, "text_a"), shingle)
             y, _, q = shingle_sets(texts_of(b, "text_b"), shingle)
-            good = []
-            for i in range(b.num_rows):
-                s, t = x[p[i] : p[i + 1]], y[q[i] : q[i + 1]]
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
+            good = [linked(x[p[i] : p[i + 1]], y[q[i] : q[i + 1]], percent) for i in range(b.num_rows)]
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return two.mapInArrow(task, "a long, b long")
+    out = shelf.keep(two.mapInArrow(task, "a long, b long"))
+    shelf.drop(sized)
+    return out
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -333,76 +369,178 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(task, "a long, b long")
 
 
-def tree_pairs(entries: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs in different components that the signature trees of their blocks leave; each once."""
-    named = nodes.join(comps, "node", "left").select("d1", "node", F.coalesce("component", "node").alias("component"))
-    inside = entries.join(named, "d1")
-    ends = inside.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("leader")).filter("low < high")
-    ends = settled(ends.select("token", "leader"))
-    # shingles of one passage have one leader, its smallest set, so a set travels once for them all
-    rows = settled(inside.join(ends, "token").select("leader", "node", "component").distinct())
-    split = settled(rows.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks")))
-    rows = rows.join(split, "leader").join(nodes.select("node", "n", "bitmap"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("leader", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "component", "n", "bitmap")
+def closed(batches, keys: int):
+    """Rows that come sorted by their first columns, by their values: lists of columns' batches."""
+    now, held = None, []
+    for b in batches:
+        names = list(zip(*(b.column(i).to_pylist() for i in range(keys)), strict=True))
+        at = 0
+        while at < len(names):
+            to = at + 1
+            while to < len(names) and names[to] == names[at]:
+                to += 1
+            if names[at] != now:
+                if held:
+                    yield now, held
+                now, held = names[at], []
+            held.append(b.slice(at, to - at))
+            at = to
+    if held:
+        yield now, held
+
+
+def compared(tasks: DataFrame, named: DataFrame, rows: DataFrame, shingle: int, percent: int, shelf: Shelf) -> DataFrame:
+    """a, b: links that join the components of the sets of each task (leader, p, q, side, node); named has row, n, bitmap and component of each node."""
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    column = lambda held, name: [x for b in held for x in b.column(name).to_pylist()]
+
+    def by_bitmaps(batches):
+        """Sets that may link with one of another component, and a number for those that hang together by that."""
+        for name, held in closed(batches, 3):
+            node, comp = column(held, "node"), column(held, "component")
+            if min(comp) == max(comp):
+                continue
+            side = column(held, "side")
+            classes = Classes(np.arange(len(node)))
+            # a set that stands on both sides is one
+            for i, j in _twins(node):
+                classes.join(i, j)
+            found = block_links(column(held, "n"), column(held, "bitmap"), side, classes, Classes(comp).label, percent)
+            own = np.unique(np.array(found, dtype=np.int64))
+            if len(own):
+                group = classes.label[own]
+                own = np.flatnonzero(np.isin(classes.label, group))  # with their twins
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([x] * len(own), pa.int64()) for x in name), pa.array(classes.label[own].astype(np.int64)), pa.array([side[i] for i in own], pa.int32()), *(pa.array([c[i] for i in own.tolist()], pa.int64()) for c in (node, comp))],
+                    names=["leader", "p", "q", "grp", "side", "node", "component"],
+                )
+
+    def by_texts(batches):
+        for _, held in closed(batches, 4):
+            sets = []
+            for b in blocks(iter(held), "text"):
+                values, _, first = shingle_sets(texts_of(b), shingle)
+                sets += [values[p:q].copy() for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            node, side, classes = column(held, "node"), column(held, "side"), Classes(column(held, "component"))
+            found = block_links([len(x) for x in sets], [bitmap(x, 8) for x in sets], side, classes, classes.label.copy(), percent, lambda i, j: linked(sets[i], sets[j], percent))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([node[x] for x in side_of], pa.int64()) for side_of in zip(*found, strict=True)], names=["a", "b"])
+
+    sets = tasks.join(named.select("node", "component", "n", "bitmap"), "node").select("leader", "p", "q", "side", "node", "component", "n", "bitmap")
+    groups = shelf.keep(sets.repartition(parts, "leader", "p", "q").sortWithinPartitions("leader", "p", "q").mapInArrow(by_bitmaps, "leader long, p long, q long, grp long, side int, node long, component long"))
+    wanted = groups.join(named.select("node", "row"), "node")
+    texts = fetched(rows, wanted.select("row").distinct())
+    whole = wanted.join(texts, "row").select("leader", "p", "q", "grp", "side", "node", "component", "text")
+    out = shelf.keep(whole.repartition(parts, "leader", "p", "q", "grp").sortWithinPartitions("leader", "p", "q", "grp").mapInArrow(by_texts, "a long, b long"))
+    shelf.drop(groups)
+    return out
 
-    def task(batches):
-        """Rows come sorted by leader, p and q."""
-        now, held = None, []
 
-        def close():
-            if len(held) > 1:
-                part, node, comp, n, maps = zip(*held, strict=True)
-                if now[1] == now[2] or len(set(part)) > 1:
-                    found = block_pairs(list(node), list(comp), list(n), list(maps), list(part), percent)
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+def _twins(node: list) -> list[tuple[int, int]]:
+    first: dict = {}
+    return [(first[x], i) for i, x in enumerate(node) if first.setdefault(x, i) != i]
 
-        for b in batches:
-            for leader, p, q, *rest in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                if (leader, p, q) != now:
-                    yield from close()
-                    now, held = (leader, p, q), []
-                held.append(rest)
-        yield from close()
 
-    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "leader", "p", "q").sortWithinPartitions("leader", "p", "q")
-    return dealt.mapInArrow(task, "a long, b long").distinct()
+def few(df: DataFrame) -> DataFrame:
+    """To be broadcast if it has at most FETCH rows."""
+    return F.broadcast(df) if df.count() <= FETCH else df
+
+
+def block_sets(entries: DataFrame, named: DataFrame, shelf: Shelf) -> DataFrame:
+    """leader, node: the sets of blocks of several components; blocks with one smallest set are one, so a set travels once for all shingles of a passage."""
+    inside = entries.join(named.select("d1", "node", "component"), "d1")
+    ends = inside.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("leader")).filter("low < high")
+    ends = shelf.keep(ends.select("token", "leader"))
+    out = shelf.keep(inside.join(ends, "token").select("leader", "node").distinct())
+    shelf.drop(ends)
+    return out
+
+
+def tree_links(entries: DataFrame, nodes: DataFrame, rows: DataFrame, links: DataFrame, shingle: int, percent: int, shelf: Shelf) -> DataFrame:
+    """links, and those that signature trees find besides."""
+
+    def with_components(now: DataFrame) -> DataFrame:
+        named = nodes.select("d1", "node", "row", "n", "bitmap").join(components(now, shelf), "node", "left")
+        return shelf.keep(named.withColumn("component", F.coalesce("component", "node")))
+
+    def several(sets: DataFrame, named: DataFrame) -> DataFrame:
+        """leader of the blocks that hold several components still."""
+        ends = sets.join(named.select("node", "component"), "node").groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        return ends.filter("low < high").select("leader")
+
+    named = with_components(links)
+    sets = block_sets(entries, named, shelf)
+    size = sets.join(nodes.select("node", "n"), "node").groupBy("leader").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / WEIGHT)).cast("long").alias("chunks"))
+    large = shelf.keep(size.filter("chunks > 1"))
+    if large.isEmpty():
+        tasks = sets.select("leader", F.lit(0).cast("long").alias("p"), F.lit(-1).cast("long").alias("q"), F.lit(0).alias("side"), "node")
+        return links.unionByName(compared(tasks, named, rows, shingle, percent, shelf))
+    for n in range(ROUNDS):
+        part = F.pmod(F.xxhash64("node", "leader", F.lit(n)), F.coalesce("chunks", F.lit(1)))
+        tasks = sets.join(few(large), "leader", "left" if n == 0 else "inner").select("leader", part.alias("p"), F.lit(-1).cast("long").alias("q"), F.lit(0).alias("side"), "node")
+        links = links.unionByName(compared(tasks, named, rows, shingle, percent, shelf))
+        shelf.drop(named)
+        named = with_components(links)
+        still = shelf.keep(several(sets.join(few(large), "leader", "left_semi"), named))
+        was, large = large, shelf.keep(large.join(few(still), "leader", "left_semi"))
+        shelf.drop(was, still)
+        if large.isEmpty():
+            return links
+    return links.unionByName(compared(remaining(sets.join(few(large), "leader"), named, shelf), named, rows, shingle, percent, shelf))
+
+
+def remaining(sets: DataFrame, named: DataFrame, shelf: Shelf) -> DataFrame:
+    """Tasks that compare what is outside a block's largest component (side 1, parts p) with all its sets (side 2, parts q)."""
+    inside = shelf.keep(sets.join(named.select("node", "component"), "node"))
+    most = inside.groupBy("leader", "component").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max(F.struct("n", "component"))["component"].alias("most"), F.sum("n").alias("all"))
+    most = shelf.keep(most)
+    marked = inside.join(few(most), "leader").withColumn("out", F.col("component") != F.col("most"))
+    rest = shelf.keep(marked.groupBy("leader").agg(F.greatest(F.ceil(F.count_if("out") * F.max("chunks") / F.count("*")), F.lit(1)).cast("long").alias("outs")))
+    marked = marked.join(few(rest), "leader")
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit(-1)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = marked.filter("out").select("leader", part("outs").alias("p"), every("chunks").alias("q"), F.lit(1).alias("side"), "node")
+    two = marked.select("leader", every("outs").alias("p"), part("chunks").alias("q"), F.lit(2).alias("side"), "node")
+    return one.unionByName(two)
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, row (a hash of the text), n_shingles and component_id of each row."""
+    shelf = Shelf(docs.sparkSession, "jaccard")
     rows = keyed_text(docs, key, text).withColumn("row", F.xxhash64("text"))
-    made = settled(summaries(rows, shingle))
-    sets = made.filter("kind = 0").drop("kind")
-    nodes = sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    nodes = settled(nodes)
+    made = shelf.keep(summaries(rows, shingle))
+    sets = shelf.keep(made.filter("kind = 0").select("doc_id", "row", "n", "d1", "d2"))
+    nodes = made.filter("kind = 0 and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    nodes = shelf.keep(nodes)
     twice = nodes.groupBy("d1").agg(F.count("*").alias("times")).filter("times > 1")  # sets that one sum doesn't tell apart
     if twice.isEmpty():
         nodes = nodes.withColumn("node", F.col("d1"))
     else:
-        nodes = settled(nodes.join(twice, "d1", "left").withColumn("node", F.when(F.col("times") > 1, F.xxhash64("d1", "d2")).otherwise(F.col("d1"))).drop("times"))
-    many = made.filter("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).filter(F.col("n") > hot).orderBy(F.desc("n"), "d1").limit(HOT_KEYS)
-    common = np.sort(np.array([r["d1"] for r in many.select("d1").collect()], dtype=np.int64).view(np.uint64))
-    entries = settled(first_shingles(rows, shingle, percent, common))
-
-    # aggregates are settled before they are joined: a join of plain shuffles can be split where a key is hot
-    ends = settled(entries.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low < high"))
+        nodes = shelf.keep(nodes.join(twice, "d1", "left").withColumn("node", F.when(F.col("times") > 1, F.xxhash64("d1", "d2")).otherwise(F.col("d1"))).drop("times"))
+    many = made.filter("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
+    many = shelf.keep(many.select("d1"))
+    shelf.drop(made)
+    entries = shelf.keep(first_shingles(rows, shingle, percent, KeySet(many, "d1", HOT_KEYS)))
+
+    # aggregates are kept before they are joined: a join of plain shuffles can be split where a key is hot
+    ends = shelf.keep(entries.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low < high"))
     starred = entries.join(ends, "token").select("d1", F.explode(F.array("low", "high")).alias("other")).filter("d1 <> other")
     starred = starred.select(F.least("d1", "other").alias("x"), F.greatest("d1", "other").alias("y")).distinct()
     name = lambda x, y: nodes.select(F.col("d1").alias(x), F.col("node").alias(y))
     pairs = starred.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b")
-    links = settled(verified(rows, likely(pairs, nodes, percent), nodes, shingle, percent))
+    links = verified(rows, likely(pairs, nodes, percent), nodes, shingle, percent, shelf)
+    shelf.drop(ends)
 
-    more = verified(rows, tree_pairs(entries, nodes, components(links), percent), nodes, shingle, percent)
-    whole = nodes.select("d1", "d2", "node", "least").join(components(links.unionByName(more)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    links = tree_links(entries, nodes, rows, links, shingle, percent, shelf)
+    whole = nodes.select("d1", "d2", "node", "least").join(components(links, shelf), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = settled(whole.join(ids, "component").select("d1", "d2", "component_id"))
+    found = shelf.keep(whole.join(ids, "component").select("d1", "d2", "component", "component_id"))
     out = sets.join(found, ["d1", "d2"], "left")
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = settled(out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component"))
+    shelf.close()
+    return out
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, shingles of five words, similarity 0.8."""
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("row")
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
