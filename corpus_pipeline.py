@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import op2_packing, op4_substrings, op5_quality, op9_jaccard
-from sluice.llm.common import shared_path, table
+from sluice.llm.common import fresh, remove, settled, shared_path, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +20,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the smallest id; documents without words or id all stay.
 
-    Of rows that share that id the one with the smallest hash of its text stays, and one of equal rows.
+    Of a group's rows that share that id the one with the smallest hash of its text stays, and one of equal rows. Groups whose
+    smallest ids are equal keep a document each.
     """
-    found = op9_jaccard.jaccard_components(docs).filter("n_shingles > 0 and component_id is not null")
-    stay = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.min("row").alias("__row"), F.count("*").alias("__n"))
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = op9_jaccard.jaccard_components(docs).filter("n_shingles > 0 and doc_id is not null")
+    key, digest, times = fresh(docs, "id", "digest", "times")
+    equal = found.groupBy("component", "doc_id", "row").agg(F.count("*").alias("n"))
+    least = equal.groupBy("component").agg(F.min(F.struct("doc_id", "row", "n")).alias("x"))
+    stay = settled(least.select(F.col("x.doc_id").alias(key), F.col("x.row").alias(digest), F.col("x.n").alias(times)))
+    rows = docs.withColumns({key: F.col("doc_id").cast("long"), digest: F.xxhash64(F.coalesce("text", F.lit("")))})
     free = F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = rows.filter(~free).join(stay, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__row")))
-    if not stay.filter("__n > 1").isEmpty():  # rows of one id: equal ones are one
-        kept = kept.filter("__n = 1").unionByName(kept.filter("__n > 1").dropDuplicates(["__id"]))
+    kept = rows.filter(~free).join(stay, [key, digest])
+    if not stay.filter(F.col(times) > 1).isEmpty():  # equal rows are one
+        kept = kept.filter(F.col(times) == 1).unionByName(kept.filter(F.col(times) > 1).dropDuplicates([key, digest]))
     return kept.select(docs.columns).unionByName(rows.filter(free).select(docs.columns))
 
 
@@ -52,9 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage is written as Parquet to the shared folder and read again."""
+    """The last stage's rows; each stage is written as Parquet to the shared folder and read again, and removed after the next."""
     docs, folder = table(spark, sf_dir, "documents"), shared_path(spark, "pipeline")
-    for name, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if i:
+            remove(spark, f"{folder}/{STAGES[i - 1][0]}")
     return docs
