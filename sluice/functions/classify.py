@@ -25,10 +25,11 @@ def names_person(text: Column) -> Column:
     """A title and name, and later a designation; anywhere, in any case, even inside words.
 
     In two steps: the text before the last designation, then a title and name in it. One pattern for both overflows Java's
-    stack on long texts.
+    stack on long texts. Initials between the names are a letter, perhaps a full stop, then white space, so no match needs
+    to give any of them back, and possessive quantifiers keep Java from recursing over long runs of them.
     """
     before = F.regexp_extract(text, r"(?is)\A(.*)(?:professor|lecturer|hod|head of department)", 1)
-    return before.rlike(rf"(?iU)(?:dr|prof|mrs|mr|ms)\.?{SPACE}*[a-z][a-z]+(?:{SPACE}+[a-z]\.?{SPACE}*)*{SPACE}+[a-z][a-z]")
+    return before.rlike(rf"(?iU)(?:dr|prof|mrs|mr|ms)\.?{SPACE}*[a-z][a-z]++(?:{SPACE}++[a-z]\.?+(?={SPACE}))*+{SPACE}++[a-z][a-z]")
 
 
 def is_profile(text: Column, hierarchy: Column) -> Column:

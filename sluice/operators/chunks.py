@@ -9,7 +9,7 @@ from sluice.conf import ChunkConf
 from sluice.functions import text as T
 from sluice.functions.classify import classify
 from sluice.operators.entities import entity_refs
-from sluice.operators.segment import page_markers, page_range, segments
+from sluice.operators.segment import segments
 
 CHUNK = "chunk_id string, text string, source_type string, source_file string, section_hierarchy array<string>, content_type string, entity_refs array<string>, page_range array<int>, word_count int, hash string"
 
@@ -24,28 +24,29 @@ def source_type(path: Column) -> Column:
     return F.when(path.contains("pdfs"), "pdf").otherwise("html")
 
 
+def with_skip(docs: DataFrame, raw: str, source_file: str) -> DataFrame:
+    """source_file, raw (with line feeds only) and the length of its front matter."""
+    rows = docs.select(F.col(source_file).alias("source_file"), F.regexp_replace(F.col(raw), "\r\n?", "\n").alias("raw"))
+    return rows.withColumn("skip", F.length(F.regexp_extract("raw", T.FRONT, 0)))
+
+
 def build_chunks(docs: DataFrame, registry: DataFrame | None = None, conf: ChunkConf = ChunkConf(), raw: str = "raw", source_file: str = "source_file") -> DataFrame:
     """The chunks of documents (source_file, raw), with seq and part, in the order of which they stand in their file.
 
     source_file tells documents apart; small and empty chunks are dropped before any costly column is made.
     """
-    body = T.remove_frontmatter(F.col("raw"))
-    rows = docs.select(F.col(source_file).alias("source_file"), F.regexp_replace(F.col(raw), "\r\n?", "\n").alias("raw"))
-    marks = page_markers(body if conf.page_lines == "aligned" else F.col("raw"))
-    # markers travel with the body, so that pages need no join: one struct a marked line
-    carried = rows.select(F.struct("source_file", marks.alias("markers")).alias("doc"), body.alias("body"))
-    found = segments(carried, "doc", "body", conf).withColumn("text", T.strip(F.col("text"))).withColumn("word_count", T.word_count(F.col("text")))
+    found = segments(with_skip(docs, raw, source_file), "source_file", "raw", conf, F.col("skip")).withColumn("text", T.strip(F.col("text"))).withColumn("word_count", T.word_count(F.col("text")))
     found = found.filter((F.col("text") != "") & (F.col("tabular") | (F.col("word_count") >= conf.min_words)))
-    path = F.col("doc.source_file")
+    path = F.col("source_file")
     kind = source_type(path)
     out = found.withColumn("hash", T.content_hash(F.col("text"))).select(
         F.concat(T.chunk_id(kind, file_stem(path), F.col("hierarchy"), F.col("hash")), F.when(F.col("parts") > 1, F.concat(F.lit("_part"), F.col("part"))).otherwise(F.lit(""))).alias("chunk_id"),
         "text",
         kind.alias("source_type"),
-        path.alias("source_file"),
+        "source_file",
         F.col("hierarchy").alias("section_hierarchy"),
         F.when(F.col("tabular"), "table").otherwise(classify(F.col("text"), path, F.col("hierarchy"))).alias("content_type"),
-        page_range(F.col("doc.markers"), F.col("start_line"), F.col("end_line")).alias("page_range"),
+        "page_range",
         "word_count",
         "hash",
         "seq",
@@ -58,8 +59,7 @@ def build_chunks(docs: DataFrame, registry: DataFrame | None = None, conf: Chunk
 
 def small_segments(docs: DataFrame, conf: ChunkConf = ChunkConf(), raw: str = "raw", source_file: str = "source_file") -> DataFrame:
     """One row: chunks that were too small, and tables that were split."""
-    rows = docs.select(F.col(source_file).alias("source_file"), T.remove_frontmatter(F.regexp_replace(F.col(raw), "\r\n?", "\n")).alias("body"))
-    found = segments(rows, "source_file", "body", conf).withColumn("text", T.strip(F.col("text")))
+    found = segments(with_skip(docs, raw, source_file), "source_file", "raw", conf, F.col("skip")).withColumn("text", T.strip(F.col("text")))
     small = ~F.col("tabular") & (F.col("text") != "") & (T.word_count(F.col("text")) < conf.min_words)
     return found.agg(F.count_if(small).alias("too_small_skipped"), F.count_if(F.col("tabular") & (F.col("parts") > 1) & (F.col("part") == 1)).alias("tables_split"))
 

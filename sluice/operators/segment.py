@@ -1,11 +1,16 @@
 """Segmentation of Markdown by structure.
 
-Lines are exploded once and shuffled by document; hard boundaries are a running sum over them, and each hard segment is
-folded in place by higher-order functions. All later steps are narrow.
+A document is one row and its segments depend on all lines before them, so segments are made where the document is, by one
+pass over its lines in Arrow batches: no shuffle, and time and memory in proportion to the document. Functions of single lines
+and the hard segments of a table of lines are native columns.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,20 +40,6 @@ def lines(docs: DataFrame, key: str, body: str) -> DataFrame:
     return out.withColumns({"level": heading_level(F.col("line")), "title": heading_title(F.col("line")), "tabular": is_table_line(F.col("line")), "blank": ~F.col("line").rlike(rf"(?U)[^\s\x1c-\x1f]"), "words": word_count(F.col("line"))})
 
 
-def hierarchy(key: str) -> Column:
-    """The titles of the headings in force at each line: a level's last heading counts if no higher one came after it."""
-    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.last(F.when(F.col("level") == n, F.struct("line_no", "title")), ignorenulls=True).over(so_far) for n in range(1, 7)]
-    return F.array(*last)
-
-
-def open_titles(last: Column) -> Column:
-    """From the last heading of each level, the titles that stay open."""
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<string>").alias("titles"))
-    step = lambda s, x: F.when(x.isNotNull() & (x["line_no"] > s["at"]), F.struct(x["line_no"].alias("at"), F.concat(s["titles"], F.array(x["title"])).alias("titles"))).otherwise(s)
-    return F.aggregate(last, start, step)["titles"]
-
-
 def hard_segments(rows: DataFrame, key: str) -> DataFrame:
     """Adds seg: a new one begins at headings of level 1 and 2 and where tables begin and end."""
     order = Window.partitionBy(key).orderBy("line_no")
@@ -56,64 +47,150 @@ def hard_segments(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("new", new.cast("int")).withColumn("seg", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def cuts(items: Column, conf: ChunkConf) -> Column:
-    """Where a segment is cut: at a third-level heading beyond the soft limit; at a blank line, which goes, beyond the hard one."""
-    start = F.struct(F.lit(0).cast("long").alias("words"), F.array().cast("array<struct<line_no:int,gone:boolean>>").alias("cuts"))
+# --- one pass over the lines of a document ------------------------------------------------------------------------------
+
+SPACES = r"[\s\x1c-\x1f]"
+_HEADING = re.compile(rf"(#{{1,6}}){SPACES}+(.+)$")
+_MARKER = re.compile(rf"<!--{SPACES}*page:{SPACES}*(\d+){SPACES}*-->")
+_SEPARATOR = re.compile(rf"{SPACES}*\|[\s\x1c-\x1f\-:]+\|")
+#: Characters of texts that are handed on at once.
+OUT_CHARS = 4 << 20
 
-    def step(s: Column, x: Column) -> Column:
-        cut = lambda gone: F.concat(s["cuts"], F.array(F.struct(x["line_no"].alias("line_no"), F.lit(gone).alias("gone"))))
-        state = lambda n, c: F.struct(n.cast("long").alias("words"), c.alias("cuts"))
-        soft = (x["level"] == 3) & (s["words"] > conf.soft_words)
-        hard = (x["level"] == 0) & x["blank"] & (s["words"] > conf.max_words)
-        return F.when(soft, state(x["words"], cut(False))).when(hard, state(F.lit(0), cut(True))).otherwise(state(s["words"] + x["words"], s["cuts"]))
 
-    return F.aggregate(items, start, step)["cuts"]
+def heading(line: str) -> tuple[int, str]:
+    found = _HEADING.match(line) if line[:1] == "#" else None
+    return (len(found[1]), found[2].strip()) if found else (0, "")
 
 
-def table_parts(rows: Column, size: int) -> Column:
+def table_parts(rows: list[str], size: int) -> list[list[str]]:
     """A table's lines as parts of up to size data rows, each below the lines up to the separator; else one part."""
-    n = F.size(rows)
-    first = F.array_position(F.transform(rows, lambda x: x.rlike(r"(?U)\A[\s\x1c-\x1f]*\|[\s\x1c-\x1f\-:]+\|")), True).cast("int")
-    head, data = F.slice(rows, 1, F.greatest(first, F.lit(0))), F.slice(rows, first + 1, F.greatest(n - first, F.lit(0)))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((n - first - 1) / size).cast("int")), lambda p: F.concat(head, F.slice(data, p * size + 1, size)))
-    return F.when((n <= 3) | (first == 0) | (first == n), F.array(rows)).otherwise(parts)
-
-
-def segments(docs: DataFrame, key: str, body: str, conf: ChunkConf = ChunkConf()) -> DataFrame:
-    """key, seq, part, parts, tabular, text, start_line, end_line, hierarchy: all segments, before empty and small ones go."""
-    found = hard_segments(lines(docs, key, body).withColumn("open", hierarchy(key)), key)
-    grouped = found.groupBy(key, "seg").agg(
-        F.first("tabular").alias("tabular"),
-        F.sum("words").alias("total"),
-        F.array_sort(F.collect_list(F.struct("line_no", "line", "level", "blank", "words", "open"))).alias("items"),
-    )
-    grouped = grouped.withColumn("cuts", F.when(~F.col("tabular") & (F.col("total") > conf.soft_words), cuts(F.col("items"), conf)).otherwise(F.array().cast("array<struct<line_no:int,gone:boolean>>")))
-
-    def piece(i: Column) -> Column:
-        low = F.when(i > 0, F.get("cuts", i - 1)["line_no"] + F.get("cuts", i - 1)["gone"].cast("int")).otherwise(F.lit(-1))
-        high = F.when(i < F.size("cuts"), F.get("cuts", i)["line_no"]).otherwise(F.lit(2147483647))
-        return F.filter("items", lambda x: (x["line_no"] >= low) & (x["line_no"] < high))
-
-    pieces = grouped.select(key, "tabular", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("cuts")), piece)).alias("group", "items")).filter(F.size("items") > 0)
-    texts = F.transform("items", lambda x: x["line"])
-    split = F.when(F.col("tabular"), table_parts(texts, conf.table_rows)).otherwise(F.array(texts))
-    last = F.element_at("items", -1)
-    out = pieces.select(key, "tabular", split.alias("split"), F.element_at("items", 1)["line_no"].alias("start_line"), last["line_no"].alias("end_line"), open_titles(last["open"]).alias("hierarchy"))
-    return out.select(key, "tabular", "start_line", "end_line", "hierarchy", F.size("split").alias("parts"), F.posexplode("split").alias("part", "rows")).select(
-        key, F.col("start_line").alias("seq"), (F.col("part") + 1).alias("part"), "parts", "tabular", F.array_join("rows", "\n").alias("text"), "start_line", "end_line", "hierarchy"
-    )
+    n = len(rows)
+    first = next((i for i, x in enumerate(rows, 1) if _SEPARATOR.match(x)), 0)
+    if n <= 3 or first in (0, n):
+        return [rows]
+    return [rows[:first] + rows[at : at + size] for at in range(first, n, size)]
+
+
+def scan(body: str, conf: ChunkConf) -> Iterator[tuple[bool, int, list[str], list[str]]]:
+    """tabular, first line, lines and open titles of each piece.
+
+    A new segment begins at headings of level 1 and 2 and where tables begin and end. Within one of more than soft_words words
+    a third-level heading beyond soft_words, and a blank line, which goes, beyond max_words begin a new piece.
+    """
+    lines = body.split("\n")
+    open_titles: list[tuple[int, str]] = []
+    segment: list[tuple[str, int, list[str], int]] = []  # line, level, open titles, words
+    start, tabular, before = 0, False, False
+
+    def closed():
+        if not segment:
+            return
+        if tabular or sum(x[3] for x in segment) <= conf.soft_words:
+            yield tabular, start, [x[0] for x in segment], segment[-1][2]
+            return
+        words, at = 0, 0
+        for i, (line, level, _, n) in enumerate(segment):
+            if level == 3 and words > conf.soft_words:
+                if i > at:
+                    yield False, start + at, [x[0] for x in segment[at:i]], segment[i - 1][2]
+                words, at = n, i
+            elif level == 0 and words > conf.max_words and not line.strip():
+                if i > at:
+                    yield False, start + at, [x[0] for x in segment[at:i]], segment[i - 1][2]
+                words, at = 0, i + 1
+            else:
+                words += n
+        if at < len(segment):
+            yield False, start + at, [x[0] for x in segment[at:]], segment[-1][2]
+
+    titles: list[str] = []
+    for i, line in enumerate(lines):
+        level, title = heading(line)
+        bar = line.lstrip()[:1] == "|"
+        if level in (1, 2) or bar != before:
+            yield from closed()
+            segment, start, tabular = [], i, bar
+        if level:
+            open_titles = [x for x in open_titles if x[0] < level] + [(level, title)]
+            titles = [x[1] for x in open_titles]
+        segment.append((line, level, titles, len(line.split())))
+        before = bar
+    yield from closed()
+
+
+def marked_pages(raw: str) -> list[tuple[int, int]]:
+    """Line and page of the first marker of each line that has one."""
+    if "<!--" not in raw:
+        return []
+    out = []
+    for i, line in enumerate(raw.split("\n")):
+        if "<!--" in line and (found := _MARKER.search(line)) and int(found[1]) < 1 << 31:
+            out.append((i, int(found[1])))
+    return out
+
+
+class Pages:
+    """Page ranges of stretches of lines that come in order."""
+
+    def __init__(self, marks: list[tuple[int, int]]):
+        self.marks, self.at, self.now = marks, 0, 0
+
+    def of(self, start: int, end: int) -> list[int] | None:
+        """The smallest and largest page: that in force at the start (unless it is 0), and those begun up to the end."""
+        while self.at < len(self.marks) and self.marks[self.at][0] <= start:
+            self.now = self.marks[self.at][1]
+            self.at += 1
+        pages, k = [self.now] if self.now else [], self.at
+        while k < len(self.marks) and self.marks[k][0] <= end:
+            pages.append(self.marks[k][1])
+            k += 1
+        return [min(pages), max(pages)] if pages else None
+
+
+def segments(docs: DataFrame, key: str, body: str, conf: ChunkConf = ChunkConf(), skip: Column | None = None) -> DataFrame:
+    """key, seq, part, parts, tabular, text, start_line, end_line, hierarchy, page_range: all segments, before empty and small ones go.
+
+    skip: how many characters at the beginning of the text (front matter) belong to no line; page markers' lines are counted with
+    them unless page_lines is aligned. A null text has no segments, an empty one has one empty line.
+    """
+    kind = docs.schema[key].dataType
+    rows = docs.select(F.col(key).alias("key"), F.col(body).alias("body"), (F.lit(0) if skip is None else skip).cast("int").alias("skip")).filter("body is not null")
+    schema = f"key {kind.simpleString()}, seq int, part int, parts int, tabular boolean, text string, start_line int, end_line int, hierarchy array<string>, page_range array<int>"
+    names = ["key", "seq", "part", "parts", "tabular", "text", "start_line", "end_line", "hierarchy", "page_range"]
+    types = [pa.int32()] * 3 + [pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+
+    def task(batches):
+        for b in batches:
+            keys, out, size = b.column("key"), [], 0
+
+            def sent(out=out, keys=keys):
+                places, *rest = zip(*out, strict=True)
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(places)), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))], names=names)
+
+            for i in range(b.num_rows):
+                raw, cut = b.column("body")[i].as_py(), b.column("skip")[i].as_py()
+                text = raw[cut:] if cut else raw
+                pages = Pages(marked_pages(text if conf.page_lines == "aligned" else raw))
+                for tabular, start, lines, titles in scan(text, conf):
+                    end = start + len(lines) - 1
+                    held = pages.of(start, end)
+                    split = table_parts(lines, conf.table_rows) if tabular else [lines]
+                    for k, part in enumerate(split, 1):
+                        made = "\n".join(part)
+                        out.append((i, start, k, len(split), tabular, made, start, end, titles, held))
+                        size += len(made)
+                    if size > OUT_CHARS:
+                        yield sent()
+                        out.clear()
+                        size = 0
+            if out:
+                yield sent()
+
+    made = rows.mapInArrow(task, schema)
+    return made if key == "key" else made.withColumnRenamed("key", key)
 
 
 def page_markers(raw: Column) -> Column:
     """line_no and page of the first marker of each line that has one."""
     found = F.transform(F.split(raw, "\n"), lambda x, i: F.struct(i.alias("line_no"), F.regexp_extract(x, MARKER, 1).alias("page")))
     return F.transform(F.filter(found, lambda x: x["page"] != ""), lambda x: F.struct(x["line_no"].alias("line_no"), x["page"].try_cast("int").alias("page")))
-
-
-def page_range(markers: Column, start: Column, end: Column) -> Column:
-    """The smallest and largest page of a stretch of lines: that in force at its start (unless it is 0), and those begun in it."""
-    before = F.filter(markers, lambda m: m["line_no"] <= start)
-    now = F.when(F.size(before) > 0, F.element_at(F.transform(before, lambda m: m["page"]), -1))
-    pages = F.transform(F.filter(markers, lambda m: (m["line_no"] > start) & (m["line_no"] <= end)), lambda m: m["page"])
-    pages = F.when(F.coalesce(now, F.lit(0)) != 0, F.concat(F.array(now), pages)).otherwise(pages)
-    return F.when(F.size(pages) > 0, F.array(F.array_min(pages), F.array_max(pages)))
