@@ -10,10 +10,13 @@ threshold kappa; a segmentation's inclusion score is 1 - exp(-exp(log p - kappa)
 
 The lattice's arcs are the pieces of the vocabulary that stand in the text, with bytes for characters it lacks. Its log
 weights are the model's scores if these are log probabilities, else (a BPE model's scores are merge ranks) minus the log
-of the rank, times alpha. No piece crosses the place before a space, so the lattice falls into units. A block's distinct
-units are laid out together, and a whole text is walked at once with numpy: one step a piece of the longest unit.
+of the rank, times alpha. No piece crosses the place before a space, so the lattice falls into units. A worker lays out each
+distinct unit once, keeps it for later blocks while there are at most KEPT states, and walks all texts of a block at once with
+numpy: one step a piece of the longest unit. Searches of a block go in step, a segmentation each. Chances are 32-bit thresholds within a state, whatever its number. A text
+without spaces is one unit, which takes some 300 bytes a character while it is laid out.
 
-Random numbers come from the seed, the row's key and its text alone, so retries and other partitionings draw the same. Each row is
+Random numbers come from the seed, the row's key and its text alone (those of walks from a hash of these, the unit's place and
+the step), so retries and other partitionings draw the same. Each row is
 handled by itself, in blocks of bounded size, without a shuffle. Null and empty texts have one segmentation, the empty one.
 Rows with equal ids and texts draw the same. A text with fewer than k segmentations gives all it has. An empty table gives no rows.
 """
@@ -36,10 +39,10 @@ from .common import blocks, keyed_text, mix, table
 
 MODEL = "piece_bpe_32k.model"
 SAMPLES, ALPHA, SEED = 2, 1.0, 20240229
-#: Bits of a chance.
-GRAIN = 40
-#: Bytes of text whose units are laid out together: the more, the more units are the same.
-LAID_OUT = 2 << 20
+#: Largest chance.
+ALL = (1 << 32) - 1
+#: Bytes of text whose units are looked up together; states of units that a worker keeps for later texts.
+LAID_OUT, KEPT = 2 << 20, 1_200_000
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, text_crc32 long"
@@ -97,26 +100,75 @@ def load(path: str, alpha: float = ALPHA) -> Lattice:
     return Lattice(path, alpha)
 
 
+class Units(dict):
+    """A number for each unit, in the order in which they come; ``fresh`` lists those of new ones.
+
+    The key of a unit with one space before it is what follows that space, which has none itself; see key_of and unit_of.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        n = self[key] = len(self)
+        return n
+
+    def numbers(self, text: str) -> np.ndarray:
+        if text[:1] == SPACE and SPACE + SPACE not in text:
+            keys = text[1:].split(SPACE)
+        else:
+            keys = list(map(key_of, UNITS.findall(text)))
+        return np.fromiter(map(self.__getitem__, keys), dtype=np.int64, count=len(keys))
+
+
+def key_of(unit: str) -> str:
+    if unit[0] != SPACE:
+        return unit + SPACE
+    return unit if unit[1:2] == SPACE else unit[1:]
+
+
+def unit_of(key: str) -> str:
+    if SPACE not in key:
+        return SPACE + key
+    return key if key[0] == SPACE else key[:-1]
+
+
 class Table:
     """The lattice of all units of some texts: states are the characters of distinct units, in one numbering."""
 
-    def __init__(self, lattice: Lattice, texts: list[str]):
-        self.lattice = lattice
-        number: dict[str, int] = {}
-        self.words = [np.array([number.setdefault(u, len(number)) for u in UNITS.findall(lattice.model.normalize(t))], dtype=np.int64) for t in texts]
-        sizes = np.fromiter(map(len, number), dtype=np.int64, count=len(number))
-        self.points = code_points("".join(number))
-        n = len(self.points)
-        self.stop = np.cumsum(sizes)  # a unit's end has the number of the next unit's first state; it is never walked from
-        self.base = self.stop - sizes
-        room = np.repeat(self.stop, sizes) - np.arange(n)  # characters from a state to the end of its unit
+    def __init__(self, lattice: Lattice, texts: list[str] = ()):
+        self.lattice, self.units = lattice, Units()
+        self.points = np.empty(0, dtype=np.uint64)
+        self.base = self.stop = self.ends = np.empty(0, dtype=np.int64)
+        self.piece = self.starts = np.empty(0, dtype=np.int32)
+        self.first = np.zeros(1, dtype=np.int64)  # of each state's arcs
+        self.cum, self.logs = np.empty(0, dtype=np.uint32), np.empty(0)
+        self.words = self.add(texts)
+
+    def add(self, texts: list[str]) -> list[np.ndarray]:
+        """The units of each text, laid out if they are new."""
+        words = [self.units.numbers(self.lattice.model.normalize(t)) for t in texts]
+        if self.units.fresh:
+            self.lay_out(list(map(unit_of, self.units.fresh)))
+            self.units.fresh.clear()
+        return words
+
+    def lay_out(self, units: list[str]) -> None:
+        lattice = self.lattice
+        sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        points = code_points("".join(units))
+        n = len(points)
+        stop = np.cumsum(sizes)  # a unit's end has the number of the next unit's first state; it is never walked from
+        room = np.repeat(stop, sizes) - np.arange(n)  # characters from a state to the end of its unit
         starts, lengths, pieces, weights = [], [], [], []
         h, at = np.zeros(n, dtype=np.uint64), np.arange(n)
         single = np.zeros(n, dtype=bool)
         for k in range(1, lattice.longest + 1):
             long = room[at] >= k
             at, h = at[long], h[long]
-            h = mix(h + self.points[at + k - 1])
+            h = mix(h + points[at + k - 1])
             hashes, ids, weight = lattice.pieces[k]
             place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             begun = hashes[place] == h  # what no piece begins with can't grow into one
@@ -124,23 +176,24 @@ class Table:
             whole = ids[place] >= 0
             if k == 1:
                 single[at[whole]] = True
-            starts.append(at[whole])
-            lengths.append(np.full(int(whole.sum()), k))
-            pieces.append(ids[place[whole]])
+            starts.append(at[whole].astype(np.int32))
+            lengths.append(np.full(int(whole.sum()), k, dtype=np.int32))
+            pieces.append(ids[place[whole]].astype(np.int32))
             weights.append(weight[place[whole]])
         odd = np.flatnonzero(~single)
-        width = 1 + (self.points[odd] > 0x7F).astype(np.int64) + (self.points[odd] > 0x7FF) + (self.points[odd] > 0xFFFF)
+        width = 1 + (points[odd] > 0x7F).astype(np.int64) + (points[odd] > 0x7FF) + (points[odd] > 0xFFFF)
         of_byte = np.array([lattice.byte.get(x, lattice.unknown) for x in range(128)])
-        lone = np.where(width == 1, of_byte[np.minimum(self.points[odd], 127).astype(np.int64)], -1 if lattice.byte else lattice.unknown)
+        lone = np.where(width == 1, of_byte[np.minimum(points[odd], 127).astype(np.int64)], -1 if lattice.byte else lattice.unknown)
         # longer pieces first, as they are likelier: a walk then looks at few arcs of a state
         starts, lengths, pieces, weights = (x[::-1] for x in (starts, lengths, pieces, weights))
-        starts, lengths = np.concatenate([*starts, odd]).astype(np.int64), np.concatenate([*lengths, np.ones(len(odd))]).astype(np.int64)
-        pieces, weights = np.concatenate([*pieces, lone]).astype(np.int64), np.concatenate([*weights, lattice.byte_weight * width])
+        starts, lengths = np.concatenate([*starts, odd.astype(np.int32)]), np.concatenate([*lengths, np.ones(len(odd), dtype=np.int32)])
+        pieces, weights = np.concatenate([*pieces, lone.astype(np.int32)]), np.concatenate([*weights, lattice.byte_weight * width])
         beta = np.zeros(n + 1)  # log mass from a state to the end of its unit; ends stay 0 as each start is read from inside
         order = np.argsort(starts, kind="stable")
         starts, lengths, pieces, weights = starts[order], lengths[order], pieces[order], weights[order]
         order = np.argsort(room[starts].astype(np.uint16) if n and room.max() < 1 << 16 else room[starts], kind="stable") if n else np.empty(0, np.int64)
         ends = starts + lengths
+        last = room[starts] == lengths  # arcs to the end of a unit
         depth = room[starts[order]]
         cuts = np.searchsorted(depth, np.arange(1, (int(depth[-1]) if n else 0) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -148,25 +201,28 @@ class Table:
                 continue
             own = order[a:b]
             s = starts[own]
-            value = weights[own] + np.where(room[s] == lengths[own], 0.0, beta[ends[own]])
+            value = weights[own] + np.where(last[own], 0.0, beta[ends[own]])
             head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             top = np.maximum.reduceat(value, head)
             spread = np.repeat(top, np.diff(np.concatenate([head, [len(s)]])))
             beta[s[head]] = top + np.log(np.add.reduceat(np.exp(value - spread), head))
-        self.piece = pieces
-        chance = np.exp(weights + np.where(room[starts] == lengths, 0.0, beta[np.minimum(ends, n)]) - beta[starts]) if n else np.empty(0)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(starts, minlength=n))]) if n else np.zeros(1, dtype=np.int64)
-        # sums stay within a state, and chances become whole numbers: what is drawn doesn't depend on what else is in the block
-        share = chance / np.add.reduceat(chance, self.first[:-1])[starts] if n else chance
-        self.logs = np.log(np.maximum(share, 1e-320))
-        rank = np.arange(len(starts)) - self.first[starts]
+        chance = np.exp(weights + np.where(last, 0.0, beta[ends]) - beta[starts])
+        first = np.concatenate([[0], np.cumsum(np.bincount(starts, minlength=n))])
+        # sums stay within a state, and chances become whole numbers: what is drawn doesn't depend on what else is laid out
+        share = chance / np.add.reduceat(chance, first[:-1])[starts] if n else chance
+        logs = np.log(np.maximum(share, 1e-320))
+        rank = np.arange(len(starts)) - first[starts]
         for k in range(1, int(rank.max(initial=0)) + 1):
             at = np.flatnonzero(rank == k)
             share[at] += share[at - 1]
-        self.cum = (starts << GRAIN) + np.minimum(np.rint(share * (1 << GRAIN)).astype(np.int64), 1 << GRAIN)
-        if n:
-            self.cum[self.first[1:] - 1] = np.arange(1, n + 1) << GRAIN
-        self.starts, self.ends = starts, ends
+        cum = np.minimum(np.rint(share * ALL), ALL).astype(np.uint32)
+        cum[first[1:] - 1] = ALL
+        at, arcs = len(self.points), len(self.starts)
+        self.points = np.concatenate([self.points, points])
+        self.base, self.stop = np.concatenate([self.base, stop - sizes + at]), np.concatenate([self.stop, stop + at])
+        self.first = np.concatenate([self.first[:-1], first + arcs])
+        self.starts, self.ends = np.concatenate([self.starts, starts + np.int32(at)]), np.concatenate([self.ends, ends.astype(np.int64) + at])
+        self.piece, self.cum, self.logs = np.concatenate([self.piece, pieces]), np.concatenate([self.cum, cum]), np.concatenate([self.logs, logs])
 
     def ids(self, arcs: np.ndarray) -> np.ndarray:
         """The pieces' ids along arcs."""
@@ -175,27 +231,28 @@ class Table:
             return found
         return np.array([y for x, a in zip(found.tolist(), arcs.tolist(), strict=True) for y in ([x] if x >= 0 else self.lattice.bytes_ids(int(self.points[self.starts[a]])))], dtype=np.int64)
 
-    def walk(self, words: np.ndarray, rng: np.random.Generator, start: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """A random path through units: for each arc the place of its unit and the arc; start: the first unit's state, if not its first."""
+    def walk(self, words: np.ndarray, keys: np.ndarray, at: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Random paths through units: for each arc the place of its unit and the arc. Units ``at`` some places begin at these
+        states instead of their first; keys decide what is drawn in each unit."""
         state, stop, place = self.base[words], self.stop[words], np.arange(len(words))
-        if start is not None:
-            state = state.copy()
-            state[0] = start
-            alive = state < stop
-            state, stop, place = state[alive], stop[alive], place[alive]
-        places, arcs = [], []
-        while len(place):
-            key = (state << GRAIN) + rng.integers(0, 1 << GRAIN, len(state))
+        state[at] = states
+        places, arcs, step = [], [], 0
+        alive = state < stop
+        while True:
+            if not alive.all():
+                state, stop, place, keys = state[alive], stop[alive], place[alive], keys[alive]
+            if not len(place):
+                break
+            drawn = (mix(keys + np.uint64(step)) >> np.uint64(32)).astype(np.uint32)
             arc = self.first[state]
-            beyond = np.flatnonzero(self.cum[arc] <= key)
+            beyond = np.flatnonzero(self.cum[arc] < drawn)
             while len(beyond):
                 arc[beyond] += 1
-                beyond = beyond[self.cum[arc[beyond]] <= key[beyond]]
+                beyond = beyond[self.cum[arc[beyond]] < drawn[beyond]]
             places.append(place)
             arcs.append(arc)
-            state = self.ends[arc]
+            state, step = self.ends[arc], step + 1
             alive = state < stop
-            state, stop, place = state[alive], stop[alive], place[alive]
         if not places:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         places, arcs = np.concatenate(places), np.concatenate(arcs)
@@ -212,45 +269,76 @@ def truncated(log_mass: np.ndarray, top: float, rng: np.random.Generator) -> np.
         return np.where(np.isneginf(log_mass), -np.inf, log_mass - np.log(np.exp(log_mass - top) - np.log(rng.random(len(log_mass)))))
 
 
-def top_k(t: Table, words: np.ndarray, k: int, rng: np.random.Generator) -> tuple[list[tuple[np.ndarray, float, float]], float]:
-    """(arcs, log probability, perturbed) of the k segmentations with the largest perturbations, and the next one's, or -inf."""
-    out: list[tuple[np.ndarray, float, float]] = []
-    root = -math.log(-math.log(rng.random()))
-    # (-maximum, tie, places and arcs up to the node, log probability so far, arcs excluded at the node, its unit's place, its state)
-    heap: list[tuple] = [(-root, 0, np.empty(0, np.int64), np.empty(0, np.int64), 0.0, (), 0, None)]
-    ties = 1
-    while heap and len(out) < k:
-        value, _, places, arcs, log_prob, excluded, unit, state = heapq.heappop(heap)
-        value = -value
-        head = len(arcs)
-        if state is None:
-            p, a = t.walk(words, rng)
-        else:
-            open_arcs = np.array([x for x in range(t.first[state], t.first[state + 1]) if x not in excluded], dtype=np.int64)
-            chance = np.exp(t.logs[open_arcs] - t.logs[open_arcs].max())
-            arc = int(open_arcs[min(int(np.searchsorted(np.cumsum(chance), rng.random() * chance.sum(), side="right")), len(open_arcs) - 1)])
-            p, a = t.walk(words[unit:], rng, int(t.ends[arc]))
-            p, a = np.concatenate([[unit], p + unit]), np.concatenate([[arc], a])
-        places, arcs = np.concatenate([places, p]), np.concatenate([arcs, a])
+class Search:
+    """The best-first search of one text; it opens one subspace a step."""
+
+    def __init__(self, t: Table, words: np.ndarray, k: int, seed: int):
+        self.t, self.words, self.k, self.seed = t, words, k, seed
+        self.rng = np.random.Generator(np.random.PCG64(seed))
+        self.out: list[tuple[np.ndarray, float, float]] = []
+        # (-maximum, tie, places and arcs up to the node, log probability so far, arcs excluded at the node, its unit's place, its state)
+        none = np.empty(0, np.int64)
+        self.heap: list[tuple] = [(math.log(-math.log(self.rng.random())), 0, none, none, 0.0, (), 0, None)]
+        self.ties = 1
+
+    def opened(self) -> tuple[np.ndarray, int | None]:
+        """The units that are to be walked, and the state in which the first begins, if not its first."""
+        value, _, self.places, self.arcs, self.log_prob, self.excluded, self.unit, self.state = heapq.heappop(self.heap)
+        self.value, self.head = -value, len(self.arcs)
+        if self.state is None:
+            return self.words, None
+        t = self.t
+        open_arcs = np.array([x for x in range(t.first[self.state], t.first[self.state + 1]) if x not in self.excluded], dtype=np.int64)
+        chance = np.exp(t.logs[open_arcs] - t.logs[open_arcs].max())
+        arc = int(open_arcs[min(int(np.searchsorted(np.cumsum(chance), self.rng.random() * chance.sum(), side="right")), len(open_arcs) - 1)])
+        self.places, self.arcs = np.append(self.places, self.unit), np.append(self.arcs, arc)
+        return self.words[self.unit :], int(t.ends[arc])
+
+    def keys(self) -> np.ndarray:
+        """A number for each unit that is to be walked."""
+        place = np.arange(self.unit, len(self.words)).astype(np.uint64)
+        return mix((place << np.uint64(24) | np.uint64(len(self.out))) ^ np.uint64(self.seed))
+
+    def walked(self, p: np.ndarray, a: np.ndarray) -> None:
+        """Takes the segmentation that the walk ended, and splits what is left of the subspace at its nodes."""
+        t, head, state = self.t, self.head, self.state
+        places, arcs = np.concatenate([self.places, p + self.unit]), np.concatenate([self.arcs, a])
         logs = t.logs[arcs[head:]]
-        before = log_prob + np.concatenate([[0.0], np.cumsum(logs)])
-        out.append((arcs, float(before[-1]), value))
+        before = self.log_prob + np.concatenate([[0.0], np.cumsum(logs)])
+        self.out.append((arcs, float(before[-1]), self.value))
         if not len(logs):
-            continue
+            return
         with np.errstate(divide="ignore"):
             rest = np.log(np.maximum(0.0, -np.expm1(logs)))
         rest[logs > -1e-13] = -np.inf
         if state is not None:
-            left = [x for x in range(t.first[state], t.first[state + 1]) if x not in excluded and x != arcs[head]]
+            left = [x for x in range(t.first[state], t.first[state + 1]) if x not in self.excluded and x != arcs[head]]
             rest[0] = math.log(max(math.fsum(np.exp(t.logs[left])), 5e-324)) if left else -math.inf
-        found = truncated(before[:-1] + rest, value, rng)
-        want = k + 1 - len(out)  # no more of one path's subspaces can matter
+        found = truncated(before[:-1] + rest, self.value, self.rng)
+        want = self.k + 1 - len(self.out)  # no more of one path's subspaces can matter
         best = np.argpartition(-found, want - 1)[:want] if len(found) > want else np.arange(len(found))
         for i in best[np.isfinite(found[best])].tolist():
-            gone = (*excluded, int(arcs[head])) if i == 0 and state is not None else (int(arcs[head + i]),)
-            heapq.heappush(heap, (-float(found[i]), ties, places[: head + i], arcs[: head + i], float(before[i]), gone, int(places[head + i]), t.state_of(int(arcs[head + i]))))
-            ties += 1
-    return out, -heap[0][0] if heap else -math.inf
+            gone = (*self.excluded, int(arcs[head])) if i == 0 and state is not None else (int(arcs[head + i]),)
+            heapq.heappush(self.heap, (-float(found[i]), self.ties, places[: head + i], arcs[: head + i], float(before[i]), gone, int(places[head + i]), t.state_of(int(arcs[head + i]))))
+            self.ties += 1
+
+
+def top_k(t: Table, words: list[np.ndarray], k: int, seeds: list[int]) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+    """For each text (arcs, log probability, perturbed) of the k segmentations with the largest perturbations, and the next one's, or -inf."""
+    searches = [Search(t, w, k, s) for w, s in zip(words, seeds, strict=True)]
+    for _ in range(k):
+        going = [x for x in searches if x.heap]
+        opened = [x.opened() for x in going]
+        if not going:
+            break
+        ends = np.cumsum([len(w) for w, _ in opened])
+        begins = ends - [len(w) for w, _ in opened]
+        inside = [i for i, (_, state) in enumerate(opened) if state is not None]
+        p, a = t.walk(np.concatenate([w for w, _ in opened]), np.concatenate([x.keys() for x in going]), begins[inside], np.array([opened[i][1] for i in inside], dtype=np.int64))
+        cuts = np.searchsorted(p, np.append(begins, ends[-1])).tolist()
+        for x, begin, c, d in zip(going, begins.tolist(), cuts, cuts[1:], strict=False):
+            x.walked(p[c:d] - begin, a[c:d])
+    return [(x.out, -x.heap[0][0] if x.heap else -math.inf) for x in searches]
 
 
 def inclusion(log_prob: float, kappa: float) -> float:
@@ -272,11 +360,14 @@ def sample(docs: DataFrame, model_path: str, k: int = SAMPLES, alpha: float = AL
 
     def task(batches):
         lattice = load(model_path, alpha)
+        t = Table(lattice)
         for b in blocks(batches, "text", LAID_OUT):
             texts = b.column("text").to_pylist()
-            t, rows = Table(lattice, texts), []
-            for doc, content, words in zip(b.column("doc_id").to_pylist(), texts, t.words, strict=True):
-                found, kappa = top_k(t, words, k, np.random.Generator(np.random.PCG64(seed_of(seed, doc, content))))
+            if len(t.points) > KEPT:
+                t = Table(lattice)
+            rows, ids_of = [], b.column("doc_id").to_pylist()
+            drawn = top_k(t, t.add(texts), k, [seed_of(seed, doc, content) for doc, content in zip(ids_of, texts, strict=True)])
+            for doc, (found, kappa) in zip(ids_of, drawn, strict=True):
                 for i, (arcs, log_prob, value) in enumerate(found):
                     ids = t.ids(arcs)
                     rows.append((doc, i + 1, len(ids), log_prob, value, inclusion(log_prob, kappa), zlib.crc32(ids.astype("<u4")), zlib.crc32(decoded(lattice, ids.tolist())), ids if with_ids else None))

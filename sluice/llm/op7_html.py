@@ -9,8 +9,12 @@ that are never content (see html_tokens), each page's lengths as shares of its t
 
 Extraction. Each template is aligned with its host's wrapper, which tells its slots from its fixed texts. Its main region is
 the innermost element that holds nearly all text of its slots; the host's is that of most pages, and holds for templates that
-have none of their own but have at least half of their slots' text in it, or have no slots. A page's main text is that of its
-first element with its region's signature; a page without one uses its article or main element, else the whole page. Parts
+have none of their own but have at least half of their slots' text in it, or have no slots. Every page is matched with its
+host's wrapper (or, if its template has a region of its own, with that template, whose shape it has), and its main text is
+that of the element at the region's place, whatever its name; so a region needs no telling tag or class. Within a region that
+isn't an article or main element, texts that the wrapper of at least FIXED pages holds fixed are the site's own and left out,
+if the slots hold at least half of the page's text there. Where nothing matches the region's place, the first element with its
+signature counts; a page without one uses its article or main element, else the whole page. Parts
 that are never content are left out everywhere.
 
 Hosts' regions, and those of templates that differ, are broadcast while their size stays below MAX_BYTES each, and joined to
@@ -38,6 +42,8 @@ MAX_BYTES = 32 << 20
 SHARE = 0.9
 #: Streams of a host that one step of the tree merges, and elements that a task holds before it hands its templates on.
 FAN, HELD = 16, 500_000
+#: Pages of a host from which its wrapper's fixed texts count as the site's own.
+FIXED = 8
 MAIN = ("article", "main")
 CONTENT = frozenset("article content entry main post story".split())
 #: Texts up to this length stand in a wrapper as they are, longer ones by their beginning and a hash of the whole.
@@ -53,9 +59,15 @@ WHOLE = 1_000_000
 
 def stream(page: str) -> list:
     """The page's elements, folded, with lengths in parts of WHOLE; texts in parts that are never content have length 0."""
+    return placed(page)[0]
+
+
+def placed(page: str) -> tuple[list, list[int]]:
+    """stream, and the number of the first token of each of its elements."""
     out: list = []
+    at: list[int] = []
     skipped = Regions()
-    for t in tokens(page):
+    for k, t in enumerate(tokens(page)):
         if isinstance(t, str):
             if words := t.split():
                 literal = " ".join(words)
@@ -63,6 +75,7 @@ def stream(page: str) -> list:
                 if len(literal) > LITERAL:
                     literal = f"{literal[:LITERAL]} {hashlib.blake2b(literal.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
                 out.append(["text", literal, size])
+                at.append(k)
             continue
         if skipped.depth:
             if skipped.see(t):
@@ -71,11 +84,12 @@ def stream(page: str) -> list:
             skipped.open(t)
         if t.name in BLOCK or t.name in ("a", "span"):
             out.append(["close", t.name] if t.closing else ["tag", t.signature])
+            at.append(k)
     total = sum(e[2] for e in out if e[0] == "text")
     for e in out:
         if e[0] == "text":
             e[2] = e[2] * WHOLE // total if total else 0
-    return fold(out)
+    return fold(out, at), at
 
 
 def shape(e: list) -> str:
@@ -101,26 +115,30 @@ def merge(a: list, b: list) -> list:
     return a
 
 
-def fold(elements: list, longest: int = 12) -> list:
-    """Adjacent groups of one shape, each of up to longest elements, become one repeated group; inner groups first."""
+def fold(elements: list, at: list[int] | None = None, longest: int = 12) -> list:
+    """Adjacent groups of one shape, each of up to longest elements, become one repeated group; inner groups first. at: numbers
+    of the elements, of which a group keeps its first one's."""
     for width in range(1, longest + 1):
         out: list = []
         shapes = [shape(e) for e in elements]
-        at = 0
-        while at < len(elements):
-            group, same = elements[at : at + width], shapes[at : at + width]
+        kept, i = [], 0
+        while i < len(elements):
+            group, same = elements[i : i + width], shapes[i : i + width]
             times = 1
-            while len(group) == width and shapes[at + times * width : at + (times + 1) * width] == same:
+            while len(group) == width and shapes[i + times * width : i + (times + 1) * width] == same:
                 times += 1
-            if times > 1 and (width > 1 or elements[at][0] == "text"):
+            kept.append(i)
+            if times > 1 and (width > 1 or elements[i][0] == "text"):
                 for k in range(1, times):
-                    group = [merge(x, y) for x, y in zip(group, elements[at + k * width : at + (k + 1) * width], strict=True)]
+                    group = [merge(x, y) for x, y in zip(group, elements[i + k * width : i + (k + 1) * width], strict=True)]
                 out.append(["rep", group])
-                at += times * width
+                i += times * width
             else:
-                out.append(elements[at])
-                at += 1
+                out.append(elements[i])
+                i += 1
         elements = out
+        if at is not None:
+            at[:] = [at[i] for i in kept]
     return elements
 
 
@@ -249,41 +267,56 @@ def leaves(elements: list, single: bool = True):
             yield e, single
 
 
-def main_region(wrapper: list) -> tuple[str, list[str] | None]:
-    """The signature of the innermost element that holds SHARE of the text that slots hold, empty if none does; and those of
-    all that hold half of it, None without slots. Only the first element of a signature counts, as only that is extracted."""
-    flat = list(leaves(wrapper))
-    total = sum(e[2] for e, _ in flat if e[0] == "slot")
+def main_region(wrapper: list) -> tuple[str, int, list[str] | None]:
+    """The innermost element that holds SHARE of the text that slots hold, as signature and place in the wrapper, empty and -1
+    if none does; and the signatures of all that hold half of it, None without slots."""
+    flat = [(e, once, i) for i, x in enumerate(wrapper) for e, once in leaves([x])]
+    total = sum(e[2] for e, _, _ in flat if e[0] == "slot")
     if not total:
-        return "", None
-    held: dict[str, int] = {}  # of first elements, in their order
-    single: dict[str, bool] = {}
-    stack: list[tuple[str, bool]] = []  # signature, whether it is the first of it
-    for e, once in flat:
+        return "", -1, None
+    opened: list[list] = []  # signature, place, whether it stands in no repeated group, text of slots
+    stack: list[list] = []
+    for e, once, i in flat:
         if e[0] == "slot":
-            for signature, first in stack:
-                if first:
-                    held[signature] += e[2]
+            for x in stack:
+                x[3] += e[2]
         elif e[0] == "tag" and e[1].split(".")[0] in ("article", "main", "section", "div", "td", "body"):
-            stack.append((e[1], e[1] not in held))
-            if e[1] not in held:
-                held[e[1]], single[e[1]] = 0, once
-        elif e[0] == "close" and any(x.split(".")[0] == e[1] for x, _ in stack):
+            opened.append([e[1], i, once, 0])
+            stack.append(opened[-1])
+        elif e[0] == "close" and any(x[0].split(".")[0] == e[1] for x in stack):
             while stack and stack.pop()[0].split(".")[0] != e[1]:
                 pass
-    fit = [x for x in held if not MARKS & set(x.split(".")[1:])]
-    good = [x for x in fit if single[x] and held[x] >= SHARE * total]
-    named = [x for x in good if x.split(".")[0] in MAIN]
-    return (named or good or [""])[-1], [x for x in fit if 2 * held[x] >= total]
-
-
-def template_region(wrapper: list, template: list) -> tuple[str, list[str] | None]:
-    """main_region of a template, its slots being also the texts that are slots of its host's wrapper."""
-    for i, j in matches([core(e) for e in wrapper], [core(e) for e in template]):
+    fit = [x for x in opened if not MARKS & set(x[0].split(".")[1:])]
+    good = [x for x in fit if x[2] and x[3] >= SHARE * total]
+    named = [x for x in good if x[0].split(".")[0] in MAIN]
+    best = (named or good or [["", -1]])[-1]
+    return best[0], best[1], sorted({x[0] for x in fit if 2 * x[3] >= total})
+
+
+def template_region(wrapper: list, template: list) -> tuple[str, int, int, list[str] | None]:
+    """main_region of a template, its slots being also the texts that are slots of its host's wrapper; and its place in that
+    wrapper, or -1."""
+    same = matches([core(e) for e in wrapper], [core(e) for e in template])
+    for i, j in same:
         for (x, _), (y, _) in zip(leaves([wrapper[i]]), leaves([template[j]]), strict=True):
             if y[0] == "text" and x[0] == "slot":
                 y[0] = "slot"
-    return main_region(template)
+    region, place, halves = main_region(template)
+    return region, place, {j: i for i, j in same}.get(place, -1), halves
+
+
+class Wrapper:
+    """A host's wrapper and the place of its region, ready to be matched with pages."""
+
+    def __init__(self, elements: list, place: int, pages: int):
+        self.cores, self.place = [core(e) for e in elements], place
+        self.fixed = {i for i, e in enumerate(elements) if e[0] == "text"} if pages >= FIXED else set()
+
+    def match(self, page: list, at: list[int]) -> tuple[int | None, set[int]]:
+        """The numbers of the tokens at which the region begins, if it was met, and that hold fixed texts."""
+        same = matches(self.cores, [core(e) for e in page])
+        begins = next((j for i, j in same if i == self.place), None)
+        return None if begins is None else at[begins], {at[j] for i, j in same if i in self.fixed}
 
 
 def name_of(elements: list) -> str:
@@ -291,8 +324,9 @@ def name_of(elements: list) -> str:
     return hashlib.blake2b(" ".join(map(shape, elements)).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def blocks_of(page: str, region: str) -> list[str]:
-    """The texts of the blocks of the first element with the region's signature; of the whole page if region is None."""
+def blocks_of(page: str, region: str | int | None, without: set[int] = frozenset()) -> list[str]:
+    """The texts of the blocks of the element that a token begins, or of the first with a signature; of the whole page if region
+    is None. Tokens of numbers without are left out."""
     out: list[str] = []
     now: list[str] = []
     inside, skipped = Regions(), Regions()
@@ -303,13 +337,13 @@ def blocks_of(page: str, region: str) -> list[str]:
             out.append(text)
         now.clear()
 
-    for t in tokens(page):
+    for k, t in enumerate(tokens(page)):
         if isinstance(t, str):
             if found and not skipped.depth:
-                now.append(t)
+                now.append(" " if k in without else t)
             continue
         if not found:
-            if not t.closing and t.signature == region:
+            if not t.closing and (k == region if isinstance(region, int) else t.signature == region):
                 found = True
                 inside.open(t)
             continue
@@ -330,10 +364,14 @@ def blocks_of(page: str, region: str) -> list[str]:
     return out
 
 
-def main_text(page: str, region: str) -> str:
-    """The page's main text; region may be empty."""
-    for r in [region] if region else []:
+def main_text(page: str, region: str, begins: int | None = None, fixed: set[int] = frozenset()) -> str:
+    """The page's main text: of the element that the token ``begins`` opens, else of the first with the region's signature."""
+    for r in ([] if begins is None else [begins]) + ([region] if region else []):
         if texts := blocks_of(page, r):
+            if r == begins and fixed and region.split(".")[0] not in MAIN:
+                own = blocks_of(page, r, fixed)
+                if 2 * sum(map(len, own)) >= sum(map(len, texts)):
+                    texts = own
             return "\n\n".join(texts)
     tags = [t for t in tokens(page) if isinstance(t, Tag) and not t.closing]
     tags = [t for t in tags if t.name in MAIN] or [t for t in tags if t.name in ("div", "section", "td") and t.marks & CONTENT and not t.dropped]
@@ -395,8 +433,8 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, name, region, wrapper (its regular expression) and pages: of each host, with a null name, and of each template
-    whose region isn't its host's, with a null wrapper."""
+    """host, name, region, place (of the region), wrapper (its regular expression), stream (its elements) and pages: of each
+    host, with a null name, and of each template whose region isn't its host's, with a null wrapper."""
     found = templates(pages, url, html)
     now = found
     while True:
@@ -414,49 +452,77 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
                 if h != host:
                     host, wrapper = h, json.loads(of_host)
                 out.append((h, name, n, *template_region(wrapper, json.loads(text))))
-            yield rows_of(out, *STREAM[:3], ("region", pa.string()), ("halves", pa.list_(pa.string())))
+            yield rows_of(out, *STREAM[:3], ("region", pa.string()), ("place", pa.int32()), ("in_host", pa.int32()), ("halves", pa.list_(pa.string())))
 
     own = found.join(now.select("host", F.col("stream").alias("of_host")), "host").select("host", "name", "pages", "stream", "of_host")
-    own = settled(own.mapInArrow(regions, "host string, name string, pages long, region string, halves array<string>"))
-    votes = own.filter("region <> ''").groupBy("host", "region").agg(F.sum("pages").alias("n"))
-    most = votes.groupBy("host").agg(F.max_by("region", F.struct("n", "region")).alias("most"))
+    own = settled(own.mapInArrow(regions, "host string, name string, pages long, region string, place int, in_host int, halves array<string>"))
+    votes = own.filter("region <> ''").groupBy("host", "region", "in_host").agg(F.sum("pages").alias("n"))
+    # the element of most pages, by name, then the place at which most of them have it
+    votes = votes.groupBy("host", "region").agg(F.sum("n").alias("n"), F.max_by("in_host", F.struct("n", "in_host")).alias("place"))
+    most = votes.groupBy("host").agg(F.max_by(F.struct("region", "place"), F.struct("n", "region")).alias("most"))
 
     def written(batches):
         for b in batches:
-            yield rows_of([(h, expression(json.loads(x)), n) for h, x, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)], ("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64()))
+            yield rows_of([(h, expression(json.loads(x)), x, n) for h, x, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)], ("host", pa.string()), ("wrapper", pa.string()), ("stream", pa.string()), ("pages", pa.int64()))
 
-    hosts = now.select("host", "stream", "pages").mapInArrow(written, "host string, wrapper string, pages long").join(most, "host", "left")
-    hosts = hosts.select("host", F.lit(None).cast("string").alias("name"), F.coalesce("most", F.lit("")).alias("region"), "wrapper", "pages")
-    follows = (F.col("region") == "") & (F.col("halves").isNull() | F.array_contains("halves", F.col("most")))
-    others = own.join(most, "host").filter(~follows & (F.col("region") != F.col("most")))
-    return hosts.unionByName(others.select("host", "name", "region", F.lit(None).cast("string").alias("wrapper"), "pages"))
+    hosts = now.select("host", "stream", "pages").mapInArrow(written, "host string, wrapper string, stream string, pages long").join(most, "host", "left")
+    hosts = hosts.select("host", F.lit(None).cast("string").alias("name"), F.coalesce("most.region", F.lit("")).alias("region"), F.coalesce("most.place", F.lit(-1)).alias("place"), "wrapper", "stream", "pages")
+    follows = (F.col("region") == "") & (F.col("halves").isNull() | F.array_contains("halves", F.col("most.region")))
+    others = own.join(most, "host").filter(~follows & ((F.col("region") != F.col("most.region")) | (F.col("in_host") != F.col("most.place"))))
+    none = F.lit(None).cast("string")
+    return hosts.unionByName(others.select("host", "name", "region", "place", none.alias("wrapper"), none.alias("stream"), "pages"))
 
 
 def extract(pages: DataFrame, found: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of each row; found: hosts and templates, and their regions."""
-    found = settled(found.select("host", "name", "region"))
-    regions = found.filter("name is null and region <> ''").select("host", "region")
-    others = found.filter("name is not null").select("host", "name", F.col("region").alias("own"))
-    small = lambda x: F.broadcast(x) if (x.agg(F.sum(sum(F.octet_length(c) for c in x.columns) + 100)).first()[0] or 0) <= MAX_BYTES else x
+    found = settled(found.select("host", "name", "region", "place", "stream", "pages"))
+    regions = found.filter("name is null and region <> ''").select("host", "region", "place", "stream", "pages")
+    others = found.filter("name is not null").select("host", "name", F.struct("region", "place").alias("own"))
+    size = lambda x: x.agg(F.sum(sum(F.octet_length(F.to_json(F.struct(c))) for c in x.columns) + 100)).first()[0] or 0
+    small = lambda x: F.broadcast(x) if size(x) <= MAX_BYTES else x
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("host", split_url(F.col("url"))[0])
     kind = dict(pages.dtypes)[key]
-    rows = rows.join(small(regions), "host", "left")
+    of_host, given = F.lit(None).cast("struct<region:string,place:int,stream:string,pages:bigint>").alias("of_host"), None
+    if size(regions) <= MAX_BYTES:  # by host in each worker, so that a wrapper doesn't travel with each page
+        given = pages.sparkSession.sparkContext.broadcast({r["host"]: (r["region"], r["place"], r["stream"], r["pages"]) for r in regions.collect()})
+    else:
+        rows, of_host = rows.join(regions, "host", "left"), F.when(F.col("region").isNotNull(), F.struct("region", "place", "stream", "pages")).alias("of_host")
+    rows = rows.select("page_id", "url", "html", "host", of_host)
+    of_page = F.lit(None).cast("struct<region:string,place:int>")
     if not others.isEmpty():
 
         def named(batches):
             for b in batches:
                 names = [name_of(stream(x)) if v else None for x, v in zip(b.column("html").to_pylist(), b.column("varied").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(names, pa.string())], names=["page_id", "url", "html", "host", "region", "name"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(names, pa.string())], names=[*b.schema.names[:5], "name"])
 
         varied = others.select("host").distinct().withColumn("varied", F.lit(True))
-        rows = rows.join(small(varied), "host", "left").select("page_id", "url", "html", "host", "region", "varied")
-        rows = rows.mapInArrow(named, f"page_id {kind}, url string, html string, host string, region string, name string")
-        rows = rows.join(small(others), ["host", "name"], "left").withColumn("region", F.coalesce("own", "region"))
-    rows = rows.select("page_id", "url", "html", "region")
+        rows = rows.join(small(varied), "host", "left").select("page_id", "url", "html", "host", "of_host", "varied")
+        rows = rows.mapInArrow(named, f"page_id {kind}, url string, html string, host string, of_host struct<region:string,place:int,stream:string,pages:bigint>, name string")
+        rows, of_page = rows.join(small(others), ["host", "name"], "left"), F.col("own")
+    rows = rows.select("page_id", "url", "html", "host", "of_host", of_page["region"].alias("own"), of_page["place"].alias("own_place"))
+
+    def text_of(page: str, wrapper: Wrapper | None, region: str, own: str | None, own_place: int | None) -> str:
+        if wrapper is None and own is None:
+            return main_text(page, "")
+        elements, at = placed(page)
+        begins, fixed = wrapper.match(elements, at) if wrapper else (None, set())
+        if own is not None:  # the template's own region, at its place in each page of the template
+            region, begins = own, at[own_place] if own_place >= 0 else None
+        return main_text(page, region, begins, fixed)
 
     def task(batches):
+        held: dict = {}
         for b in blocks(batches, "html"):
-            texts = [main_text(x, r or "") for x, r in zip(b.column("html").to_pylist(), b.column("region").to_pylist(), strict=True)]
+            texts = []
+            for page, host, joined, own, own_place in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                if host not in held:
+                    if len(held) > 1000:
+                        held.clear()
+                    region, place, elements, n = (joined.values() if joined else ("", -1, "", 0)) if given is None else given.value.get(host, ("", -1, "", 0))
+                    held[host] = region, Wrapper(json.loads(elements), place, n) if region else None
+                region, wrapper = held[host]
+                texts.append(text_of(page, wrapper, region, own, own_place))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(task, f"page_id {kind}, url string, text string, n_chars long")

@@ -413,6 +413,28 @@ def test_op3_samples(spark, folder, documents):
     assert back == {(d, (t or "").replace("\u2581", " ")) for d, t in documents}
 
 
+def test_op3_long_text_without_spaces(spark, monkeypatch):
+    """One unit of many characters, units that are laid out again, and thresholds that don't depend on a state's number."""
+    from sluice.llm import op3_pieces as o
+
+    path = public_tokenizers.path(o.MODEL)
+    docs = spark.createDataFrame([(1, "abcdefgh" * 12_000), (2, "the abcdefgh"), (3, "  two  spaces "), (4, "the abcdefgh the")], "doc_id long, text string")
+    got = {(r.doc_id, r.sample): r for r in o.sample(docs, path, with_ids=True).collect()}
+    assert len(got) == 8 and got[1, 1].text_crc32 == zlib.crc32(b"abcdefgh" * 12_000)
+    monkeypatch.setattr(o, "KEPT", 0)
+    monkeypatch.setattr(o, "LAID_OUT", 1)
+    assert {(r.doc_id, r.sample): r for r in o.sample(docs.coalesce(1), path, with_ids=True).collect()} == got
+    lattice = o.load(path)
+    alone, late = o.Table(lattice, ["the end"]), o.Table(lattice, ["some other words come before", "the end"])
+    u, v = alone.words[0][1], late.words[1][1]
+    span = lambda t, w: slice(t.first[t.base[w]], t.first[t.stop[w]])
+    assert (alone.cum[span(alone, u)] == late.cum[span(late, v)]).all() and (alone.logs[span(alone, u)] == late.logs[span(late, v)]).all()
+    units = o.Units()
+    for text in ("▁a▁b", "a▁b", "▁▁a▁", "", "▁", "a▁▁▁b▁c"):
+        units.numbers(text)
+        assert [o.unit_of(list(units)[i]) for i in units.numbers(text)] == o.UNITS.findall(text)
+
+
 def test_op3_distribution():
     import numpy as np
 
@@ -432,8 +454,7 @@ def test_op3_distribution():
     p = {a + b: math.exp(x + y) for a, x in first for b, y in second}
     z = sum(p.values())
     n, seen, weighed = 4000, Counter(), Counter()
-    for s in range(n):
-        found, kappa = o.top_k(t, t.words[0], 3, np.random.Generator(np.random.PCG64(s)))
+    for found, kappa in o.top_k(t, [t.words[0]] * n, 3, [int(x) for x in np.random.default_rng(8).integers(0, 1 << 63, n)]):
         ids = [tuple(t.ids(arcs).tolist()) for arcs, _, _ in found]
         assert len(set(ids)) == 3 and all(abs(math.exp(x) - p[i] / z) < 1e-9 for i, (_, x, _) in zip(ids, found, strict=True))
         seen[ids[0]] += 1
@@ -443,5 +464,5 @@ def test_op3_distribution():
         assert abs(seen[i] / n - q / z) < 0.03
     assert abs(sum(weighed[i] / n * p[i] / z for i in p) - 1) < 0.01
     short = o.Table(lattice, ["a"])
-    found, kappa = o.top_k(short, short.words[0], 50, np.random.Generator(np.random.PCG64(1)))
+    [(found, kappa)] = o.top_k(short, short.words, 50, [1])
     assert len(found) < 50 and kappa == -math.inf and abs(sum(math.exp(x) for _, x, _ in found) - 1) < 1e-9

@@ -70,3 +70,38 @@ def test_merges_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
     made = spark.createDataFrame(pages, "page_id long, url string, html string")
     first, second = (sorted(map(str, o.wrappers(made.repartition(n)).collect())) for n in (1, 7))
     assert first == second
+
+
+def test_region_by_its_place(spark):
+    """No element has a telling name: the wrapper alone tells the article, which is the second div, from the first."""
+    side = "<div><h3>Elsewhere</h3><a href=/x>one</a></div>"
+    pages = [(i, "https://plain.example.com/x", f"<body>{side}<div><h2>title {i}</h2><p>{'own words ' * 20}{i}</p><em>All rights kept by the site</em></div><div><a href=/y>end</a></div></body>") for i in range(12)]
+    got = texts(spark, pages)
+    for i in range(12):
+        assert got[i].startswith(f"title {i}\n\n{'own words ' * 20}{i}") and "Elsewhere" not in got[i] and "end" not in got[i] and "rights" not in got[i]
+    bare = {i: o.main_text(h, "") for i, _, h in pages}
+    assert all("Elsewhere" in x for x in bare.values())  # what there is without the wrapper
+    few = texts(spark, pages[: o.FIXED - 1])
+    assert all("rights" in x and "Elsewhere" not in x for x in few.values())
+
+
+def test_fixed_texts_of_articles_stay(spark):
+    pages = [(i, "https://named.example.com/x", f"<body><article><h2>Summary</h2><p>{'own words ' * 20}{i}</p></article></body>") for i in range(12)]
+    assert all(t.startswith("Summary\n\n") for t in texts(spark, pages).values())
+
+
+def test_wrappers_that_are_joined(spark, monkeypatch):
+    pages = [(i, f"https://h{i % 3}.example.com/x", f"<body><div><b>menu</b></div><div><h2>t{i}</h2><p>{'own words ' * 20}{i}</p></div></body>") for i in range(30)]
+    want = texts(spark, pages)
+    assert all(want[i].startswith(f"t{i}\n\nown") for i in range(30))
+    monkeypatch.setattr(o, "MAX_BYTES", 0)
+    assert texts(spark, pages) == want
+
+
+def test_places_follow_folding():
+    page = "<body><div><p>a</p><p>b</p><p>c</p></div><section>x</section></body>"
+    elements, at = o.placed(page)
+    kinds = [o.shape(e) for e in elements]
+    tokens = list(o.tokens(page))
+    assert len(at) == len(elements) and at == sorted(at)
+    assert tokens[at[kinds.index("tag:section")]].name == "section"
