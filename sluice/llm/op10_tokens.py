@@ -5,7 +5,12 @@ tokenizer's own digest; only distinct contents that it lacks are encoded, and th
 text meet in a partial aggregate before the shuffle, so a text that fills a third of the table moves once a task; the
 join of counts back to rows moves digests, not texts, and adaptive execution splits its hot digests.
 
-Null texts are empty and have 0 tokens; repeated rows and ids keep their rows; an empty table gives no rows. The count
+The query's cache stays: it is the folder that spark.sluice.tokenCache names, else one below the shared folder, so a second run
+encodes only what the first hadn't met. Adaptive execution splits a hot digest's partition where it is larger than
+spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes; below that a task reads it whole, some 40 bytes a row.
+
+Null texts are empty and have 0 tokens; repeated rows and ids keep their rows; an empty table gives no rows. Only id and text are
+read, so other columns can't clash. A very long text is a block of its own in a worker. The count
 doesn't depend on what the cache held before.
 """
 
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import blocks, keyed_text, settled, shared_path, table
+from .common import blocks, ensure_checkpoints, keyed_text, settled, table
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,10 +70,14 @@ def _cache(spark: SparkSession, path: str, version: str) -> DataFrame | None:
     return spark.read.schema(CACHE_SCHEMA).parquet(path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def cache_folder(spark: SparkSession) -> str:
+    """Where the query's cache is, run after run."""
+    return spark.conf.get("spark.sluice.tokenCache", None) or f"{ensure_checkpoints(spark).rstrip('/')}/token-cache"
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts of all documents by the byte-level vocabulary, over a cache that begins empty."""
+    """The counts of all documents by the byte-level vocabulary."""
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents")
-    out = count_tokens(docs, public_tokenizers.path(TOKENIZER), shared_path(spark, "token-cache"))
+    out = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache_folder(spark))
     return out.withColumn("over_limit", F.col("n_tokens") > LIMIT)

@@ -9,7 +9,8 @@ beyond that the listed keys are joined, which gives the same answer.
 
 Distinct hosts are made by a partial aggregate before the shuffle, so a host that holds a third of the pages moves once a
 task. A null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed; rows with equal or null
-ids stay rows of their own; an empty table or an empty list gives empty filters.
+ids stay rows of their own; an empty table or an empty list gives empty filters. Only id and url are read, so other columns
+can't clash; a very long url is a row like others. The list may be a table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, settled, table
+from .common import bit_table, lower_ascii, mix, settled, table
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -67,23 +68,16 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
-    """A Bloom filter of n keys; each task ORs its own keys, and the driver gets one filter's bytes a task group."""
+    """A Bloom filter of n keys; tasks make blocks of its bits, so the driver gets the filter's bytes once."""
     n_bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-    blank = Level(np.zeros((n_bits + 7) // 8, dtype=np.uint8), n_bits, max(1, round(n_bits / n * math.log(2))) if n else 1, seed)
+    level = Level(np.zeros(0, dtype=np.uint8), n_bits, max(1, round(n_bits / n * math.log(2))) if n else 1, seed)
 
     def task(batches):
-        words: dict[int, int] = {}
         for b in batches:
-            at = np.unique(blank.positions(b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)))
-            for w, x in zip((at >> np.uint64(6)).tolist(), (np.uint64(1) << (at & np.uint64(63))).tolist(), strict=True):
-                words[w] = words.get(w, 0) | x
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array(np.array(list(words.values()), dtype=np.uint64).view(np.int64))], names=["word", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(level.positions(b.column("key").to_numpy(zero_copy_only=False).view(np.uint64))).view(np.int64))], names=["at"])
 
-    out = np.zeros((n_bits + 63) // 64, dtype=np.uint64)
-    for r in keys.mapInArrow(task, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
-        out[r["word"]] = r["bits"] & ((1 << 64) - 1)
-    blank.bits = out.view(np.uint8)
-    return blank
+    level.bits = bit_table(keys.select("key").mapInArrow(task, "at long"), "at", n_bits)
+    return level
 
 
 def cascade(universe: DataFrame, size_limit: int = MAX_BYTES) -> list[Level] | None:
@@ -122,10 +116,17 @@ def member(levels: list[Level], keys: np.ndarray) -> np.ndarray:
     return depth % 2 == 1
 
 
-def blocked_hosts(pages: DataFrame, blocked: tuple[str, ...], url: str = "url", size_limit: int = MAX_BYTES):
+def names_of(spark: SparkSession, blocked: tuple[str, ...] | DataFrame) -> DataFrame:
+    """name: each listed domain once; a list may be a table, of which the first column counts."""
+    if isinstance(blocked, DataFrame):
+        return blocked.select(lower_ascii(F.col(blocked.columns[0])).alias("name")).filter("name is not null").distinct()
+    return spark.createDataFrame([(x,) for x in sorted(set(blocked))], "name string")
+
+
+def blocked_hosts(pages: DataFrame, blocked: tuple[str, ...] | DataFrame, url: str = "url", size_limit: int = MAX_BYTES):
     """A function of a host column: whether the host or a domain above it is in the list."""
     spark = pages.sparkSession
-    listed = spark.createDataFrame([(x,) for x in sorted(set(blocked))], "name string").select("name", F.lit(True).alias("listed"))
+    listed = names_of(spark, blocked).select("name", F.lit(True).alias("listed"))
     hosts = pages.select(split_url(F.col(url))[0].alias("host")).distinct()
     names = hosts.select(F.explode(suffixes(F.col("host"))).alias("name")).distinct().join(listed, "name", "left")
     universe = names.select(key_hash(F.col("name")).alias("key"), F.coalesce("listed", F.lit(False)).alias("listed"))
@@ -146,7 +147,7 @@ def blocked_hosts(pages: DataFrame, blocked: tuple[str, ...], url: str = "url",
     return lambda host: inside(F.transform(suffixes(host), key_hash))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, blocked: tuple[str, ...] = BLOCKED, key: str = "page_id", url: str = "url", size_limit: int = MAX_BYTES) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, blocked: tuple[str, ...] | DataFrame = BLOCKED, key: str = "page_id", url: str = "url", size_limit: int = MAX_BYTES) -> DataFrame:
     """page_id, host, path, rule and verdict of each row."""
     host, path = split_url(F.col(url))
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
@@ -157,7 +158,7 @@ def filter_urls(pages: DataFrame, rules=RULES, blocked: tuple[str, ...] = BLOCKE
     rows = rows.withColumns({"rule": rule, "by_rule": verdict})
     inside = blocked_hosts(pages, blocked, url, size_limit)
     if inside is None:  # the list is too long to broadcast
-        listed = pages.sparkSession.createDataFrame([(x,) for x in sorted(set(blocked))], "name string")
+        listed = names_of(pages.sparkSession, blocked)
         hit = rows.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("name")).join(listed, "name", "left_semi").select("host").distinct().withColumn("hit", F.lit(True))
         rows = rows.join(hit, "host", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     else:

@@ -47,6 +47,33 @@ def test_op1_base(spark, folder, documents):
     assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) for r in got)
 
 
+def test_op1_resolves_as_pair_by_pair():
+    import random
+
+    from sluice.llm import op1_licenses as o
+
+    rng, rules = random.Random(9), o.compile_rules()
+    for n in (0, 1, 40, 400):
+        found = [(rng.choice(rules), a := rng.randrange(300), a + rng.randint(1, 9)) for _ in range(n)]
+        kept = []
+        for r, s, e in sorted(found, key=lambda x: (x[0].kind != "tag", x[1] - x[2], x[0].priority, x[1])):
+            if all(e <= p or q <= s for _, p, q in kept):
+                kept.append((r, s, e))
+        assert o.resolve(found) == sorted(kept, key=lambda x: x[1])
+    import time
+
+    began = time.process_time()
+    assert len(o.scan_text(b"SPDX-License-Identifier: MIT\n" * 20_000)[-1]) == 20_000 and time.process_time() - began < 20
+
+
+def test_op6_list_as_a_table(spark, folder):
+    from sluice.llm import op6_urls as o
+
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    listed = spark.createDataFrame([(x.upper(),) for x in o.BLOCKED] * 2 + [(None,)], "domain string")
+    assert sorted(map(str, o.filter_urls(pages, blocked=listed).collect())) == sorted(map(str, o.filter_urls(pages).collect()))
+
+
 def test_op2_round_trip(spark, folder, documents):
     got = rows(spark, "op2_packing", folder)
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -308,6 +335,33 @@ def test_op9_chains_and_split_blocks(spark, monkeypatch, chunk, rounds):
     same([r.asDict() for r in got], jaccard(docs), ["doc_id", "n_shingles", "component_id"])
 
 
+def test_components(spark, monkeypatch):
+    """A long path, stars around small and large nodes, a random graph, and tasks that hold few nodes."""
+    import random
+
+    from sluice.llm import graph
+    from sluice.llm.common import Shelf
+
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(-300, 300)] + [(1000, x) for x in range(2000, 2300)] + [(9999, x) for x in range(3000, 3300)] + [(7, 7)]
+    edges += [(5000 + rng.randrange(400), 5000 + rng.randrange(400)) for _ in range(300)]
+    rng.shuffle(edges)
+    up: dict[int, int] = {}
+    find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
+    for a, b in sorted(edges, reverse=True):
+        p, q = find(a), find(b)
+        up[max(p, q)] = min(p, q)
+    for nodes in (10, 1_000_000):
+        monkeypatch.setattr(graph, "NODES", nodes)
+        shelf = Shelf(spark, "graph")
+        got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5), shelf).collect()}
+        shelf.close()
+        want = {x: find(x) for a, b in edges for x in (a, b) if a != b}
+        assert got == want
+    shelf = Shelf(spark, "graph")
+    assert graph.components(spark.createDataFrame([], "a long, b long"), shelf).collect() == []
+
+
 def test_op9_large_group(spark):
     """2000 near copies, of which some link with few others or none."""
     import random
@@ -367,6 +421,20 @@ def test_op10_counts(spark, folder, documents):
     same(rows(spark, "op10_token_counts", folder), want, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 
+def test_op10_query_keeps_its_cache(spark, folder, tmp_path):
+    from sluice.llm import op10_tokens as o
+
+    spark.conf.set("spark.sluice.tokenCache", str(tmp_path / "kept"))
+    try:
+        first = rows(spark, "op10_token_counts", folder)
+        held = spark.read.parquet(str(tmp_path / "kept")).count()
+        assert sorted(map(str, rows(spark, "op10_token_counts", folder))) == sorted(map(str, first))
+        assert spark.read.parquet(str(tmp_path / "kept")).count() == held > 0
+    finally:
+        spark.conf.unset("spark.sluice.tokenCache")
+    assert o.cache_folder(spark) == o.cache_folder(spark)
+
+
 def test_op10_cache_encodes_only_misses(spark, tmp_path):
     from sluice.llm.op10_tokens import count_tokens
 
