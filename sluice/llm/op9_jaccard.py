@@ -12,6 +12,7 @@ from the start, however many copies there are.
    OR of their sets' bitmaps and the range of their sizes. A dual traversal drops a pair of nodes whose sizes can't link
    or whose common bits bound the overlap below what a link needs; for two sets the bound is the size of one less the
    bits that the other lacks. Pairs of sets that remain, in different components, put sets into groups: a row a set, not a pair.
+   Before that, sets leave a block in which no set of another component is near enough in size.
 4. The texts of these groups' sets meet in one task a group. There trees with finer bitmaps are traversed again, each pair
    that remains is verified on the whole sets, and sets that are joined already are not compared. So a block gives at most
    one link less than it has sets, however many of its pairs are alike.
@@ -45,7 +46,7 @@ SHINGLE, PERCENT = 5, 80
 #: Documents of a shingle that comes last, and how many such shingles are broadcast as they are.
 HOT, HOT_KEYS = 200, 1_000_000
 #: Sets of one block that a task compares with one another, and their shingles; rounds over larger blocks; wanted texts whose keys are broadcast.
-CHUNK, WEIGHT, ROUNDS, FETCH = 1_000, 3_000_000, 3, 2_000_000
+CHUNK, WEIGHT, ROUNDS, FETCH = 2_000, 10_000_000, 2, 2_000_000
 LEAF = 16
 COMBINE_BYTES = 16 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -331,9 +332,8 @@ def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, percent: int, shelf: Shelf) -> DataFrame:
     """a, b: nodes of those pairs that link, judged on their whole sets."""
-    side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "row", "n")))
-    sized = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-    sized = shelf.keep(sized.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "row_a", "row_b"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("row").alias(f"row_{x}"))
+    sized = shelf.keep(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"))
     texts = fetched(rows, sized.select(F.col("row_a").alias("row")).union(sized.select(F.col("row_b").alias("row"))).distinct())
     one = sized.join(texts.withColumnsRenamed({"row": "row_a", "text": "text_a"}), "row_a")
     two = one.join(texts.withColumnsRenamed({"row": "row_b", "text": "text_b"}), "row_b").select("a", "b", "text_a", "text_b")
@@ -351,9 +351,9 @@ def verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int,
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps don't exclude; few bytes of each set travel for that."""
-    side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "bitmap")))
-    rows = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b")).filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    """The pairs (a, b, n_a, n_b) that sizes and then bitmaps don't exclude; few bytes of each set travel for that."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("bitmap").alias(f"bitmap_{x}"))
+    rows = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").join(side("a"), "a").join(side("b"), "b")
 
     def task(batches):
         for batch in batches:
@@ -369,6 +369,18 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(task, "a long, b long")
 
 
+def near_in_size(sizes: np.ndarray, labels: np.ndarray, percent: int) -> np.ndarray:
+    """Of sets in order of size, which may link by size with one of another label: with the nearest such one before or after."""
+    n = len(sizes)
+    new = np.concatenate([[True], labels[1:] != labels[:-1]])
+    starts = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    before, after = starts[run] - 1, np.append(starts[1:], n)[run]
+    down = (before >= 0) & (100 * sizes[np.maximum(before, 0)] >= percent * sizes)
+    up = (after < n) & (100 * sizes >= percent * sizes[np.minimum(after, n - 1)])
+    return down | up
+
+
 def closed(batches, keys: int):
     """Rows that come sorted by their first columns, by their values: lists of columns' batches."""
     now, held = None, []
@@ -389,11 +401,21 @@ def closed(batches, keys: int):
         yield now, held
 
 
-def compared(tasks: DataFrame, named: DataFrame, rows: DataFrame, shingle: int, percent: int, shelf: Shelf) -> DataFrame:
-    """a, b: links that join the components of the sets of each task (leader, p, q, side, node); named has row, n, bitmap and component of each node."""
+def compared(tasks: DataFrame, named: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, percent: int, shelf: Shelf) -> DataFrame:
+    """a, b: links that join the components of the sets of each task (leader, p, q, side, node); named has row, n and component of each node, nodes its bitmap."""
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     column = lambda held, name: [x for b in held for x in b.column(name).to_pylist()]
 
+    def by_sizes(batches):
+        """Sets whose size lets them link with one of another component; rows come sorted by task and size."""
+        for _, held in closed(batches, 3):
+            n, comp = np.array(column(held, "n")), Classes(column(held, "component")).label
+            keep = near_in_size(n, comp, percent)
+            at = 0
+            for b in held if keep.any() else ():
+                yield b.filter(pa.array(keep[at : at + b.num_rows]))
+                at += b.num_rows
+
     def by_bitmaps(batches):
         """Sets that may link with one of another component, and a number for those that hang together by that."""
         for name, held in closed(batches, 3):
@@ -426,7 +448,9 @@ def compared(tasks: DataFrame, named: DataFrame, rows: DataFrame, shingle: int,
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([node[x] for x in side_of], pa.int64()) for side_of in zip(*found, strict=True)], names=["a", "b"])
 
-    sets = tasks.join(named.select("node", "component", "n", "bitmap"), "node").select("leader", "p", "q", "side", "node", "component", "n", "bitmap")
+    sized = tasks.join(named.select("node", "component", "n"), "node").select("leader", "p", "q", "side", "node", "component", "n")
+    sized = sized.repartition(parts, "leader", "p", "q").sortWithinPartitions("leader", "p", "q", "n").mapInArrow(by_sizes, "leader long, p long, q long, side int, node long, component long, n long")
+    sets = sized.join(nodes.select("node", "bitmap"), "node").select("leader", "p", "q", "side", "node", "component", "n", "bitmap")
     groups = shelf.keep(sets.repartition(parts, "leader", "p", "q").sortWithinPartitions("leader", "p", "q").mapInArrow(by_bitmaps, "leader long, p long, q long, grp long, side int, node long, component long"))
     wanted = groups.join(named.select("node", "row"), "node")
     texts = fetched(rows, wanted.select("row").distinct())
@@ -460,7 +484,7 @@ def tree_links(entries: DataFrame, nodes: DataFrame, rows: DataFrame, links: Dat
     """links, and those that signature trees find besides."""
 
     def with_components(now: DataFrame) -> DataFrame:
-        named = nodes.select("d1", "node", "row", "n", "bitmap").join(components(now, shelf), "node", "left")
+        named = nodes.select("d1", "node", "row", "n").join(components(now, shelf), "node", "left")
         return shelf.keep(named.withColumn("component", F.coalesce("component", "node")))
 
     def several(sets: DataFrame, named: DataFrame) -> DataFrame:
@@ -474,11 +498,11 @@ def tree_links(entries: DataFrame, nodes: DataFrame, rows: DataFrame, links: Dat
     large = shelf.keep(size.filter("chunks > 1"))
     if large.isEmpty():
         tasks = sets.select("leader", F.lit(0).cast("long").alias("p"), F.lit(-1).cast("long").alias("q"), F.lit(0).alias("side"), "node")
-        return links.unionByName(compared(tasks, named, rows, shingle, percent, shelf))
+        return links.unionByName(compared(tasks, named, nodes, rows, shingle, percent, shelf))
     for n in range(ROUNDS):
         part = F.pmod(F.xxhash64("node", "leader", F.lit(n)), F.coalesce("chunks", F.lit(1)))
         tasks = sets.join(few(large), "leader", "left" if n == 0 else "inner").select("leader", part.alias("p"), F.lit(-1).cast("long").alias("q"), F.lit(0).alias("side"), "node")
-        links = links.unionByName(compared(tasks, named, rows, shingle, percent, shelf))
+        links = links.unionByName(compared(tasks, named, nodes, rows, shingle, percent, shelf))
         shelf.drop(named)
         named = with_components(links)
         still = shelf.keep(several(sets.join(few(large), "leader", "left_semi"), named))
@@ -486,7 +510,7 @@ def tree_links(entries: DataFrame, nodes: DataFrame, rows: DataFrame, links: Dat
         shelf.drop(was, still)
         if large.isEmpty():
             return links
-    return links.unionByName(compared(remaining(sets.join(few(large), "leader"), named, shelf), named, rows, shingle, percent, shelf))
+    return links.unionByName(compared(remaining(sets.join(few(large), "leader"), named, shelf), named, nodes, rows, shingle, percent, shelf))
 
 
 def remaining(sets: DataFrame, named: DataFrame, shelf: Shelf) -> DataFrame:
@@ -526,8 +550,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     ends = shelf.keep(entries.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low < high"))
     starred = entries.join(ends, "token").select("d1", F.explode(F.array("low", "high")).alias("other")).filter("d1 <> other")
     starred = starred.select(F.least("d1", "other").alias("x"), F.greatest("d1", "other").alias("y")).distinct()
-    name = lambda x, y: nodes.select(F.col("d1").alias(x), F.col("node").alias(y))
-    pairs = starred.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b")
+    name = lambda x, y: nodes.select(F.col("d1").alias(x), F.col("node").alias(y), F.col("n").alias(f"n_{y}"))
+    pairs = starred.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b", "n_a", "n_b")
     links = verified(rows, likely(pairs, nodes, percent), nodes, shingle, percent, shelf)
     shelf.drop(ends)
 
