@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,8 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--base-url", default="https://")
     a.add_argument("--start", nargs="*", default=[])
     a.add_argument("--include", nargs="*", default=["."])
+    a.add_argument("--max-depth", type=int, default=3)
+    a.add_argument("--max-urls", type=int, default=100)
     a.add_argument("--markdown", nargs="*", default=[], help="folders of Markdown files")
     a.add_argument("--entities", nargs="*", default=[], help="JSON files of entities; later ones win")
     a.add_argument("--out", required=True)
@@ -25,11 +28,14 @@ def main(argv: list[str] | None = None) -> None:
     o = a.parse_args(argv)
     spark = SparkSession.builder.appName("sluice").getOrCreate()
     spark.sparkContext.setLogLevel("INFO" if o.verbose else "WARN")
+    logging.basicConfig(level=logging.INFO if o.verbose else logging.WARNING)
     pages = spark.read.parquet(o.pages) if o.pages else None
     if o.stage in ("scrape", "all") and pages is not None:
-        scrape_stage(pages, o.start, CrawlConf(base_url=o.base_url, include=tuple(o.include)), f"{o.out}/markdown")
+        done = scrape_stage(pages, o.start, CrawlConf(base_url=o.base_url, include=tuple(o.include), max_depth=o.max_depth, max_urls=o.max_urls), f"{o.out}/markdown")
+        print(f"found {done.found_pages} pages and {done.found_pdfs} PDF files; {done.made_pages} pages became Markdown")
     if o.stage in ("entities", "all") and pages is not None:
-        entity_stage(pages, o.base_url, f"{o.out}/entities")
+        made = entity_stage(pages, o.base_url, f"{o.out}/entities")
+        print(f"{made.count()} entities")
     if o.stage in ("chunk", "all") and o.markdown:
         run = chunk_stage(spark, o.markdown, o.entities, o.out, ChunkConf(strict_report=o.strict_report))
         run.report.show(truncate=False, vertical=True)

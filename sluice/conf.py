@@ -22,6 +22,7 @@ class ChunkConf:
     strict_report: bool = False
 
 
+#: Fixed values of CrawlConf: excluded patterns, depth, number of URLs, retries, delay and time limit; of ChunkConf: word and row limits.
 @dataclass(frozen=True)
 class CrawlConf:
     base_url: str

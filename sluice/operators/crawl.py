@@ -9,6 +9,7 @@ from sluice.conf import CrawlConf
 from sluice.functions import urls as U
 from sluice.functions.text import collapse
 from sluice.operators.dedup import first_seen
+from sluice.operators.shared import settled
 
 
 def link_graph(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -17,34 +18,34 @@ def link_graph(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return rows.distinct()
 
 
-def discover(pages: DataFrame, start: list[str], conf: CrawlConf, url: str = "url", html: str = "html") -> DataFrame:
-    """url, depth, kind (page or pdf) of all that is reached.
+def discover(pages: DataFrame, start: list[str] | DataFrame, conf: CrawlConf, url: str = "url", html: str = "html") -> DataFrame:
+    """url, depth, kind (page or pdf) of all that is reached from the start (URLs, or a table whose first column has them), sorted.
 
     One join a level; levels are at most max_depth, and what was seen is written to the checkpoint folder each time. Within
     the level in which max_urls is reached, the smallest URLs stay. Pages at the greatest depth are listed, not followed.
     """
     spark: SparkSession = pages.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    graph = link_graph(pages, url, html).checkpoint()
-    frontier = spark.createDataFrame([(u,) for u in start], "url string").select(U.normalize(F.col("url")).alias("url")).distinct()
+    graph = settled(link_graph(pages, url, html))
+    first = start.select(F.col(start.columns[0]).alias("url")) if isinstance(start, DataFrame) else spark.createDataFrame([(u,) for u in start], "url string")
+    frontier = first.select(U.normalize(F.col("url")).alias("url")).distinct()
     seen = found = None
     room = conf.max_urls
     for depth in range(conf.max_depth + 1):
-        frontier = (frontier if seen is None else frontier.join(seen, "url", "left_anti")).checkpoint()
+        frontier = settled(frontier if seen is None else frontier.join(seen, "url", "left_anti"))
         seen = frontier if seen is None else seen.unionByName(frontier)
         valid = U.is_valid(F.col("url"), conf.base_url, conf.include, conf.exclude)
         pdfs = frontier.filter(U.wanted_pdf(F.col("url"), valid)).select("url", F.lit(depth).alias("depth"), F.lit("pdf").alias("kind"))
-        kept = frontier.filter(valid & ~U.is_pdf(F.col("url"))).orderBy("url").limit(room).checkpoint()
+        kept = frontier.filter(valid & ~U.is_pdf(F.col("url")))
+        n = kept.count()
+        if n > room:
+            kept, n = settled(kept.orderBy("url").limit(room)), room
         level = pdfs.unionByName(kept.select("url", F.lit(depth).alias("depth"), F.lit("page").alias("kind")))
         found = level if found is None else found.unionByName(level)
-        room -= kept.count()
+        room -= n
         if room <= 0 or depth == conf.max_depth:
             break
         frontier = graph.join(kept, "url").select(F.col("link").alias("url")).distinct()
-    return found
+    return found.orderBy("kind", "url")
 
 
 ANCHOR = r"""(?is)<a\s([^>]*?)href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""

@@ -1,18 +1,22 @@
 """Entity registry and linking: exact, by substring, by candidate mention and edit distance.
 
-A registry is bounded by what names a person curates; its size is checked. Up to NAMES names are broadcast and compared
-with each text by a native join; up to NAMES_AUTOMATON they are broadcast as one automaton, which reads a text once however
-many names there are. Mentions meet names only where a deletion variant is the same, so nothing is compared with all names.
+Names in texts are found by automata, each of which reads a text once however many names it holds. A registry's names are
+broadcast in parts of at most NAMES, one automaton and one pass over the texts a part, so there is no largest registry.
+Mentions meet names only where a deletion variant is the same, so nothing is compared with all names.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.text import normalize_entity
 
-NAMES, NAMES_AUTOMATON = 2_000, 5_000_000
+#: Names of one automaton.
+NAMES = 1_000_000
 ENTITY = "id string, name string, aliases array<string>, type string, url string"
 MENTION = r"(?U)(?:dr|prof|mr|ms|mrs)[\s\x1c-\x1f]+[a-z]+(?:[\s\x1c-\x1f]+[a-z]+){1,3}"
 
@@ -51,27 +55,35 @@ def fuzzy(mentions: DataFrame, found: DataFrame, norm: str = "norm") -> DataFram
 
 def contained(rows: DataFrame, found: DataFrame, key: str, norm: str) -> DataFrame:
     """key, entity_id: entities one of whose names the normalised text contains anywhere."""
-    n = found.count()
-    if n > NAMES_AUTOMATON:
-        raise ValueError(f"a registry of {n} names is more than one automaton should hold; link it in parts")
-    if n <= NAMES:
-        names = F.broadcast(found.select(F.col("norm").alias("__name"), "entity_id"))
-        return rows.select(key, norm).join(names, F.col(norm).contains(F.col("__name"))).select(key, "entity_id").distinct()
-    pairs = rows.sparkSession.sparkContext.broadcast([(r["norm"], r["entity_id"]) for r in found.select("norm", "entity_id").toLocalIterator()])
+    parts = -(-found.count() // NAMES)
+    place, out = F.pmod(F.xxhash64("norm"), F.lit(max(parts, 1))), None
+    for k in range(parts):
+        names = [(r["norm"], r["entity_id"]) for r in found.filter(place == k).select("norm", "entity_id").toLocalIterator()]
+        inside = _finder(rows.sparkSession.sparkContext.broadcast(names), uuid.uuid4().hex)
+        held = rows.select(key, F.explode(inside(F.col(norm))).alias("entity_id"))
+        out = held if out is None else out.unionByName(held)
+    if out is None:
+        return rows.select(key, F.lit(None).cast("string").alias("entity_id")).limit(0)
+    return out if parts == 1 else out.distinct()
+
+
+def _finder(pairs, name: str):
+    """A column function: the entities whose names a text contains, sorted. name tells the automaton of these pairs from others."""
 
-    @F.udf("array<string>", useArrow=True)
-    def inside(text):
-        return sorted(_automaton(pairs.value)(text))
+    @F.pandas_udf("array<string>")
+    def inside(texts: pd.Series) -> pd.Series:
+        find = _automaton(name, pairs.value)
+        return texts.map(lambda x: [] if x is None else sorted(find(x)))
 
-    return rows.select(key, F.explode(inside(F.col(norm))).alias("entity_id"))
+    return inside
 
 
-_built: dict[int, object] = {}
+_built: dict[str, object] = {}
 
 
-def _automaton(pairs):
+def _automaton(key: str, pairs):
     """A function from a text to the entities of the names in it; built once a worker."""
-    if (made := _built.get(id(pairs))) is None:
+    if (made := _built.get(key)) is None:
         import ahocorasick
 
         trie, always = ahocorasick.Automaton(), set()
@@ -82,8 +94,9 @@ def _automaton(pairs):
         def made(text):
             return always.union(*(x for _, x in trie.iter(text))) if len(trie) else always
 
-        _built.clear()
-        _built[id(pairs)] = made
+        if len(_built) >= 4:
+            _built.clear()
+        _built[key] = made
     return made
 
 

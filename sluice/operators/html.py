@@ -5,7 +5,9 @@ Paragraphs and list items that aren't closed end where the next one begins, as b
 
 from __future__ import annotations
 
+import logging
 import re
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlparse
@@ -141,11 +143,23 @@ def title_of(root: Node, url: str, site: str | None = None) -> str:
 
 
 def _texts(node: Node) -> Iterator[str]:
-    for c in node.children:
+    stack = list(reversed(node.children))
+    while stack:
+        c = stack.pop()
         if isinstance(c, str):
             yield c
         else:
-            yield from _texts(c)
+            stack += reversed(c.children)
+
+
+def depth(root: Node) -> int:
+    """How deep elements are nested."""
+    most, stack = 0, [(root, 1)]
+    while stack:
+        node, n = stack.pop()
+        most = max(most, n)
+        stack += [(c, n + 1) for c in node.children if isinstance(c, Node)]
+    return most
 
 
 def drop_small_images(part: Node) -> None:
@@ -254,6 +268,7 @@ def convert(page: str, url: str, at: str | None = None, site: str | None = None)
     title, part = title_of(root, url, site), main_part(root)
     drop_small_images(part)
     unwrap_links(part)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * depth(part) + 1000))  # frames of Python functions are on the heap
     text = clean_markdown_text(_render(part, ""))
     if not text.startswith("#"):
         text = f"# {title}\n\n{text}"
@@ -261,14 +276,15 @@ def convert(page: str, url: str, at: str | None = None, site: str | None = None)
 
 
 def html_to_markdown(html: Column, url: Column, at: str | None = None, site: str | None = None) -> Column:
-    """Column of Markdown; a null page has none, and neither has one that can't be parsed."""
+    """Column of Markdown; a null page has none, and neither has one that the parser refuses."""
 
     @F.pandas_udf("string")
     def made(pages, urls):
         def one(p, u):
             try:
                 return None if p is None else convert(p, u or "", at, site)
-            except (ValueError, AssertionError, RecursionError):
+            except (ValueError, AssertionError) as e:
+                logging.getLogger("sluice").warning("%s can't be parsed: %s", u, e)
                 return None
 
         return pd.Series([one(p, u) for p, u in zip(pages, urls, strict=True)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +64,8 @@ def pdf_to_markdown(name: Column, structured: Column, plain: Column, recognised:
 def extract_pages(files: DataFrame, reader) -> DataFrame:
     """path, pages of files (path, content) from Spark's binaryFile source; reader: bytes -> list of (page, text, tables).
 
-    A file that the reader fails on has no pages. No PDF library is bundled; hand in a function of one that is installed.
+    A file that the reader fails on has no pages, and why stands in the worker's log. No PDF library is bundled; hand in a
+    function of one that is installed.
     """
 
     def task(batches):
@@ -70,11 +73,56 @@ def extract_pages(files: DataFrame, reader) -> DataFrame:
 
         for b in batches:
             out = []
-            for content in b["content"]:
+            for path, content in zip(b["path"], b["content"], strict=True):
                 try:
                     out.append([{"page_num": n, "text": t, "tables": x} for n, t, x in reader(content)])
-                except Exception:  # noqa: BLE001 a broken file must not stop the others
+                except Exception as e:  # noqa: BLE001 a broken file must not stop the others
+                    logging.getLogger("sluice").warning("%s can't be read: %s", path, e)
                     out.append([])
             yield pd.DataFrame({"path": b["path"], "pages": out})
 
     return files.select("path", "content").mapInPandas(task, f"path string, pages {PAGES}")
+
+
+def default_reader():
+    """A reader (see extract_pages) by pdfplumber, which finds tables too, or pypdf; an error where neither is installed."""
+    import importlib.util
+
+    if importlib.util.find_spec("pdfplumber"):
+
+        def read(content: bytes):
+            import io
+
+            import pdfplumber
+
+            with pdfplumber.open(io.BytesIO(content)) as file:
+                return [(n, (p.extract_text() or "").strip(), p.extract_tables() or []) for n, p in enumerate(file.pages, 1)]
+
+        return read
+    if importlib.util.find_spec("pypdf"):
+
+        def read(content: bytes):
+            import io
+
+            from pypdf import PdfReader
+
+            return [(n, (p.extract_text() or "").strip(), []) for n, p in enumerate(PdfReader(io.BytesIO(content)).pages, 1)]
+
+        return read
+    raise ModuleNotFoundError("no PDF library (pdfplumber, pypdf) is installed; hand in a reader")
+
+
+def recognising_reader(dpi: int = 300, lang: str = "eng"):
+    """A reader of scanned files by pdf2image and pytesseract; an error where they aren't installed."""
+    import importlib.util
+
+    if not (importlib.util.find_spec("pdf2image") and importlib.util.find_spec("pytesseract")):
+        raise ModuleNotFoundError("pdf2image and pytesseract aren't installed; hand in a reader")
+
+    def read(content: bytes):
+        import pdf2image
+        import pytesseract
+
+        return [(n, pytesseract.image_to_string(image, lang=lang).strip(), []) for n, image in enumerate(pdf2image.convert_from_bytes(content, dpi=dpi), 1)]
+
+    return read

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 from sluice.conf import ChunkConf, CrawlConf
 from sluice.functions.urls import normalize
 from sluice.operators import chunks as K
-from sluice.operators import crawl, entities, html, report
+from sluice.operators import crawl, entities, html, pdf, report
 from sluice.operators.dedup import split_duplicates
-from sluice.sources import readers, sinks
+from sluice.operators.shared import settled
+from sluice.sources import http, readers, sinks
+
+log = logging.getLogger("sluice")
 
 
 @dataclass
@@ -23,8 +27,8 @@ class Run:
 
 
 def chunk_documents(docs: DataFrame, registry: DataFrame | None = None, conf: ChunkConf = ChunkConf()) -> Run:
-    """Documents (source_file, raw) to distinct chunks, duplicates and a report; nothing runs until they are used."""
-    made = K.build_chunks(docs, registry, conf)
+    """Documents (source_file, raw) to distinct chunks, duplicates and a report. Chunks are made once, in the shared folder, for all of these."""
+    made = settled(K.build_chunks(docs, registry, conf))
     kept, dropped = split_duplicates(made)
     return Run(kept, dropped, report.report(kept, dropped, K.small_segments(docs, conf) if conf.strict_report else None))
 
@@ -32,25 +36,63 @@ def chunk_documents(docs: DataFrame, registry: DataFrame | None = None, conf: Ch
 def chunk_stage(spark: SparkSession, folders: list[str], entity_files: list[str], out: str, conf: ChunkConf = ChunkConf()) -> Run:
     """Reads, chunks and writes chunks, report, error log and event log below out."""
     found = entities.lookup(readers.entities(spark, *entity_files))
-    run = chunk_documents(readers.markdown(spark, *folders), found, conf)
+    docs = readers.markdown(spark, *folders)
+    run = chunk_documents(docs, found, conf)
     sinks.chunks(run.kept, f"{out}/chunks")
     sinks.report(run.report, f"{out}/chunk_report")
     sinks.error_log(run.dropped, f"{out}/errors")
     sinks.event_log(run.kept, f"{out}/events")
+    if run.kept.isEmpty():
+        log.warning("no chunks were made from %s", ", ".join(folders))
     return run
 
 
-def scrape_stage(pages: DataFrame, start: list[str], conf: CrawlConf, out: str, at: str | None = None) -> DataFrame:
-    """Discovers pages in a table of pages, converts them and writes them as a table."""
-    reached = crawl.discover(pages, start, conf).filter("kind = 'page'").select("url")
-    rows = pages.withColumn("url", normalize(F.col("url"))).join(reached, "url", "left_semi")
-    made = html.scrape(rows, at)
-    sinks.markdown(made, out)
-    return made
+@dataclass
+class Scraped:
+    """Pages and PDF files that were reached, and how many of them became Markdown."""
+
+    pages: DataFrame
+    found_pages: int
+    found_pdfs: int
+    made_pages: int
+    made_pdfs: int
+
+
+def fetched_pages(spark: SparkSession, urls: DataFrame, conf: CrawlConf) -> DataFrame:
+    """url, html of pages over HTTP; failed ones have none."""
+    return http.fetch_table(urls, conf).select("url", F.decode("content", "utf-8").alias("html"))
+
+
+def scrape_stage(pages: DataFrame, start: list[str], conf: CrawlConf, out: str, at: str | None = None, pdfs: str | None = None, reader=None) -> Scraped:
+    """Discovers pages in a table of pages, converts them and writes them as a table, and the PDF files that were reached too,
+    if a folder to land them in is given and a reader (see pdf.extract_pages)."""
+    found = settled(crawl.discover(pages, start, conf))
+    counts = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    rows = pages.withColumn("url", normalize(F.col("url"))).join(found.filter("kind = 'page'").select("url"), "url", "left_semi")
+    sinks.markdown(html.scrape(rows, at), out)
+    made, made_pdfs = pages.sparkSession.read.parquet(out), 0
+    if pdfs is not None and counts.get("pdf"):
+        made_pdfs = pdf_urls_to_markdown(found.filter("kind = 'pdf'").select("url"), pdfs, f"{out}_pdfs", reader, conf).count()
+    n = made.count()
+    log.info("%s of %s pages and %s of %s PDF files became Markdown", n, counts.get("page", 0), made_pdfs, counts.get("pdf", 0))
+    return Scraped(made, counts.get("page", 0), counts.get("pdf", 0), n, made_pdfs)
+
+
+def pdf_urls_to_markdown(urls: DataFrame, folder: str, out: str, reader=None, conf: CrawlConf = CrawlConf(base_url="")) -> DataFrame:
+    """url, name, markdown of PDF files: downloaded as a table in a shared folder, read and written as a table. Files that can't be had
+    or read have no row. reader: see pdf.extract_pages; by default pypdf, where it is installed."""
+    landed = http.download(urls, folder, conf).filter("content is not null").withColumn("key", F.col("url"))
+    read = pdf.extract_pages(landed.select(F.col("url").alias("path"), "content"), reader or pdf.default_reader()).withColumnRenamed("path", "key")
+    name = F.element_at(F.split("path", "/"), -1)
+    texts = landed.drop("content").join(read, "key").select("url", name.alias("name"), pdf.pdf_to_markdown(name, F.col("pages"), F.col("pages")).alias("markdown"))
+    sinks.markdown(texts.filter("markdown is not null"), out)
+    return urls.sparkSession.read.parquet(out)
 
 
 def entity_stage(pages: DataFrame, base_url: str, out: str) -> DataFrame:
-    """People's links of pages as entities, written as JSON."""
+    """People's links of pages as entities, written as JSON; and empty tables of courses and programs, if there are none."""
     made = entities.faculty_entities(crawl.faculty_links(pages, base_url).select("name", "url"))
     sinks.entities(made, out)
+    for kind in ("courses", "programs"):
+        sinks.empty_entities(pages.sparkSession, f"{out.rstrip('/')}_{kind}")
     return made

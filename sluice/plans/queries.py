@@ -13,6 +13,7 @@ from sluice.functions import text as T
 from sluice.functions import urls as U
 from sluice.operators import chunks as K
 from sluice.operators import crawl, dedup, entities, html, pdf, report, segment
+from sluice.operators.shared import settled
 from sluice.plans import inputs as I
 from sluice.plans.inputs import S, S_IN, sql_collapse, sql_entity, sql_front, sql_strip, sql_words
 
@@ -102,11 +103,12 @@ def norm_entity(spark, sf_dir):
     return _names(spark, sf_dir).select("s_suppkey", T.normalize_entity(F.col("name")).alias("norm"))
 
 
-@query("SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name)::BIGINT AS distance, levenshtein(a.p_name, b.p_name) <= 3 AS near FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name[1] = b.p_name[1]")
+@query("SELECT a.p_partkey, levenshtein(a.p_name, b.p_name)::BIGINT AS distance, levenshtein(a.p_name, b.p_name) <= 9 AS near FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def edit_distance(spark, sf_dir):
-    n = I.table(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = n.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 1).alias("i")).join(n.select(F.col("p_name").alias("b"), F.substring("p_name", 1, 1).alias("i")), "i")
-    return pairs.select("a", "b", T.edit_distance(F.col("a"), F.col("b")).cast("long").alias("distance"), (T.edit_distance(F.col("a"), F.col("b"), 3) >= 0).alias("near"))
+    """Each part's name against the next one's."""
+    n = I.table(spark, sf_dir, "part")
+    pairs = n.select("p_partkey", F.col("p_name").alias("a")).join(n.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b")), "p_partkey")
+    return pairs.select("p_partkey", T.edit_distance(F.col("a"), F.col("b")).cast("long").alias("distance"), (T.edit_distance(F.col("a"), F.col("b"), 9) >= 0).alias("near"))
 
 
 BARE_SQL = f"regexp_replace({NAME_SQL}, '(?i)\\A(?:dr\\.?|prof\\.?|mr\\.?|ms\\.?|mrs\\.?){S}*', '')"
@@ -188,22 +190,28 @@ def faculty_links(spark, sf_dir):
 
 
 def _linked(spark, sf_dir):
-    """Pages that link to the next three, to one PDF each, and to themselves."""
+    """Pages in chains of seven: each links to the next one, to a PDF, and to itself."""
     p = I.table(spark, sf_dir, "pages").select("page_id")
     n = F.col("page_id")
     url = lambda x: F.concat(F.lit("https://site.example/p/"), x.cast("string"))
     anchor = lambda u: F.concat(F.lit('<a href="'), u, F.lit('">x</a>'))
-    return p.select(url(n).alias("url"), F.concat(*(anchor(url(n * 3 + k)) for k in range(3)), anchor(F.concat(url(n), F.lit("/file.pdf"))), anchor(F.concat(url(n), F.lit("/#top")))).alias("html"))
+    after = F.when((n + 1) % 7 != 0, anchor(url(n + 1))).otherwise(F.lit(""))
+    return p.select(url(n).alias("url"), F.concat(after, anchor(F.concat(url(n), F.lit("/file.pdf"))), anchor(F.concat(url(n), F.lit("/#top")))).alias("html"))
 
 
 @query(
-    """WITH RECURSIVE reach AS (SELECT 1::BIGINT AS n, 0 AS depth UNION SELECT page_id * 3 + k, depth + 1 FROM reach JOIN pages ON page_id = n, range(3) t(k) WHERE depth < 3),
+    """WITH RECURSIVE roots AS (SELECT page_id FROM pages WHERE page_id % 7 = 0 OR page_id - 1 NOT IN (SELECT page_id FROM pages)),
+    reach AS (SELECT page_id AS n, 0 AS depth FROM roots UNION SELECT n + 1, depth + 1 FROM reach JOIN pages ON page_id = n WHERE depth < 3 AND (n + 1) % 7 <> 0),
     first AS (SELECT n, min(depth) AS depth FROM reach GROUP BY n)
     SELECT 'https://site.example/p/' || n AS url, depth::BIGINT AS depth, 'page' AS kind FROM first
     UNION ALL SELECT 'https://site.example/p/' || n || '/file.pdf', depth + 1, 'pdf' FROM first JOIN pages ON page_id = n WHERE depth < 3"""
 )
 def crawl_bfs(spark, sf_dir):
-    found = crawl.discover(_linked(spark, sf_dir), ["https://site.example/p/1/"], CrawlConf(base_url="https://site.example", include=("/p/",)))
+    """From all pages that no other page links to."""
+    pages = _linked(spark, sf_dir)
+    graph = crawl.link_graph(pages).filter("url <> link")
+    roots = pages.select("url").join(graph.select(F.col("link").alias("url")), "url", "left_anti")
+    found = crawl.discover(pages, roots, CrawlConf(base_url="https://site.example", include=("/p/",), max_urls=2**62))
     return found.select("url", F.col("depth").cast("long").alias("depth"), "kind")
 
 
@@ -346,6 +354,11 @@ def _chunks(spark, sf_dir, conf=ChunkConf()):
     return K.build_chunks(I.markdown_docs(spark, sf_dir), conf=conf)
 
 
+def _split(spark, sf_dir):
+    """Distinct chunks and duplicates, without texts; chunks are made once for both."""
+    return dedup.split_duplicates(settled(_chunks(spark, sf_dir).select("chunk_id", "source_file", "source_type", "content_type", "hash", "seq", "part")))
+
+
 @query(f"{CHUNKS_SQL} SELECT chunk_id, source_type, source_file, array_to_string(hierarchy, ' > ') AS hierarchy, pages, word_count, hash, md5(text) AS text_md5 FROM chunks")
 def chunk_build(spark, sf_dir):
     pages = F.when(F.col("page_range").isNotNull(), F.concat_ws("-", F.col("page_range").cast("array<string>")))
@@ -360,12 +373,12 @@ def page_range(spark, sf_dir):
 
 @query(f"{CHUNKS_SQL} SELECT chunk_id, hash FROM ranked WHERE rn = 1")
 def dedup_first_wins(spark, sf_dir):
-    return dedup.split_duplicates(_chunks(spark, sf_dir))[0].select("chunk_id", "hash")
+    return _split(spark, sf_dir)[0].select("chunk_id", "hash")
 
 
 @query(f"{CHUNKS_SQL} SELECT chunk_id, original_id, source_file FROM ranked WHERE rn > 1")
 def duplicates(spark, sf_dir):
-    return dedup.split_duplicates(_chunks(spark, sf_dir))[1].select("chunk_id", "original_id", "source_file")
+    return _split(spark, sf_dir)[1].select("chunk_id", "original_id", "source_file")
 
 
 # {t} stands for the text, {f} for the file, {h} for the titles; see fill
@@ -415,25 +428,25 @@ TYPED_SQL = f"{CHUNKS_SQL}, typed AS (SELECT *, CASE WHEN tabular THEN 'table' E
 
 @query(f"{TYPED_SQL} SELECT content_type, count(*) AS n FROM typed WHERE rn = 1 GROUP BY 1")
 def report_by_type(spark, sf_dir):
-    return report.by_type(dedup.split_duplicates(_chunks(spark, sf_dir))[0])
+    return report.by_type(_split(spark, sf_dir)[0])
 
 
 @query(f"{TYPED_SQL} SELECT source_type, count(*) AS n FROM typed WHERE rn = 1 GROUP BY 1")
 def report_by_source(spark, sf_dir):
-    return report.by_source(dedup.split_duplicates(_chunks(spark, sf_dir))[0])
+    return report.by_source(_split(spark, sf_dir)[0])
 
 
 @query(f"{CHUNKS_SQL} SELECT (SELECT count(*) FROM ranked WHERE rn = 1) AS total_chunks, (SELECT count(*) FROM ranked WHERE rn > 1) AS duplicates_skipped, (SELECT count(*) FROM counted WHERE NOT tabular AND word_count < 80) AS too_small_skipped, (SELECT count(*) FROM pieces WHERE tabular AND parts > 1 AND part = 1) AS tables_split")
 def report_totals(spark, sf_dir):
-    kept, dropped = dedup.split_duplicates(_chunks(spark, sf_dir))
+    kept, dropped = _split(spark, sf_dir)
     return report.report(kept, dropped, K.small_segments(I.markdown_docs(spark, sf_dir))).select("total_chunks", "duplicates_skipped", "too_small_skipped", "tables_split")
 
 
-@query()
+@query(f"{CHUNKS_SQL} SELECT chunk_id, word_count, hash, pages IS NOT NULL AS paged FROM chunks")
 def chunk_json_roundtrip(spark, sf_dir):
     rows = K.columns_of_chunk(_chunks(spark, sf_dir))
     text = rows.select(F.to_json(F.struct(*rows.columns)).alias("j"))
-    return text.select(F.from_json("j", K.CHUNK).alias("c")).select("c.chunk_id", "c.word_count", "c.hash", F.col("c.page_range").isNotNull().alias("paged"))
+    return text.select(F.from_json("j", K.CHUNK).alias("c")).select("c.chunk_id", F.col("c.word_count").cast("long").alias("word_count"), "c.hash", F.col("c.page_range").isNotNull().alias("paged"))
 
 
 # --- entities ---------------------------------------------------------------------------------------------------------
@@ -487,14 +500,13 @@ def entity_refs(spark, sf_dir):
 
 
 def _tables(spark, sf_dir):
-    """A table of each document: a header of two cells, then a row of one, two or three words a line."""
-    d = I.table(spark, sf_dir, "documents")
-    row = lambda x: F.slice(T.words(x), 1, 3)
-    rows = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), row)
+    """A table of each document: a header of two cells, then its words in rows of three."""
+    d = I.table(spark, sf_dir, "documents").withColumn("w", T.words(F.coalesce("text", F.lit(""))))
+    rows = F.transform(F.sequence(F.lit(0), F.size("w").cast("int"), F.lit(3)), lambda k: F.slice("w", k + 1, F.lit(3)))
     return d.select("doc_id", "text", F.concat(F.array(F.array(F.lit(" a  b "), F.lit(None).cast("string"))), rows).alias("rows"))
 
 
-CELLS_SQL = f"list_concat([['a b', '']], list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: list_transform(({sql_words('x')})[1:3], lambda y: replace(y, '|', chr(92) || '|'))))"
+CELLS_SQL = f"list_concat([['a b', '']], list_transform(range(0, len({sql_words("coalesce(text, '')")}) + 1, 3), lambda k: list_transform(({sql_words("coalesce(text, '')")})[k + 1:k + 3], lambda y: replace(y, '|', chr(92) || '|'))))"
 
 
 @query(
@@ -515,10 +527,16 @@ def table_to_markdown_words(spark, sf_dir):
     return d.select("doc_id", pdf.table_to_markdown(F.concat(header, rows)).alias("markdown"))
 
 
-def _pages(text):
-    """A page for every two lines of a text."""
+def _pages(text, tables: bool = False):
+    """A page for every two lines of a text; with tables, a table of its number and how many lines hold words."""
     l = F.split(text, "\n")  # noqa: E741
-    page = lambda k: F.struct((k + 1).cast("int").alias("page_num"), F.array_join(F.slice(l, 2 * k + 1, 2), "\n\n").alias("text"), F.array().cast("array<array<array<string>>>").alias("tables"))
+
+    def page(k):
+        own = F.slice(l, 2 * k + 1, 2)
+        held = F.size(F.filter(own, lambda x: T.collapse(x) != "")).cast("string")
+        made = F.array(F.array(F.array(F.lit("page"), F.lit("lines")), F.array((k + 1).cast("string"), held))) if tables else F.array().cast("array<array<array<string>>>")
+        return F.struct((k + 1).cast("int").alias("page_num"), F.array_join(own, "\n\n").alias("text"), made.alias("tables"))
+
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(l) - 1) / 2).cast("int")), page)
 
 
@@ -528,21 +546,25 @@ def text_based_pdf(spark, sf_dir):
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, source, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {sql_collapse("x")}) AS l FROM documents),
-    p AS (SELECT doc_id, source, list_transform(range((len(l) + 1) // 2), lambda k: CASE WHEN array_to_string(l[2 * k + 1:2 * k + 2], '') = '' THEN '' ELSE chr(10) || '<!-- page: ' || (k + 1) || ' -->' || chr(10) || array_to_string(list_transform(list_filter(l[2 * k + 1:2 * k + 2], lambda x: x <> ''), lambda x: chr(10) || x || chr(10)), '') END) AS p FROM l)
-    SELECT doc_id, '---' || chr(10) || 'title: "' || source || '"' || chr(10) || 'source_file: "' || source || '.pdf"' || chr(10) || 'source_type: pdf' || chr(10) || '---' || chr(10) || chr(10) || '# ' || source || chr(10) || array_to_string(p, '') AS markdown FROM p"""
+    f"""WITH l AS (SELECT doc_id, source, len({sql_words("coalesce(text, '')")}) >= 50 AS much, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {sql_collapse("x")}) AS l FROM documents),
+    p AS (SELECT doc_id, source, much, list_transform(range((len(l) + 1) // 2), lambda k: [(k + 1)::VARCHAR, len(list_filter(l[2 * k + 1:2 * k + 2], lambda x: x <> ''))::VARCHAR, array_to_string(list_transform(list_filter(l[2 * k + 1:2 * k + 2], lambda x: x <> ''), lambda x: chr(10) || x || chr(10)), '')]) AS p FROM l)
+    SELECT doc_id, '---' || chr(10) || 'title: "' || source || '"' || chr(10) || 'source_file: "' || source || '.pdf"' || chr(10) || 'source_type: pdf' || chr(10) || '---' || chr(10) || chr(10) || '# ' || source || chr(10) ||
+      CASE WHEN doc_id % 3 = 0 AND much THEN array_to_string(list_transform(p, lambda x: chr(10) || '<!-- page: ' || x[1] || ' -->' || chr(10) || chr(10) || '| page | lines |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || x[1] || ' | ' || x[2] || ' |' || chr(10) || x[3]), '')
+        WHEN doc_id % 3 = 1 OR doc_id % 3 = 2 AND much THEN array_to_string(list_transform(list_filter(p, lambda x: x[3] <> ''), lambda x: chr(10) || '<!-- page: ' || x[1] || ' -->' || chr(10) || x[3]), '') ELSE '' END AS markdown FROM p"""
 )
 def pdf_to_markdown(spark, sf_dir):
-    d = I.table(spark, sf_dir, "documents")
-    pages = _pages(F.coalesce("text", F.lit("")))
-    return d.select("doc_id", pdf.pdf_to_markdown(F.concat("source", F.lit(".pdf")), pages, pages).alias("markdown"))
+    """A third of the files have structured pages with tables, a third only plain ones, a third only recognised ones."""
+    d, k = I.table(spark, sf_dir, "documents"), F.col("doc_id") % 3
+    text = F.coalesce("text", F.lit(""))
+    only = lambda n: F.when(k == n, text).otherwise(F.lit(""))
+    return d.select("doc_id", pdf.pdf_to_markdown(F.concat("source", F.lit(".pdf")), _pages(only(0), True), _pages(only(1)), _pages(text)).alias("markdown"))
 
 
 @query("SELECT source_file, row_number() OVER (ORDER BY string_split(source_file, '/')) AS place FROM (SELECT 'data/' || CASE WHEN doc_id % 4 = 0 THEN 'pdfs/' ELSE 'pages/' END || source || '/doc_' || doc_id || '.md' AS source_file FROM documents)")
 def scan_sort(spark, sf_dir):
     """Places in order of path parts; ranges of files are numbered apart, then shifted by how many come before."""
     files = I.markdown_docs(spark, sf_dir).select("source_file").withColumn("parts", dedup.path_parts(F.col("source_file")))
-    ranged = files.repartitionByRange("parts").sortWithinPartitions("parts").select("source_file", "parts", F.spark_partition_id().alias("p"))
+    ranged = settled(files.repartitionByRange("parts").sortWithinPartitions("parts").select("source_file", "parts", F.spark_partition_id().alias("p")))
     before = ranged.groupBy("p").agg(F.count("*").alias("n"))
     before = before.alias("a").join(before.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("shift"))
     from pyspark.sql import Window

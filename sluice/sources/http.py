@@ -1,12 +1,17 @@
-"""Pages over HTTP as a Spark data source, with retries; opt-in: register it with spark.dataSource.register(HttpPages)."""
+"""Pages and files over HTTP, with retries: as a Spark data source (opt-in: spark.dataSource.register(HttpPages)) or from a table of URLs."""
 
 from __future__ import annotations
 
 import time
 import urllib.request
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sluice.conf import CrawlConf
+from sluice.functions.urls import pdf_filename
+
 
 class HttpPages(DataSource):
     """Options: urls (separated by line breaks), retries, delay, timeout, user_agent, partitions."""
@@ -36,13 +41,49 @@ class HttpReader(DataSourceReader):
             yield url, fetch(url, self.retries, self.delay, self.timeout, self.agent)
 
 
-def fetch(url: str, retries: int = 3, delay: float = 1.0, timeout: float = 30.0, agent: str = "Mozilla/5.0") -> str | None:
-    """The page, or None after so many failures; waits longer after each."""
+def fetch_bytes(url: str, retries: int = 3, delay: float = 1.0, timeout: float = 30.0, agent: str = "Mozilla/5.0", headers: dict | None = None) -> tuple[bytes, str] | None:
+    """What stands there and its character set, or None after so many failures; waits longer after each."""
     for n in range(retries):
         try:
-            with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
-                return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
-        except OSError:
+            with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent} | (headers or {})), timeout=timeout) as r:
+                return r.read(), r.headers.get_content_charset() or "utf-8"
+        except (OSError, ValueError):
             if n < retries - 1:
                 time.sleep(delay * (n + 1))
     return None
+
+
+def fetch(url: str, retries: int = 3, delay: float = 1.0, timeout: float = 30.0, agent: str = "Mozilla/5.0") -> str | None:
+    """The page as text, or None."""
+    found = fetch_bytes(url, retries, delay, timeout, agent)
+    return None if found is None else found[0].decode(found[1], "replace")
+
+
+def fetch_table(urls: DataFrame, conf: CrawlConf, text: bool = True) -> DataFrame:
+    """url, content of each URL of a table (its first column), by the settings' retries, delay, time limit, agent and headers;
+    texts come as UTF-8. A host's URLs are fetched by one task, spaced by the delay."""
+    column = urls.columns[0]
+
+    def task(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for k, url in enumerate(b["url"]):
+                if k:
+                    time.sleep(conf.delay_seconds)
+                found = fetch_bytes(url, conf.retries, conf.delay_seconds, conf.timeout_seconds, conf.user_agent, dict(conf.headers))
+                out.append(None if found is None else found[0].decode(found[1], "replace").encode() if text else found[0])
+            yield pd.DataFrame({"url": b["url"], "content": out})
+
+    host = F.regexp_extract("url", r"\A[^/]*//([^/?#]*)", 1)
+    rows = urls.select(F.col(column).alias("url")).filter("url is not null").distinct()
+    return rows.repartition(host).mapInPandas(task, "url string, content binary")
+
+
+def download(urls: DataFrame, folder: str, conf: CrawlConf) -> DataFrame:
+    """url, path (the file's name), content of PDF files, as a table that is written to the folder by the tasks that fetch them;
+    a file that couldn't be had has no content. Of files of one name, all stay."""
+    got = fetch_table(urls, conf, text=False).select("url", pdf_filename(F.col("url")).alias("path"), "content")
+    got.write.mode("overwrite").parquet(folder)
+    return urls.sparkSession.read.parquet(folder)

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.chunks import CHUNK, with_word_count
 from sluice.operators.entities import ENTITY
 
 
-def markdown(spark: SparkSession, *paths: str) -> DataFrame:
-    """source_file, raw of all .md files below the paths, whole."""
+def relative(spark: SparkSession, path: Column, root: str) -> Column:
+    """The path of a file's address from the root folder; whole where it lies elsewhere."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/") + "/"
+    own = F.regexp_replace(path, r"\A[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "")
+    own = F.url_decode(F.replace(own, F.lit("+"), F.lit("%2B")))
+    return F.when(own.startswith(top), F.substr(own, F.lit(len(top) + 1))).otherwise(own)
+
+
+def markdown(spark: SparkSession, *paths: str, root: str | None = None) -> DataFrame:
+    """source_file, raw of all .md files below the paths, whole; source_file is the path from root, by default the folder that
+    holds the first path. In the order of path parts by dedup.path_parts."""
     rows = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    return rows.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
+    top = root if root is not None else paths[0].rstrip("/").rpartition("/")[0] or "."
+    return rows.select(relative(spark, F.col("_metadata.file_path"), top).alias("source_file"), F.col("value").alias("raw"))
 
 
 def entities(spark: SparkSession, *paths: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.chunks import columns_of_chunk
+from sluice.operators.entities import ENTITY
 from sluice.operators.report import duplicate_lines, event_lines
 
 
@@ -34,3 +35,8 @@ def markdown(pages: DataFrame, path: str) -> None:
 
 def entities(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def empty_entities(spark: SparkSession, path: str) -> None:
+    """An empty table of entities, unless there is one."""
+    spark.createDataFrame([], ENTITY).write.mode("ignore").json(path)

@@ -177,3 +177,29 @@ def test_profile_rule_on_long_texts(spark):
 def test_order_of_paths(spark):
     rows = spark.createDataFrame([("a-b/x",), ("a/y",), ("a/x/z",)], "p string")
     assert [r.p for r in rows.orderBy(dedup.path_parts(F.col("p"))).collect()] == ["a/x/z", "a/y", "a-b/x"]
+
+
+def test_long_runs_of_initials(spark):
+    """Neither long runs of initials nor what nearly is a name overflow the stack; matches are those of the plain pattern."""
+    import random
+    import re
+
+    from sluice.functions import classify as C
+
+    rng = random.Random(7)
+    plain = re.compile(r"(?:dr|prof|mrs|mr|ms)\.?\s*[a-z][a-z]+(?:\s+[a-z]\.?\s*)*\s+[a-z][a-z]", re.I)
+    texts = ["".join(rng.choice(["dr", "Mr.", " ", "  ", "a", "b.", "jo", "doe", "\n", "."]) for _ in range(rng.randint(2, 14))) + " professor" for _ in range(3000)]
+    long = ["Dr. john " + "a. " * 100_000 + "professor", "Dr. john " + "a b. " * 100_000 + "doe professor", "dr jo" * 50_000 + " professor", "Dr. john" + " a" * 100_000 + "professor"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts + long], "t string").coalesce(1).select(C.names_person(F.col("t"))).collect()]
+    cut = [t[: t.lower().rindex("professor")] for t in texts]
+    assert got[: len(texts)] == [bool(plain.search(t)) for t in cut] and 0 < sum(got[: len(texts)]) < len(texts)
+    assert got[len(texts) :] == [False, True, True, False]
+
+
+def test_shuffle_of_one_document_is_linear(spark):
+    """Segmentation moves nothing, however many lines and markers a document has."""
+    docs = spark.createDataFrame([("data/pdfs/a.md", "\n".join(f"<!-- page: {i} -->\nline {i}" for i in range(3000)))], "source_file string, raw string")
+    plan = K.build_chunks(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    (row,) = K.build_chunks(docs, conf=ChunkConf(max_words=10**6, soft_words=10**6)).collect()
+    assert row.page_range == [1, 2999]  # page 0 before its first line does not count

@@ -47,12 +47,16 @@ def test_later_entity_wins_and_empty_alias(spark):
     assert entities.entity_refs(spark.createDataFrame([("zzz",)], "t string"), found, "t").first().entity_refs == ["a"]
 
 
-def test_automaton_equals_join(spark, tmp_path, monkeypatch):
+def test_automata_equal_join(spark, tmp_path, monkeypatch):
     found = entities.lookup(registry(spark, tmp_path))
-    rows = spark.createDataFrame([(1, "dr john doe and jane smith"), (2, "nothing")], "k int, norm string")
-    want = sorted(entities.contained(rows, found, "k", "norm").collect())
-    monkeypatch.setattr(entities, "NAMES", 0)
+    rows = spark.createDataFrame([(1, "dr john doe and jane smith"), (2, "nothing"), (3, None)], "k int, norm string")
+    names = found.withColumnRenamed("norm", "name")
+    want = sorted(rows.join(names, F.col("norm").contains(F.col("name"))).select("k", "entity_id").distinct().collect())
     assert sorted(entities.contained(rows, found, "k", "norm").collect()) == want and len(want) == 2
+    other = entities.lookup(spark.createDataFrame([("z", "nothing", [], "course", "", 0)], "id string, name string, aliases array<string>, type string, url string, load_seq int"))
+    assert [tuple(r) for r in entities.contained(rows, other, "k", "norm").collect()] == [(2, "z")]  # a worker's automaton is that of the registry
+    monkeypatch.setattr(entities, "NAMES", 2)
+    assert sorted(entities.contained(rows, found, "k", "norm").collect()) == want
 
 
 def test_html_to_markdown():
@@ -158,3 +162,117 @@ def test_stages(spark, tmp_path):
     main(["--stage", "chunk", "--markdown", str(folder), "--entities", str(tmp_path / "f.json"), "--out", str(tmp_path / "out")])
     assert readers.chunks(spark, str(tmp_path / "out" / "chunks")).first().entity_refs == ["faculty_john_doe"]
     assert spark.read.text(str(tmp_path / "out" / "events")).count() == 1
+
+
+def test_scrape_stage_counts(spark, tmp_path):
+    from sluice.pipeline import entity_stage, scrape_stage
+
+    base = "https://a.example"
+    pages = [(f"{base}/in/{i}", f'<h1>Page {i}</h1><a href="/in/{i + 1}">n</a><a href="/in/f{i}.pdf">f</a><a href="{base}/faculty/{i}">Person {i}</a>') for i in range(3)]
+    table = spark.createDataFrame([*pages, (f"{base}/in/x", None)], "url string, html string")
+    conf = CrawlConf(base_url=base, include=("/in/",))
+    done = scrape_stage(table, [f"{base}/in/0"], conf, str(tmp_path / "md"))
+    assert (done.found_pages, done.found_pdfs, done.made_pages, done.made_pdfs) == (4, 3, 3, 0)
+    found = [(r.kind, r.url) for r in crawl.discover(table, [f"{base}/in/0"], conf).collect()]
+    assert found == sorted(found)
+    assert entity_stage(table, base, str(tmp_path / "faculty")).count() == 3
+    assert spark.read.schema(entities.ENTITY).json(str(tmp_path / "faculty_courses")).count() == 0 and (tmp_path / "faculty_programs").is_dir()
+
+
+def test_pdf_urls_to_markdown(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from sluice.pipeline import fetched_pages, pdf_urls_to_markdown
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((self.path, self.headers["User-Agent"], self.headers["X-Own"]))
+            ok = "bad" not in self.path
+            self.send_response(200 if ok else 404)
+            self.end_headers()
+            self.wfile.write(b"some words of a file" if ok else b"")
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    conf = CrawlConf(base_url=base, delay_seconds=0.0, retries=2, user_agent="own agent", headers={"X-Own": "1"})
+    urls = spark.createDataFrame([(f"{base}/a.pdf",), (f"{base}/other/a.pdf",), (f"{base}/view",), (f"{base}/bad.pdf",)], "url string")
+    got = pdf_urls_to_markdown(urls, str(tmp_path / "landed"), str(tmp_path / "md"), lambda c: [(1, c.decode(), [])], conf)
+    rows = {r.url.removeprefix(base): r for r in got.collect()}
+    assert set(rows) == {"/a.pdf", "/other/a.pdf", "/view"} and rows["/a.pdf"].name == "a.pdf" and rows["/view"].name.startswith("document_")
+    assert "some words of a file" in rows["/a.pdf"].markdown
+    assert [p for p, *_ in seen].count("/bad.pdf") == 2 and {x[1:] for x in seen} == {("own agent", "1")}
+    assert {r.url.removeprefix(base): r.html for r in fetched_pages(spark, urls, conf).collect()} == {"/a.pdf": "some words of a file", "/other/a.pdf": "some words of a file", "/view": "some words of a file", "/bad.pdf": None}
+    server.shutdown()
+
+
+def test_paths_are_relative(spark, tmp_path):
+    for name in ("pages", "pdfs"):
+        (tmp_path / "data" / name / "sub dir").mkdir(parents=True)
+        (tmp_path / "data" / name / "sub dir" / "x.md").write_text("t")
+    folders = [str(tmp_path / "data" / n) for n in ("pages", "pdfs")]
+    assert sorted(r.source_file for r in readers.markdown(spark, *folders).collect()) == ["pages/sub dir/x.md", "pdfs/sub dir/x.md"]
+    assert sorted(r.source_file for r in readers.markdown(spark, *folders, root=str(tmp_path)).collect()) == ["data/pages/sub dir/x.md", "data/pdfs/sub dir/x.md"]
+    elsewhere = readers.markdown(spark, *folders, root="/nowhere").first().source_file
+    assert elsewhere.startswith("/") and elsewhere.endswith("x.md")
+
+
+def test_deep_pages_stay(spark):
+    n = 5000
+    rows = spark.createDataFrame([("https://a.example/deep", "<div>" * n + "<p>inside</p>" + "</div>" * n)], "url string, html string")
+    assert html.scrape(rows).first().markdown == "# Deep\n\ninside"
+
+
+def test_html_to_markdown_by_construction():
+    """Random simple pages whose Markdown is known from how they are put together."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"])
+    text = lambda n: " ".join(word() for _ in range(rng.randint(1, n)))
+
+    def inline():
+        kind, t = rng.randrange(6), text(4)
+        return {0: (f"<b>{t}</b>", f"**{t}**"), 1: (f"<i>{t}</i>", f"*{t}*"), 2: (f"<a href='/x'>{t}</a>", f"[{t}](/x)"), 3: (f"<a href='mailto:a'>{t}</a>", t), 4: (f"<code>{t}</code>", f"`{t}`")}.get(kind, (t, t))
+
+    def line():
+        parts = [inline() for _ in range(rng.randint(1, 4))]
+        return " ".join(a for a, _ in parts), " ".join(b for _, b in parts)
+
+    def block():
+        kind = rng.randrange(7)
+        a, b = line()
+        if kind == 0:
+            n, t = rng.randint(1, 6), text(5)
+            return f"<h{n}>{t}</h{n}>", f"{'#' * n} {t}"
+        if kind == 1:
+            items = [line() for _ in range(rng.randint(1, 4))]
+            return "<ul>" + "".join(f"<li>{x}</li>" for x, _ in items) + "</ul>", "\n".join(f"- {y}" for _, y in items)
+        if kind == 2:
+            items = [line() for _ in range(rng.randint(1, 4))]
+            return "<ol>" + "".join(f"<li>{x}" for x, _ in items) + "</ol>", "\n".join(f"{i}. {y}" for i, (_, y) in enumerate(items, 1))
+        if kind == 3:
+            rows = [[text(2) for _ in range(3)] for _ in range(rng.randint(1, 4))]
+            made = "<table>" + "".join("<tr>" + "".join(f"<td>{x}</td>" for x in r) + "</tr>" for r in rows) + "</table>"
+            out = ["| " + " | ".join(r) + " |" for r in rows]
+            return made, "\n".join([out[0], "| --- | --- | --- |", *out[1:]])
+        if kind == 4:
+            return f"<div class='{rng.choice(['popup', 'x-menu', 'sidebar-a', 'ad-b'])}'>{a}</div><script>{a}</script><!-- {a} -->", ""
+        if kind == 5:
+            return f"<img src=a.png width=20 alt=x><img src=b.png><div><img src='c.png' alt='pic'></div>", "![pic](c.png)"
+        return f"<p>{a}</p>", b
+
+    for _ in range(300):
+        blocks = [block() for _ in range(rng.randint(1, 8))]
+        inside = rng.choice(["<main>{}</main><p>outside</p>", "<article>{}</article>", "<div class=content>{}</div><div>outside</div>", "<div id='main-x'>{}</div>", "{}"])
+        page = "<html><head><title>The title</title></head><body><nav>menu</nav>" + inside.format("\n".join(a for a, _ in blocks)) + "<footer>end</footer></body></html>"
+        want = "\n\n".join(b for _, b in blocks if b)
+        title = next((b.lstrip("# ") for a, b in blocks if a.startswith("<h1>")), "The title")
+        got = html.convert(page, "https://a.example/u")
+        assert got == (want if want.startswith("#") else f"# {title}\n\n{want}"), page
