@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.operators.shared import ensure_checkpoints, settled  # noqa: F401 the operators here take them from this module
+
 #: Bytes of text that a worker turns into arrays at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 MASK = (1 << 64) - 1
@@ -29,28 +30,11 @@ def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def ensure_checkpoints(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it names none, a temporary one in local mode
-    and one below the warehouse, which is shared, elsewhere."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        local = sc.master.startswith("local[") or sc.master == "local"
-        sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"))
-    return named or str(sc._jsc.sc().getCheckpointDir().get())
-
-
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new folder name below the shared one."""
     return f"{ensure_checkpoints(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows from the shared folder: later stages don't run the earlier ones again, nor lose them."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Shelf:
     """Tables that an operator writes to the shared folder on its way and removes when it has used them."""
 

@@ -3,11 +3,12 @@
 A document is its ids and then id 0. Documents of a window's length or more are first cut into full windows, each a
 sequence of its own. What remains is packed by decreasing length: a segment tree over remaining capacities finds the
 open window with the least room that still holds the piece. A task packs its own rows in groups of GROUP remainders, so
-memory is bounded (32 bytes a piece, and one document's ids) and there is no shuffle; a group's few open windows at the
-end are the only ones with much padding. A sequence id is the task's number and a counter, so a task that runs again on
+memory is bounded (some 500 bytes a piece, 32 MB a group, and one document's ids) and there is no shuffle; a group's few open
+windows at the end are the only ones with much padding. Full windows are handed on as they come and close no open ones. A sequence id is the task's number and a counter, so a task that runs again on
 the same input gives the same ids.
 
-Null and empty texts are one id (0); repeated rows and ids are packed as rows of their own; an empty table has no pieces.
+Null and empty texts are one id (0); repeated rows and ids are packed as rows of their own; an empty table has no pieces. Only
+id and text are read, so other columns can't clash. A very long text is many full windows; its ids are held at once.
 """
 
 from __future__ import annotations
@@ -83,20 +84,22 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, group: int
         own, first = bpe.load(tokenizer_path), TaskContext.get().partitionId() << 33
         full, rest = [], []
 
-        def flush():
+        def flush(all_of_it: bool):
             nonlocal first, full, rest
-            rows = full + rest
+            rows = full + rest if all_of_it else full
             if not rows:
                 return
             places = [(first + i, 0) for i in range(len(full))]
             first += len(full)
-            places += [(first + w, offset) for w, offset in best_fit_decreasing([r[2] for r in rest], window)]
+            if all_of_it:
+                places += [(first + w, offset) for w, offset in best_fit_decreasing([r[2] for r in rest], window)]
+                rest = []
             first = max((s for s, _ in places), default=first - 1) + 1
             columns = list(zip(*rows, strict=True))
             arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.int64()) for c in zip(*places, strict=True)]
             if with_ids:
                 arrays.append(pa.array(columns[5], pa.list_(pa.int32())))
-            full, rest = [], []
+            full = []
             for b in pa.Table.from_arrays(arrays, names=names).to_batches(max_chunksize=20_000):
                 yield b
 
@@ -108,8 +111,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, group: int
                     row = (doc, start, len(piece), zlib.crc32(piece), len(ids)) + ((piece.astype(np.int32),) if with_ids else ())
                     (full if len(piece) == window else rest).append(row)
                 if len(rest) >= group or len(full) >= group:
-                    yield from flush()
-        yield from flush()
+                    yield from flush(len(rest) >= group)
+        yield from flush(True)
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     names = [x.split()[0] for x in schema.split(", ")]

@@ -18,7 +18,9 @@ without spaces is one unit, which takes some 300 bytes a character while it is l
 Random numbers come from the seed, the row's key and its text alone (those of walks from a hash of these, the unit's place and
 the step), so retries and other partitionings draw the same. Each row is
 handled by itself, in blocks of bounded size, without a shuffle. Null and empty texts have one segmentation, the empty one.
-Rows with equal ids and texts draw the same. A text with fewer than k segmentations gives all it has. An empty table gives no rows.
+Rows with equal ids and texts draw the same. Only id and text are read, so other columns can't clash. As pieces spell a space
+as U+2581, that character in a text comes back as a space. The query returns samples, and their decoded texts' checksums; encode
+and decode are functions beside it. A text with fewer than k segmentations gives all it has. An empty table gives no rows.
 """
 
 from __future__ import annotations

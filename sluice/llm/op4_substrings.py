@@ -20,7 +20,8 @@ Decided stretches are joined to the texts by id and a hash of the text; while fe
 
 Rows with a null id are never removed from and remove nothing; of rows that share an id none counts as smaller, and each
 is judged by its own text. Null and
-empty texts have no words; texts of fewer than WINDOW words have no windows. An empty table gives no rows.
+empty texts have no words; texts of fewer than WINDOW words have no windows. An empty table gives no rows. Columns on the way get
+names that the input doesn't have. A very long text is a block of its own in a worker, which holds some 60 bytes a byte of it.
 """
 
 from __future__ import annotations

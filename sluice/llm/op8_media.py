@@ -15,6 +15,11 @@ masked bits are 0, between a least and a greatest length; equal stretches of dif
    a mismatch fails the task.
 4. Values go back to all rows by key; adaptive execution splits the joins' hot keys, whose rows hold no bytes.
 
+Adaptive execution splits a hot key's partition where it is larger than spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes;
+below that a task reads it whole, some 60 bytes a row.
+
+Only id and text are read, so other columns can't clash. A very long text is a payload of many chunks; a worker holds some 10
+bytes a byte of it, and its row of the store the chunks that live there.
 Null and empty texts are one payload of 64 zeros. Rows with equal or null ids stay rows of their own. An empty table gives
 no rows. A store's folder must be new or empty.
 """

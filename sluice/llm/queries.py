@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import op6_urls as _op6
+from . import oracles as _oracles
 from .op1_licenses import op1_licenses
 from .op2_packing import op2_packing
 from .op3_pieces import op3_pieces
@@ -15,4 +16,4 @@ from .op9_jaccard import op9_jaccard
 from .op10_tokens import op10_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_packing, op3_pieces, op4_substrings, op5_quality, op6_urls, op7_html, op8_media, op9_jaccard, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op6_urls": _op6.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_substrings": _oracles.SUBSTRINGS, "op6_urls": _op6.ORACLE_SQL, "op9_jaccard": _oracles.JACCARD}

@@ -98,6 +98,44 @@ def test_op2_round_trip(spark, folder, documents):
         assert at <= 1024
 
 
+def test_op2_takes_the_tightest_window():
+    import random
+
+    from sluice.llm import op2_packing as o
+
+    rng = random.Random(3)
+    for n in (0, 1, 5, 300):
+        lengths = [rng.randint(1, rng.choice([3, 40, 100])) for _ in range(n)]
+        room, want = [], {}
+        for i in sorted(range(n), key=lambda i: (-lengths[i], i)):
+            fit = [r for r in room if r >= lengths[i]]
+            at = len(room) if not fit else max(w for w, r in enumerate(room) if r == min(fit))
+            if not fit:
+                room.append(100)
+            want[i] = (min(fit) if fit else 100) - lengths[i]
+            room[at] -= lengths[i]
+        got = o.best_fit_decreasing(lengths, 100)
+        assert sorted(100 - o_ - lengths[i] for i, (_, o_) in enumerate(got)) == sorted(want.values())  # the room that each piece leaves
+        assert len({w for w, _ in got}) == len(room)
+
+
+def test_op2_padding_and_groups(spark):
+    """Little padding, also where full windows fill groups of their own between remainders."""
+    import random
+
+    from sluice.llm import op2_packing as o
+
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["alpha", "of", "the"]) for _ in range(rng.choice([20, 150, 3000])))) for i in range(400)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    for group in (1 << 16, 100):
+        got = o.pack(table, public_tokenizers.path(o.TOKENIZER), group=group).collect()
+        used = Counter()
+        for r in got:
+            used[r.sequence_id] += r.length
+        assert sum(1024 - x for x in used.values()) < (0.01 if group > 100 else 0.05) * 1024 * len(used) and max(used.values()) <= 1024
+
+
 def repeats(documents, n=50):
     first = {}
     words = [WORD.findall(t or "") for _, t in documents]
@@ -210,6 +248,17 @@ def test_op5_scores_by_hand(spark, folder, documents):
     assert np.isfinite([r.score for r in got]).all()
 
 
+@pytest.mark.parametrize("name", ["op4_substrings", "op9_jaccard"])
+def test_equals_its_sql(spark, documents, tmp_path, name):
+    """On documents with ids of their own, as the SQL tells documents apart by id."""
+    docs = [(i, t) for i, (_, t) in enumerate(documents)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = c.sql(ORACLE_SQL[name])
+    same(rows(spark, name, str(tmp_path)), want.fetchall(), want.columns)
+
+
 def test_op6_equals_its_sql(spark, folder):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
@@ -252,6 +301,13 @@ def test_op8_media(spark, folder, documents):
         m = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(p), b"WAVE", b"fmt ", 16, 1, 1, 8000, 8000, 1, 8, b"data", len(p)) + p
         want.append((d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()))
     same(got, want, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
+    expected = {}
+    for _, t in documents:
+        p = (t or "").encode()
+        x = [v - 128 for v in p + bytes(-len(p) % 64 or (0 if p else 64))]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:], strict=False))
+        expected[hashlib.sha256(bytes(v + 128 for v in x)).hexdigest()] = f"{len(x)}:{sum(x) / len(x):.6f}:{(sum(v * v for v in x) / len(x)) ** 0.5:.6f}:{max(map(abs, x))}:{crossings}"
+    assert all(r["feature"] == expected[r["payload_sha256"]] for r in got)
     features = {}
     for r in got:
         assert features.setdefault(r["payload_sha256"], r["feature"]) == r["feature"]
