@@ -1,6 +1,9 @@
 """The corpus pipeline: quality rules, near-duplicate removal, substring dedup, packing.
 
-Each stage takes what its predecessor kept, as a table of documents, and all but the last return the same columns.
+Each stage takes what its predecessor kept, as a table of documents, and all but the last return the same columns, whatever
+their names: stages give their own columns names that the input doesn't have. Null and empty texts fail the quality rules. Equal
+rows and ties are treated as each stage says; an empty table gives no rows. What a very long text takes in a worker stands in
+the operators' modules.
 """
 
 from __future__ import annotations
