@@ -70,10 +70,10 @@ def slugify(spark, sf_dir):
 
 
 @query(
-    f"SELECT doc_id, 'html_' || {_sql_slug('source', 30)} || '_' || CASE WHEN doc_id % 4 = 0 THEN 'root' ELSE {_sql_slug('CASE WHEN doc_id % 4 = 1 THEN lang WHEN doc_id % 4 = 2 THEN lang || chr(95) || source ELSE source || chr(95) || coalesce(substr(text, 1, 60), chr(32)) END', 50)} END || '_' || substr({HASHED}, 1, 8) AS chunk_id FROM documents"
+    f"SELECT doc_id, 'html_' || {_sql_slug('source', 30)} || '_' || CASE WHEN doc_id % 4 = 0 THEN 'root' ELSE {_sql_slug('CASE WHEN doc_id % 4 = 1 THEN lang WHEN doc_id % 4 = 2 THEN lang || chr(95) || source ELSE source || chr(95) || coalesce(text, chr(32)) END', 50)} END || '_' || substr({HASHED}, 1, 8) AS chunk_id FROM documents"
 )
 def chunk_id(spark, sf_dir):
-    titles = F.array("lang", "source", F.coalesce(F.substring("text", 1, 60), F.lit(" ")))
+    titles = F.array("lang", "source", F.coalesce("text", F.lit(" ")))
     return _docs(spark, sf_dir).select("doc_id", T.chunk_id(F.lit("html"), F.col("source"), F.slice(titles, F.lit(1), (F.col("doc_id") % 4).cast("int")), T.content_hash(F.col("raw"))).alias("chunk_id"))
 
 
@@ -506,21 +506,21 @@ def _tables(spark, sf_dir):
     return d.select("doc_id", "text", F.concat(F.array(F.array(F.lit(" a  b "), F.lit(None).cast("string"))), rows).alias("rows"))
 
 
-CELLS_SQL = f"list_concat([['a b', '']], list_transform(range(0, len({sql_words("coalesce(text, '')")}) + 1, 3), lambda k: list_transform(({sql_words("coalesce(text, '')")})[k + 1:k + 3], lambda y: replace(y, '|', chr(92) || '|'))))"
-
-
-@query(
-    f"""WITH a AS (SELECT doc_id, {CELLS_SQL} AS c FROM documents), b AS (SELECT doc_id, c, list_max(list_transform(c, lambda r: len(r))) AS w FROM a),
+CELLS_SQL = "list_concat([['a b', '']], list_transform(range(0, len(w) + 1, 3), lambda k: list_transform(w[k + 1:k + 3], lambda y: replace(y, '|', chr(92) || '|'))))"
+LINES_SQL = f"list_concat([['a b', '']], list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: list_transform({sql_words('x')}, lambda y: replace(y, '|', chr(92) || '|'))))"
+TABLE_MD_SQL = f"""WITH d AS (SELECT doc_id, text, {sql_words("coalesce(text, '')")} AS w FROM documents), a AS (SELECT doc_id, {{cells}} AS c FROM d), b AS (SELECT doc_id, c, list_max(list_transform(c, lambda r: len(r))) AS w FROM a),
     m AS (SELECT doc_id, list_transform(c, lambda r: '| ' || array_to_string(list_concat(r, list_transform(range(w - len(r)), lambda z: '')), ' | ') || ' |') AS l, '| ' || array_to_string(list_transform(range(w), lambda z: '---'), ' | ') || ' |' AS rule FROM b)
     SELECT doc_id, array_to_string(list_concat(l[1:1], [rule], l[2:]), chr(10)) AS markdown FROM m"""
-)
+
+
+@query(fill(TABLE_MD_SQL, cells=CELLS_SQL))
 def table_to_markdown(spark, sf_dir):
     return _tables(spark, sf_dir).select("doc_id", pdf.table_to_markdown(F.col("rows")).alias("markdown"))
 
 
-@query()
+@query(fill(TABLE_MD_SQL, cells=LINES_SQL))
 def table_to_markdown_words(spark, sf_dir):
-    """As table_to_markdown, with every word of a line as a cell; without SQL, tests have a brute-force version."""
+    """As table_to_markdown, with a row for each line."""
     d = I.table(spark, sf_dir, "documents")
     rows = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.words)
     header = F.array(F.array(F.lit(" a  b "), F.lit(None).cast("string")))
