@@ -245,8 +245,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, key: s
     spark = docs.sparkSession
     rows = with_row(docs, key, text)
     shelf = Shelf(spark, "minimisers")
-    hot_keys, size = measured(rows, window, run, hot, shelf)
-    shelf.close()
+    try:
+        hot_keys, size = measured(rows, window, run, hot, shelf)
+    finally:
+        shelf.close()
     hot_keys = spark.sparkContext.broadcast(hot_keys)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, size // bucket_bytes)

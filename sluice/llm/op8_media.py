@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, keyed_text, settled, shared_path, table, texts_of
+from .common import blocks, keyed_text, remove, settled, shared_path, table, texts_of
 
 PAD = 64
 RATE = 8000
@@ -213,5 +213,9 @@ def media(docs: DataFrame, store: str, key: str = "doc_id", text: str = "text")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, through a new store in the shared folder."""
-    return media(table(spark, sf_dir, "documents"), shared_path(spark, "media"))
+    """All documents, through a new store in the shared folder, which goes when all payloads have been read back."""
+    store = shared_path(spark, "media")
+    try:
+        return media(table(spark, sf_dir, "documents"), store)
+    finally:
+        remove(spark, store)

@@ -529,8 +529,15 @@ def remaining(sets: DataFrame, named: DataFrame, shelf: Shelf) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """doc_id, row (a hash of the text), n_shingles and component_id of each row."""
+    """doc_id, row (a hash of the text), n_shingles, component (of its set, as a node) and component_id of each row."""
     shelf = Shelf(docs.sparkSession, "jaccard")
+    try:
+        return settled(_components_of(docs, shingle, percent, key, text, hot, shelf))
+    finally:
+        shelf.close()
+
+
+def _components_of(docs: DataFrame, shingle: int, percent: int, key: str, text: str, hot: int, shelf: Shelf) -> DataFrame:
     rows = keyed_text(docs, key, text).withColumn("row", F.xxhash64("text"))
     made = shelf.keep(summaries(rows, shingle))
     sets = shelf.keep(made.filter("kind = 0").select("doc_id", "row", "n", "d1", "d2"))
@@ -560,9 +567,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     ids = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     found = shelf.keep(whole.join(ids, "component").select("d1", "d2", "component", "component_id"))
     out = sets.join(found, ["d1", "d2"], "left")
-    out = settled(out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component"))
-    shelf.close()
-    return out
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
