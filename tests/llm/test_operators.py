@@ -47,6 +47,32 @@ def test_op1_base(spark, folder, documents):
     assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) for r in got)
 
 
+def test_op1_labels_and_scores_by_brute_force(spark):
+    """Every rule against every text, without keywords or gates, and overlaps resolved pair by pair."""
+    import random
+
+    from sluice.llm import op1_licenses as o
+    from sluice.llm.license_rules import CONFIDENCE, compile_rules
+
+    rng, rules = random.Random(13), compile_rules()
+    phrases = ["MIT License", "Apache License, Version 2.0", "GNU General Public License v3", "SPDX-License-Identifier: Apache-2.0", "BSD 3-Clause License", "licensed under the Mozilla Public License 2.0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Creative Commons Attribution 4.0", "see the LICENSE file", "license", "mit", "plain words"]
+    docs = [(i, rng.choice(["\n", " "]).join(rng.choice(phrases) for _ in range(rng.randint(0, 8)))) for i in range(150)]
+    want = []
+    for d, t in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+        folded = (" " + " ".join(words) + " ").encode()
+        found = [(r, folded[: m.start()].count(b" ") - 1, folded[: m.end()].count(b" ") - 0) for r in rules for m in r.pattern.finditer(folded)]
+        base = [x for x in found if x[0].kind == "base"]
+        kept = []
+        for r, s, e in sorted((x for x in found if x[0].kind != "base"), key=lambda x: (x[0].kind != "tag", x[1] - x[2], x[0].priority, x[1])):
+            if all(e <= p or q <= s for _, p, q in kept):
+                kept.append((r, s, e))
+        score = 1 - math.prod(1 - CONFIDENCE[r.kind] for r, _, _ in kept + base) if kept or base else 0.0
+        want.append((d, ",".join(sorted({r.label for r, _, _ in kept + base})), round(score, 6)))
+    got = [(r.doc_id, r.labels, round(r.score, 6)) for r in o.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(want) and len({x[1] for x in want}) > 20
+
+
 def test_op1_resolves_as_pair_by_pair():
     import random
 

@@ -105,3 +105,48 @@ def test_places_follow_folding():
     tokens = list(o.tokens(page))
     assert len(at) == len(elements) and at == sorted(at)
     assert tokens[at[kinds.index("tag:section")]].name == "section"
+
+
+def test_texts_by_construction(spark):
+    """Random pages of several hosts whose main text is known from how they are put together."""
+    import html
+
+    rng = random.Random(21)
+    word = lambda: rng.choice(["alpha", "b&c", "d<e", "naïve", "日本", "x\u00a0y", "word"])
+    text = lambda n: " ".join(word() for _ in range(rng.randint(3, n)))
+    plain = lambda t: " ".join(t.split())
+    junk = lambda: rng.choice(["<nav><ul><li>menu</li></ul></nav>", "<aside>side</aside>", "<div class='ad'>buy</div>", "<form><p>name</p></form>", "<script>if (a<b) '</p>'</script>", "<!-- <p>gone</p> -->", "<style>p{}</style>", "<div class=cookie-notice>c</div>", "<section class='comments'><p>reader</p></section>"])
+
+    def inside():
+        made, blocks = [], []
+        for _ in range(rng.randint(2, 9)):
+            t = text(40)
+            kind = rng.randrange(5)
+            if kind == 0:
+                made.append(junk())
+                continue
+            body = html.escape(t)
+            if kind == 1:
+                half = len(t.split(" ")) // 2
+                a, b = " ".join(t.split(" ")[:half]), " ".join(t.split(" ")[half:])
+                made.append(f"<p>{html.escape(a)} <b>{html.escape(b)}</b>\n")
+            elif kind == 2:
+                items = [text(6) for _ in range(rng.randint(1, 4))]
+                made.append("<ul>" + "".join(f"<li>{html.escape(x)}" for x in items) + "</ul>")
+                blocks += map(plain, items)
+                continue
+            else:
+                made.append(f"<{'p' if kind == 3 else 'h2'}>\n  {body}</{'p' if kind == 3 else 'h2'}>")
+            blocks.append(plain(t))
+        return "".join(made), blocks
+
+    pages, want = [], {}
+    for i in range(90):
+        host = i % 4
+        body, blocks = inside()
+        main = [f"<article>{body}</article>", f"<main><div class=post>{body}</div></main>", f"<div class=wrap><h4>Site</h4></div><div class=story-text>{body}</div>", f"<section><em>top</em></section><section>{body}</section>"][host]
+        page = f"<html><head><title>t</title></head><body><header><p>head</p></header>{junk()}{main}<footer>end</footer></body></html>"
+        pages.append((i, f"https://h{host}.example.com/{i}", page))
+        want[i] = "\n\n".join(blocks)
+    got = texts(spark, pages)
+    assert {i: t for i, t in got.items() if want[i]} == {i: t for i, t in want.items() if t}
