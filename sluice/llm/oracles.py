@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op4_substrings import WINDOW
+from .op8_media import PAD, RATE
 from .op9_jaccard import PERCENT, SHINGLE
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -29,3 +30,19 @@ edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id, doc_id AS x FROM sets UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.x)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT doc_id, min(x) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
+
+_LE32 = "printf('%02X%02X%02X%02X', {0} & 255, ({0} >> 8) & 255, ({0} >> 16) & 255, ({0} >> 24) & 255)"
+
+MEDIA = f"""
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, x || repeat('00', ({PAD} - (length(x) // 2) % {PAD}) % {PAD} + CASE WHEN x = '' THEN {PAD} ELSE 0 END) AS x FROM h),
+b AS (SELECT doc_id, n_bytes, x, (length(x) // 2)::BIGINT AS n, list_transform(regexp_extract_all(x, '..'), lambda y: (instr('0123456789ABCDEF', y[1]) - 1) * 16 + instr('0123456789ABCDEF', y[2]) - 1) AS b FROM p),
+m AS (SELECT *, '52494646' || {_LE32.format("(36 + n)")} || '57415645666D74201000000001000100' || {_LE32.format(RATE)} || {_LE32.format(RATE)} || '0100080064617461' || {_LE32.format("n")} || x AS media FROM b)
+SELECT doc_id, n_bytes, n AS payload_bytes, sha256(unhex(x)) AS payload_sha256,
+  xor(list_reduce(list_concat([4294967295], list_transform(b[-{PAD}:], lambda y: y::BIGINT)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295)::BIGINT AS tail_crc32,
+  (length(media) // 2)::BIGINT AS media_bytes, sha256(unhex(media)) AS media_sha256,
+  n || ':' || printf('%.6f', list_sum(list_transform(b, lambda y: y - 128))::DOUBLE / n) || ':' || printf('%.6f', sqrt(list_sum(list_transform(b, lambda y: (y - 128) * (y - 128)))::DOUBLE / n)) || ':' ||
+    list_max(list_transform(b, lambda y: abs(y - 128))) || ':' || len(list_filter(range(2, n + 1), lambda i: (b[i] >= 128) <> (b[i - 1] >= 128))) AS feature
+FROM m, crc
+"""
