@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sluice.conf import ChunkConf
 from sluice.operators import chunks as K
 from sluice.operators.dedup import split_duplicates
+from sluice.operators.shared import settled
 
 FILE = "source_file string, raw string"
 
@@ -27,7 +28,7 @@ def chunk_stream(stream: DataFrame, out: str, checkpoint: str, registry: DataFra
 
     def batch(rows: DataFrame, n: int) -> None:
         spark = rows.sparkSession
-        kept, _ = split_duplicates(K.build_chunks(rows, registry, conf))
+        kept, _ = split_duplicates(settled(K.build_chunks(rows, registry, conf)))
         place = spark._jvm.org.apache.hadoop.fs.Path(out)
         if n and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
             earlier = spark.read.parquet(out).filter(F.col("batch") < n).select("hash")
