@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_rules import CONFIDENCE, compile_rules
 from .op4_substrings import WINDOW
 from .op8_media import PAD, RATE
 from .op9_jaccard import PERCENT, SHINGLE
@@ -46,3 +47,33 @@ SELECT doc_id, n_bytes, n AS payload_bytes, sha256(unhex(x)) AS payload_sha256,
     list_max(list_transform(b, lambda y: abs(y - 128))) || ':' || len(list_filter(range(2, n + 1), lambda i: (b[i] >= 128) <> (b[i - 1] >= 128))) AS feature
 FROM m, crc
 """
+
+
+def _rule_row(rule) -> str:
+    """A rule for text whose words stand between the characters 2 and 3, as RE2 has no look-around."""
+    pattern = rule.pattern.pattern.decode().removeprefix("(?<= )").removesuffix("(?= )")
+    pattern = r"\x02" + pattern.replace(" ?", r"(?:\x03 \x02)?").replace(" ", "\0").replace("\\x03\0\\x02", r"\x03 \x02").replace("\0", r"\x03 \x02") + r"\x03"
+    return "('{}', '{}', {}, {}, '{}', '{}')".format(rule.label, rule.kind, rule.priority, CONFIDENCE[rule.kind], rule.keyword.decode(), pattern.replace("'", "''"))
+
+
+_COUNT = "(length({0}) - length(replace({0}, chr(2), '')))"
+
+LICENSES = f"""
+WITH rules(label, kind, priority, confidence, keyword, pattern) AS (VALUES {", ".join(map(_rule_row, compile_rules()))}),
+w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+f AS (SELECT r, array_to_string(w, ' ') AS plain, array_to_string(list_transform(w, lambda x: chr(2) || x || chr(3)), ' ') AS f FROM w),
+hits AS (SELECT r, label, kind, priority, confidence, regexp_extract_all(f, pattern) AS m, regexp_split_to_array(f, pattern) AS p FROM f JOIN rules ON contains(plain, keyword) WHERE regexp_matches(f, pattern)),
+numbered AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM hits),
+places AS (
+  SELECT r, label, kind, priority, confidence, s, s + {_COUNT.format("m[k]")} AS e
+  FROM (SELECT *, (list_sum(list_transform(p[1:k], lambda x: {_COUNT.format("x")})) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: {_COUNT.format("x")})), 0))::BIGINT AS s FROM numbered)),
+base AS (SELECT r, count(*) AS n, min(s) AS low, max(s) AS high, list(DISTINCT label) AS labels, product(1 - confidence) AS miss FROM places WHERE kind = 'base' GROUP BY r),
+ordered AS (SELECT r, list({{'s': s, 'e': e, 'label': label, 'miss': 1 - confidence}} ORDER BY kind <> 'tag', s - e, priority, s) AS l FROM places WHERE kind <> 'base' GROUP BY r),
+kept AS (
+  SELECT r, list_reduce(list_concat([l[1:0]], list_transform(l, lambda x: [x])), lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN a ELSE list_concat(a, x) END) AS l FROM ordered)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, low AS first_word, high AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(list_transform(kept.l, lambda x: x.label), [])))), ','), '') AS labels,
+  CASE WHEN base.n IS NULL AND kept.l IS NULL THEN 0.0 ELSE round(1 - coalesce(base.miss, 1) * coalesce(list_aggregate(list_transform(kept.l, lambda x: x.miss), 'product'), 1), 9) END::DOUBLE AS score,
+  coalesce(len(kept.l), 0)::BIGINT AS n_found
+FROM w LEFT JOIN base USING (r) LEFT JOIN kept USING (r)
+"""

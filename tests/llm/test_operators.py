@@ -274,7 +274,7 @@ def test_op5_scores_by_hand(spark, folder, documents):
     assert np.isfinite([r.score for r in got]).all()
 
 
-@pytest.mark.parametrize("name", ["op4_substrings", "op8_media", "op9_jaccard"])
+@pytest.mark.parametrize("name", ["op1_licenses", "op4_substrings", "op8_media", "op9_jaccard"])
 def test_equals_its_sql(spark, documents, tmp_path, name):
     """On documents with ids of their own, as the SQL tells documents apart by id."""
     docs = [(i, t) for i, (_, t) in enumerate(documents)]
