@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .common import BASE, BYTE_VALUES
 from .license_rules import CONFIDENCE, compile_rules
 from .op4_substrings import WINDOW
+from .op5_quality import BUCKETS, MARGIN, MIN_WORDS, PRIOR, REJECTED_SHARE, REPEAT_PERCENT, SCALE
+from .op5_quality import WINDOW as REPEATED
 from .op8_media import PAD, RATE
 from .op9_jaccard import PERCENT, SHINGLE
 
@@ -77,3 +80,56 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base,
   coalesce(len(kept.l), 0)::BIGINT AS n_found
 FROM w LEFT JOIN base USING (r) LEFT JOIN kept USING (r)
 """
+
+_TWO_64 = "18446744073709551616::UHUGEINT"
+
+
+def _times(x: str, y: int | str) -> str:
+    """Product modulo 2^64."""
+    return f"(({x}::UHUGEINT * {y}::UHUGEINT) % {_TWO_64})::UBIGINT"
+
+
+def _mixed(columns: str, source: str, x: str, name: str) -> str:
+    """The rows of source with name = mix(x), a step a subquery."""
+    a = f"SELECT *, xor({x}, {x} >> 31) AS m1 FROM {source}"
+    b = f"SELECT *, {_times('m1', 0x7FB5D329728EA185)} AS m2 FROM ({a})"
+    c = f"SELECT *, xor(m2, m2 >> 27) AS m3 FROM ({b})"
+    d = f"SELECT *, {_times('m3', 0x81DADEF4BC2DD44D)} AS m4 FROM ({c})"
+    return f"SELECT {columns}, xor(m4, m4 >> 33) AS {name} FROM ({d})"
+
+
+_VALUES = "[" + ", ".join(f"{int(v)}::UBIGINT" for v in BYTE_VALUES) + "]"
+
+QUALITY = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+letters AS (SELECT word, unnest(range(length(hex(encode(word))) // 2)) AS j, regexp_extract_all(hex(encode(word)), '..') AS b FROM (SELECT DISTINCT word FROM p)),
+powers AS (WITH RECURSIVE q AS (SELECT 0 AS j, 1::UBIGINT AS v UNION ALL SELECT j + 1, {_times("v", BASE)} FROM q WHERE j < (SELECT max(j) FROM letters)) SELECT j, v FROM q),
+summed AS (
+  SELECT word, (sum({_times(f"{_VALUES}[(instr('0123456789ABCDEF', b[j + 1][1]) - 1) * 16 + instr('0123456789ABCDEF', b[j + 1][2])]", "v")}::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT AS x
+  FROM letters JOIN powers USING (j) GROUP BY word),
+hashed AS ({_mixed("word", "summed", "x", "h")}),
+singles AS ({_mixed("word, h", "hashed", "h", "u")}),
+pairs AS (SELECT p.r, p.doc_id, a.h AS h1, b.h AS h2 FROM p JOIN p n ON n.r = p.r AND n.i = p.i + 1 JOIN hashed a ON a.word = p.word JOIN hashed b ON b.word = n.word),
+joined AS (SELECT h1, h2, (({_times("h1", BASE)}::UHUGEINT + h2::UHUGEINT) % {_TWO_64})::UBIGINT AS x FROM (SELECT DISTINCT h1, h2 FROM pairs)),
+doubles AS ({_mixed("h1, h2", "joined", "x", "u")}),
+grams AS (
+  SELECT r, doc_id, (u >> 48)::BIGINT AS bucket FROM p JOIN singles USING (word)
+  UNION ALL SELECT r, doc_id, (u >> 48)::BIGINT FROM pairs JOIN doubles USING (h1, h2)),
+known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+counts AS (SELECT bucket, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM known WHERE quality = 1)) AS target FROM grams GROUP BY bucket),
+totals AS (SELECT sum(raw) AS n, sum(target) AS m FROM counts),
+ratios AS (
+  SELECT bucket, CASE WHEN m = 0 THEN 0 ELSE round({SCALE} * (ln((target + 0.5::DOUBLE) / (m + {0.5 * BUCKETS}::DOUBLE)) - ln((raw + 0.5::DOUBLE) / (n + {0.5 * BUCKETS}::DOUBLE))))::BIGINT END AS ratio FROM counts, totals),
+scored AS (SELECT r, sum(ratio)::DOUBLE / ({SCALE} * ({PRIOR} + count(*))) AS score FROM grams JOIN ratios USING (bucket) GROUP BY r),
+windows AS (SELECT r, i, array_to_string(w[i:i + {REPEATED - 1}], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - {REPEATED - 2})) AS i FROM d)),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, unnest(list(i)) AS i FROM windows GROUP BY r, x HAVING count(*) > 1), range({REPEATED}) t(k) GROUP BY r),
+base AS (
+  SELECT doc_id, r, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(repeated.n, 0)::BIGINT AS n_repeat_words, coalesce(score, 0) AS score FROM d LEFT JOIN repeated USING (r) LEFT JOIN scored USING (r)),
+trusted AS (SELECT min(score) AS score FROM base JOIN known USING (doc_id) WHERE quality = 1 AND n_words >= {MIN_WORDS} GROUP BY doc_id),
+least AS (SELECT CASE WHEN count(*) = 0 THEN '-infinity'::DOUBLE ELSE round(list_sort(list(score))[(floor({REJECTED_SHARE} * count(*)) + 1)::INT] - {MARGIN}, 6) END AS least FROM trusted)
+SELECT * EXCLUDE (r, least), n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AND score >= least AS kept FROM base, least
+"""

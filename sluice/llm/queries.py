@@ -16,4 +16,4 @@ from .op9_jaccard import op9_jaccard
 from .op10_tokens import op10_token_counts
 
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_packing, op3_pieces, op4_substrings, op5_quality, op6_urls, op7_html, op8_media, op9_jaccard, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op1_licenses": _oracles.LICENSES, "op4_substrings": _oracles.SUBSTRINGS, "op6_urls": _op6.ORACLE_SQL, "op8_media": _oracles.MEDIA, "op9_jaccard": _oracles.JACCARD}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": _oracles.LICENSES, "op4_substrings": _oracles.SUBSTRINGS, "op5_quality": _oracles.QUALITY, "op6_urls": _op6.ORACLE_SQL, "op8_media": _oracles.MEDIA, "op9_jaccard": _oracles.JACCARD}

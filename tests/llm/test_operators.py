@@ -285,6 +285,14 @@ def test_equals_its_sql(spark, documents, tmp_path, name):
     same(rows(spark, name, str(tmp_path)), want.fetchall(), want.columns)
 
 
+def test_op5_equals_its_sql(spark, folder):
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    want = c.sql(ORACLE_SQL["op5_quality"])
+    same(rows(spark, "op5_quality", folder), want.fetchall(), want.columns)
+
+
 def test_op6_equals_its_sql(spark, folder):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
