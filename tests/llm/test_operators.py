@@ -152,7 +152,7 @@ def test_op2_padding_and_groups(spark):
     from sluice.llm import op2_packing as o
 
     rng = random.Random(4)
-    docs = [(i, " ".join(rng.choice(["alpha", "of", "the"]) for _ in range(rng.choice([20, 150, 3000])))) for i in range(400)]
+    docs = [(i, " ".join(rng.choice(["alpha", "of", "the"]) for _ in range(rng.choice([rng.randint(2000, 4000), rng.randint(1, 60), rng.randint(1, 700)])))) for i in range(400)]
     table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     for group in (1 << 16, 100):
         got = o.pack(table, public_tokenizers.path(o.TOKENIZER), group=group).collect()
