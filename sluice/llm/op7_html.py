@@ -62,12 +62,17 @@ def stream(page: str) -> list:
     return placed(page)[0]
 
 
-def placed(page: str) -> tuple[list, list[int]]:
+def tokens_of(page: str | list) -> list:
+    """The page's tokens, if it isn't given as these."""
+    return page if isinstance(page, list) else list(tokens(page))
+
+
+def placed(page: str | list) -> tuple[list, list[int]]:
     """stream, and the number of the first token of each of its elements."""
     out: list = []
     at: list[int] = []
     skipped = Regions()
-    for k, t in enumerate(tokens(page)):
+    for k, t in enumerate(tokens_of(page)):
         if isinstance(t, str):
             if words := t.split():
                 literal = " ".join(words)
@@ -118,27 +123,30 @@ def merge(a: list, b: list) -> list:
 def fold(elements: list, at: list[int] | None = None, longest: int = 12) -> list:
     """Adjacent groups of one shape, each of up to longest elements, become one repeated group; inner groups first. at: numbers
     of the elements, of which a group keeps its first one's."""
+    shapes = [shape(e) for e in elements]
     for width in range(1, longest + 1):
-        out: list = []
-        shapes = [shape(e) for e in elements]
-        kept, i = [], 0
-        while i < len(elements):
-            group, same = elements[i : i + width], shapes[i : i + width]
+        if len(elements) < 2 * width:
+            break
+        out, out_shapes, kept, i, n = [], [], [], 0, len(elements)
+        for k in range(n - width):
+            if k < i or shapes[k] != shapes[k + width] or width == 1 and elements[k][0] != "text":
+                continue
+            same = shapes[k : k + width]
             times = 1
-            while len(group) == width and shapes[i + times * width : i + (times + 1) * width] == same:
+            while shapes[k + times * width : k + (times + 1) * width] == same:
                 times += 1
-            kept.append(i)
-            if times > 1 and (width > 1 or elements[i][0] == "text"):
-                for k in range(1, times):
-                    group = [merge(x, y) for x, y in zip(group, elements[i + k * width : i + (k + 1) * width], strict=True)]
-                out.append(["rep", group])
-                i += times * width
-            else:
-                out.append(elements[i])
-                i += 1
-        elements = out
-        if at is not None:
-            at[:] = [at[i] for i in kept]
+            if times > 1:
+                group = elements[k : k + width]
+                for j in range(1, times):
+                    group = [merge(x, y) for x, y in zip(group, elements[k + j * width : k + (j + 1) * width], strict=True)]
+                out += [*elements[i:k], ["rep", group]]
+                out_shapes += [*shapes[i:k], f"rep({' '.join(same)})"]
+                kept += range(i, k + 1)
+                i = k + times * width
+        if i:
+            elements, shapes = out + elements[i:], out_shapes + shapes[i:]
+            if at is not None:
+                at[:] = [at[k] for k in [*kept, *range(i, n)]]
     return elements
 
 
@@ -324,7 +332,7 @@ def name_of(elements: list) -> str:
     return hashlib.blake2b(" ".join(map(shape, elements)).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def blocks_of(page: str, region: str | int | None, without: set[int] = frozenset()) -> list[str]:
+def blocks_of(page: str | list, region: str | int | None, without: set[int] = frozenset()) -> list[str]:
     """The texts of the blocks of the element that a token begins, or of the first with a signature; of the whole page if region
     is None. Tokens of numbers without are left out."""
     out: list[str] = []
@@ -337,7 +345,7 @@ def blocks_of(page: str, region: str | int | None, without: set[int] = frozenset
             out.append(text)
         now.clear()
 
-    for k, t in enumerate(tokens(page)):
+    for k, t in enumerate(tokens_of(page)):
         if isinstance(t, str):
             if found and not skipped.depth:
                 now.append(" " if k in without else t)
@@ -364,8 +372,9 @@ def blocks_of(page: str, region: str | int | None, without: set[int] = frozenset
     return out
 
 
-def main_text(page: str, region: str, begins: int | None = None, fixed: set[int] = frozenset()) -> str:
+def main_text(page: str | list, region: str, begins: int | None = None, fixed: set[int] = frozenset()) -> str:
     """The page's main text: of the element that the token ``begins`` opens, else of the first with the region's signature."""
+    page = tokens_of(page)
     for r in ([] if begins is None else [begins]) + ([region] if region else []):
         if texts := blocks_of(page, r):
             if r == begins and fixed and region.split(".")[0] not in MAIN:
@@ -373,7 +382,7 @@ def main_text(page: str, region: str, begins: int | None = None, fixed: set[int]
                 if 2 * sum(map(len, own)) >= sum(map(len, texts)):
                     texts = own
             return "\n\n".join(texts)
-    tags = [t for t in tokens(page) if isinstance(t, Tag) and not t.closing]
+    tags = [t for t in page if isinstance(t, Tag) and not t.closing]
     tags = [t for t in tags if t.name in MAIN] or [t for t in tags if t.name in ("div", "section", "td") and t.marks & CONTENT and not t.dropped]
     return "\n\n".join(blocks_of(page, tags[0].signature if tags else None))
 
@@ -505,6 +514,7 @@ def extract(pages: DataFrame, found: DataFrame, key: str = "page_id", url: str =
     def text_of(page: str, wrapper: Wrapper | None, region: str, own: str | None, own_place: int | None) -> str:
         if wrapper is None and own is None:
             return main_text(page, "")
+        page = tokens_of(page)
         elements, at = placed(page)
         begins, fixed = wrapper.match(elements, at) if wrapper else (None, set())
         if own is not None:  # the template's own region, at its place in each page of the template
