@@ -28,6 +28,8 @@ from .common import blocks, ensure_checkpoints, keyed_text, settled, table
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
+#: Missing digests that are broadcast at most (32 bytes each), so that only their texts move.
+SMALL = 200_000
 
 
 def encoder(path: str):
@@ -47,14 +49,17 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, key: str
     version = bpe.version(tokenizer_path)
     rows = keyed_text(docs, key, text).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     seen = _cache(spark, cache_path, version)
-    contents = rows.groupBy("digest").agg(F.first("text").alias("text"))
+    wanted = rows
+    if seen is not None:  # digests meet the cache first, so texts that it knows don't move
+        missing = settled(rows.select("digest").distinct().join(seen, "digest", "left_anti"))
+        wanted = rows.join(F.broadcast(missing) if missing.count() <= SMALL else missing, "digest", "left_semi")
+    misses = wanted.groupBy("digest").agg(F.first("text").alias("text"))
 
     def encode(batches):
         count = encoder(tokenizer_path)
         for b in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(array("q", map(count, b.column("text").to_pylist())), pa.int64())], names=["digest", "n_tokens"])
 
-    misses = contents.join(seen, "digest", "left_anti") if seen is not None else contents
     counts = misses.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
     counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     known = settled(_cache(spark, cache_path, version))  # so that both sides of the join are plain shuffles, which can be split
