@@ -67,7 +67,7 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Bits of one block of a bit table, and how many tasks make the blocks.
+#: Bits of one block of a bit table, and how many tasks make the blocks at most.
 BLOCK_BITS, BLOCK_TASKS = 1 << 20, 64
 
 
@@ -86,8 +86,9 @@ def bit_table(positions: DataFrame, column: str, n_bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
 
     out = np.zeros(-(-n_bits // BLOCK_BITS) * (BLOCK_BITS // 8), dtype=np.uint8)
-    dealt = positions.select(F.col(column).alias("at")).distinct().repartition(BLOCK_TASKS, F.expr(f"at div {BLOCK_BITS}"))
-    for r in dealt.mapInArrow(task, "block long, bits binary").toLocalIterator():
+    tasks = min(BLOCK_TASKS, -(-n_bits // BLOCK_BITS))
+    dealt = positions.select(F.col(column).alias("at")).distinct().repartition(tasks, F.expr(f"at div {BLOCK_BITS}"))
+    for r in dealt.mapInArrow(task, "block long, bits binary").collect():
         out[r["block"] * (BLOCK_BITS // 8) : (r["block"] + 1) * (BLOCK_BITS // 8)] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out[: (n_bits + 7) // 8]
 
