@@ -35,3 +35,5 @@ class CrawlConf:
     timeout_seconds: float = 30.0
     user_agent: str = "Mozilla/5.0"
     headers: dict = field(default_factory=dict)
+    #: How many tasks fetch; a host's delay holds between all of them.
+    tasks: int = 4

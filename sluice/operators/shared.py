@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,35 @@ def settled(df: DataFrame) -> DataFrame:
     """The same rows from the shared folder."""
     ensure_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name below the shared one."""
+    return f"{ensure_checkpoints(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _place(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if it is there."""
+    files, where = _place(spark, path)
+    files.delete(where, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The same rows, from a table in that folder; what an earlier try has left there goes."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def whole(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table in the folder, if it was written to its end."""
+    return spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS") else None

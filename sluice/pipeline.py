@@ -13,7 +13,7 @@ from sluice.functions.urls import normalize
 from sluice.operators import chunks as K
 from sluice.operators import crawl, entities, html, pdf, report
 from sluice.operators.dedup import split_duplicates
-from sluice.operators.shared import settled
+from sluice.operators.shared import exists, settled, whole, written
 from sluice.sources import http, readers, sinks
 
 log = logging.getLogger("sluice")
@@ -60,17 +60,39 @@ class Scraped:
 
 def fetched_pages(spark: SparkSession, urls: DataFrame, conf: CrawlConf) -> DataFrame:
     """url, html of pages over HTTP; failed ones have none."""
-    return http.fetch_table(urls, conf).select("url", F.decode("content", "utf-8").alias("html"))
-
-
-def scrape_stage(pages: DataFrame, start: list[str], conf: CrawlConf, out: str, at: str | None = None, pdfs: str | None = None, reader=None) -> Scraped:
-    """Discovers pages in a table of pages, converts them and writes them as a table, and the PDF files that were reached too,
-    if a folder to land them in is given and a reader (see pdf.extract_pages)."""
-    found = settled(crawl.discover(pages, start, conf))
+    return http.page_fetcher(conf)(urls)
+
+
+def live_pages(spark: SparkSession, start: list[str], conf: CrawlConf, folder: str) -> tuple[DataFrame, DataFrame]:
+    """What a crawl over HTTP finds (url, depth, kind), and the pages (url, html), each fetched once. The folder holds the crawl's
+    state: a run that was stopped goes on there."""
+    made = crawl.Crawl(spark, start, conf, http.page_fetcher(conf), folder, keep_pages=True)
+    found, pages = made.run(), made.pages()
+    if (rest := whole(spark, f"{folder}/rest")) is None:  # pages at the greatest depth
+        urls = found.filter("kind = 'page'").select("url")
+        rest = written(fetched_pages(spark, urls if pages is None else urls.join(pages, "url", "left_anti"), conf), f"{folder}/rest")
+    return found, rest if pages is None else pages.unionByName(rest)
+
+
+def fetched_before(spark: SparkSession, folder: str) -> DataFrame:
+    """url, html of the pages that a crawl over HTTP has in its folder."""
+    out = whole(spark, f"{folder}/rest").select("url", "html")
+    return out.unionByName(spark.read.parquet(f"{folder}/pages").select("url", "html")) if exists(spark, f"{folder}/pages") else out
+
+
+def scrape_stage(pages: DataFrame | None, start: list[str], conf: CrawlConf, out: str, at: str | None = None, pdfs: str | None = None, reader=None, spark: SparkSession | None = None) -> Scraped:
+    """Discovers pages, over HTTP or in a table of pages, converts them and writes them as a table, and the PDF files that were reached
+    too, if a folder to land them in is given and a reader (see pdf.extract_pages). Without pages the crawl's state is below out."""
+    spark = spark or pages.sparkSession
+    if pages is None:
+        found, rows = live_pages(spark, start, conf, f"{out}_crawl")
+        rows = rows.filter("html is not null")
+    else:
+        found = settled(crawl.discover(pages, start, conf))
+        rows = pages.withColumn("url", normalize(F.col("url"))).join(found.filter("kind = 'page'").select("url"), "url", "left_semi")
     counts = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
-    rows = pages.withColumn("url", normalize(F.col("url"))).join(found.filter("kind = 'page'").select("url"), "url", "left_semi")
     sinks.markdown(html.scrape(rows, at), out)
-    made, made_pdfs = pages.sparkSession.read.parquet(out), 0
+    made, made_pdfs = spark.read.parquet(out), 0
     if pdfs is not None and counts.get("pdf"):
         made_pdfs = pdf_urls_to_markdown(found.filter("kind = 'pdf'").select("url"), pdfs, f"{out}_pdfs", reader, conf).count()
     n = made.count()

@@ -1,9 +1,12 @@
-"""Pages and files over HTTP, with retries: as a Spark data source (opt-in: spark.dataSource.register(HttpPages)) or from a table of URLs."""
+"""Pages and files over HTTP, with retries and spacing: as a Spark data source (opt-in: spark.dataSource.register(HttpPages)) or from
+a table of URLs. A host's URLs are dealt to several tasks, which keep the delay between them (see pacing)."""
 
 from __future__ import annotations
 
+import json
 import time
 import urllib.request
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +14,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sluice.conf import CrawlConf
 from sluice.functions.urls import pdf_filename
+from sluice.sources.pacing import Steps, host_of, paced
 
 
 class HttpPages(DataSource):
-    """Options: urls (separated by line breaks), retries, delay, timeout, user_agent, partitions."""
+    """Options: urls (separated by line breaks), retries, delay, timeout, user_agent, headers (a JSON object), partitions."""
 
     @classmethod
     def name(cls) -> str:
@@ -28,28 +32,56 @@ class HttpPages(DataSource):
 
 
 class HttpReader(DataSourceReader):
+    """Deals each host's URLs evenly to the partitions; a partition keeps to its own steps."""
+
     def __init__(self, options):
         self.urls = [u for u in options.get("urls", "").split("\n") if u]
-        self.retries, self.delay, self.timeout = int(options.get("retries", 3)), float(options.get("delay", 1.0)), float(options.get("timeout", 30.0))
-        self.agent, self.n = options.get("user_agent", "Mozilla/5.0"), int(options.get("partitions", 4))
+        self.conf = CrawlConf(
+            base_url="",
+            retries=int(options.get("retries", 3)),
+            delay_seconds=float(options.get("delay", 1.0)),
+            timeout_seconds=float(options.get("timeout", 30.0)),
+            user_agent=options.get("user_agent", "Mozilla/5.0"),
+            headers=json.loads(options.get("headers", "{}")),
+            tasks=int(options.get("partitions", 4)),
+        )
 
     def partitions(self):
-        return [InputPartition(self.urls[i :: self.n]) for i in range(min(self.n, len(self.urls)) or 1)]
+        dealt: list[list[str]] = [[] for _ in range(self.conf.tasks)]
+        seen: dict[str, int] = {}
+        for url in self.urls:
+            n = seen[host_of(url)] = seen.get(host_of(url), -1) + 1
+            dealt[n % self.conf.tasks].append(url)
+        return [InputPartition((k, own)) for k, own in enumerate(dealt)]
 
     def read(self, partition):
-        for url in partition.value:
-            yield url, fetch(url, self.retries, self.delay, self.timeout, self.agent)
+        task, urls = partition.value
+        for url, found in fetched(urls, task, self.conf):
+            yield url, None if found is None else found[0].decode(found[1], "replace")
+
+
+def once(url: str, conf: CrawlConf) -> tuple[bytes, str] | None:
+    """What stands there and its character set, or None where it can't be had."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": conf.user_agent} | dict(conf.headers)), timeout=conf.timeout_seconds) as r:
+            return r.read(), r.headers.get_content_charset() or "utf-8"
+    except (OSError, ValueError):
+        return None
+
+
+def fetched(urls: list[str], task: int, conf: CrawlConf) -> Iterator[tuple[str, tuple[bytes, str] | None]]:
+    """Each of a task's URLs with its content, or None after the settings' retries."""
+    return paced(urls, Steps(task, conf.tasks, conf.delay_seconds), lambda url: once(url, conf), conf.retries, conf.delay_seconds)
 
 
 def fetch_bytes(url: str, retries: int = 3, delay: float = 1.0, timeout: float = 30.0, agent: str = "Mozilla/5.0", headers: dict | None = None) -> tuple[bytes, str] | None:
-    """What stands there and its character set, or None after so many failures; waits longer after each."""
+    """One URL on its own; waits longer after each failure."""
+    conf = CrawlConf(base_url="", retries=retries, delay_seconds=delay, timeout_seconds=timeout, user_agent=agent, headers=headers or {})
     for n in range(retries):
-        try:
-            with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent} | (headers or {})), timeout=timeout) as r:
-                return r.read(), r.headers.get_content_charset() or "utf-8"
-        except (OSError, ValueError):
-            if n < retries - 1:
-                time.sleep(delay * (n + 1))
+        if (found := once(url, conf)) is not None:
+            return found
+        if n < retries - 1:
+            time.sleep(delay * (n + 1))
     return None
 
 
@@ -59,26 +91,30 @@ def fetch(url: str, retries: int = 3, delay: float = 1.0, timeout: float = 30.0,
     return None if found is None else found[0].decode(found[1], "replace")
 
 
+def dealt(urls: DataFrame, tasks: int) -> DataFrame:
+    """url, task of the distinct URLs of a table's first column: a host's URLs go to all tasks alike, whatever their number."""
+    rows = urls.select(F.col(urls.columns[0]).alias("url")).filter("url is not null").distinct()
+    return rows.withColumn("task", F.pmod(F.xxhash64("url"), F.lit(tasks)).cast("int")).repartitionById(tasks, "task")
+
+
 def fetch_table(urls: DataFrame, conf: CrawlConf, text: bool = True) -> DataFrame:
     """url, content of each URL of a table (its first column), by the settings' retries, delay, time limit, agent and headers;
-    texts come as UTF-8. A host's URLs are fetched by one task, spaced by the delay."""
-    column = urls.columns[0]
+    texts come as UTF-8. A batch of URLs is fetched and handed on before the next one is read."""
 
     def task(batches):
         import pandas as pd
 
         for b in batches:
-            out = []
-            for k, url in enumerate(b["url"]):
-                if k:
-                    time.sleep(conf.delay_seconds)
-                found = fetch_bytes(url, conf.retries, conf.delay_seconds, conf.timeout_seconds, conf.user_agent, dict(conf.headers))
-                out.append(None if found is None else found[0].decode(found[1], "replace").encode() if text else found[0])
-            yield pd.DataFrame({"url": b["url"], "content": out})
-
-    host = F.regexp_extract("url", r"\A[^/]*//([^/?#]*)", 1)
-    rows = urls.select(F.col(column).alias("url")).filter("url is not null").distinct()
-    return rows.repartition(host).mapInPandas(task, "url string, content binary")
+            for k, own in b.groupby("task")["url"]:
+                rows = [(url, None if found is None else found[0].decode(found[1], "replace").encode() if text else found[0]) for url, found in fetched(list(own), int(k), conf)]
+                yield pd.DataFrame(rows, columns=["url", "content"])
+
+    return dealt(urls, conf.tasks).mapInPandas(task, "url string, content binary")
+
+
+def page_fetcher(conf: CrawlConf):
+    """For crawl.Crawl: a table of URLs to url, html."""
+    return lambda urls: fetch_table(urls, conf).select("url", F.decode("content", "utf-8").alias("html"))
 
 
 def download(urls: DataFrame, folder: str, conf: CrawlConf) -> DataFrame:
