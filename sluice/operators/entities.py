@@ -1,8 +1,13 @@
 """Entity registry and linking: exact, by substring, by candidate mention and edit distance.
 
-Names in texts are found by automata, each of which reads a text once however many names it holds. A registry's names are
-broadcast in parts of at most NAMES, one automaton and one pass over the texts a part, so there is no largest registry.
-Mentions meet names only where a deletion variant is the same, so nothing is compared with all names.
+Names in texts are found by an automaton, which reads a text once however many names it holds, as long as the registry's names have
+at most LETTERS letters, which is counted before they are broadcast. For larger registries each name is filed under the rarest of
+its stretches of GRAM letters; texts' stretches that are filed at all (which bits tell) are joined with these once, and what meets
+is compared. There is no largest registry, and no pass for a part of it.
+
+Mentions meet names only where a stretch of a name recurs at about its place, so nothing is compared with all names; a mention
+that is longer than all names can be is left out first, so a word of any length costs nothing. Texts stay where they are: what is
+joined are mentions.
 """
 
 from __future__ import annotations
@@ -12,11 +17,21 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from sluice.functions.text import normalize_entity
-
-#: Names of one automaton.
-NAMES = 1_000_000
+from sluice.operators.shared import settled
+from sluice.operators.visited import Visited, positions
+
+#: Letters of all names of an automaton, which takes some 60 bytes a letter in a worker.
+LETTERS = 8_000_000
+#: Letters of the stretches that names are filed under; shorter names are left to an automaton.
+GRAM = 6
+#: Resolved mentions that are broadcast (some 100 bytes each); more are joined.
+GUESSES = 200_000
+#: Titles that normalised names may begin with, and how long they are with their space.
+TITLES = r"(?:dr|prof|mr|ms|mrs) "
+TITLE_LENGTHS = (0, 3, 4, 5)
 ENTITY = "id string, name string, aliases array<string>, type string, url string"
 MENTION = r"(?U)(?:dr|prof|mr|ms|mrs)[\s\x1c-\x1f]+[a-z]+(?:[\s\x1c-\x1f]+[a-z]+){1,3}"
 
@@ -38,41 +53,105 @@ def exact(rows: DataFrame, found: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("__norm", normalize_entity(F.col(text))).join(found.select(F.col("norm").alias("__norm"), "entity_id"), "__norm", "left").drop("__norm")
 
 
-def deletions(c: Column, most: int = 1) -> Column:
-    """The text and all texts with one character less: two texts within distance 1 share one."""
-    if most != 1:
-        raise ValueError("variants are made for a distance of 1")
-    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substr(c, i + 1)))))
+def _stretch(length: Column, i: int, k: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of the i-th of k + 1 stretches of a text of so many letters, the last ones longer by one."""
+    base, longer = F.floor(length / (k + 1)).cast("int"), (length % (k + 1)).cast("int")
+    return base * i + F.greatest(F.lit(0), F.lit(i - (k + 1)) + longer), base + F.when(F.lit(i) >= k + 1 - longer, 1).otherwise(0)
+
 
+def fuzzy(mentions: DataFrame, found: DataFrame, norm: str = "norm", most: int = 1) -> DataFrame:
+    """norm, entity_id for the normal forms within an edit distance of a faculty name; the nearest, then smallest name decides.
 
-def fuzzy(mentions: DataFrame, found: DataFrame, norm: str = "norm") -> DataFrame:
-    """norm, entity_id for the normal forms within distance 1 of a faculty name; the nearest, then smallest name decides."""
-    names = found.filter("is_faculty").select(F.col("norm").alias("name"), "entity_id", F.explode(deletions(F.col("norm"))).alias("variant"))
-    own = mentions.select(F.col(norm).alias("norm")).distinct().withColumn("variant", F.explode(deletions(F.col("norm"))))
-    near = own.join(names, "variant").withColumn("distance", F.levenshtein("norm", "name")).filter("distance <= 1")
+    What follows a name's title is cut into most + 1 stretches. So many edits leave one of them as it is, moved by at most as
+    many places; a mention's substrings at these places are joined with the stretches of names whose lengths fit. A mention has
+    a number of substrings that depends on the distance only, so work grows with its length.
+    """
+    k, title = most, F.length(F.regexp_extract("name", rf"\A{TITLES}", 0))
+    names = found.filter("is_faculty").select(F.col("norm").alias("name"), "entity_id").withColumns({"length": F.length("name"), "title": title})
+    cuts = []
+    for i in range(k + 1):
+        start, size = _stretch(F.col("length") - F.col("title"), i, k)
+        cuts.append(F.struct(F.col("length"), F.col("title"), F.lit(i).alias("nth"), F.substr("name", F.col("title") + start + 1, size).alias("stretch")))
+    filed = names.select("name", "entity_id", F.explode(F.array(*cuts)).alias("at"))
+    longest = names.agg(F.max("length")).first()[0]
+    own = mentions.select(F.col(norm).alias("norm")).filter(F.length("norm") <= (-1 if longest is None else longest + k)).distinct()
+    own = own.withColumn("length", F.explode(F.sequence(F.greatest(F.length("norm") - k, F.lit(0)), F.length("norm") + k)))
+    places = []
+    for skip in TITLE_LENGTHS:
+        for i in range(k + 1):
+            start, size = _stretch(F.greatest(F.col("length") - skip, F.lit(0)), i, k)
+            for move in range(-k, k + 1):
+                at = start + skip + move
+                there = (F.col("length") >= skip) & (at >= 0) & (at + size <= F.length("norm"))
+                places.append(F.when(there, F.struct(F.col("length"), F.lit(skip).alias("title"), F.lit(i).alias("nth"), F.substr("norm", at + 1, size).alias("stretch"))))
+    own = own.select("norm", F.explode(F.array_distinct(F.array_compact(F.array(*places)))).alias("at"))
+    near = own.join(filed, "at").select("norm", "name", "entity_id").distinct().withColumn("distance", F.levenshtein("norm", "name", k)).filter("distance >= 0")
     return near.groupBy("norm").agg(F.min_by("entity_id", F.struct("distance", "name")).alias("entity_id"))
 
 
+def small_registry(found: DataFrame) -> bool:
+    """Whether one automaton takes all names."""
+    return (found.agg(F.sum(F.length("norm") + 1)).first()[0] or 0) <= LETTERS
+
+
 def contained(rows: DataFrame, found: DataFrame, key: str, norm: str) -> DataFrame:
     """key, entity_id: entities one of whose names the normalised text contains anywhere."""
-    parts = -(-found.count() // NAMES)
-    place, out = F.pmod(F.xxhash64("norm"), F.lit(max(parts, 1))), None
-    for k in range(parts):
-        names = [(r["norm"], r["entity_id"]) for r in found.filter(place == k).select("norm", "entity_id").toLocalIterator()]
-        inside = _finder(rows.sparkSession.sparkContext.broadcast(names), uuid.uuid4().hex)
-        held = rows.select(key, F.explode(inside(F.col(norm))).alias("entity_id"))
-        out = held if out is None else out.unionByName(held)
-    if out is None:
-        return rows.select(key, F.lit(None).cast("string").alias("entity_id")).limit(0)
-    return out if parts == 1 else out.distinct()
+    by_automaton = lambda names: rows.select(key, F.explode(_finder(names)(F.col(norm))).alias("entity_id"))
+    if small_registry(found):
+        return by_automaton(found)
+    short = by_automaton(found.filter(F.length("norm") < GRAM))  # names of five letters: few differ
+    return short.unionByName(_by_grams(rows, found.filter(F.length("norm") >= GRAM), key, norm)).distinct()
+
+
+def _grams(text: str):
+    """A number for each stretch of GRAM letters."""
+    import numpy as np
+
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    out = np.zeros(max(len(letters) - GRAM + 1, 0), dtype=np.uint64)
+    for i in range(GRAM):
+        out = (out ^ letters[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out).view(np.int64)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def grams(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: [] if x is None else _grams(x))
+
 
+def _by_grams(rows: DataFrame, found: DataFrame, key: str, norm: str) -> DataFrame:
+    """contained() for names of GRAM letters and more, by joins: the texts that hold a filed stretch are read again once."""
+    import numpy as np
 
-def _finder(pairs, name: str):
-    """A column function: the entities whose names a text contains, sorted. name tells the automaton of these pairs from others."""
+    every = found.select("norm", F.explode(grams(F.col("norm"))).alias("gram"))
+    counts = every.groupBy("gram").agg(F.count("*").alias("n"))
+    filed = settled(every.join(counts, "gram").groupBy("norm").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")).join(found, "norm").select("norm", "entity_id", "gram"))
+    seen = Visited(rows.sparkSession)
+    keys = filed.select(F.col("gram").cast("string").alias("url")).distinct()
+    seen.add(keys, keys.count())
+    n_bits, shared = len(seen.bits) * 8, rows.sparkSession.sparkContext.broadcast(seen.bits)
+    held = rows.select(key, F.explode(grams(F.col(norm))).alias("gram")).withColumn("at", positions(F.col("gram").cast("string"), n_bits))
 
+    @F.pandas_udf("boolean")
+    def maybe(at: pd.Series) -> pd.Series:
+        x = np.stack(at.to_numpy()) if len(at) else np.empty((0, 4), dtype=np.int64)
+        return pd.Series((((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1) == 1).all(axis=1))
+
+    near = held.filter(maybe(F.col("at"))).select(key, "gram").join(filed, "gram").select(key, F.col("norm").alias("name"), "entity_id").distinct()
+    return near.join(rows.select(key, F.col(norm).alias("text")), key).filter(F.contains("text", "name")).select(key, "entity_id")
+
+
+def _finder(found: DataFrame):
+    """A column function: the entities whose names a text contains, and those that its mentions (a second column) are resolved to, sorted."""
+    names = [(r["norm"], r["entity_id"]) for r in found.select("norm", "entity_id").toLocalIterator()]
+    return _inside(found.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, names)))
+
+
+def _inside(pairs):
     @F.pandas_udf("array<string>")
     def inside(texts: pd.Series) -> pd.Series:
-        find = _automaton(name, pairs.value)
+        find = _automaton(*pairs.value)
         return texts.map(lambda x: [] if x is None else sorted(find(x)))
 
     return inside
@@ -82,7 +161,7 @@ _built: dict[str, object] = {}
 
 
 def _automaton(key: str, pairs):
-    """A function from a text to the entities of the names in it; built once a worker."""
+    """A function from a text to the entities of the names in it; built once a worker, which keeps one."""
     if (made := _built.get(key)) is None:
         import ahocorasick
 
@@ -94,30 +173,58 @@ def _automaton(key: str, pairs):
         def made(text):
             return always.union(*(x for _, x in trie.iter(text))) if len(trie) else always
 
-        if len(_built) >= 4:
-            _built.clear()
+        _built.clear()
         _built[key] = made
     return made
 
 
+def _resolver(guessed: DataFrame):
+    """A column function: the entities of a text's mentions."""
+    known = {r["norm"]: r["entity_id"] for r in guessed.toLocalIterator()}
+    shared = guessed.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("array<string>")
+    def resolved(spoken: pd.Series) -> pd.Series:
+        return spoken.map(lambda x: [] if x is None else [shared.value[m] for m in x if m in shared.value])
+
+    return resolved
+
+
 def mentions(norm: Column) -> Column:
     """What looks like a title and two to four names, in a normalised text."""
     return F.regexp_extract_all(norm, F.lit(MENTION), F.lit(0))
 
 
-def entity_refs(rows: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """Adds entity_refs: the sorted ids of entities that the text contains, or of which a mention is one edit away.
+def entity_refs(rows: DataFrame, found: DataFrame, text: str, most: int = 1) -> DataFrame:
+    """Adds entity_refs: the sorted ids of entities that the text contains, or of which a mention is so many edits away.
 
-    Texts are linked by their digest, so equal texts are linked once.
+    Rows are read twice, first for their mentions; they move only where the registry is too large for an automaton, or where
+    more mentions than GUESSES are resolved, and then only those with mentions.
     """
-    keyed = rows.withColumn("__norm", normalize_entity(F.col(text))).withColumn("__key", F.sha2("__norm", 256))
-    texts = keyed.groupBy("__key").agg(F.first("__norm").alias("__norm"))
-    held = contained(texts, found, "__key", "__norm")
-    spoken = texts.select("__key", F.explode(mentions(F.col("__norm"))).alias("norm")).distinct().join(found.select("norm"), "norm", "left_anti")
-    guessed = spoken.join(fuzzy(spoken, found), "norm").select("__key", "entity_id")
-    refs = held.unionByName(guessed).groupBy("__key").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_refs"))
-    out = keyed.drop("entity_refs").join(refs, "__key", "left").drop("__key", "__norm")
-    return out.withColumn("entity_refs", F.coalesce("entity_refs", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    rows, found = rows.drop("entity_refs"), settled(found.select("norm", "entity_id", "is_faculty"))
+    norm = normalize_entity(F.col(text))
+    said = rows.select(F.explode(mentions(norm)).alias("norm")).distinct().join(found.select("norm"), "norm", "left_anti")
+    guessed = settled(fuzzy(said, found, most=most))
+    if small_registry(found):
+        out = rows.withColumn("__norm", norm)
+        out = out.withColumns({"__held": _finder(found)(F.col("__norm")), "__said": mentions(F.col("__norm"))}).drop("__norm")
+    else:
+        keyed = rows.withColumn("__norm", norm).withColumn("__key", F.sha2("__norm", 256))
+        held = contained(keyed.select("__key", "__norm").dropDuplicates(["__key"]), found, "__key", "__norm").groupBy("__key").agg(F.collect_set("entity_id").alias("__held"))
+        out = keyed.join(held, "__key", "left").withColumns({"__held": F.coalesce("__held", none), "__said": mentions(F.col("__norm"))}).drop("__norm", "__key")
+    n = guessed.count()
+    if not n:
+        out = out.withColumn("__meant", none)
+    elif n <= GUESSES:
+        out = out.withColumn("__meant", _resolver(guessed)(F.col("__said")))
+    else:
+        out = out.withColumn("__key", F.sha2(F.array_join("__said", "\n"), 256))
+        speaking = out.select("__key", F.explode("__said").alias("norm")).distinct()
+        meant = speaking.join(guessed, "norm").groupBy("__key").agg(F.collect_set("entity_id").alias("__meant"))
+        silent = out.filter(F.size("__said") == 0).withColumn("__meant", none)
+        out = out.filter(F.size("__said") > 0).join(meant, "__key", "left").select(*silent.columns).unionByName(silent).withColumn("__meant", F.coalesce("__meant", none)).drop("__key")
+    return out.withColumn("entity_refs", F.array_sort(F.array_union("__held", "__meant"))).drop("__held", "__said", "__meant")
 
 
 def faculty_entities(people: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def test_automata_equal_join(spark, tmp_path, monkeypatch):
     assert sorted(entities.contained(rows, found, "k", "norm").collect()) == want and len(want) == 2
     other = entities.lookup(spark.createDataFrame([("z", "nothing", [], "course", "", 0)], "id string, name string, aliases array<string>, type string, url string, load_seq int"))
     assert [tuple(r) for r in entities.contained(rows, other, "k", "norm").collect()] == [(2, "z")]  # a worker's automaton is that of the registry
-    monkeypatch.setattr(entities, "NAMES", 2)
+    monkeypatch.setattr(entities, "LETTERS", 1)
     assert sorted(entities.contained(rows, found, "k", "norm").collect()) == want
 
 
