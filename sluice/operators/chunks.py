@@ -10,6 +10,8 @@ from sluice.functions import text as T
 from sluice.functions.classify import classify
 from sluice.operators.entities import entity_refs
 from sluice.operators.segment import segments
+from sluice.operators.shared import settled
+from sluice.operators.stretches import segments_of
 
 CHUNK = "chunk_id string, text string, source_type string, source_file string, section_hierarchy array<string>, content_type string, entity_refs array<string>, page_range array<int>, word_count int, hash string"
 
@@ -35,7 +37,16 @@ def build_chunks(docs: DataFrame, registry: DataFrame | None = None, conf: Chunk
 
     source_file tells documents apart; small and empty chunks are dropped before any costly column is made.
     """
-    found = segments(with_skip(docs, raw, source_file), "source_file", "raw", conf, F.col("skip")).withColumn("text", T.strip(F.col("text"))).withColumn("word_count", T.word_count(F.col("text")))
+    return _chunks(segments(with_skip(docs, raw, source_file), "source_file", "raw", conf, F.col("skip")), registry, conf)
+
+
+def build_large_chunks(stretches: DataFrame, registry: DataFrame | None = None, conf: ChunkConf = ChunkConf()) -> DataFrame:
+    """The same of documents that come in stretches (see readers.large_markdown)."""
+    return _chunks(segments_of(stretches, conf).withColumnRenamed("key", "source_file"), registry, conf)
+
+
+def _chunks(found: DataFrame, registry: DataFrame | None, conf: ChunkConf) -> DataFrame:
+    found = found.withColumn("text", T.strip(F.col("text"))).withColumn("word_count", T.word_count(F.col("text")))
     found = found.filter((F.col("text") != "") & (F.col("tabular") | (F.col("word_count") >= conf.min_words)))
     path = F.col("source_file")
     kind = source_type(path)
@@ -54,7 +65,7 @@ def build_chunks(docs: DataFrame, registry: DataFrame | None = None, conf: Chunk
     )
     if registry is None:
         return out.withColumn("entity_refs", F.array().cast("array<string>"))
-    return entity_refs(out, registry, "text")
+    return entity_refs(settled(out), registry, "text")  # which reads them twice
 
 
 def small_segments(docs: DataFrame, conf: ChunkConf = ChunkConf(), raw: str = "raw", source_file: str = "source_file") -> DataFrame:
