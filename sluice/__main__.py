@@ -27,6 +27,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--entities", nargs="*", default=[], help="JSON files of entities; later ones win")
     a.add_argument("--out", required=True)
     a.add_argument("--strict-report", action="store_true")
+    a.add_argument("--array", action="store_true", help="chunks also as one JSON array")
     a.add_argument("-v", "--verbose", action="store_true")
     o = a.parse_args(argv)
     spark = SparkSession.builder.appName("sluice").getOrCreate()
@@ -43,7 +44,7 @@ def main(argv: list[str] | None = None) -> None:
         made = entity_stage(pages, o.base_url, f"{o.out}/entities")
         print(f"{made.count()} entities")
     if o.stage in ("chunk", "all") and o.markdown:
-        run = chunk_stage(spark, o.markdown, o.entities, o.out, ChunkConf(strict_report=o.strict_report))
+        run = chunk_stage(spark, o.markdown, o.entities, o.out, ChunkConf(strict_report=o.strict_report), o.array)
         run.report.show(truncate=False, vertical=True)
 
 

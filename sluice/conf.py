@@ -20,6 +20,8 @@ class ChunkConf:
     page_lines: str = "compat"
     #: Whether the report counts chunks that were too small and tables that were split, instead of giving 0.
     strict_report: bool = False
+    #: Files of so many bytes are read in splits and segmented by several tasks.
+    large_bytes: int = 64 << 20
 
 
 #: Fixed values of CrawlConf: excluded patterns, depth, number of URLs, retries, delay and time limit; of ChunkConf: word and row limits.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sluice.conf import ChunkConf
@@ -32,21 +32,30 @@ def with_skip(docs: DataFrame, raw: str, source_file: str) -> DataFrame:
     return rows.withColumn("skip", F.length(F.regexp_extract("raw", T.FRONT, 0)))
 
 
-def build_chunks(docs: DataFrame, registry: DataFrame | None = None, conf: ChunkConf = ChunkConf(), raw: str = "raw", source_file: str = "source_file") -> DataFrame:
+def build_chunks(docs: DataFrame, registry: DataFrame | None = None, conf: ChunkConf = ChunkConf(), raw: str = "raw", source_file: str = "source_file", seen: Observation | None = None) -> DataFrame:
     """The chunks of documents (source_file, raw), with seq and part, in the order of which they stand in their file.
 
-    source_file tells documents apart; small and empty chunks are dropped before any costly column is made.
+    source_file tells documents apart; small and empty chunks are dropped before any costly column is made. seen: gets the counts
+    of small_segments when the chunks are written.
     """
-    return _chunks(segments(with_skip(docs, raw, source_file), "source_file", "raw", conf, F.col("skip")), registry, conf)
+    return _chunks(segments(with_skip(docs, raw, source_file), "source_file", "raw", conf, F.col("skip")), registry, conf, seen)
 
 
-def build_large_chunks(stretches: DataFrame, registry: DataFrame | None = None, conf: ChunkConf = ChunkConf()) -> DataFrame:
+def build_large_chunks(stretches: DataFrame, registry: DataFrame | None = None, conf: ChunkConf = ChunkConf(), seen: Observation | None = None) -> DataFrame:
     """The same of documents that come in stretches (see readers.large_markdown)."""
-    return _chunks(segments_of(stretches, conf).withColumnRenamed("key", "source_file"), registry, conf)
+    return _chunks(segments_of(stretches, conf).withColumnRenamed("key", "source_file"), registry, conf, seen)
 
 
-def _chunks(found: DataFrame, registry: DataFrame | None, conf: ChunkConf) -> DataFrame:
-    found = found.withColumn("text", T.strip(F.col("text"))).withColumn("word_count", T.word_count(F.col("text")))
+def _skips(conf: ChunkConf) -> list[Column]:
+    small = ~F.col("tabular") & (F.col("text") != "") & (T.word_count(F.col("text")) < conf.min_words)
+    return [F.count_if(small).alias("too_small_skipped"), F.count_if(F.col("tabular") & (F.col("parts") > 1) & (F.col("part") == 1)).alias("tables_split")]
+
+
+def _chunks(found: DataFrame, registry: DataFrame | None, conf: ChunkConf, seen: Observation | None = None) -> DataFrame:
+    found = found.withColumn("text", T.strip(F.col("text")))
+    if seen is not None:
+        found = found.observe(seen, *_skips(conf))
+    found = found.withColumn("word_count", T.word_count(F.col("text")))
     found = found.filter((F.col("text") != "") & (F.col("tabular") | (F.col("word_count") >= conf.min_words)))
     path = F.col("source_file")
     kind = source_type(path)
@@ -71,8 +80,7 @@ def _chunks(found: DataFrame, registry: DataFrame | None, conf: ChunkConf) -> Da
 def small_segments(docs: DataFrame, conf: ChunkConf = ChunkConf(), raw: str = "raw", source_file: str = "source_file") -> DataFrame:
     """One row: chunks that were too small, and tables that were split."""
     found = segments(with_skip(docs, raw, source_file), "source_file", "raw", conf, F.col("skip")).withColumn("text", T.strip(F.col("text")))
-    small = ~F.col("tabular") & (F.col("text") != "") & (T.word_count(F.col("text")) < conf.min_words)
-    return found.agg(F.count_if(small).alias("too_small_skipped"), F.count_if(F.col("tabular") & (F.col("parts") > 1) & (F.col("part") == 1)).alias("tables_split"))
+    return found.agg(*_skips(conf))
 
 
 def columns_of_chunk(chunks: DataFrame) -> DataFrame:

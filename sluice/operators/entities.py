@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from sluice.functions.text import normalize_entity
 from sluice.operators.shared import settled
-from sluice.operators.visited import Visited, positions
+from sluice.operators.visited import Visited
 
 #: Letters of all names of an automaton, which takes some 60 bytes a letter in a worker.
 LETTERS = 8_000_000
@@ -122,23 +122,14 @@ def grams(texts: pd.Series) -> pd.Series:
 
 def _by_grams(rows: DataFrame, found: DataFrame, key: str, norm: str) -> DataFrame:
     """contained() for names of GRAM letters and more, by joins: the texts that hold a filed stretch are read again once."""
-    import numpy as np
-
     every = found.select("norm", F.explode(grams(F.col("norm"))).alias("gram"))
     counts = every.groupBy("gram").agg(F.count("*").alias("n"))
     filed = settled(every.join(counts, "gram").groupBy("norm").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")).join(found, "norm").select("norm", "entity_id", "gram"))
     seen = Visited(rows.sparkSession)
     keys = filed.select(F.col("gram").cast("string").alias("url")).distinct()
     seen.add(keys, keys.count())
-    n_bits, shared = len(seen.bits) * 8, rows.sparkSession.sparkContext.broadcast(seen.bits)
-    held = rows.select(key, F.explode(grams(F.col(norm))).alias("gram")).withColumn("at", positions(F.col("gram").cast("string"), n_bits))
-
-    @F.pandas_udf("boolean")
-    def maybe(at: pd.Series) -> pd.Series:
-        x = np.stack(at.to_numpy()) if len(at) else np.empty((0, 4), dtype=np.int64)
-        return pd.Series((((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1) == 1).all(axis=1))
-
-    near = held.filter(maybe(F.col("at"))).select(key, "gram").join(filed, "gram").select(key, F.col("norm").alias("name"), "entity_id").distinct()
+    held = rows.select(key, F.explode(grams(F.col(norm))).alias("gram")).withColumn("word", F.col("gram").cast("string"))
+    near = seen.split(held, "word")[0].select(key, "gram").join(filed, "gram").select(key, F.col("norm").alias("name"), "entity_id").distinct()
     return near.join(rows.select(key, F.col(norm).alias("text")), key).filter(F.contains("text", "name")).select(key, "entity_id")
 
 

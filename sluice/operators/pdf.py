@@ -84,6 +84,23 @@ def extract_pages(files: DataFrame, reader) -> DataFrame:
     return files.select("path", "content").mapInPandas(task, f"path string, pages {PAGES}")
 
 
+def plain_reader():
+    """A reader by pypdf; None where it isn't installed."""
+    import importlib.util
+
+    if not importlib.util.find_spec("pypdf"):
+        return None
+
+    def read(content: bytes):
+        import io
+
+        from pypdf import PdfReader
+
+        return [(n, (p.extract_text() or "").strip(), []) for n, p in enumerate(PdfReader(io.BytesIO(content)).pages, 1)]
+
+    return read
+
+
 def default_reader():
     """A reader (see extract_pages) by pdfplumber, which finds tables too, or pypdf; an error where neither is installed."""
     import importlib.util
@@ -99,17 +116,17 @@ def default_reader():
                 return [(n, (p.extract_text() or "").strip(), p.extract_tables() or []) for n, p in enumerate(file.pages, 1)]
 
         return read
-    if importlib.util.find_spec("pypdf"):
-
-        def read(content: bytes):
-            import io
-
-            from pypdf import PdfReader
+    if (plain := plain_reader()) is not None:
+        return plain
+    raise ModuleNotFoundError("no PDF library (pdfplumber, pypdf) is installed; hand in a reader")
 
-            return [(n, (p.extract_text() or "").strip(), []) for n, p in enumerate(PdfReader(io.BytesIO(content)).pages, 1)]
 
-        return read
-    raise ModuleNotFoundError("no PDF library (pdfplumber, pypdf) is installed; hand in a reader")
+def installed_recognising_reader():
+    """recognising_reader(), or None where it can't be had."""
+    try:
+        return recognising_reader()
+    except ModuleNotFoundError:
+        return None
 
 
 def recognising_reader(dpi: int = 300, lang: str = "eng"):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,24 @@ def report(kept: DataFrame, dropped: DataFrame, skipped: DataFrame | None = None
     return out.crossJoin(types).crossJoin(_as_map(by_source(kept), "source_type").toDF("chunks_by_source"))
 
 
+#: Kinds of chunks, and of sources.
+CONTENT_TYPES, SOURCE_TYPES = ("table", "profile", "regulation", "list", "section"), ("html", "pdf")
+
+
+def counted(kept: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same chunks, and their counts as they come with whatever job writes them."""
+    seen = Observation()
+    counts = [F.count_if(F.col(c) == v).alias(f"{c}={v}") for c, vs in (("content_type", CONTENT_TYPES), ("source_type", SOURCE_TYPES)) for v in vs]
+    return kept.observe(seen, F.count(F.lit(1)).alias("n"), *counts), seen
+
+
+def observed_report(spark: SparkSession, kept: dict, dropped: int, skipped: dict) -> DataFrame:
+    """The row of report(), from counts that came with writes."""
+    maps = [{v: kept[f"{c}={v}"] for v in vs if kept[f"{c}={v}"]} for c, vs in (("content_type", sorted(CONTENT_TYPES)), ("source_type", SOURCE_TYPES))]
+    row = (kept["n"], dropped, skipped.get("too_small_skipped", 0), skipped.get("tables_split", 0), *maps)
+    return spark.createDataFrame([row], "total_chunks long, duplicates_skipped long, too_small_skipped long, tables_split long, chunks_by_type map<string,long>, chunks_by_source map<string,long>")
+
+
 def duplicate_lines(dropped: DataFrame) -> DataFrame:
     """A line of the error log for each duplicate, without its time."""
     return dropped.select(F.format_string("DUPLICATE: hash=%s..., original=%s, source=%s", F.substring("hash", 1, 16), F.col("original_id"), F.col("source_file")).alias("value"))

@@ -1,4 +1,4 @@
-"""What a crawl has seen, as bits beside the exact tables: most new links are known to be new without a join."""
+"""What was seen, as bits beside the exact tables: most new values are known to be new without a join."""
 
 from __future__ import annotations
 
@@ -63,10 +63,8 @@ class Visited:
             out = out.unionByName(x)
         return out
 
-    def unseen(self, urls: DataFrame) -> DataFrame:
-        """The rows of urls (url) that no level has: those with a bit missing as they are, the others by an anti-join."""
-        if not self.count:
-            return urls
+    def split(self, rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """The rows whose value in a column may have been added, and those whose value surely wasn't."""
         n_bits, shared = len(self.bits) * 8, self.spark.sparkContext.broadcast(self.bits)
 
         @F.pandas_udf("boolean")
@@ -74,6 +72,12 @@ class Visited:
             x = np.stack(at.to_numpy()) if len(at) else np.empty((0, 4), dtype=np.int64)
             return pd.Series((((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1) == 1).all(axis=1))
 
-        marked = urls.withColumn("__maybe", maybe(positions(F.col("url"), n_bits)))
-        repeats = marked.filter("__maybe").drop("__maybe").join(self.everything(), "url", "left_anti")
-        return marked.filter("not __maybe").drop("__maybe").unionByName(repeats)
+        marked = rows.withColumn("__maybe", maybe(positions(F.col(column), n_bits)))
+        return marked.filter("__maybe").drop("__maybe"), marked.filter("not __maybe").drop("__maybe")
+
+    def unseen(self, urls: DataFrame) -> DataFrame:
+        """The rows of urls (url) that no level has: those with a bit missing as they are, the others by an anti-join."""
+        if not self.count:
+            return urls
+        doubtful, sure = self.split(urls, "url")
+        return sure.unionByName(doubtful.join(self.everything(), "url", "left_anti"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.conf import ChunkConf, CrawlConf
@@ -33,18 +33,32 @@ def chunk_documents(docs: DataFrame, registry: DataFrame | None = None, conf: Ch
     return Run(kept, dropped, report.report(kept, dropped, K.small_segments(docs, conf) if conf.strict_report else None))
 
 
-def chunk_stage(spark: SparkSession, folders: list[str], entity_files: list[str], out: str, conf: ChunkConf = ChunkConf()) -> Run:
-    """Reads, chunks and writes chunks, report, error log and event log below out."""
+def chunk_stage(spark: SparkSession, folders: list[str], entity_files: list[str], out: str, conf: ChunkConf = ChunkConf(), array: bool = False) -> Run:
+    """Reads, chunks and writes chunks (with array also as one JSON array, chunks.json), report, error log and event log below out,
+    which are published together. Counts come with the writes; a file of large_bytes and more is segmented by several tasks."""
     found = entities.lookup(readers.entities(spark, *entity_files))
-    docs = readers.markdown(spark, *folders)
-    run = chunk_documents(docs, found, conf)
-    sinks.chunks(run.kept, f"{out}/chunks")
-    sinks.report(run.report, f"{out}/chunk_report")
-    sinks.error_log(run.dropped, f"{out}/errors")
-    sinks.event_log(run.kept, f"{out}/events")
-    if run.kept.isEmpty():
+    small, large = Observation(), Observation()
+    docs = readers.markdown(spark, *folders, below_bytes=conf.large_bytes)
+    made = K.build_chunks(docs, found, conf, seen=small)
+    parts = readers.large_markdown(spark, *folders, least_bytes=conf.large_bytes)
+    several = not parts.isEmpty()
+    if several:
+        made = made.unionByName(K.build_large_chunks(parts, found, conf, seen=large))
+    kept, dropped = split_duplicates(settled(made))
+    gone = Observation()
+    with sinks.Together(spark, out) as place:
+        counted, seen = report.counted(kept)
+        sinks.chunks(counted, place.path("chunks"))
+        sinks.error_log(dropped.observe(gone, F.count(F.lit(1)).alias("n")), place.path("errors"))
+        sinks.event_log(kept, place.path("events"))
+        if array:
+            sinks.chunk_array(kept, place.path("chunks.json"))
+        skipped = {k: v + (large.get[k] if several else 0) for k, v in small.get.items()} if conf.strict_report else {}
+        row = report.observed_report(spark, seen.get, gone.get["n"], skipped)
+        sinks.report(row, place.path("chunk_report"))
+    if not seen.get["n"]:
         log.warning("no chunks were made from %s", ", ".join(folders))
-    return run
+    return Run(kept, dropped, row)
 
 
 @dataclass
@@ -100,14 +114,26 @@ def scrape_stage(pages: DataFrame | None, start: list[str], conf: CrawlConf, out
     return Scraped(made, counts.get("page", 0), counts.get("pdf", 0), n, made_pdfs)
 
 
-def pdf_urls_to_markdown(urls: DataFrame, folder: str, out: str, reader=None, conf: CrawlConf = CrawlConf(base_url="")) -> DataFrame:
+def pdf_urls_to_markdown(urls: DataFrame, folder: str, out: str, reader=None, conf: CrawlConf = CrawlConf(base_url=""), plain=None, recognising=None) -> DataFrame:
     """url, name, markdown of PDF files: downloaded as a table in a shared folder, read and written as a table. Files that can't be had
-    or read have no row. reader: see pdf.extract_pages; by default pypdf, where it is installed."""
-    landed = http.download(urls, folder, conf).filter("content is not null").withColumn("key", F.col("url"))
-    read = pdf.extract_pages(landed.select(F.col("url").alias("path"), "content"), reader or pdf.default_reader()).withColumnRenamed("path", "key")
-    name = F.element_at(F.split("path", "/"), -1)
-    texts = landed.drop("content").join(read, "key").select("url", name.alias("name"), pdf.pdf_to_markdown(name, F.col("pages"), F.col("pages")).alias("markdown"))
-    sinks.markdown(texts.filter("markdown is not null"), out)
+    or read have no row.
+
+    reader gives structured pages, plain those of files whose structured ones hold too few words, recognising those of files that
+    then have too few still (see pdf.extract_pages); by default whatever library for each is installed, and none where none is.
+    """
+    landed = http.download(urls, folder, conf).filter("content is not null")
+    files = landed.select(F.col("url").alias("path"), "content")
+    none = F.lit(None).cast(pdf.PAGES)
+    structured = settled(pdf.extract_pages(files, reader or pdf.default_reader()).withColumnRenamed("pages", "structured"))
+    short = structured.filter(~pdf.is_text_based(F.col("structured"))).select("path")
+    read = lambda f, rows, name: None if f is None else settled(pdf.extract_pages(files.join(rows, "path", "left_semi"), f).withColumnRenamed("pages", name))
+    texts = read(plain or (pdf.plain_reader() if reader is None else None), short, "plain")
+    rows = structured.join(texts, "path", "left") if texts is not None else structured.withColumn("plain", F.when(~pdf.is_text_based(F.col("structured")), F.col("structured")))
+    scanned = read(recognising or (pdf.installed_recognising_reader() if reader is None else None), rows.filter(~pdf.is_text_based(F.col("structured")) & ~pdf.is_text_based(F.col("plain"))).select("path"), "recognised")
+    rows = rows.withColumn("recognised", none) if scanned is None else rows.join(scanned, "path", "left")
+    names = landed.select("url", F.element_at(F.split("path", "/"), -1).alias("name"))
+    made = names.join(rows.withColumnRenamed("path", "url"), "url").select("url", "name", pdf.pdf_to_markdown(F.col("name"), F.col("structured"), F.col("plain"), F.col("recognised")).alias("markdown"))
+    sinks.markdown(made.filter("markdown is not null"), out)
     return urls.sparkSession.read.parquet(out)
 
 
