@@ -28,6 +28,8 @@ MARKS = frozenset(
     disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related
     search share sharing sidebar skip skiplink social sponsor sponsored subscribe toolbar topbar widget widgets complementary contentinfo""".split()
 )
+#: Of these, those that name such a part and nothing else, so that they count within a main region too.
+SURE = frozenset("ad ads adv advert adverts advertisement adsense breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus gdpr menu nav navbar navigation sidebar sponsor sponsored".split())
 CONTAINERS = frozenset("article aside div figure footer form header li main nav ol section table td tr ul dl fieldset dialog menu p span".split())
 
 
@@ -41,9 +43,14 @@ class Tag:
     def signature(self) -> str:
         return ".".join([self.name, *sorted(self.marks)])
 
+    @property
+    def marked(self) -> bool:
+        """Whether a word of its class, id or role says that it isn't main text."""
+        return self.name in CONTAINERS and self.name not in ("article", "main") and bool(self.marks & MARKS)
+
     @property
     def dropped(self) -> bool:
-        return self.name in DROPPED or self.name in CONTAINERS and self.name not in ("article", "main") and bool(self.marks & MARKS)
+        return self.name in DROPPED or self.marked
 
 
 def tokens(page: str) -> Iterator[Tag | str]:

@@ -11,16 +11,22 @@ Extraction. Each template is aligned with its host's wrapper, which tells its sl
 the innermost element that holds nearly all text of its slots; the host's is that of most pages, and holds for templates that
 have none of their own but have at least half of their slots' text in it, or have no slots. Every page is matched with its
 host's wrapper (or, if its template has a region of its own, with that template, whose shape it has), and its main text is
-that of the element at the region's place, whatever its name; so a region needs no telling tag or class. Within a region that
-isn't an article or main element, texts that the wrapper of at least FIXED pages holds fixed are the site's own and left out,
-if the slots hold at least half of the page's text there. Where nothing matches the region's place, the first element with its
-signature counts; a page without one uses its article or main element, else the whole page. Parts
-that are never content are left out everywhere.
+that of the element at the region's place, whatever its name; so a region needs no telling tag or class. Where nothing matches
+the region's place, the first element with its signature counts; a page without one uses its article or main element, else the
+whole page. Elements that are never content by their name (nav, aside, form, footer, ..) are left out everywhere, and so are
+those whose class names an advert, a menu, a sidebar, a cookie notice or readers' comments. Other class words (share, related,
+notice, search, ..) may as well belong to the text: they count outside of a region; within one the wrapper decides, and such an
+element goes if all its texts are fixed on the host's differing pages. All else within a region stays, however many pages the
+host has.
 
 Hosts' regions, and those of templates that differ, are broadcast while their size stays below MAX_BYTES each, and joined to
 the pages beyond it; the joins' hot hosts are split by adaptive execution. Only pages of hosts with differing templates have
 their shape taken again for the join.
 
+Repeated groups are found up to 12 elements long (fold); longer ones stay as they stand, which makes a wrapper longer, not the
+text shorter. Of regions with equally many pages the one with the greatest signature counts. A very long page is held some
+hundred times in a task, as tokens and elements.
+
 Null and empty pages have an empty text; a null URL belongs to the empty host; rows with equal or null ids stay rows of their
 own. An empty table gives no rows.
 """
@@ -35,19 +41,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, settled, table
-from .html_tokens import BLOCK, MARKS, VOID, Regions, Tag, tokens
+from .html_tokens import BLOCK, DROPPED, MARKS, SURE, VOID, Regions, Tag, tokens
 from .op6_urls import split_url
 
 MAX_BYTES = 32 << 20
 SHARE = 0.9
 #: Streams of a host that one step of the tree merges, and elements that a task holds before it hands its templates on.
 FAN, HELD = 16, 500_000
-#: Pages of a host from which its wrapper's fixed texts count as the site's own.
-FIXED = 8
 MAIN = ("article", "main")
 CONTENT = frozenset("article content entry main post story".split())
 #: Texts up to this length stand in a wrapper as they are, longer ones by their beginning and a hash of the whole.
 LITERAL = 80
+#: Begins the literal of a repeated group's texts, followed by their hash.
+LIST = "\0"
 #: Bits of the table of an alignment; beyond it the longer side is halved first.
 TABLE_BITS = 1 << 28
 #: The length of all text of a page, of which each text has its share.
@@ -120,6 +126,17 @@ def merge(a: list, b: list) -> list:
     return a
 
 
+def joined(a: list, b: list) -> list:
+    """One element for two that follow each other in a repeated group: their texts are one text, which other pages may have too."""
+    if a[0] in ("text", "slot"):
+        if a[0] == b[0] == "text":
+            return ["text", LIST + hashlib.blake2b(f"{a[1]}\0{b[1]}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), a[2] + b[2]]
+        return ["slot", "", a[2] + b[2]]
+    if a[0] in ("rep", "opt"):
+        return [a[0], [joined(x, y) for x, y in zip(a[1], b[1], strict=True)]]
+    return a
+
+
 def fold(elements: list, at: list[int] | None = None, longest: int = 12) -> list:
     """Adjacent groups of one shape, each of up to longest elements, become one repeated group; inner groups first. at: numbers
     of the elements, of which a group keeps its first one's."""
@@ -138,7 +155,7 @@ def fold(elements: list, at: list[int] | None = None, longest: int = 12) -> list
             if times > 1:
                 group = elements[k : k + width]
                 for j in range(1, times):
-                    group = [merge(x, y) for x, y in zip(group, elements[k + j * width : k + (j + 1) * width], strict=True)]
+                    group = [joined(x, y) for x, y in zip(group, elements[k + j * width : k + (j + 1) * width], strict=True)]
                 out += [*elements[i:k], ["rep", group]]
                 out_shapes += [*shapes[i:k], f"rep({' '.join(same)})"]
                 kept += range(i, k + 1)
@@ -262,7 +279,7 @@ def expression(wrapper: list) -> str:
         if e[0] in ("rep", "opt"):
             out.append(f"({expression(e[1])}){'+' if e[0] == 'rep' else '?'}")
         else:
-            out.append({"tag": f"<{e[1]}>", "close": f"</{e[1]}>", "slot": "#PCDATA", "text": e[1]}[e[0]])
+            out.append({"tag": f"<{e[1]}>", "close": f"</{e[1]}>", "slot": "#PCDATA", "text": e[1].replace(LIST, "#LIST:")}[e[0]])
     return " ".join(out)
 
 
@@ -318,13 +335,13 @@ class Wrapper:
 
     def __init__(self, elements: list, place: int, pages: int):
         self.cores, self.place = [core(e) for e in elements], place
-        self.fixed = {i for i, e in enumerate(elements) if e[0] == "text"} if pages >= FIXED else set()
+        self.fixed = {i for i, e in enumerate(elements) if {"text"} == {x[0] for x, _ in leaves([e])} & {"text", "slot"}} if pages > 1 else set()
 
     def match(self, page: list, at: list[int]) -> tuple[int | None, set[int]]:
         """The numbers of the tokens at which the region begins, if it was met, and that hold fixed texts."""
         same = matches(self.cores, [core(e) for e in page])
-        begins = next((j for i, j in same if i == self.place), None)
-        return None if begins is None else at[begins], {at[j] for i, j in same if i in self.fixed}
+        begins, ends = next((j for i, j in same if i == self.place), None), [*at[1:], at[-1] + 1] if at else []
+        return None if begins is None else at[begins], {k for i, j in same if i in self.fixed for k in range(at[j], ends[j])}
 
 
 def name_of(elements: list) -> str:
@@ -332,23 +349,44 @@ def name_of(elements: list) -> str:
     return hashlib.blake2b(" ".join(map(shape, elements)).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def blocks_of(page: str | list, region: str | int | None, without: set[int] = frozenset()) -> list[str]:
+def is_fixed(page: list, begins: int, fixed: set[int]) -> bool:
+    """Whether the element that a token begins has texts, all of them fixed."""
+    inside, some = Regions(), False
+    inside.open(page[begins])
+    for k in range(begins + 1, len(page)):
+        t = page[k]
+        if not isinstance(t, str):
+            if inside.see(t):
+                break
+        elif t.strip():
+            if k not in fixed:
+                return False
+            some = True
+    return some
+
+
+def blocks_of(page: str | list, region: str | int | None, fixed: set[int] = frozenset()) -> list[str]:
     """The texts of the blocks of the element that a token begins, or of the first with a signature; of the whole page if region
-    is None. Tokens of numbers without are left out."""
+    is None. fixed: the tokens whose texts the host's wrapper holds fixed; within a region they decide what class words mean."""
     out: list[str] = []
     now: list[str] = []
     inside, skipped = Regions(), Regions()
-    found = region is None
+    found, page = region is None, tokens_of(page)
 
     def end():
         if text := " ".join("".join(now).split()):
             out.append(text)
         now.clear()
 
-    for k, t in enumerate(tokens_of(page)):
+    def goes(k: int, t: Tag) -> bool:
+        if t.name in DROPPED or t.name == "header" and not inside.depth:
+            return True
+        return t.marked and (not inside.depth or bool(t.marks & SURE) or is_fixed(page, k, fixed))
+
+    for k, t in enumerate(page):
         if isinstance(t, str):
             if found and not skipped.depth:
-                now.append(" " if k in without else t)
+                now.append(t)
             continue
         if not found:
             if not t.closing and (k == region if isinstance(region, int) else t.signature == region):
@@ -361,7 +399,7 @@ def blocks_of(page: str | list, region: str | int | None, without: set[int] = fr
             continue
         if inside.depth and inside.see(t):
             break
-        if not t.closing and t.name not in VOID and (t.dropped or t.name == "header" and not inside.depth):
+        if not t.closing and t.name not in VOID and goes(k, t):
             end()
             skipped.open(t)
         elif t.name in BLOCK:
@@ -376,15 +414,11 @@ def main_text(page: str | list, region: str, begins: int | None = None, fixed: s
     """The page's main text: of the element that the token ``begins`` opens, else of the first with the region's signature."""
     page = tokens_of(page)
     for r in ([] if begins is None else [begins]) + ([region] if region else []):
-        if texts := blocks_of(page, r):
-            if r == begins and fixed and region.split(".")[0] not in MAIN:
-                own = blocks_of(page, r, fixed)
-                if 2 * sum(map(len, own)) >= sum(map(len, texts)):
-                    texts = own
+        if texts := blocks_of(page, r, fixed):
             return "\n\n".join(texts)
     tags = [t for t in page if isinstance(t, Tag) and not t.closing]
     tags = [t for t in tags if t.name in MAIN] or [t for t in tags if t.name in ("div", "section", "td") and t.marks & CONTENT and not t.dropped]
-    return "\n\n".join(blocks_of(page, tags[0].signature if tags else None))
+    return "\n\n".join(blocks_of(page, tags[0].signature if tags else None, fixed))
 
 
 def rows_of(rows: list[tuple], *kinds) -> pa.RecordBatch:

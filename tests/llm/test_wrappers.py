@@ -1,6 +1,7 @@
 """op7_html on hosts whose pages are long or of several templates."""
 
 import random
+import re
 
 from sluice.llm import op7_html as o
 
@@ -78,11 +79,56 @@ def test_region_by_its_place(spark):
     pages = [(i, "https://plain.example.com/x", f"<body>{side}<div><h2>title {i}</h2><p>{'own words ' * 20}{i}</p><em>All rights kept by the site</em></div><div><a href=/y>end</a></div></body>") for i in range(12)]
     got = texts(spark, pages)
     for i in range(12):
-        assert got[i].startswith(f"title {i}\n\n{'own words ' * 20}{i}") and "Elsewhere" not in got[i] and "end" not in got[i] and "rights" not in got[i]
+        assert got[i].startswith(f"title {i}\n\n{'own words ' * 20}{i}") and "Elsewhere" not in got[i] and "end" not in got[i] and got[i].endswith("All rights kept by the site")
     bare = {i: o.main_text(h, "") for i, _, h in pages}
     assert all("Elsewhere" in x for x in bare.values())  # what there is without the wrapper
-    few = texts(spark, pages[: o.FIXED - 1])
-    assert all("rights" in x and "Elsewhere" not in x for x in few.values())
+    assert texts(spark, pages[:7]) == {i: got[i] for i in range(7)}  # whatever the number of pages
+
+
+def test_class_words_within_a_region(spark):
+    """What a class word marks goes where the wrapper holds it fixed, and stays where it varies as the text does."""
+    def page(i, tag):
+        return f"<body><div class=share><p>outer</p></div><{tag}><p>{'own words ' * 20}{i}</p><section class=related-work><p>two {i}</p></section><div class=share><b>tell</b> friends</div><section class=comments><p>reader {i}</p></section><p>end {i}</p></{tag}></body>"
+
+    pages = [(10 * k + i, f"https://words{k}.example.com/x", page(i, tag)) for k, tag in enumerate(("article", "div class=own")) for i in range(9 - k)]
+    pages = [(i, u, h.replace("</div class=own>", "</div>")) for i, u, h in pages]
+    want = {10 * k + i: f"{'own words ' * 20}{i}\n\ntwo {i}\n\nend {i}" for k in range(2) for i in range(9 - k)}
+    assert texts(spark, pages) == want
+    one = texts(spark, [(0, "https://alone.example.com/x", page(0, "article"))])[0]  # one page tells nothing of what is fixed
+    assert "two 0" in one and "tell friends" in one and "reader" not in one and "outer" not in one
+
+
+def test_wrappers_decide_and_equal_brute_force(spark):
+    """Hosts whose elements have no telling names: the innermost block around all texts that vary, found by comparing pages place by
+    place, holds the main text; without wrappers each page would be taken whole."""
+    rng = random.Random(17)
+    pages, want = [], {}
+    for host in range(6):
+        before, inner, after = (rng.randint(1, 4) for _ in range(3))
+        fixed = lambda n, w: [f"<div><p>{w} {k} of host {host}</p></div>" for k in range(n)]
+        heads, tails = fixed(before, "top"), fixed(after, "low")
+        for i in range(rng.choice([3, 7, 20])):
+            parts = [f"part {k} on page {i} {'text ' * (k + 3)}".strip() for k in range(inner)]
+            body = "<h2>Summary</h2>" + "".join(f"<p>{p}</p>" for p in parts)
+            key = 100 * host + i
+            pages.append((key, f"https://brute{host}.example.com/{i}", f"<body>{''.join(heads)}<section><div>{body}</div></section>{''.join(tails)}</body>"))
+    cut = re.compile(r"<[^>]*>")
+    for host in range(6):  # brute force: every page of a host has the same tags here, so places compare directly
+        own = [(k, cut.split(h), cut.findall(h)) for k, u, h in pages if f"brute{host}." in u]
+        assert len({tuple(t) for _, _, t in own}) == 1
+        varying = [j for j in range(len(own[0][1])) if len({x[j] for _, x, _ in own}) > 1]
+        tags, stack, spans = own[0][2], [], []
+        for j, t in enumerate(tags):
+            if t.startswith("</"):
+                spans.append((stack.pop(), j))
+            else:
+                stack.append(j)
+        low, high = max(((s, e) for s, e in spans if s < varying[0] and e >= varying[-1] and tags[s][1:4] in ("div", "sec")), key=lambda x: x[0])
+        for k, x, _ in own:
+            want[k] = "\n\n".join(y.strip() for y in x[low + 1 : high + 1] if y.strip())
+    got = texts(spark, pages)
+    assert got == want
+    assert all(o.main_text(h, "") != got[k] for k, _, h in pages)
 
 
 def test_fixed_texts_of_articles_stay(spark):
