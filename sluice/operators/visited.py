@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bits a URL, and the most bits of a table (they are broadcast: 32 MB). Beyond it more new links look like seen ones, which costs a join.
 BITS_EACH, MOST_BITS, LEAST_BITS = 16, 1 << 28, 1 << 16
+#: Values up to which a table is broadcast as it is; bits begin beyond.
+FEW = 20_000
 #: Bits of one block, which is a row on its way to the driver.
 BLOCK = 1 << 16
 
@@ -49,13 +51,15 @@ class Visited:
         """The n URLs of a level (url)."""
         self.levels.append(level.select("url"))
         self.count += n
+        if self.count <= FEW:
+            return
         wanted = LEAST_BITS
         while wanted < min(MOST_BITS, BITS_EACH * self.count):
             wanted *= 2
         if wanted // 8 != len(self.bits):
             self.bits = blocks_of(self.everything(), "url", wanted)
         elif n:
-            self.bits |= blocks_of(level, "url", wanted)
+            self.bits |= blocks_of(self.everything() if self.count - n <= FEW else level, "url", wanted)
 
     def everything(self) -> DataFrame:
         out = self.levels[0]
@@ -65,6 +69,10 @@ class Visited:
 
     def split(self, rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
         """The rows whose value in a column may have been added, and those whose value surely wasn't."""
+        if self.count <= FEW:
+            known = F.broadcast(self.everything().withColumnRenamed("url", "__known"))
+            same = F.col(column) == F.col("__known")
+            return rows.join(known, same, "left_semi"), rows.join(known, same, "left_anti")
         n_bits, shared = len(self.bits) * 8, self.spark.sparkContext.broadcast(self.bits)
 
         @F.pandas_udf("boolean")
@@ -79,5 +87,7 @@ class Visited:
         """The rows of urls (url) that no level has: those with a bit missing as they are, the others by an anti-join."""
         if not self.count:
             return urls
+        if self.count <= FEW:
+            return self.split(urls, "url")[1]
         doubtful, sure = self.split(urls, "url")
         return sure.unionByName(doubtful.join(self.everything(), "url", "left_anti"))

@@ -148,9 +148,13 @@ def test_paced_by_a_clock_of_its_own():
         assert all(b - a >= delay for a, b in zip(times, times[1:]))
 
 
-def test_visited_bits(spark):
+def test_visited_bits(spark, monkeypatch):
     from sluice.operators import visited
 
+    few = Visited(spark)
+    few.add(spark.range(100).selectExpr("concat('u', id) AS url"), 100)
+    assert few.unseen(spark.range(90, 120).selectExpr("concat('u', id) AS url")).count() == 20
+    monkeypatch.setattr(visited, "FEW", 50)
     url = "concat('https://a.example/', id) AS url"
     seen = Visited(spark)
     assert seen.unseen(spark.range(5).selectExpr(url)).count() == 5

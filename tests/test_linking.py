@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sluice.operators import entities
+from sluice.operators import entities, visited
 
 
 def distance(a, b):
@@ -64,6 +64,7 @@ def test_large_registries_are_joined(spark, registry, monkeypatch):
     want = linked(rows, texts)
     assert {tuple(r) for r in entities.contained(table, found, "k", "t").collect()} == want
     monkeypatch.setattr(entities, "LETTERS", 10)
+    monkeypatch.setattr(visited, "FEW", 10)
     got = entities.contained(table, found, "k", "t").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     refs = {r.k: r.entity_refs for r in entities.entity_refs(table, found, "t").collect()}

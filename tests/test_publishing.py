@@ -89,9 +89,14 @@ def test_empty_array(spark, tmp_path):
     assert json.load(open(tmp_path / "x.json")) == []
 
 
-def test_split_equals_window(spark):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_split_equals_window(spark, monkeypatch, few):
     from pyspark.sql import Window
 
+    from sluice.operators import visited
+
+    monkeypatch.setattr(visited, "FEW", few)
+
     rows = spark.range(3000).select((F.col("id") % 700).cast("string").alias("hash"), F.concat(F.lit("a/"), F.col("id") % 13, F.lit(".md")).alias("source_file"), F.col("id").cast("int").alias("seq"), F.lit(1).alias("part"), F.concat(F.lit("c"), "id").alias("chunk_id"))
     rows = rows.unionByName(spark.range(5000).select(F.concat(F.lit("s"), "id").alias("hash"), F.lit("b.md").alias("source_file"), F.col("id").cast("int").alias("seq"), F.lit(1).alias("part"), F.concat(F.lit("d"), "id").alias("chunk_id")))
     kept, dropped = dedup.split_duplicates(rows)
