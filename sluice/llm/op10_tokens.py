@@ -1,9 +1,15 @@
 """Token counts through a digest cache.
 
-The cache is a table (tokenizer, digest, n_tokens) in a shared folder. Contents are joined to it by their SHA-256 and the
-tokenizer's own digest; only distinct contents that it lacks are encoded, and their counts are appended. Copies of one
-text meet in a partial aggregate before the shuffle, so a text that fills a third of the table moves once a task; the
-join of counts back to rows moves digests, not texts, and adaptive execution splits its hot digests.
+The cache is a table (digest, n_tokens) in a shared folder, partitioned by tokenizer and by the digest's first bits. Contents are
+looked up by their SHA-256 and the tokenizer's own digest; only distinct contents that it lacks are encoded, and their counts are
+appended. Copies of one text meet in a partial aggregate before the shuffle, so a text that fills a third of the table moves once
+a task; the join of counts back to rows moves digests, not texts, and adaptive execution splits its hot digests.
+
+A run reads those partitions of the cache that its own digests fall in, and goes on with the counts of its own digests alone; the
+rest of the cache is neither grouped nor copied. A partition of more than MERGE files is merged into one or a few before it is
+read. Counts depend on nothing but tokenizer and text, so what a run that was cut short has appended is right, and a digest that is
+there twice (two runs at once, a merge cut short between writing and deleting) counts once. Merging deletes files, so runs that use
+one folder at the same time set merge to None, and one of them may merge afterwards.
 
 The query's cache stays: it is the folder that spark.sluice.tokenCache names, else one below the shared folder, so a second run
 encodes only what the first hadn't met. Adaptive execution splits a hot digest's partition where it is larger than
@@ -19,17 +25,19 @@ from __future__ import annotations
 from array import array
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import blocks, ensure_checkpoints, keyed_text, settled, table
+from .common import blocks, ensure_checkpoints, keyed_text, remove, settled, table
 
-CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
+CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string, prefix int"
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
-#: Missing digests that are broadcast at most (32 bytes each), so that only their texts move.
+#: Digests that are broadcast at most (32 bytes each), so that only their texts, and nothing of the cache, move.
 SMALL = 200_000
+#: Partitions of the cache, at most 256, and files of one partition beyond which they are merged.
+PREFIXES, MERGE = 64, 16
 
 
 def encoder(path: str):
@@ -43,16 +51,22 @@ def encoder(path: str):
     return lambda text: len(own.ids(text))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, key: str = "doc_id", text: str = "text", merge: int | None = MERGE) -> DataFrame:
     """doc_id, n_bytes, n_tokens of each row; encodes what cache_path lacks and appends it there."""
     spark = docs.sparkSession
     version = bpe.version(tokenizer_path)
     rows = keyed_text(docs, key, text).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    seen = _cache(spark, cache_path, version)
-    wanted = rows
-    if seen is not None:  # digests meet the cache first, so texts that it knows don't move
-        missing = settled(rows.select("digest").distinct().join(seen, "digest", "left_anti"))
-        wanted = rows.join(F.broadcast(missing) if missing.count() <= SMALL else missing, "digest", "left_semi")
+    known, wanted = None, rows
+    if merge is not None:
+        merge_files(spark, cache_path, version, merge)
+    if stored(spark, cache_path, version) is not None:  # digests meet the cache first, so texts that it knows don't move
+        own = settled(rows.select("digest").distinct())
+        prefixes = [r[0] for r in own.select(prefix("digest")).distinct().collect()]
+        known = settled(once(stored(spark, cache_path, version, prefixes).join(few(own), "digest", "left_semi")))
+        missing = settled(own.join(known, "digest", "left_anti"))
+        if missing.isEmpty():
+            return _counted(rows, known)
+        wanted = rows.join(few(missing), "digest", "left_semi")
     misses = wanted.groupBy("digest").agg(F.first("text").alias("text"))
 
     def encode(batches):
@@ -60,24 +74,63 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, key: str
         for b in blocks(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(array("q", map(count, b.column("text").to_pylist())), pa.int64())], names=["digest", "n_tokens"])
 
-    counts = misses.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
-    counts.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    known = settled(_cache(spark, cache_path, version))  # so that both sides of the join are plain shuffles, which can be split
+    new = settled(misses.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long"))
+    _append(new, cache_path, version)
+    return _counted(rows, new if known is None else known.unionByName(new))
+
+
+def _counted(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with their digest's count; both sides of the join are plain shuffles, which can be split where a digest is hot."""
     return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
-def _cache(spark: SparkSession, path: str, version: str) -> DataFrame | None:
-    """The stored counts of one tokenizer, each digest once even if two runs appended it; None where there is no cache yet."""
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+def few(digests: DataFrame) -> DataFrame:
+    return F.broadcast(digests) if digests.count() <= SMALL else digests
+
+
+def prefix(digest: str) -> Column:
+    return (F.conv(F.hex(F.substring(digest, 1, 1)), 16, 10).cast("int") % PREFIXES).alias("prefix")
+
+
+def once(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
+def stored(spark: SparkSession, path: str, version: str, prefixes: list[int] | None = None) -> DataFrame | None:
+    """digest, n_tokens of one tokenizer, of all partitions or some; a digest may come twice. None where there is no cache yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
-    return spark.read.schema(CACHE_SCHEMA).parquet(path).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    rows = spark.read.schema(CACHE_SCHEMA).parquet(path).filter(F.col("tokenizer") == version)
+    return (rows if prefixes is None else rows.filter(F.col("prefix").isin(prefixes))).select("digest", "n_tokens")
+
+
+def _append(counts: DataFrame, path: str, version: str) -> None:
+    """Each partition's rows go to one file, or several where they are many, sorted by digest."""
+    rows = counts.select("digest", "n_tokens", F.lit(version).alias("tokenizer"), prefix("digest")).hint("rebalance", "prefix")
+    rows.sortWithinPartitions("prefix", "digest").write.mode("append").partitionBy("tokenizer", "prefix").parquet(path)
+
+
+def merge_files(spark: SparkSession, path: str, version: str, most: int = MERGE) -> int:
+    """Merges the files of partitions that have more than so many; how many partitions that were."""
+    rows = stored(spark, path, version)
+    if rows is None:
+        return 0
+    files: dict[int, list[str]] = {}
+    for name in rows.inputFiles():
+        if f"/tokenizer={version}/" in name:
+            files.setdefault(int(name.rsplit("/prefix=", 1)[1].split("/")[0]), []).append(name)
+    crowded = {p: names for p, names in files.items() if len(names) > most}
+    if crowded:
+        _append(once(stored(spark, path, version, list(crowded))), path, version)
+        for name in (x for names in crowded.values() for x in names):
+            remove(spark, spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name)).toString())  # names come percent-encoded
+    return len(crowded)
 
 
 def cache_folder(spark: SparkSession) -> str:
     """Where the query's cache is, run after run."""
-    return spark.conf.get("spark.sluice.tokenCache", None) or f"{ensure_checkpoints(spark).rstrip('/')}/token-cache"
+    return spark.conf.get("spark.sluice.tokenCache", None) or f"{ensure_checkpoints(spark).rstrip('/')}/token-counts"
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

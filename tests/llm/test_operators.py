@@ -552,6 +552,40 @@ def test_op10_cache_encodes_only_misses(spark, tmp_path):
     assert sorted(r.n_tokens for r in count_tokens(second, other, cache).collect())[0] > 0 and spark.read.parquet(cache).count() == 5
 
 
+def test_op10_reads_its_digests_partitions_and_merges_files(spark, tmp_path):
+    import hashlib
+
+    from sluice.llm import bpe
+    from sluice.llm import op10_tokens as o
+
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "a cache")  # names of files come percent-encoded
+    version, exact = bpe.version(path), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    count = lambda texts, **k: {r.doc_id: r.n_tokens for r in o.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, cache, **k).collect()}
+    want = lambda texts: {i: len(exact.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    prefixes = lambda texts: {hashlib.sha256(t.encode()).digest()[0] % o.PREFIXES for t in texts}
+    texts = [f"text number {i} of {i * i}" for i in range(150)]
+    assert count(texts) == want(texts)
+    files = lambda: [int(x.rsplit("/prefix=", 1)[1].split("/")[0]) for x in o.stored(spark, cache, version).inputFiles()]
+    assert set(files()) == prefixes(texts)
+    scan = plan = o.stored(spark, cache, version, sorted(prefixes(texts[:3])))._jdf.queryExecution().executedPlan()
+    while scan.children().size():
+        scan = scan.children().head()
+    plan.executeCollect()  # a run of three texts opens three partitions at most
+    assert scan.metrics().apply("numPartitions").value() == len(prefixes(texts[:3]))
+
+    held = next(iter(prefixes(texts[:1])))
+    same_prefix = [t for i in range(3000) if prefixes([t := f"later {i}"]) == {held}][:6]
+    for t in same_prefix:  # a small file a run
+        assert count([t, texts[0]], merge=3) == want([t, texts[0]])
+        assert files().count(held) <= 4
+    before = sorted(map(tuple, o.stored(spark, cache, version).collect()))
+    assert len(before) == len(set(before)) == 156
+    o._append(o.stored(spark, cache, version, [held]), cache, version)  # a merge that was cut short before it deleted
+    assert count(same_prefix + texts) == want(same_prefix + texts)
+    assert o.merge_files(spark, cache, version, 1) and o.merge_files(spark, cache, version, 1) == 0
+    assert sorted(map(tuple, o.stored(spark, cache, version).collect())) == before
+
+
 def test_op3_samples(spark, folder, documents):
     import sentencepiece
 
