@@ -61,8 +61,9 @@ def pdf_to_markdown(name: Column, structured: Column, plain: Column, recognised:
     return F.when(~empty, F.array_join(F.concat(front, body), "\n"))
 
 
-def extract_pages(files: DataFrame, reader) -> DataFrame:
+def extract_pages(files: DataFrame, reader, opened=None) -> DataFrame:
     """path, pages of files (path, content) from Spark's binaryFile source; reader: bytes -> list of (page, text, tables).
+    With opened (path -> bytes) files need a path alone: the task that reads a file opens it, so no content moves.
 
     A file that the reader fails on has no pages, and why stands in the worker's log. No PDF library is bundled; hand in a
     function of one that is installed.
@@ -73,15 +74,15 @@ def extract_pages(files: DataFrame, reader) -> DataFrame:
 
         for b in batches:
             out = []
-            for path, content in zip(b["path"], b["content"], strict=True):
+            for path, content in zip(b["path"], b["path"] if opened else b["content"], strict=True):
                 try:
-                    out.append([{"page_num": n, "text": t, "tables": x} for n, t, x in reader(content)])
+                    out.append([{"page_num": n, "text": t, "tables": x} for n, t, x in reader(opened(path) if opened else content)])
                 except Exception as e:  # noqa: BLE001 a broken file must not stop the others
                     logging.getLogger("sluice").warning("%s can't be read: %s", path, e)
                     out.append([])
             yield pd.DataFrame({"path": b["path"], "pages": out})
 
-    return files.select("path", "content").mapInPandas(task, f"path string, pages {PAGES}")
+    return files.select("path", *([] if opened else ["content"])).mapInPandas(task, f"path string, pages {PAGES}")
 
 
 def plain_reader():

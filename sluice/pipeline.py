@@ -115,24 +115,24 @@ def scrape_stage(pages: DataFrame | None, start: list[str], conf: CrawlConf, out
 
 
 def pdf_urls_to_markdown(urls: DataFrame, folder: str, out: str, reader=None, conf: CrawlConf = CrawlConf(base_url=""), plain=None, recognising=None) -> DataFrame:
-    """url, name, markdown of PDF files: downloaded as a table in a shared folder, read and written as a table. Files that can't be had
+    """url, name, markdown of PDF files: downloaded to a shared folder, read and written as a table. Files that can't be had
     or read have no row.
 
     reader gives structured pages, plain those of files whose structured ones hold too few words, recognising those of files that
     then have too few still (see pdf.extract_pages); by default whatever library for each is installed, and none where none is.
     """
-    landed = http.download(urls, folder, conf).filter("content is not null")
-    files = landed.select(F.col("url").alias("path"), "content")
+    landed = http.download(urls, folder, conf).filter("file is not null")
+    files = landed.select(F.col("file").alias("path"))
     none = F.lit(None).cast(pdf.PAGES)
-    structured = settled(pdf.extract_pages(files, reader or pdf.default_reader()).withColumnRenamed("pages", "structured"))
+    structured = settled(pdf.extract_pages(files, reader or pdf.default_reader(), http.opened).withColumnRenamed("pages", "structured"))
     short = structured.filter(~pdf.is_text_based(F.col("structured"))).select("path")
-    read = lambda f, rows, name: None if f is None else settled(pdf.extract_pages(files.join(rows, "path", "left_semi"), f).withColumnRenamed("pages", name))
+    read = lambda f, rows, name: None if f is None else settled(pdf.extract_pages(files.join(rows, "path", "left_semi"), f, http.opened).withColumnRenamed("pages", name))
     texts = read(plain or (pdf.plain_reader() if reader is None else None), short, "plain")
     rows = structured.join(texts, "path", "left") if texts is not None else structured.withColumn("plain", F.when(~pdf.is_text_based(F.col("structured")), F.col("structured")))
     scanned = read(recognising or (pdf.installed_recognising_reader() if reader is None else None), rows.filter(~pdf.is_text_based(F.col("structured")) & ~pdf.is_text_based(F.col("plain"))).select("path"), "recognised")
     rows = rows.withColumn("recognised", none) if scanned is None else rows.join(scanned, "path", "left")
-    names = landed.select("url", F.element_at(F.split("path", "/"), -1).alias("name"))
-    made = names.join(rows.withColumnRenamed("path", "url"), "url").select("url", "name", pdf.pdf_to_markdown(F.col("name"), F.col("structured"), F.col("plain"), F.col("recognised")).alias("markdown"))
+    names = landed.select("url", "file", F.element_at(F.split("path", "/"), -1).alias("name"))
+    made = names.join(rows.withColumnRenamed("path", "file"), "file").select("url", "name", pdf.pdf_to_markdown(F.col("name"), F.col("structured"), F.col("plain"), F.col("recognised")).alias("markdown"))
     sinks.markdown(made.filter("markdown is not null"), out)
     return urls.sparkSession.read.parquet(out)
 

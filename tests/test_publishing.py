@@ -137,7 +137,9 @@ def test_pdf_fallbacks(spark, tmp_path, monkeypatch):
     from sluice import pipeline
 
     content = {"t": "tables", "p": "plain", "s": "scan", "n": "nothing"}
-    monkeypatch.setattr(pipeline.http, "download", lambda *a: spark.createDataFrame([(f"u/{k}.pdf", f"{k}.pdf", v.encode()) for k, v in content.items()], "url string, path string, content binary"))
+    for k, v in content.items():
+        (tmp_path / k).write_text(v)
+    monkeypatch.setattr(pipeline.http, "download", lambda *a: spark.createDataFrame([(f"u/{k}.pdf", f"{k}.pdf", f"file:{tmp_path}/{k}") for k in content], "url string, path string, file string"))
     asked = tmp_path / "asked"
     asked.mkdir()
     many, seen = prose(60), prose(70, "s")
