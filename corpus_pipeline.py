@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import op2_packing, op4_substrings, op5_quality, op9_jaccard
 from sluice.llm.common import fresh, remove, settled, shared_path, table
+from sluice.operators.visited import Visited
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,18 +26,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of a group's rows that share that id the one with the smallest hash of its text stays, and one of equal rows. Groups whose
     smallest ids are equal keep a document each.
+
+    Keys of what goes are told from what stays without texts; bits of them (see Visited) leave rows that surely stay in place, so only
+    rows that go, and few others, meet the exact join.
     """
     found = op9_jaccard.jaccard_components(docs).filter("n_shingles > 0 and doc_id is not null")
-    key, digest, times = fresh(docs, "id", "digest", "times")
+    name, known = fresh(docs, "name", "known")
+    named = lambda x, digest: F.concat_ws(":", x, digest)  # noqa: E731 without an id there is no colon, so such a row is never found
     equal = found.groupBy("component", "doc_id", "row").agg(F.count("*").alias("n"))
     least = equal.groupBy("component").agg(F.min(F.struct("doc_id", "row", "n")).alias("x"))
-    stay = settled(least.select(F.col("x.doc_id").alias(key), F.col("x.row").alias(digest), F.col("x.n").alias(times)))
-    rows = docs.withColumns({key: F.col("doc_id").cast("long"), digest: F.xxhash64(F.coalesce("text", F.lit("")))})
-    free = F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = rows.filter(~free).join(stay, [key, digest])
-    if not stay.filter(F.col(times) > 1).isEmpty():  # equal rows are one
-        kept = kept.filter(F.col(times) == 1).unionByName(kept.filter(F.col(times) > 1).dropDuplicates([key, digest]))
-    return kept.select(docs.columns).unionByName(rows.filter(free).select(docs.columns))
+    stay = settled(least.select("x.*"))
+    gone = settled(found.select("doc_id", "row").distinct().join(stay, ["doc_id", "row"], "left_anti").select(named("doc_id", "row").alias(known)))
+    rows = docs.withColumn(name, named(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    doubtful, kept = parted(rows, name, gone, known)
+    kept = kept.unionByName(doubtful.join(gone, F.col(name) == F.col(known), "left_anti"))
+    again = settled(stay.filter("n > 1").select(named("doc_id", "row").alias(known)))
+    if not again.isEmpty():  # equal rows are one
+        doubtful, kept = parted(kept, name, again, known)
+        side = lambda how: doubtful.join(again, F.col(name) == F.col(known), how)
+        kept = kept.unionByName(side("left_anti")).unionByName(side("left_semi").dropDuplicates([name]))
+    return kept.select(docs.columns)
+
+
+def parted(rows: DataFrame, name: str, keys: DataFrame, known: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose name may be among the keys, and those whose name surely isn't."""
+    seen = Visited(rows.sparkSession)
+    seen.add(keys.select(F.col(known).alias("url")), keys.count())
+    return seen.split(rows, name)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
