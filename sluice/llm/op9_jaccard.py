@@ -20,7 +20,8 @@ from the start, however many copies there are.
    other parts. What is then outside the block's largest component is compared with all sets of the block, part by part.
 
 Every link lies within a block, so no link between different sets is lost but those whose ends are joined already;
-components are exact (up to collisions of 64-bit hashes within two sets). What a block costs grows with its sets, but for
+components are exact (up to collisions of 64-bit hashes within two sets; a text is found by 128 bits, its hash and its
+set's sum). What a block costs grows with its sets, but for
 step 5, where it grows with its sets times those that nothing joins to its largest component.
 
 Texts are fetched for candidates only; hot shingles are broadcast (at most HOT_KEYS as they are, more as bits of their
@@ -36,7 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import INVERSE, KeySet, Shelf, Words, blocks, keyed_text, mix, settled, table, texts_of
@@ -325,24 +326,36 @@ def first_shingles(rows: DataFrame, shingle: int, percent: int, hot: KeySet) ->
 
 
 def fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """row, text of the wanted rows, each once."""
+    """row, text of the wanted rows, each text once: where texts share a hash all of them come, and own_texts tells which was meant."""
     n = wanted.count()
-    return rows.join(F.broadcast(wanted) if n <= FETCH else wanted, "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+    found = rows.join(F.broadcast(wanted) if n <= FETCH else wanted, "row", "left_semi")
+    return found.groupBy("row", F.xxhash64("text", F.lit(1)).alias("more")).agg(F.first("text").alias("text")).drop("more")
+
+
+def text_key() -> Column:
+    """A text's first 64 bits."""
+    return F.xxhash64("text")
+
+
+def own_texts(values: np.ndarray, first: np.ndarray, d1: pa.Array) -> np.ndarray:
+    """Which of the fetched texts' sets have the sum of the set that they were fetched for."""
+    return sums(values, first)[0] == d1.to_numpy(zero_copy_only=False)
 
 
 def verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, percent: int, shelf: Shelf) -> DataFrame:
     """a, b: nodes of those pairs that link, judged on their whole sets."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("row").alias(f"row_{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("row").alias(f"row_{x}"), F.col("d1").alias(f"d1_{x}"))
     sized = shelf.keep(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"))
     texts = fetched(rows, sized.select(F.col("row_a").alias("row")).union(sized.select(F.col("row_b").alias("row"))).distinct())
     one = sized.join(texts.withColumnsRenamed({"row": "row_a", "text": "text_a"}), "row_a")
-    two = one.join(texts.withColumnsRenamed({"row": "row_b", "text": "text_b"}), "row_b").select("a", "b", "text_a", "text_b")
+    two = one.join(texts.withColumnsRenamed({"row": "row_b", "text": "text_b"}), "row_b").select("a", "b", "d1_a", "d1_b", "text_a", "text_b")
 
     def task(batches):
         for b in (y for x in blocks(batches, "text_a") for y in blocks(iter([x]), "text_b")):
             x, _, p = shingle_sets(texts_of(b, "text_a"), shingle)
             y, _, q = shingle_sets(texts_of(b, "text_b"), shingle)
-            good = [linked(x[p[i] : p[i + 1]], y[q[i] : q[i + 1]], percent) for i in range(b.num_rows)]
+            own = own_texts(x, p, b.column("d1_a")) & own_texts(y, q, b.column("d1_b"))
+            good = [bool(own[i]) and linked(x[p[i] : p[i + 1]], y[q[i] : q[i + 1]], percent) for i in range(b.num_rows)]
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     out = shelf.keep(two.mapInArrow(task, "a long, b long"))
@@ -439,11 +452,13 @@ def compared(tasks: DataFrame, named: DataFrame, nodes: DataFrame, rows: DataFra
 
     def by_texts(batches):
         for _, held in closed(batches, 4):
-            sets = []
+            sets, named_sets = [], []
             for b in blocks(iter(held), "text"):
                 values, _, first = shingle_sets(texts_of(b), shingle)
-                sets += [values[p:q].copy() for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            node, side, classes = column(held, "node"), column(held, "side"), Classes(column(held, "component"))
+                own = own_texts(values, first, b.column("d1"))
+                sets += [values[p:q].copy() for p, q, x in zip(first[:-1].tolist(), first[1:].tolist(), own.tolist(), strict=True) if x]
+                named_sets.append(b.select(["node", "side", "component"]).filter(pa.array(own)))
+            node, side, classes = column(named_sets, "node"), column(named_sets, "side"), Classes(column(named_sets, "component"))
             found = block_links([len(x) for x in sets], [bitmap(x, 8) for x in sets], side, classes, classes.label.copy(), percent, lambda i, j: linked(sets[i], sets[j], percent))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([node[x] for x in side_of], pa.int64()) for side_of in zip(*found, strict=True)], names=["a", "b"])
@@ -452,9 +467,9 @@ def compared(tasks: DataFrame, named: DataFrame, nodes: DataFrame, rows: DataFra
     sized = sized.repartition(parts, "leader", "p", "q").sortWithinPartitions("leader", "p", "q", "n").mapInArrow(by_sizes, "leader long, p long, q long, side int, node long, component long, n long")
     sets = sized.join(nodes.select("node", "bitmap"), "node").select("leader", "p", "q", "side", "node", "component", "n", "bitmap")
     groups = shelf.keep(sets.repartition(parts, "leader", "p", "q").sortWithinPartitions("leader", "p", "q").mapInArrow(by_bitmaps, "leader long, p long, q long, grp long, side int, node long, component long"))
-    wanted = groups.join(named.select("node", "row"), "node")
+    wanted = groups.join(named.select("node", "row", "d1"), "node")
     texts = fetched(rows, wanted.select("row").distinct())
-    whole = wanted.join(texts, "row").select("leader", "p", "q", "grp", "side", "node", "component", "text")
+    whole = wanted.join(texts, "row").select("leader", "p", "q", "grp", "side", "node", "component", "d1", "text")
     out = shelf.keep(whole.repartition(parts, "leader", "p", "q", "grp").sortWithinPartitions("leader", "p", "q", "grp").mapInArrow(by_texts, "a long, b long"))
     shelf.drop(groups)
     return out
@@ -538,7 +553,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
 
 def _components_of(docs: DataFrame, shingle: int, percent: int, key: str, text: str, hot: int, shelf: Shelf) -> DataFrame:
-    rows = keyed_text(docs, key, text).withColumn("row", F.xxhash64("text"))
+    rows = keyed_text(docs, key, text).withColumn("row", text_key())
     made = shelf.keep(summaries(rows, shingle))
     sets = shelf.keep(made.filter("kind = 0").select("doc_id", "row", "n", "d1", "d2"))
     nodes = made.filter("kind = 0 and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
