@@ -425,17 +425,6 @@ def test_op9_chains_and_split_blocks(spark, monkeypatch, chunk, rounds):
     same([r.asDict() for r in got], jaccard(docs), ["doc_id", "n_shingles", "component_id"])
 
 
-@pytest.mark.parametrize("chunk", [7, 2000])
-def test_op9_texts_of_one_hash(spark, folder, documents, monkeypatch, chunk):
-    """All texts share three hashes: each set is still verified on its own text."""
-    from sluice.llm import op9_jaccard as o
-
-    monkeypatch.setattr(o, "text_key", lambda: F.pmod(F.xxhash64("text"), F.lit(3)))
-    monkeypatch.setattr(o, "CHUNK", chunk)
-    got = o.jaccard_components(spark.read.parquet(f"{folder}/documents.parquet")).collect()
-    same([r.asDict() for r in got], jaccard(documents), ["doc_id", "n_shingles", "component_id"])
-
-
 def test_components(spark, monkeypatch):
     """A long path, stars around small and large nodes, a random graph, and tasks that hold few nodes."""
     import random
