@@ -3,9 +3,10 @@
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
 import public_tokenizers
 import pytest
-from test_operators import LOWER, WORD, base_counts, repeats
+from test_operators import LOWER, ORACLE_SQL, WORD, base_counts, repeats
 from tokenizers import Tokenizer
 
 
@@ -28,8 +29,14 @@ def stages(spark, folder):
     return out
 
 
-def test_quality(stages):
+def test_quality(stages, folder):
+    """The base rules in Python, and the method's verdicts as the SQL has them."""
     before, after = stages[0]
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    kept = c.sql(f"SELECT doc_id, n_words FROM ({ORACLE_SQL['op5_quality']}) WHERE kept").fetchall()
+    assert Counter((r["doc_id"], len(WORD.findall(r["text"]))) for r in after) == Counter(kept)
     bad = [r for r in before if (c := base_counts(r["text"] or ""))[0] < 20 or 100 * c[4] > 30 * c[0]]
     assert bad and all(r not in after for r in bad) and all(r in before for r in after) and len(after) >= 50
 
