@@ -1,3 +1,4 @@
+import gc
 import json
 
 from pyspark.sql import functions as F
@@ -70,6 +71,27 @@ def test_html_to_markdown():
     assert html.convert("<div class='head-ad-x'>z</div><main>m</main><p>o</p>", "https://a.example/q") == "# Q\n\nm"
 
 
+def test_pages_are_converted_once_and_a_hundred_at_a_time(spark):
+    pages = spark.createDataFrame([("https://a.example/p", "<main>x<nav>n</nav></main>"), ("https://a.example/q", "<![x[a]]>"), ("https://a.example/r", None), (None, "<p>y")], "url string, html string")
+    out = html.scrape(pages)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "ArrowEvalPython" not in plan
+    want = [(u, html.convert(p, u or "")) for u, p in pages.collect() if p is not None and p != "<![x[a]]>"]
+    assert sorted(((r.url, r.markdown) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_converted_page_leaves_nothing_to_the_collector():
+    page = "<nav><i>n</i></nav><main><p>a<b>c</b><p>d<img src=i><table><tr><td>1</table></main>" * 50
+    html.convert(page, "u")
+    gc.collect()
+    gc.disable()
+    try:
+        html.convert(page, "u")
+        assert gc.collect() < 50
+    finally:
+        gc.enable()
+
+
 def test_markdown_cleaning_is_the_same_in_both_forms(spark):
     texts = ["a\n\n\n\nb  \n \n\nc", "#x\n##y z\n#", "", " \n\n a \n", "a\n \n \nb"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(html.clean_markdown(F.col("t"))).collect()]
