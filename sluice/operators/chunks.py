@@ -47,15 +47,19 @@ def build_large_chunks(stretches: DataFrame, registry: DataFrame | None = None,
 
 
 def _skips(conf: ChunkConf) -> list[Column]:
-    small = ~F.col("tabular") & (F.col("text") != "") & (T.word_count(F.col("text")) < conf.min_words)
+    small = ~F.col("tabular") & (F.col("text") != "") & (F.col("word_count") < conf.min_words)
     return [F.count_if(small).alias("too_small_skipped"), F.count_if(F.col("tabular") & (F.col("parts") > 1) & (F.col("part") == 1)).alias("tables_split")]
 
 
+def _counted(found: DataFrame) -> DataFrame:
+    """Segments without white space at their ends, and their words."""
+    return found.withColumn("text", T.strip(F.col("text"))).withColumn("word_count", T.word_count(F.col("text")))
+
+
 def _chunks(found: DataFrame, registry: DataFrame | None, conf: ChunkConf, seen: Observation | None = None) -> DataFrame:
-    found = found.withColumn("text", T.strip(F.col("text")))
+    found = _counted(found)
     if seen is not None:
         found = found.observe(seen, *_skips(conf))
-    found = found.withColumn("word_count", T.word_count(F.col("text")))
     found = found.filter((F.col("text") != "") & (F.col("tabular") | (F.col("word_count") >= conf.min_words)))
     path = F.col("source_file")
     kind = source_type(path)
@@ -78,9 +82,8 @@ def _chunks(found: DataFrame, registry: DataFrame | None, conf: ChunkConf, seen:
 
 
 def small_segments(docs: DataFrame, conf: ChunkConf = ChunkConf(), raw: str = "raw", source_file: str = "source_file") -> DataFrame:
-    """One row: chunks that were too small, and tables that were split."""
-    found = segments(with_skip(docs, raw, source_file), "source_file", "raw", conf, F.col("skip")).withColumn("text", T.strip(F.col("text")))
-    return found.agg(*_skips(conf))
+    """One row: chunks that were too small, and tables that were split; by a pass of its own, where chunks aren't made anyway (see build_chunks)."""
+    return _counted(segments(with_skip(docs, raw, source_file), "source_file", "raw", conf, F.col("skip"))).agg(*_skips(conf))
 
 
 def columns_of_chunk(chunks: DataFrame) -> DataFrame:

@@ -18,11 +18,15 @@ def _as_map(counts: DataFrame, key: str):
     return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))))
 
 
-def report(kept: DataFrame, dropped: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
-    """One row: totals, and counts by type and source as maps. skipped has too_small_skipped and tables_split; else they are 0."""
+def totals(kept: DataFrame, dropped: DataFrame, skipped: dict | None = None) -> DataFrame:
+    """One row: chunks, duplicates, and too_small_skipped and tables_split as they were observed (see build_chunks); else they are 0."""
     out = kept.agg(F.count("*").alias("total_chunks")).crossJoin(dropped.agg(F.count("*").alias("duplicates_skipped")))  # one row each
-    none = kept.sparkSession.createDataFrame([(0, 0)], "too_small_skipped long, tables_split long")
-    out = out.crossJoin(none if skipped is None else skipped)
+    return out.withColumns({k: F.lit((skipped or {}).get(k, 0)).cast("long") for k in ("too_small_skipped", "tables_split")})
+
+
+def report(kept: DataFrame, dropped: DataFrame, skipped: dict | None = None) -> DataFrame:
+    """One row: totals, and counts by type and source as maps."""
+    out = totals(kept, dropped, skipped)
     types = _as_map(by_type(kept), "content_type").toDF("chunks_by_type")
     return out.crossJoin(types).crossJoin(_as_map(by_source(kept), "source_type").toDF("chunks_by_source"))
 

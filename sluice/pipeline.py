@@ -28,9 +28,10 @@ class Run:
 
 def chunk_documents(docs: DataFrame, registry: DataFrame | None = None, conf: ChunkConf = ChunkConf()) -> Run:
     """Documents (source_file, raw) to distinct chunks, duplicates and a report. Chunks are made once, in the shared folder, for all of these."""
-    made = settled(K.build_chunks(docs, registry, conf))
+    seen = Observation()
+    made = settled(K.build_chunks(docs, registry, conf, seen=seen))
     kept, dropped = split_duplicates(made)
-    return Run(kept, dropped, report.report(kept, dropped, K.small_segments(docs, conf) if conf.strict_report else None))
+    return Run(kept, dropped, report.report(kept, dropped, seen.get if conf.strict_report else None))
 
 
 def chunk_stage(spark: SparkSession, folders: list[str], entity_files: list[str], out: str, conf: ChunkConf = ChunkConf(), array: bool = False) -> Run:

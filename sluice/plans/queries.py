@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.conf import PROFILE_MARKERS, PROFILE_SECTIONS, ChunkConf, CrawlConf
@@ -350,13 +350,13 @@ chunks AS (
 ranked AS (SELECT *, row_number() OVER w AS rn, first_value(chunk_id) OVER w AS original_id FROM chunks WINDOW w AS (PARTITION BY hash ORDER BY string_split(source_file, '/'), seq, part))"""
 
 
-def _chunks(spark, sf_dir, conf=ChunkConf()):
-    return K.build_chunks(I.markdown_docs(spark, sf_dir), conf=conf)
+def _chunks(spark, sf_dir, conf=ChunkConf(), seen=None):
+    return K.build_chunks(I.markdown_docs(spark, sf_dir), conf=conf, seen=seen)
 
 
-def _split(spark, sf_dir):
-    """Distinct chunks and duplicates, without texts; chunks are made once for both."""
-    return dedup.split_duplicates(settled(_chunks(spark, sf_dir).select("chunk_id", "source_file", "source_type", "content_type", "hash", "seq", "part")))
+def _split(spark, sf_dir, *columns, seen=None):
+    """Distinct chunks and duplicates with these columns, without texts; chunks are made once for both, and no others of their columns."""
+    return dedup.split_duplicates(settled(_chunks(spark, sf_dir, seen=seen).select("chunk_id", "source_file", *columns, "hash", "seq", "part")))
 
 
 @query(f"{CHUNKS_SQL} SELECT chunk_id, source_type, source_file, array_to_string(hierarchy, ' > ') AS hierarchy, pages, word_count, hash, md5(text) AS text_md5 FROM chunks")
@@ -428,18 +428,18 @@ TYPED_SQL = f"{CHUNKS_SQL}, typed AS (SELECT *, CASE WHEN tabular THEN 'table' E
 
 @query(f"{TYPED_SQL} SELECT content_type, count(*) AS n FROM typed WHERE rn = 1 GROUP BY 1")
 def report_by_type(spark, sf_dir):
-    return report.by_type(_split(spark, sf_dir)[0])
+    return report.by_type(_split(spark, sf_dir, "content_type")[0])
 
 
 @query(f"{TYPED_SQL} SELECT source_type, count(*) AS n FROM typed WHERE rn = 1 GROUP BY 1")
 def report_by_source(spark, sf_dir):
-    return report.by_source(_split(spark, sf_dir)[0])
+    return report.by_source(_split(spark, sf_dir, "source_type")[0])
 
 
 @query(f"{CHUNKS_SQL} SELECT (SELECT count(*) FROM ranked WHERE rn = 1) AS total_chunks, (SELECT count(*) FROM ranked WHERE rn > 1) AS duplicates_skipped, (SELECT count(*) FROM counted WHERE NOT tabular AND word_count < 80) AS too_small_skipped, (SELECT count(*) FROM pieces WHERE tabular AND parts > 1 AND part = 1) AS tables_split")
 def report_totals(spark, sf_dir):
-    kept, dropped = _split(spark, sf_dir)
-    return report.report(kept, dropped, K.small_segments(I.markdown_docs(spark, sf_dir))).select("total_chunks", "duplicates_skipped", "too_small_skipped", "tables_split")
+    seen = Observation()
+    return report.totals(*_split(spark, sf_dir, seen=seen), seen.get)
 
 
 @query(f"{CHUNKS_SQL} SELECT chunk_id, word_count, hash, pages IS NOT NULL AS paged FROM chunks")

@@ -9,6 +9,7 @@ from sluice.functions import classify as C
 from sluice.operators import chunks as K
 from sluice.operators import dedup, report, segment
 from sluice.pipeline import chunk_documents
+from sluice.plans import inputs, queries
 
 
 def build(spark, rows, conf=ChunkConf(), registry=None):
@@ -129,6 +130,28 @@ def test_first_wins(spark):
     assert {json.loads(r.value)["event"] for r in report.event_lines(run.kept).collect()} == {"chunk_created"}
 
 
+def test_totals_come_with_the_pass_that_makes_chunks(spark, tmp_path, monkeypatch):
+    passes, table = [], "\n".join(["| a | b |", "|---|---|", *(f"| {i} | x |" for i in range(60))])
+    docs = spark.createDataFrame([("a.md", f"short\n{table}\n \nshort too"), ("b.md", prose(90)), ("c.md", prose(90)), ("d.md", ""), ("e.md", None)], "source_file string, raw string").repartition(3)
+    want = K.small_segments(docs).first().asDict()
+    monkeypatch.setattr(K, "segments", lambda *x: passes.append(1) or segment.segments(*x))
+    run = chunk_documents(docs, conf=ChunkConf(strict_report=True))
+    got = run.report.first().asDict()
+    assert len(passes) == 1 and {k: got[k] for k in want} == want == {"too_small_skipped": 2, "tables_split": 1}
+    assert (got["total_chunks"], got["duplicates_skipped"]) == (3, 1)
+    none = chunk_documents(docs.limit(0), conf=ChunkConf(strict_report=True)).report.first()
+    assert (none.total_chunks, none.duplicates_skipped, none.too_small_skipped, none.tables_split, none.chunks_by_type) == (0, 0, 0, 0, {})
+    passes.clear()
+    texts = [(i, "w " * n, "s", "en") for i, n in enumerate((10, 90, 90, 0, 800), 1)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = queries.report_totals(spark, str(tmp_path)).first()
+    found = K.build_chunks(inputs.markdown_docs(spark, str(tmp_path))).groupBy("hash").count().collect()
+    assert (row.total_chunks, row.duplicates_skipped) == (len(found), sum(r["count"] - 1 for r in found)) and row.duplicates_skipped
+    assert len(passes) == 2  # the query's, and that of the line above
+    small = K.small_segments(inputs.markdown_docs(spark, str(tmp_path))).first()
+    assert (row.too_small_skipped, row.tables_split) == (small.too_small_skipped, small.tables_split)
+
+
 def test_strict_report(spark):
     table = "| a |\n| - |\n" + "\n".join("| x |" for _ in range(60))
     run = chunk_documents(spark.createDataFrame([("a.md", f"short\n{table}"), ("b.md", prose(90))], "source_file string, raw string"), conf=ChunkConf(strict_report=True))
